@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, fresh, if_small, needs, text_of
+from strata.llm.common import cut, if_small, needs
 from strata.llm.graph import connected_components
 
 #: Fingerprints in an index node before it is split on further bits.
@@ -123,14 +123,14 @@ def index_nodes(fps: DataFrame, h: int) -> DataFrame:
     shrinks each time, so there are a few levels at most, and none where no node is that large.
     """
     spark = fps.sparkSession
-    masks, done = [0], None
-    level = fps.select(F.lit(0).cast("long").alias("mask"), F.lit(0).cast("long").alias("pattern"), "fp", "rep")
+    masks, done, level = [0], None, fps
     while True:
         pairs = [(_signed(m), _signed(c)) for m in masks for c in _children(m, h)]
-        below = F.broadcast(spark.createDataFrame(pairs, "mask long, child long"))  # a fixed table, from h alone
-        level = level.join(below, "mask").select(
-            F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("pattern"), "fp", "rep"
-        )
+        if masks == [0]:
+            level = level.withColumn("child", F.explode(F.lit([c for _, c in pairs])))
+        else:
+            level = level.join(F.broadcast(spark.createDataFrame(pairs, "mask long, child long")), "mask")  # fixed by h alone
+        level = level.select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("pattern"), "fp", "rep")
         masks = sorted({c % (1 << 64) for _, c in pairs})
         free = 64 - min(m.bit_count() for m in masks)
         if free <= LEAST_FREE_BITS:
