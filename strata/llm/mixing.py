@@ -10,10 +10,10 @@ Shards then take disjoint runs of the permuted draws and shuffle their rows loca
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, needs, text_of, word_count
+from strata.llm.common import cut, fresh, needs, text_of, word_count
 
 #: Blocks over all sources (in parts of their sizes), and the fewest in a source.
 BLOCKS, LEAST_BLOCKS = 8192, 256
@@ -73,37 +73,35 @@ def draw_blocks(blocks: dict[int, int], target: float, rng: np.random.Generator)
     return out
 
 
-def plan(documents: DataFrame, shards: int = 16, seed: int = 7, weights: tuple = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """(doc_id, text_crc32, source, size, source_size, target, draws) for every row of documents.
+def _sized(documents: DataFrame) -> DataFrame:
+    return needs(documents, "doc_id", "source", "text").select(
+        "doc_id", "source", word_count(text_of()).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32")
+    )
 
-    size is the number of words. draws lists what the mix takes of the document: an array of
-    (turn, shard), empty if it is left out. Sources stand in the order of their code points, null last, and
-    have the weights in turn. A source without words, and a document without any, has no draws.
-    Rows with equal doc_id and text fall in one block, so they are drawn alike. The same rows and seed give
-    the same draws, however they are partitioned. An empty table gives no rows.
+
+def _block(seed: int, doc_id: Column, crc: Column, blocks: Column) -> Column:
+    return F.pmod(F.xxhash64(F.lit(seed), doc_id, crc), blocks).cast("int")
+
+
+def _recipe(rows: DataFrame, shards: int, seed: int, weights: tuple, share: float) -> tuple[DataFrame, DataFrame]:
+    """The sources (_source, _at, source_size, target, _blocks) and the drawn blocks (_at, _block, draws).
+
+    Both are bounded, see BLOCKS and MOST_SOURCES, and come with a broadcast hint.
     """
-    spark = documents.sparkSession
-    rows = cut(
-        needs(documents, "doc_id", "source", "text").select(
-            "doc_id", "source", word_count(text_of()).cast("long").alias("size"), F.crc32(text_of().cast("binary")).alias("text_crc32")
-        )
-    )
-    by_source = rows.groupBy("source").agg(F.sum("size").alias("size"))
-    found = by_source.limit(MOST_SOURCES + 1).collect()
+    spark = rows.sparkSession
+    found = rows.groupBy("source").agg(F.sum("size").alias("size")).limit(MOST_SOURCES + 1).collect()
     if len(found) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources; give the mixture's recipe for fewer, broader ones")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [int(r.size) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share)
     total = max(1, sum(sizes))
-    count = [LEAST_BLOCKS + BLOCKS * s // total for s in sizes]
-    recipe = [(r.source, i, sizes[i], float(goal[i]), count[i]) for i, r in enumerate(found)]
+    recipe = [(r.source, i, sizes[i], float(goal[i]), LEAST_BLOCKS + BLOCKS * sizes[i] // total) for i, r in enumerate(found)]
     known = F.broadcast(spark.createDataFrame(recipe, "_source string, _at int, source_size long, target double, _blocks int"))
-    rows = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn(
-        "_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "text_crc32"), F.col("_blocks")).cast("int")
-    )
     held: list[dict[int, int]] = [{} for _ in found]  # BLOCKS + LEAST_BLOCKS * sources entries at most
-    for r in rows.groupBy("_at", "_block").agg(F.sum("size").alias("size")).collect():
+    dealt_rows = rows.join(known, F.col("source").eqNullSafe(F.col("_source")))
+    block = _block(seed, F.col("doc_id"), F.col("text_crc32"), F.col("_blocks")).alias("_block")
+    for r in dealt_rows.groupBy("_at", block).agg(F.sum("size").alias("size")).collect():
         held[r._at][r._block] = int(r.size)
 
     rng = np.random.default_rng(seed)
@@ -116,27 +114,44 @@ def plan(documents: DataFrame, shards: int = 16, seed: int = 7, weights: tuple =
             for (b, turn), s in zip(d, to.tolist()):
                 dealt.setdefault((i, b), []).append((turn, s))
     table = spark.createDataFrame([(i, b, d) for (i, b), d in dealt.items()], "_at int, _block int, draws array<struct<turn:int,shard:int>>")
+    return known, F.broadcast(table)
+
+
+def plan(documents: DataFrame, shards: int = 16, seed: int = 7, weights: tuple = WEIGHTS, share: float = 1.5) -> DataFrame:
+    """(doc_id, text_crc32, source, size, source_size, target, draws) for every row of documents.
+
+    size is the number of words. draws lists what the mix takes of the document: an array of
+    (turn, shard), empty if it is left out. Sources stand in the order of their code points, null last, and
+    have the weights in turn. A source without words, and a document without any, has no draws.
+    Rows with equal doc_id and text fall in one block, so they are drawn alike. The same rows and seed give
+    the same draws, however they are partitioned. An empty table gives no rows.
+    """
+    rows = cut(_sized(documents))
+    known, table = _recipe(rows, shards, seed, weights, share)
     none = F.array().cast("array<struct<turn:int,shard:int>>")
-    return rows.join(F.broadcast(table), ["_at", "_block"], "left").select(
+    placed = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_block", _block(seed, F.col("doc_id"), F.col("text_crc32"), F.col("_blocks")))
+    return placed.join(table, ["_at", "_block"], "left").select(
         "doc_id", "text_crc32", "source", "size", "source_size", "target",
         F.when(F.col("size") > 0, F.coalesce("draws", none)).otherwise(none).alias("draws"),
     )
 
 
 def mix(documents: DataFrame, shards: int = 16, seed: int = 7, weights: tuple = WEIGHTS, share: float = 1.5) -> DataFrame:
-    """All columns of documents and (shard, turn, place), a row for each draw: see plan.
+    """All columns of documents and (mix_shard, mix_turn, mix_place), a row for each draw: see plan.
 
-    place orders the rows of a shard at random: a hash of the draw, so ties are only between equal rows.
+    mix_place orders the rows of a shard at random: a hash of the draw, so ties are only between equal rows.
+    Texts aren't shuffled, as the drawn blocks are a small table. Columns of these names are replaced.
     """
-    drawn = plan(documents, shards, seed, weights, share).where(F.size("draws") > 0)
-    drawn = drawn.select(F.col("doc_id").alias("_mix_id"), F.col("text_crc32").alias("_mix_crc"), "draws").distinct()
-    full = documents.join(
-        drawn, F.col("doc_id").eqNullSafe(F.col("_mix_id")) & (F.crc32(text_of().cast("binary")) == F.col("_mix_crc"))
-    )
-    return full.withColumn("_mix_draw", F.explode("draws")).select(
-        *(documents[c] for c in documents.columns),
-        F.col("_mix_draw.shard").alias("shard"), F.col("_mix_draw.turn").alias("turn"),
-        F.xxhash64(F.lit(seed), "_mix_id", "_mix_crc", "_mix_draw.turn").alias("place"),
+    known, table = _recipe(cut(_sized(documents)), shards, seed, weights, share)
+    row = fresh(documents, "_row")
+    kept = [c for c in documents.columns if c.lower() not in ("mix_shard", "mix_turn", "mix_place")]
+    rows = documents.where(word_count(text_of()) > 0).select(F.struct(*kept).alias(row))
+    id_, crc = F.col(f"{row}.doc_id"), F.crc32(F.coalesce(F.col(f"{row}.text"), F.lit("")).cast("binary"))
+    placed = rows.join(known, F.col(f"{row}.source").eqNullSafe(F.col("_source"))).withColumn("_block", _block(seed, id_, crc, F.col("_blocks")))
+    draws = placed.join(table, ["_at", "_block"]).withColumn("_draw", F.explode("draws"))
+    return draws.select(
+        f"{row}.*", F.col("_draw.shard").alias("mix_shard"), F.col("_draw.turn").alias("mix_turn"),
+        F.xxhash64(F.lit(seed), id_, crc, F.col("_draw.turn")).alias("mix_place"),
     )
 
 

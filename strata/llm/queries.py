@@ -77,7 +77,7 @@ SQL: dict[str, str] = {
         ), coded as (
             select page_id, payload_bytes, array_to_string([
                 substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
-                       1 + (('0x' || substr(hex, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8)))::int % 32, 1)
+                       1 + (('0x' || substr(hex, 1 + 10 * (i // 8), 10))::bigint >> (35 - 5 * (i % 8))) % 32, 1)
                 for i in range(32)], '') as payload_digest
             from digested
         ), firsts as (

@@ -11,6 +11,7 @@ they exceed h. What leaves a node is a spanning set of links, at most one for ea
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -21,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, if_small, needs
+from strata.llm.common import cut, fresh, if_small, needs
 from strata.llm.graph import connected_components
 
 #: Fingerprints in an index node before it is split on further bits.
@@ -294,3 +295,103 @@ def near_duplicates(documents: DataFrame, n: int = 3, h: int = 2) -> DataFrame:
     """
     docs = needs(documents, "doc_id", "text").select("doc_id", fingerprint(F.col("text"), n).alias("fp"))
     return near_classes(docs, h).select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+# ---------------------------------------------------------------- keeping one document of each group
+
+#: Texts of a class that one task compares at a time.
+CHUNK = 4000
+
+
+def _shingle_set(n: int):
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t or "", n).view(np.int64)) for t in texts], dtype=object)
+
+    return of
+
+
+def _copies(similar: float):
+    """Rows (class, chunk, rep, digest, shingles) in this order -> digests of texts that are copies.
+
+    A text is one if its shingles resemble those of an earlier text that was kept. Kept texts are found by the
+    least shingles of each, of which two that are similar enough share one, so few pairs are compared.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, kept, index = None, [], {}
+        for batch in batches:
+            gone = []
+            shingles = batch["shingles"]
+            flat, ends = shingles.flatten().to_numpy(), (shingles.offsets.to_numpy() - shingles.offsets[0].as_py())
+            for k, (c, part, digest) in enumerate(zip(batch["class"].to_pylist(), batch["chunk"].to_pylist(), batch["digest"].to_pylist())):
+                if at != (c, part):
+                    at, kept, index = (c, part), [], {}
+                own = flat[ends[k] : ends[k + 1]]
+                n = len(own)
+                least = own[: n - math.ceil(similar * n - 1e-9) + 1].tolist() if n else [None]
+                alike = False
+                for i in {i for x in least for i in index.get(x, ())}:
+                    other = kept[i]
+                    if n == 0:
+                        alike = True
+                    elif similar * n <= len(other) <= n / similar:
+                        same = len(np.intersect1d(own, other, assume_unique=True))
+                        alike = same >= similar * (n + len(other) - same) - 1e-9
+                    if alike:
+                        gone.append(digest)
+                        break
+                if not alike:
+                    for x in least:
+                        index.setdefault(x, []).append(len(kept))
+                    kept.append(own.copy())
+            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["digest"])
+
+    return of
+
+
+def without_near_copies(documents: DataFrame, h: int = 4, n: int = 5, similar: float = 0.8) -> DataFrame:
+    """documents, with all their columns, less copies: of each group of near copies one row stays.
+
+    Candidates are the classes that SimHash fingerprints of weighted words form within h bits. In a class, a
+    text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller doc_id
+    that stays, so every row dropped is a near copy of one kept, and what the fingerprints alone brought
+    together stays. Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
+    Null texts count as empty; texts without words are copies of each other where their class meets. A null
+    doc_id stays only if no other row has its text. An empty table gives no rows. Classes of over CHUNK texts
+    are compared in chunks first; what stays of those is compared again, until a chunk holds it.
+    """
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    base = cut(needs(documents, "doc_id", "text").select("doc_id", digest.alias("digest"), word_fingerprint(F.col("text")).alias("fp")))
+    texts = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")))
+    named = near_classes(texts.select(F.col("rep").alias("doc_id"), "fp"), h).select(F.col("doc_id").alias("rep"), "fp", F.col("component_id").alias("class"))
+    named = cut(texts.where("rep is not null").join(named.distinct(), ["rep", "fp"]).select("rep", "digest", "class"))
+    several = named.groupBy("class").agg(F.count("*").alias("size")).where("size > 1").drop("size")
+    some = cut(named.join(several, "class", "left_semi"))
+    rows = needs(documents, "doc_id", "text").withColumn("digest", digest)
+    live = rows.join(if_small(some.withColumnRenamed("rep", "doc_id")), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
+    live = cut(live.select("class", F.col("doc_id").alias("rep"), "digest", _shingle_set(n)("text").alias("shingles")))
+
+    gone, turn, chunk = None, 0, CHUNK
+    while True:
+        sizes = cut(live.groupBy("class").agg(F.count("*").alias("size")))
+        total, most = sizes.agg(F.sum("size"), F.max("size")).first()
+        parts = F.ceil(F.col("size") / chunk).cast("int")
+        dealt = live.join(if_small(sizes), "class").withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "digest"), parts).cast("int"))
+        dealt = dealt.repartition("class", "chunk").sortWithinPartitions("class", "chunk", "rep", "digest")
+        now = cut(dealt.select("class", "chunk", "digest", "shingles").mapInArrow(_copies(similar), "digest string"))
+        gone = now if gone is None else gone.unionByName(now)
+        if (most or 0) <= chunk:
+            break
+        left = live.join(if_small(sizes.where(F.col("size") > chunk)), "class").drop("size").join(now, "digest", "left_anti")
+        live, turn = cut(left), turn + 1
+        if live.count() > 0.9 * total:  # they hardly resemble each other, so the index leaves little to compare
+            chunk = most
+    staying = cut(texts.join(gone, "digest", "left_anti").select("rep", F.col("digest").alias("_digest"), (F.col("n") > F.col("ids")).alias("_again")))
+    mark = fresh(documents, "_digest_of")
+    out = documents.withColumn(mark, digest).join(
+        if_small(staying.select(F.col("rep").alias("_rep"), "_digest")), F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col(mark) == F.col("_digest")), "left_semi"
+    )
+    if staying.where("_again").limit(1).count():  # rows equal in id and text: one of them stays
+        out = out.dropDuplicates(["doc_id", mark])
+    return out.drop(mark)
