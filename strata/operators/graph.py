@@ -25,11 +25,15 @@ def reachable(seeds: DataFrame, edges: DataFrame, keys: tuple = ()) -> DataFrame
     """
     steps = keep(edges.select(*keys, "src", "dst").where("src is not null and dst is not null").distinct())
     frontier = keep(seeds.select(*keys, "node").where("node is not null").distinct().withColumn("level", F.lit(0)))
-    found, level = frontier, 0
+    found = frontier
     while not frontier.isEmpty():
-        level += 1
-        ahead = frontier.select(*keys, F.col("node").alias("src")).join(steps, [*keys, "src"]).select(*keys, F.col("dst").alias("node")).distinct()
-        frontier = keep(ahead.join(found.select(*keys, "node"), [*keys, "node"], "left_anti").withColumn("level", F.lit(level)))
+        ahead, new = frontier, None
+        for _ in range(STEPS):
+            onward = ahead.select(*keys, F.col("node").alias("src"), "level").join(steps, [*keys, "src"])
+            ahead = onward.groupBy(*keys, F.col("dst").alias("node")).agg((F.min("level") + 1).alias("level"))
+            new = ahead if new is None else new.unionByName(ahead)
+        least = new.groupBy(*keys, "node").agg(F.min("level").alias("level"))
+        frontier = keep(least.join(found.select(*keys, "node"), [*keys, "node"], "left_anti"))
         found = found.unionByName(frontier)
     return found
 

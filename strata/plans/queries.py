@@ -7,10 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from strata.catalogues import android, inventory as kits_, rules as rules_, scoring as scores
+from strata.catalogues import android
+from strata.catalogues import inventory as kits_
+from strata.catalogues import scoring as scores
 from strata.functions import text as txt
-from strata.operators import diff, graph, inventory, rules, scoring, secrets
+from strata.operators import code, diff, graph, inventory, plugins, rules, scoring, secrets, taint
+from strata.operators.manifest import dangerous, link_rules
 from strata.plans.views import table, values, view, with_views
+from strata.sources.archives import merged
+from strata.streaming import events
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -342,8 +347,6 @@ def private_key_scan(spark: SparkSession, d: str) -> DataFrame:
     "links",
 )
 def deeplink_checks(spark: SparkSession, d: str) -> DataFrame:
-    from strata.operators.manifest import link_rules
-
     return link_rules(view(spark, d, "links")).select("page_id", "rule_id")
 
 
@@ -358,8 +361,6 @@ def deeplink_mixed_schemes(spark: SparkSession, d: str) -> DataFrame:
     "manifests",
 )
 def permission_intersection(spark: SparkSession, d: str) -> DataFrame:
-    from strata.operators.manifest import dangerous
-
     rows = view(spark, d, "manifests").select("app_id", F.array("permission_a", "permission_b").alias("permissions"))
     return dangerous(rows).select("app_id", "permission", F.coalesce("data", F.lit("none")).alias("data"))
 
@@ -413,8 +414,6 @@ def cve_version_range(spark: SparkSession, d: str) -> DataFrame:
     """select name, size, split from (select p_name as name, p_size as size, p_partkey as split, row_number() over (partition by p_name order by case when p_brand = 'Brand#13' then 0 else 1 end, p_size desc, p_partkey) as rn from part) t where rn = 1"""
 )
 def first_wins_merge(spark: SparkSession, d: str) -> DataFrame:
-    from strata.sources.archives import merged
-
     files = table(spark, d, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_partkey").alias("split"), (F.col("p_brand") == "Brand#13").alias("is_base"))
     return merged(files).select("name", "size", "split")
 
@@ -476,3 +475,156 @@ def cha_dispatch(spark: SparkSession, d: str) -> DataFrame:
     customer = table(spark, d, "customer")
     asks = table(spark, d, "region").select(F.col("r_name").alias("receiver")).join(F.broadcast(customer.select(F.col("c_mktsegment").alias("method_name")).distinct()))
     return graph.dispatch(asks, _class_links(spark, d), customer.select(F.col("c_name").alias("class_name"), F.col("c_mktsegment").alias("method_name")))
+
+
+# ---------------------------------------------------------------- code
+
+
+@query("select method, pos, cast(sum(case when pos > 1 and op in (1, 7) then 1 else 0 end) over (partition by method order by pos) as int) as block from instructions", "instructions")
+def basic_blocks(spark: SparkSession, d: str) -> DataFrame:
+    return code.basic_blocks(view(spark, d, "instructions"), F.col("op").isin(1, 7)).select("method", "pos", "block")
+
+
+@query(
+    """select method, pos, src, (select arg_max(b.num, b.pos) from instructions b where b.method = a.method and b.op = 3 and b.dst = a.src and b.pos < a.pos) as defined from instructions a where op = 1""",
+    "instructions",
+)
+def asof_last_def(spark: SparkSession, d: str) -> DataFrame:
+    found = code.last_definition(view(spark, d, "instructions"), F.col("num"), F.col("op") == 3, "dst", "src")
+    return found.where("op = 1").select("method", "pos", "src", "defined")
+
+
+@query("select method, pos, num from (select *, bool_or(op = 5) over (partition by method) as flagged from instructions) t where op = 1 and not flagged", "instructions")
+def method_flag_suppression(spark: SparkSession, d: str) -> DataFrame:
+    flagged = code.method_flag(view(spark, d, "instructions"), F.col("op") == 5, "flagged")
+    return flagged.where("op = 1 and not flagged").select("method", "pos", "num")
+
+
+@query("select method, count(*) as n from instructions group by method having not bool_or(op = 2) and bool_or(op = 1)", "instructions")
+def trustmanager_stub(spark: SparkSession, d: str) -> DataFrame:
+    grouped = view(spark, d, "instructions").groupBy("method").agg(F.count("*").alias("n"), F.bool_or(F.col("op") == 2).alias("throws"), F.bool_or(F.col("op") == 1).alias("checks"))
+    return grouped.where("not throws and checks").select("method", "n")
+
+
+@query("select method, pos from (select *, min(pos) filter (op in (6, 7)) over (partition by method) as stop from instructions) t where op <> 3 and (stop is null or pos <= stop)", "instructions")
+def stop_at_first(spark: SparkSession, d: str) -> DataFrame:
+    return code.up_to_first(view(spark, d, "instructions"), F.col("op").isin(6, 7)).where("op <> 3").select("method", "pos")
+
+
+def _blocks(spark: SparkSession, d: str) -> DataFrame:
+    return code.basic_blocks(view(spark, d, "instructions"), F.col("op").isin(1, 7))
+
+
+@query()
+def const_propagation(spark: SparkSession, d: str) -> DataFrame:
+    rows = _blocks(spark, d)
+    edges = code.block_edges(rows, F.col("op") == 7, F.lit(None).cast("long"))
+    own = rows.where("op in (0, 3)").groupBy("method", "block", F.col("dst").alias("register")).agg(F.max_by(F.struct(F.col("num").alias("value"), (F.col("op") == 3).alias("known")), "pos").alias("z"))
+    return code.constants(own.select("method", "block", "register", "z.value", "z.known"), edges)
+
+
+@query(
+    """, t(method, register, since) as (select method, dst, min(pos) from instructions where op = 0 group by method, dst union select i.method, i.dst, i.pos from t join instructions i on i.method = t.method and i.src = t.register and i.pos > t.since and i.op >= 4 and i.src <> i.dst)
+    select distinct i.method, i.pos, i.src as register from instructions i join t on i.method = t.method and i.src = t.register and i.pos > t.since where i.op = 1""",
+    "instructions",
+)
+def taint_intra(spark: SparkSession, d: str) -> DataFrame:
+    rows = view(spark, d, "instructions").withColumn("op", F.when(F.col("op") == 0, "source").when(F.col("op") == 1, "sink").when(F.col("op") >= 4, "move").otherwise("other"))
+    return taint.intra_method(rows)
+
+
+_COVERS = (("0", "WEBVIEW"), ("0", "LOG"), ("1", "NETWORK_OUT"), ("2", "SQL_INJECT"), ("3", "LOG"))
+_SINK = "case num % 4 when 0 then 'WEBVIEW' when 1 then 'LOG' when 2 then 'NETWORK_OUT' else 'SQL_INJECT' end"
+
+
+@query(
+    f""", s as (select method, pos, {_SINK} as sink_label from instructions where op = 1), cleaned as (select s.method, s.pos, s.sink_label, cast(i.kind as varchar) as sanitizer from s join instructions i on i.method = s.method and i.op = 2 and i.pos < s.pos)
+    select s.method, s.pos, s.sink_label, case when exists (select 1 from cleaned c join {values(_COVERS, 'sanitizer, label').replace(' as t(', ' as v(')} on c.sanitizer = v.sanitizer and c.sink_label = v.label where c.method = s.method and c.pos = s.pos) then 'full'
+        when exists (select 1 from cleaned c where c.method = s.method and c.pos = s.pos) then 'partial' else 'none' end as neutralisation from s""",
+    "instructions",
+)
+def taint_tristate(spark: SparkSession, d: str) -> DataFrame:
+    before = Window.partitionBy("method").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    rows = view(spark, d, "instructions").withColumn("sanitizers", F.coalesce(F.collect_set(F.when(F.col("op") == 2, F.col("kind").cast("string"))).over(before), F.array()))
+    flows = rows.where("op = 1").withColumn("sink_label", F.expr(_SINK)).withColumn("flow_id", F.struct("method", "pos"))
+    covers = F.broadcast(spark.createDataFrame(_COVERS, "sanitizer string, sink_label string"))
+    return taint.sanitised_state(flows, covers).select("method", "pos", "sink_label", "neutralisation")
+
+
+@query(
+    """, chain as (select src as caller, dst as callee from calls), up(src_method, method, n) as (select distinct src, src, 0 from calls where src % 7 = 0 union select src_method, callee, n + 1 from up join chain on method = caller where n < 6)
+    select src_method as method, method as sink_method, cast(min(n) as int) as chain from up where method % 5 = 0 group by all""",
+    "calls",
+)
+def taint_interproc(spark: SparkSession, d: str) -> DataFrame:
+    edges = view(spark, d, "calls").select(F.lit(0).alias("app_id"), F.col("src").cast("string").alias("method"), F.col("dst").cast("string").alias("callee"))
+    nodes = edges.select("app_id", "method").union(edges.select("app_id", "callee")).distinct()
+    steps = nodes.select("app_id", "method", F.lit(1).cast("long").alias("pos"), F.lit("p0").alias("read"), F.lit("v0").alias("write"))
+    calls = edges.select("app_id", "method", F.lit(3).cast("long").alias("pos"), "callee", F.array(F.lit("v0")).alias("args"), F.lit(None).cast("string").alias("result"))
+    mine = edges.where("cast(method as long) % 7 = 0").select("app_id", "method").distinct()
+    seeds = mine.select("app_id", "method", F.lit(2).cast("long").alias("pos"), F.lit("v0").alias("slot"), F.lit("INTENT").alias("label"), F.col("method").alias("source"))
+    sinks = nodes.where("cast(method as long) % 5 = 0").select("app_id", "method", F.lit(4).cast("long").alias("pos"), F.lit("v0").alias("slot"), F.lit("EXEC").alias("label"))
+    found = taint.inter_method(steps, calls, seeds, sinks, depth=6)
+    return found.select(F.col("method").cast("long"), F.col("sink_method").cast("long"), "chain")
+
+
+@query(
+    "select app_id, rule_id, class_name, method_name, line_number, event_id from (select *, row_number() over (partition by app_id, rule_id, class_name, method_name, line_number order by length(evidence), event_id) as rn from findings where rule_id like 'TAINT%') t where rn = 1",
+    "findings",
+)
+def taint_dedup(spark: SparkSession, d: str) -> DataFrame:
+    flows = view(spark, d, "findings").where("rule_id like 'TAINT%'").select("app_id", "rule_id", "class_name", "method_name", F.col("line_number").alias("sink_pos"), F.length("evidence").alias("chain"), F.col("event_id").alias("source"))
+    return taint.first_flows(flows).select("app_id", "rule_id", "class_name", "method_name", F.col("sink_pos").alias("line_number"), F.col("source").alias("event_id"))
+
+
+_NATIVES = (("*", "click", "A"), ("u1", "*", "B"), ("u1", "click", "C"), ("*", "*", "D"), ("u2", "view", "E"))
+
+
+@query(f"select event_id, effect from (select event_id, 'u' || (user_id % 4) as c, event_type as m from events) e join {values(_NATIVES, 'class, name, effect')} on (class = '*' or class = c) and (name = '*' or name = m)")
+def taint_native(spark: SparkSession, d: str) -> DataFrame:
+    calls = table(spark, d, "events").select("event_id", F.concat(F.lit("u"), (F.col("user_id") % 4).cast("string")).alias("class_name"), F.col("event_type").alias("method_name"))
+    return taint.native_effects(calls, F.broadcast(spark.createDataFrame(_NATIVES, "class string, name string, effect string"))).select("event_id", "effect")
+
+
+# ---------------------------------------------------------------- events
+
+
+@query("select user_id, event_id, cast(count(*) over (partition by user_id order by epoch(ts) range between 60 preceding and current row) as bigint) as in_minute, count(*) over (partition by user_id order by epoch(ts) range between 60 preceding and current row) > 10 as limited from events")
+def rate_limit_sliding(spark: SparkSession, d: str) -> DataFrame:
+    seconds = F.unix_micros(F.col("ts").cast("timestamp")) / 1e6
+    order = Window.partitionBy("user_id").orderBy("_s").rangeBetween(-60, 0)
+    rows = table(spark, d, "events").withColumn("_s", seconds).withColumn("in_minute", F.count("*").over(order))
+    return rows.select("user_id", "event_id", "in_minute", (F.col("in_minute") > 10).alias("limited"))
+
+
+@query("select cast(epoch(time_bucket(interval '1 hour', ts)) as bigint) as start, event_type, count(*) as n from events group by all")
+def event_tumbling(spark: SparkSession, d: str) -> DataFrame:
+    return events.tumbling(table(spark, d, "events"), "1 hour").select(F.unix_seconds("start").alias("start"), "event_type", "n")
+
+
+@query("select s as start, event_type, count(*) as n from (select event_type, unnest([cast(floor(epoch(ts) / 1800) as bigint) * 1800, cast(floor(epoch(ts) / 1800) as bigint) * 1800 - 1800]) as s from events) t group by all")
+def event_sliding(spark: SparkSession, d: str) -> DataFrame:
+    return events.tumbling(table(spark, d, "events"), "1 hour", "30 minutes").select(F.unix_seconds("start").alias("start"), "event_type", "n")
+
+
+@query(
+    """select user_id, cast(floor(epoch(min(ts))) as bigint) as start, count(*) as n from (select *, sum(new) over (partition by user_id order by ts, event_id) as s from
+    (select *, case when epoch(ts) - epoch(lag(ts) over (partition by user_id order by ts, event_id)) < 86400 then 0 else 1 end as new from events) a) b group by user_id, s"""
+)
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return events.sessions(table(spark, d, "events"), "1 day").select("user_id", F.unix_seconds("start").alias("start"), "n")
+
+
+@query()
+def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
+    return events.incremental_counts(spark, f"{d}/events.parquet")
+
+
+@query()
+def plugin_udtf(spark: SparkSession, d: str) -> DataFrame:
+    return plugins.run(plugins.example_registry(), view(spark, d, "instructions"))
+
+
+@query()
+def approx_rule_cardinality(spark: SparkSession, d: str) -> DataFrame:
+    return view(spark, d, "findings").groupBy("rule_id").agg(F.approx_count_distinct("app_id").alias("apps"), F.percentile_approx("line_number", 0.5, 1000).alias("middle_line"))
