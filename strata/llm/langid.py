@@ -118,7 +118,10 @@ def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
 
 
 def phrase_counts(texts: list[np.ndarray], automata: list[np.ndarray]) -> np.ndarray:
-    """(texts, automata): phrases of each text's parse, a new one at least every SEGMENT symbols."""
+    """(texts, automata): phrases of each text's parse, a new one at least every SEGMENT symbols.
+
+    A letter that an automaton's sample lacks ends a phrase and goes with the next one.
+    """
     of = np.repeat(np.arange(len(texts)), [-(-len(t) // SEGMENT) for t in texts])
     whole = np.zeros((len(of), SEGMENT), np.uint8)
     size = np.zeros(len(of), np.int64)

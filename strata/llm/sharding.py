@@ -19,6 +19,8 @@ from strata.llm.common import cut, needs, text_of, word_count
 BUNDLES = 8192
 #: A group is placed on its own if it has over one part in so many of a shard's bytes, words or rows.
 NOTABLE = 64
+#: Pieces into which a group beyond a shard's capacity goes, for each shard that it would fill.
+PIECES = 32
 #: Rows that are numbered by one task at a time, and the most such runs in a shard.
 RUN_ROWS, MOST_RUNS = 50_000, 4096
 
@@ -66,24 +68,32 @@ def shard(documents: DataFrame, shards: int = 16) -> DataFrame:
     large = groups.where(notable).orderBy("digest").collect()
     small = groups.where(~notable).groupBy("bundle").agg(*(F.sum(c).alias(c) for c in ("bytes", "words", "rows"))).orderBy("bundle").collect()
 
-    units = [(None, g.bundle, 0, 1, g.bytes, g.words, g.rows) for g in small]
+    of: dict[str, int] = {}
     for g in large:
         load = max((g[c] / total[c] * shards for c in ("bytes", "words", "rows") if total[c]), default=0)
-        pieces = 1 if load <= 1 else min(int(g.rows), int(np.ceil(load * 8)))
-        units += [(g.digest, None, p, pieces, g.bytes / pieces, g.words / pieces, g.rows / pieces) for p in range(pieces)]
-    to = pack(np.array([u[4:] for u in units], float).reshape(-1, 3), shards) if units else []
-    where = [(d, p, n, int(s)) for (d, _, p, n, *_), s in zip(units, to) if d is not None]
+        of[g.digest] = 1 if load <= 1 else min(int(g.rows), int(np.ceil(load * PIECES)))
+    counts = F.broadcast(spark.createDataFrame(sorted(of.items()), "_own string, _of int"))
+    dealt = rows.join(counts, F.col("digest") == F.col("_own"), "left").withColumn(
+        "_p", F.when(F.col("_of") > 1, F.pmod(F.xxhash64("doc_id", "digest"), F.col("_of"))).otherwise(0).cast("int")
+    )
+    units = [(None, g.bundle, g.bytes, g.words, g.rows) for g in small]
+    units += [(g.digest, 0, g.bytes, g.words, g.rows) for g in large if of[g.digest] == 1]
+    if any(n > 1 for n in of.values()):  # at most 3 * shards * PIECES pieces, each weighed by the rows it got
+        size = {g.digest: (g.bytes / g.rows, g.words / g.rows, 1) for g in large}
+        for r in dealt.where("_of > 1").groupBy("digest", "_p").count().orderBy("digest", "_p").collect():
+            units.append((r.digest, r._p, *(x * r["count"] for x in size[r.digest])))
+    to = pack(np.array([u[2:] for u in units], float).reshape(-1, 3), shards) if units else []
     bundles = np.zeros(BUNDLES, int)
-    for u, s in zip(units, to):
-        if u[0] is None:
-            bundles[u[1]] = s
-    # both tables have a fixed bound: see BUNDLES and NOTABLE
-    alone = F.broadcast(spark.createDataFrame(where, "_digest string, _piece int, _pieces int, _shard int"))
-    counts = F.broadcast(spark.createDataFrame(sorted({(d, n) for d, _, n, _ in where}), "_own string, _of int"))
+    where = []
+    for (digest, n, *_), s in zip(units, to):
+        if digest is None:
+            bundles[n] = s
+        else:
+            where.append((digest, n, int(s)))
+    # both tables have a fixed bound: see BUNDLES, NOTABLE and PIECES
+    alone = F.broadcast(spark.createDataFrame(where, "_digest string, _piece int, _shard int"))
     placed = (
-        rows.join(counts, F.col("digest") == F.col("_own"), "left")
-        .withColumn("_p", F.when(F.col("_of") > 1, F.pmod(F.xxhash64("doc_id", "digest"), F.col("_of"))).otherwise(0).cast("int"))
-        .join(alone, (F.col("_own") == F.col("_digest")) & (F.col("_p") == F.col("_piece")), "left")
+        dealt.join(alone, (F.col("_own") == F.col("_digest")) & (F.col("_p") == F.col("_piece")), "left")
         .withColumn("shard", F.coalesce("_shard", F.element_at(F.lit([int(x) for x in bundles]), F.pmod(F.xxhash64("digest"), F.lit(BUNDLES)).cast("int") + 1)))
         .select("doc_id", "size", "text_crc32", "words", F.lit("bytes").alias("law"), "shard")
     )

@@ -56,17 +56,14 @@ def shingle_hashes(text: str, n: int) -> np.ndarray:
     return np.array([digest(joined[a : b - 1], 42) for a, b in zip(starts, ends[n - 1 :].tolist())], np.uint64)
 
 
-def simhash(hashes: np.ndarray, weights: np.ndarray | None = None) -> int:
-    """Signed 64 bits: a bit is 1 if it is set in over half of the hashes (of their weight); 0 for none."""
+def simhash(hashes: np.ndarray) -> int:
+    """Signed 64 bits: a bit is 1 if it is set in over half of the hashes; 0 for none."""
     if not len(hashes):
         return 0
     at = hashes.view(np.uint8).reshape(-1, 8) + _BYTE
-    if weights is None:
-        seen, total = np.bincount(at.ravel(), minlength=2048), len(hashes)
-    else:
-        seen, total = np.bincount(at.ravel(), weights=np.repeat(weights, 8), minlength=2048), weights.sum()
+    seen = np.bincount(at.ravel(), minlength=2048)
     votes = np.einsum("kb,bi->ki", seen.reshape(8, 256), _BITS)
-    return int(np.packbits(votes.ravel() * 2 > total, bitorder="little").view(np.int64)[0])
+    return int(np.packbits(votes.ravel() * 2 > len(hashes), bitorder="little").view(np.int64)[0])
 
 
 def fingerprint(text: Column, n: int = 3) -> Column:
@@ -80,18 +77,14 @@ def fingerprint(text: Column, n: int = 3) -> Column:
 
 
 def word_fingerprint(text: Column) -> Column:
-    """The SimHash (long) of a text's single words, each weighted by its length, repeats included.
+    """The SimHash (long) of a text's single words, repeats included; a null text counts as empty.
 
     An edited word moves it by fewer bits than a shingle SimHash, which loses n shingles for each edit.
     """
 
     @F.pandas_udf("long")
     def of_words(texts: pd.Series) -> pd.Series:
-        out = []
-        for t in texts:
-            words = (t or "").encode().lower().split()
-            out.append(simhash(np.array([xxhash.xxh64_intdigest(w, 42) for w in words], np.uint64), np.array([len(w) for w in words], float)))
-        return pd.Series(out, dtype="int64")
+        return pd.Series([simhash(shingle_hashes(t or "", 1)) for t in texts], dtype="int64")
 
     return of_words(text)
 
@@ -299,8 +292,8 @@ def near_duplicates(documents: DataFrame, n: int = 3, h: int = 2) -> DataFrame:
 
 # ---------------------------------------------------------------- keeping one document of each group
 
-#: Texts of a class that one task compares at a time.
-CHUNK = 4000
+#: Texts of a class, and shingles of these, that one task compares at a time.
+CHUNK, CHUNK_SHINGLES = 4000, 8_000_000
 
 
 def _shingle_set(n: int):
@@ -312,7 +305,7 @@ def _shingle_set(n: int):
 
 
 def _copies(similar: float):
-    """Rows (class, chunk, rep, digest, shingles) in this order -> digests of texts that are copies.
+    """Rows (class, chunk, later, rep, digest, shingles) in this order -> digests of texts that are copies.
 
     A text is one if its shingles resemble those of an earlier text that was kept. Kept texts are found by the
     least shingles of each, of which two that are similar enough share one, so few pairs are compared.
@@ -350,16 +343,47 @@ def _copies(similar: float):
     return of
 
 
-def without_near_copies(documents: DataFrame, h: int = 4, n: int = 5, similar: float = 0.8) -> DataFrame:
+def _dealt(live: DataFrame, turn: int) -> DataFrame:
+    """live with the parts that its class needs, so that a task holds no more than a chunk, and its part."""
+    sizes = live.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s"))
+    sizes = cut(sizes.select("class", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("s") / CHUNK_SHINGLES)).cast("int").alias("parts")))
+    return live.join(if_small(sizes), "class").withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "digest"), "parts").cast("int"))
+
+
+def _compared(dealt: DataFrame, similar: float) -> DataFrame:
+    """The digests of copies within each (class, chunk) of dealt, which has `later` for what is to go first."""
+    order = ("class", "chunk", "later", "rep", "digest")
+    rows = dealt.repartition("class", "chunk").sortWithinPartitions(*order).select(*order, "shingles")
+    return cut(rows.mapInArrow(_copies(similar), "digest string"))
+
+
+def _swept(live: DataFrame, similar: float) -> DataFrame:
+    """The digests of copies in classes of any size, whose texts hardly resemble each other.
+
+    Each chunk in turn is laid before the later chunks of its class, so no task holds more than two chunks.
+    """
+    dealt = cut(_dealt(live, -1).withColumn("later", F.lit(True)))
+    gone = None
+    for k in range(max(1, (dealt.agg(F.max("parts")).first()[0] or 0) - 1)):
+        rest = dealt if gone is None else dealt.join(gone, "digest", "left_anti")
+        lead = rest.where(F.col("chunk") == k).withColumns({"later": F.lit(False), "chunk": F.explode(F.sequence(F.lit(k + 1), F.greatest(F.lit(k + 1), F.col("parts") - 1)))})
+        after = rest if k == 0 else rest.where(F.col("chunk") > k)
+        now = _compared(after.unionByName(lead), similar)
+        gone = now if gone is None else gone.unionByName(now)
+    return gone
+
+
+def without_near_copies(documents: DataFrame, h: int = 6, n: int = 5, similar: float = 0.8) -> DataFrame:
     """documents, with all their columns, less copies: of each group of near copies one row stays.
 
-    Candidates are the classes that SimHash fingerprints of weighted words form within h bits. In a class, a
+    Candidates are the classes that SimHash fingerprints of single words form within h bits. In a class, a
     text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller doc_id
     that stays, so every row dropped is a near copy of one kept, and what the fingerprints alone brought
     together stays. Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
     Null texts count as empty; texts without words are copies of each other where their class meets. A null
-    doc_id stays only if no other row has its text. An empty table gives no rows. Classes of over CHUNK texts
-    are compared in chunks first; what stays of those is compared again, until a chunk holds it.
+    doc_id stays only if no other row has its text. An empty table gives no rows. Classes beyond a chunk are
+    compared in chunks first; what stays of those is dealt anew, until a chunk holds it or, where it hardly
+    shrinks, chunk by chunk against all later ones.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     base = cut(needs(documents, "doc_id", "text").select("doc_id", digest.alias("digest"), word_fingerprint(F.col("text")).alias("fp")))
@@ -372,21 +396,20 @@ def without_near_copies(documents: DataFrame, h: int = 4, n: int = 5, similar: f
     live = rows.join(if_small(some.withColumnRenamed("rep", "doc_id")), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
     live = cut(live.select("class", F.col("doc_id").alias("rep"), "digest", _shingle_set(n)("text").alias("shingles")))
 
-    gone, turn, chunk = None, 0, CHUNK
+    gone, turn = None, 0
     while True:
-        sizes = cut(live.groupBy("class").agg(F.count("*").alias("size")))
-        total, most = sizes.agg(F.sum("size"), F.max("size")).first()
-        parts = F.ceil(F.col("size") / chunk).cast("int")
-        dealt = live.join(if_small(sizes), "class").withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "digest"), parts).cast("int"))
-        dealt = dealt.repartition("class", "chunk").sortWithinPartitions("class", "chunk", "rep", "digest")
-        now = cut(dealt.select("class", "chunk", "digest", "shingles").mapInArrow(_copies(similar), "digest string"))
+        dealt = cut(_dealt(live, turn).withColumn("later", F.lit(True)))
+        now = _compared(dealt, similar)
         gone = now if gone is None else gone.unionByName(now)
-        if (most or 0) <= chunk:
+        large = dealt.where("parts > 1").select("class", "rep", "digest", "shingles")
+        live = cut(large.join(now, "digest", "left_anti"))
+        left = live.count()
+        if not left:
+            break
+        if left > 0.9 * large.count():
+            gone = gone.unionByName(_swept(live, similar))
             break
-        left = live.join(if_small(sizes.where(F.col("size") > chunk)), "class").drop("size").join(now, "digest", "left_anti")
-        live, turn = cut(left), turn + 1
-        if live.count() > 0.9 * total:  # they hardly resemble each other, so the index leaves little to compare
-            chunk = most
+        turn += 1
     staying = cut(texts.join(gone, "digest", "left_anti").select("rep", F.col("digest").alias("_digest"), (F.col("n") > F.col("ids")).alias("_again")))
     mark = fresh(documents, "_digest_of")
     out = documents.withColumn(mark, digest).join(
