@@ -22,7 +22,7 @@ from strata.llm.langid import remainder
 
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (2, 3, 4)
 #: Bounds of the sample that is learnt: rows of each label, characters of a row.
-LABEL_ROWS, ROW_CHARS = 1200, 12_000
+LABEL_ROWS, ROW_CHARS = 1200, 6000
 EPOCHS, RATE = 8, 0.5
 THRESHOLD = 0.7
 #: Words that a worker keeps before it starts afresh.
@@ -51,7 +51,7 @@ def features(text: str, kept: dict) -> tuple[np.ndarray, np.ndarray]:
     at = np.concatenate([np.concatenate([kept[w] for w in words]), pair_buckets(hashes).astype(np.int64)]) if words else np.empty(0, np.int64)
     n = np.bincount(at.astype(np.int64), minlength=BUCKETS) if len(at) else np.zeros(BUCKETS)
     bucket = np.flatnonzero(n)
-    return bucket, n[bucket] / max(1, len(at))
+    return bucket.astype(np.int32), (n[bucket] / max(1, len(at))).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> dict:

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, fresh, if_small, needs
+from strata.llm.common import cut, fresh, if_small, needs, text_of
 from strata.llm.graph import connected_components
 
 #: Fingerprints in an index node before it is split on further bits.
@@ -292,83 +292,80 @@ def near_duplicates(documents: DataFrame, n: int = 3, h: int = 2) -> DataFrame:
 
 # ---------------------------------------------------------------- keeping one document of each group
 
-#: Texts of a class, and shingles of these, that one task compares at a time.
-CHUNK, CHUNK_SHINGLES = 4000, 8_000_000
+#: Texts of a class, and bytes of these, that one task compares at a time.
+CHUNK, CHUNK_BYTES = 4000, 64 << 20
 
 
-def _shingle_set(n: int):
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t or "", n).view(np.int64)) for t in texts], dtype=object)
-
-    return of
-
-
-def _copies(similar: float):
-    """Rows (class, chunk, later, rep, digest, shingles) in this order -> digests of texts that are copies.
+def _copies(similar: float, n: int):
+    """Rows (class, chunk, later, rep, digest, text) in this order -> digests of texts that are copies.
 
     A text is one if its shingles resemble those of an earlier text that was kept. Kept texts are found by the
     least shingles of each, of which two that are similar enough share one, so few pairs are compared.
     """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, kept, index = None, [], {}
+        at, last, kept, index = None, None, [], {}
         for batch in batches:
             gone = []
-            shingles = batch["shingles"]
-            flat, ends = shingles.flatten().to_numpy(), (shingles.offsets.to_numpy() - shingles.offsets[0].as_py())
-            for k, (c, part, digest) in enumerate(zip(batch["class"].to_pylist(), batch["chunk"].to_pylist(), batch["digest"].to_pylist())):
+            for c, part, digest, text in zip(*(batch[x].to_pylist() for x in ("class", "chunk", "digest", "text"))):
                 if at != (c, part):
-                    at, kept, index = (c, part), [], {}
-                own = flat[ends[k] : ends[k + 1]]
-                n = len(own)
-                least = own[: n - math.ceil(similar * n - 1e-9) + 1].tolist() if n else [None]
+                    at, last, kept, index = (c, part), None, [], {}
+                if digest == last:  # a row equal to the one before
+                    continue
+                last = digest
+                own = np.unique(shingle_hashes(text, n))
+                size = len(own)
+                least = own[: size - math.ceil(similar * size - 1e-9) + 1].tolist() if size else [None]
                 alike = False
                 for i in {i for x in least for i in index.get(x, ())}:
                     other = kept[i]
-                    if n == 0:
+                    if size == 0:
                         alike = True
-                    elif similar * n <= len(other) <= n / similar:
+                    elif similar * size <= len(other) <= size / similar:
                         same = len(np.intersect1d(own, other, assume_unique=True))
-                        alike = same >= similar * (n + len(other) - same) - 1e-9
+                        alike = same >= similar * (size + len(other) - same) - 1e-9
                     if alike:
                         gone.append(digest)
                         break
                 if not alike:
                     for x in least:
                         index.setdefault(x, []).append(len(kept))
-                    kept.append(own.copy())
+                    kept.append(own)
             yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["digest"])
 
     return of
 
 
 def _dealt(live: DataFrame, turn: int) -> DataFrame:
-    """live with the parts that its class needs, so that a task holds no more than a chunk, and its part."""
-    sizes = live.groupBy("class").agg(F.count("*").alias("n"), F.sum(F.size("shingles")).alias("s"))
-    sizes = cut(sizes.select("class", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("s") / CHUNK_SHINGLES)).cast("int").alias("parts")))
-    return live.join(if_small(sizes), "class").withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "digest"), "parts").cast("int"))
+    """live (class, rep, digest, bytes) with the parts that its class needs, so that a task holds no more than
+    a chunk, the text's part, and `later`, which is false for what is to go before the others."""
+    sizes = live.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
+    sizes = cut(sizes.select("class", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("b") / CHUNK_BYTES, F.lit(1))).cast("int").alias("parts")))
+    dealt = live.join(if_small(sizes), "class").withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "digest"), "parts").cast("int"))
+    return cut(dealt.withColumn("later", F.lit(True)))
 
 
-def _compared(dealt: DataFrame, similar: float) -> DataFrame:
-    """The digests of copies within each (class, chunk) of dealt, which has `later` for what is to go first."""
+def _compared(rows: DataFrame, dealt: DataFrame, similar: float, n: int) -> DataFrame:
+    """The digests of copies within each (class, chunk) of dealt; rows (doc_id, digest, text) has the texts,
+    which are shuffled as they are, since they are smaller than their shingles' hashes."""
     order = ("class", "chunk", "later", "rep", "digest")
-    rows = dealt.repartition("class", "chunk").sortWithinPartitions(*order).select(*order, "shingles")
-    return cut(rows.mapInArrow(_copies(similar), "digest string"))
+    texts = rows.withColumnRenamed("doc_id", "rep").join(if_small(dealt.select(*order)), ["rep", "digest"]).select(*order, "text")
+    return cut(texts.repartition("class", "chunk").sortWithinPartitions(*order).mapInArrow(_copies(similar, n), "digest string"))
 
 
-def _swept(live: DataFrame, similar: float) -> DataFrame:
+def _swept(rows: DataFrame, live: DataFrame, similar: float, n: int) -> DataFrame:
     """The digests of copies in classes of any size, whose texts hardly resemble each other.
 
     Each chunk in turn is laid before the later chunks of its class, so no task holds more than two chunks.
     """
-    dealt = cut(_dealt(live, -1).withColumn("later", F.lit(True)))
+    dealt = _dealt(live, -1)
     gone = None
     for k in range(max(1, (dealt.agg(F.max("parts")).first()[0] or 0) - 1)):
         rest = dealt if gone is None else dealt.join(gone, "digest", "left_anti")
-        lead = rest.where(F.col("chunk") == k).withColumns({"later": F.lit(False), "chunk": F.explode(F.sequence(F.lit(k + 1), F.greatest(F.lit(k + 1), F.col("parts") - 1)))})
+        lead = rest.where((F.col("chunk") == k) & (F.col("parts") > k + 1))
+        lead = lead.withColumns({"later": F.lit(False), "chunk": F.explode(F.sequence(F.lit(k + 1), F.col("parts") - 1))})
         after = rest if k == 0 else rest.where(F.col("chunk") > k)
-        now = _compared(after.unionByName(lead), similar)
+        now = _compared(rows, cut(after.unionByName(lead)), similar, n)
         gone = now if gone is None else gone.unionByName(now)
     return gone
 
@@ -386,28 +383,25 @@ def without_near_copies(documents: DataFrame, h: int = 6, n: int = 5, similar: f
     shrinks, chunk by chunk against all later ones.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    base = cut(needs(documents, "doc_id", "text").select("doc_id", digest.alias("digest"), word_fingerprint(F.col("text")).alias("fp")))
-    texts = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")))
+    rows = needs(documents, "doc_id", "text").select("doc_id", digest.alias("digest"), text_of().alias("text"))
+    base = cut(rows.select("doc_id", "digest", F.octet_length("text").alias("bytes"), word_fingerprint(F.col("text")).alias("fp")))
+    texts = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max("bytes").alias("bytes"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")))
     named = near_classes(texts.select(F.col("rep").alias("doc_id"), "fp"), h).select(F.col("doc_id").alias("rep"), "fp", F.col("component_id").alias("class"))
-    named = cut(texts.where("rep is not null").join(named.distinct(), ["rep", "fp"]).select("rep", "digest", "class"))
+    named = cut(texts.where("rep is not null").join(named.distinct(), ["rep", "fp"]).select("rep", "digest", "bytes", "class"))
     several = named.groupBy("class").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    some = cut(named.join(several, "class", "left_semi"))
-    rows = needs(documents, "doc_id", "text").withColumn("digest", digest)
-    live = rows.join(if_small(some.withColumnRenamed("rep", "doc_id")), ["doc_id", "digest"]).dropDuplicates(["doc_id", "digest"])
-    live = cut(live.select("class", F.col("doc_id").alias("rep"), "digest", _shingle_set(n)("text").alias("shingles")))
-
+    live = cut(named.join(several, "class", "left_semi").select("class", "rep", "digest", "bytes"))
     gone, turn = None, 0
     while True:
-        dealt = cut(_dealt(live, turn).withColumn("later", F.lit(True)))
-        now = _compared(dealt, similar)
+        dealt = _dealt(live, turn)
+        now = _compared(rows, dealt, similar, n)
         gone = now if gone is None else gone.unionByName(now)
-        large = dealt.where("parts > 1").select("class", "rep", "digest", "shingles")
+        large = dealt.where("parts > 1").select("class", "rep", "digest", "bytes")
         live = cut(large.join(now, "digest", "left_anti"))
         left = live.count()
         if not left:
             break
         if left > 0.9 * large.count():
-            gone = gone.unionByName(_swept(live, similar))
+            gone = gone.unionByName(_swept(rows, live, similar, n))
             break
         turn += 1
     staying = cut(texts.join(gone, "digest", "left_anti").select("rep", F.col("digest").alias("_digest"), (F.col("n") > F.col("ids")).alias("_again")))
