@@ -11,9 +11,12 @@ import hashlib
 import heapq
 import json
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -147,6 +150,39 @@ def decode(ids: Column, path: str) -> Column:
     return text(ids)
 
 
+#: Characters of text that encoded() turns into ids at a time, but for a longer text.
+AT_ONCE = 2_000_000
+
+
+def encoded(documents: DataFrame, path: str) -> DataFrame:
+    """(doc_id, source, n_tokens, ids, decoded_equals) for every row of documents (doc_id, source, text).
+
+    ids is an array<int>; decoded_equals says whether decoding them gives the text back. A null text counts
+    as empty. Ids go to Arrow as they are, a few texts at a time, so a worker holds little beside its batch.
+    """
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = codec(path)
+        for batch in batches:
+            at = 0
+            while at < batch.num_rows:
+                ids, same, size, begin = [], [], 0, at
+                while at < batch.num_rows and (at == begin or size < AT_ONCE):
+                    text = batch["text"][at].as_py()
+                    ids.append(found.encode(text))
+                    same.append(found.decode(ids[-1]) == text)
+                    size += len(text)
+                    at += 1
+                n = np.array([len(x) // 4 for x in ids], np.int64)
+                flat = np.frombuffer(b"".join(ids), "<i4")
+                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, n.cumsum()], pa.int32()), pa.array(flat))
+                part = batch.slice(begin, at - begin)
+                yield pa.RecordBatch.from_arrays([part["doc_id"], part["source"], pa.array(n), lists, pa.array(same)], names=["doc_id", "source", "n_tokens", "ids", "decoded_equals"])
+
+    rows = needs(documents, "doc_id", "source", "text").select(F.col("doc_id").cast("long"), "source", text_of().alias("text"))
+    return rows.mapInArrow(of, "doc_id long, source string, n_tokens long, ids array<int>, decoded_equals boolean")
+
+
 def round_trip(documents: DataFrame, path: str) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) for every row of documents (doc_id, text).
 
@@ -161,7 +197,7 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
         for t in texts:
             ids = found.encode(t)
             rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(found.decode(ids).encode()).hexdigest()))
-        return pd.DataFrame(rows, columns=["n", "ids", "decoded"])
+        return pd.DataFrame(rows, columns=["n", "ids", "decoded"]).astype({"ids": object, "decoded": object})
 
     rows = needs(documents, "doc_id", "text").select("doc_id", text_of().alias("text"))
     return rows.withColumn("c", digests("text")).select(

@@ -77,14 +77,15 @@ def fingerprint(text: Column, n: int = 3) -> Column:
 
 
 def word_fingerprint(text: Column) -> Column:
-    """The SimHash (long) of a text's single words, repeats included; a null text counts as empty.
+    """The SimHash (long) of a text's distinct words; a null text counts as empty.
 
-    An edited word moves it by fewer bits than a shingle SimHash, which loses n shingles for each edit.
+    An edited word moves it by fewer bits than a shingle SimHash, which loses n shingles for each edit; as
+    repeats don't count, the words that all texts of a language share don't draw them together.
     """
 
     @F.pandas_udf("long")
     def of_words(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(shingle_hashes(t or "", 1)) for t in texts], dtype="int64")
+        return pd.Series([simhash(np.unique(shingle_hashes(t or "", 1))) for t in texts], dtype="int64")
 
     return of_words(text)
 
@@ -370,10 +371,10 @@ def _swept(rows: DataFrame, live: DataFrame, similar: float, n: int) -> DataFram
     return gone
 
 
-def without_near_copies(documents: DataFrame, h: int = 6, n: int = 5, similar: float = 0.8) -> DataFrame:
+def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: float = 0.8) -> DataFrame:
     """documents, with all their columns, less copies: of each group of near copies one row stays.
 
-    Candidates are the classes that SimHash fingerprints of single words form within h bits. In a class, a
+    Candidates are the classes that SimHash fingerprints of distinct words form within h bits. In a class, a
     text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller doc_id
     that stays, so every row dropped is a near copy of one kept, and what the fingerprints alone brought
     together stays. Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
