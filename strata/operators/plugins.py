@@ -29,10 +29,15 @@ class Registry:
         return f
 
 
+def _plain(f: Callable) -> Callable:
+    """f, with strings as objects whatever type pandas gives them."""
+    return lambda rows: f(rows).astype({"rule_id": object, "severity": object, "evidence": object})
+
+
 def run(registry: Registry, code: DataFrame) -> DataFrame:
     """The findings of every detector of the registry, duplicates kept."""
     found = [f(code) for f in registry.frames.values()]
-    found += [code.groupBy("method").applyInPandas(f, FINDING) for f in registry.methods.values()]
+    found += [code.groupBy("method").applyInPandas(_plain(f), FINDING) for f in registry.methods.values()]
     return reduce(DataFrame.unionByName, found) if found else code.sparkSession.createDataFrame([], FINDING)
 
 

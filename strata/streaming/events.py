@@ -27,8 +27,9 @@ def sessions(events: DataFrame, gap: str) -> DataFrame:
 
 
 def stream_of(spark: SparkSession, path: str, files: int = 1) -> DataFrame:
-    """A table's files as a stream, so many at a time, in the schema the table has."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(path)
+    """A table's files as a stream, so many at a time, in the schema the table has; the table may be one file,
+    which a stream reads as a pattern alone."""
+    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def deduplicated(events: DataFrame, keys: list[str], late: str) -> DataFrame:
