@@ -4,12 +4,13 @@ Words, their character n-grams and pairs of neighbouring words are hashed into b
 vector. A document is the mean of its features' vectors; a softmax over a linear layer gives the
 probability of each label. Vectors and layer are trained together by stochastic gradient descent in numpy
 on a bounded sample of labelled rows. As the mean and the layer are both linear, scoring folds them into one
-number a bucket, and a worker keeps each word's sum over its features.
+number a bucket. The features of many texts are hashed side by side, in a few numpy operations that cost the
+same whether words are new or common; the numbers are whole multiples of a fixed unit, so sums are exact.
 """
 
 from __future__ import annotations
 
-from zlib import crc32
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,37 +22,74 @@ from strata.llm.common import fresh, needs
 from strata.llm.langid import remainder
 
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (2, 3, 4)
+#: Bits of a bucket, the factors of the hashes, and the unit of the folded numbers.
+SHIFT, FACTOR, STEP, UNIT = np.uint64(64 - 16), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 2.0**-32
 #: Bounds of the sample that is learnt: rows of each label, characters of a row.
 LABEL_ROWS, ROW_CHARS = 1200, 6000
 EPOCHS, RATE = 8, 0.5
 THRESHOLD = 0.7
-#: Words that a worker keeps before it starts afresh.
-KEPT_WORDS = 400_000
-
-
-def word_buckets(word: str) -> list[int]:
-    """Buckets of a word and of the character n-grams of the word between marks for its ends."""
-    data = f"<{word}>"
-    grams = {data[i : i + n] for n in GRAMS for i in range(len(data) - n + 1)} - {data}
-    return [crc32(data.encode()) % BUCKETS, *(crc32(g.encode(), n) % BUCKETS for n, g in ((len(g), g) for g in sorted(grams)))]
-
-
-def pair_buckets(hashes: np.ndarray) -> np.ndarray:
-    """Buckets of neighbouring words: by the difference of their hashes, so that all repeats share one."""
-    return ((hashes[1:] ^ hashes[:-1]) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(48)) % np.uint64(BUCKETS)
-
-
-def features(text: str, kept: dict) -> tuple[np.ndarray, np.ndarray]:
+#: Characters that are hashed at a time, and words of a longer text: pairs are taken within runs of so many.
+AT_ONCE, RUN_WORDS = 400_000, 50_000
+
+
+def runs(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
+    """The words of texts, by groups of bounded size: which text each run is of, and its words between spaces."""
+    of, held, size = [], [], 0
+    for k, text in enumerate(texts):
+        words = text.split()
+        for i in range(0, len(words), RUN_WORDS):
+            of.append(k)
+            held.append(f" {' '.join(words[i : i + RUN_WORDS])} ")
+            size += len(held[-1])
+            if size > AT_ONCE:
+                yield of, held
+                of, held, size = [], [], 0
+    if of:
+        yield of, held
+
+
+def buckets(held: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(buckets, run of each) of the words, pairs of neighbouring words and character n-grams of runs of words.
+
+    A gram may begin and end with the space beside its word. Pairs are hashed by the difference of their words,
+    so that all repeats share one bucket.
+    """
+    code = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
+    run = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for t in held])
+    space = code == 32
+    mixed = (code.astype(np.uint64) + np.uint64(1)) * FACTOR
+    mixed ^= mixed >> np.uint64(29)
+    gram = mixed
+    for n in range(2, max(GRAMS) + 1):
+        gram = gram[:-1] * STEP + mixed[n - 1 :]
+        if n == 2:
+            crossed = space[:-1] & space[1:]  # from one run into the next
+        else:
+            crossed = space[1:-1] if n == 3 else crossed[:-1] | space[n - 2 : -1]
+        if n in GRAMS:
+            fits = ~crossed
+            yield ((gram * FACTOR) >> SHIFT)[fits].astype(np.int64), run[: 1 - n][fits]
+    first = np.flatnonzero(~space[1:] & space[:-1]) + 1
+    size = np.flatnonzero(space[1:] & ~space[:-1]) + 1 - first
+    letters = np.flatnonzero(~space)
+    place = np.arange(len(letters)) - np.repeat(np.cumsum(size) - size, size)
+    power = np.cumprod(np.full(int(size.max()), STEP))
+    word = np.add.reduceat(mixed[letters] * power[place], np.cumsum(size) - size)
+    word ^= word >> np.uint64(31)
+    yield ((word * FACTOR) >> SHIFT).astype(np.int64), run[first]
+    own = run[first]
+    near = own[1:] == own[:-1]
+    yield (((word[1:] ^ word[:-1]) * STEP) >> SHIFT)[near].astype(np.int64), own[1:][near]
+
+
+def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a text and each one's share of its features; empty for a text without words."""
-    words = text.split()
-    for w in words:
-        if w not in kept:
-            kept[w] = word_buckets(w)
-    hashes = np.array([crc32(w.encode()) for w in words], np.uint64)
-    at = np.concatenate([np.concatenate([kept[w] for w in words]), pair_buckets(hashes).astype(np.int64)]) if words else np.empty(0, np.int64)
-    n = np.bincount(at.astype(np.int64), minlength=BUCKETS) if len(at) else np.zeros(BUCKETS)
+    n = np.zeros(BUCKETS, np.int64)
+    for _, held in runs([text]):
+        for at, _ in buckets(held):
+            n += np.bincount(at, minlength=BUCKETS)
     bucket = np.flatnonzero(n)
-    return bucket.astype(np.int32), (n[bucket] / max(1, len(at))).astype(np.float32)
+    return bucket.astype(np.int32), (n[bucket] / max(1, n.sum())).astype(np.float32)
 
 
 def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> dict:
@@ -60,8 +98,7 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> d
     prior is label 1's share of all labelled rows, which the sample may not have.
     """
     rng = np.random.default_rng(seed)
-    kept: dict = {}
-    rows = [features(t, kept) for t in texts]
+    rows = [features(t) for t in texts]
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer = np.zeros((2, DIM))
     steps, done = EPOCHS * max(1, len(rows)), 0
@@ -107,44 +144,22 @@ def learn(documents: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2)
     return train(sample["text"].tolist(), sample["quality"].astype(int).tolist(), prior)
 
 
-class Scorer:
-    """Scores of texts by a model; keeps what each word adds."""
-
-    def __init__(self, model: dict):
-        self.weights, self.offset = model["weights"], model["offset"]
-        self.kept: dict[str, int] = {}
-        self.sums, self.sizes, self.hashes = np.zeros(1 << 12), np.zeros(1 << 12), np.zeros(1 << 12, np.uint64)
-
-    def meet(self, words: list[str]) -> np.ndarray:
-        """The places of the words in the arrays of sums, sizes and hashes."""
-        kept = self.kept
-        try:
-            return np.array([kept[w] for w in words], np.int64)
-        except KeyError:
-            pass
-        if len(kept) > KEPT_WORDS:
-            kept.clear()
-        for w in words:
-            if w not in kept:
-                if len(kept) == len(self.sums):
-                    self.sums, self.sizes, self.hashes = (np.concatenate([a, np.zeros_like(a)]) for a in (self.sums, self.sizes, self.hashes))
-                i = kept[w] = len(kept)
-                at = word_buckets(w)
-                self.sums[i], self.sizes[i], self.hashes[i] = self.weights[at].sum(), len(at), crc32(w.encode())
-        return np.array([kept[w] for w in words], np.int64)
-
-    def score(self, text: str | None) -> float:
-        words = (text or "").split()
-        mean = 0.0
-        if words:
-            at = self.meet(words)
-            pairs = pair_buckets(self.hashes[at]).astype(np.int64)
-            mean = (self.sums[at].sum() + self.weights[pairs].sum()) / (self.sizes[at].sum() + len(pairs))
-        return float(1 / (1 + np.exp(-np.clip(mean + self.offset, -50, 50))))
-
-
-#: The worker's scorer and the model that it is for.
-_scorer: list = [None, None]
+def scores(model: dict, texts: list[str | None]) -> np.ndarray:
+    """The probability of label 1 for each text; without words that of the labels' shares."""
+    weights = np.round(model["weights"] / UNIT).astype(np.int64)
+    total, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+    for of, held in runs([t or "" for t in texts]):
+        sums, sizes = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
+        for at, run in buckets(held):  # runs come in order, so each has one stretch
+            n = np.bincount(run, minlength=len(held))
+            sizes += n
+            some = np.flatnonzero(n)
+            if len(some):
+                sums[some] += np.add.reduceat(weights[at], (np.cumsum(n) - n)[some])
+        np.add.at(total, of, sums)
+        np.add.at(count, of, sizes)
+    mean = total * UNIT / np.maximum(count, 1)
+    return 1 / (1 + np.exp(-np.clip(mean + model["offset"], -50, 50)))
 
 
 def scored(text: Column, model: Broadcast) -> Column:
@@ -152,9 +167,7 @@ def scored(text: Column, model: Broadcast) -> Column:
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
-        if _scorer[0] is not model.value:
-            _scorer[:] = [model.value, Scorer(model.value)]
-        return pd.Series([_scorer[1].score(t) for t in texts], dtype=float)
+        return pd.Series(scores(model.value, [*texts]), dtype=float)
 
     return probability(text)
 
