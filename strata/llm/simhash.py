@@ -19,7 +19,8 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.llm.common import cut, fresh, if_small, needs, text_of
@@ -371,17 +372,129 @@ def _swept(rows: DataFrame, live: DataFrame, similar: float, n: int) -> DataFram
     return gone
 
 
+def _gone(rows: DataFrame, live: DataFrame, similar: float, n: int) -> DataFrame:
+    """The digests of copies within the classes of live (class, rep, digest, bytes).
+
+    Classes beyond a chunk are compared in chunks first; what stays of those is dealt anew, until a chunk
+    holds it or, where it hardly shrinks, chunk by chunk against all later ones.
+    """
+    gone, turn = None, 0
+    while True:
+        dealt = _dealt(live, turn)
+        now = _compared(rows, dealt, similar, n)
+        gone = now if gone is None else gone.unionByName(now)
+        large = dealt.where("parts > 1").select("class", "rep", "digest", "bytes")
+        live = cut(large.join(now, "digest", "left_anti"))
+        left = live.count()
+        if not left:
+            return gone
+        if left > 0.9 * large.count():
+            return gone.unionByName(_swept(rows, live, similar, n))
+        turn += 1
+
+
+#: Shingles in the prefixes of more texts than this come last in the order of shingles, so that few texts
+#: have them in their prefix; so many are held by the driver at most. Neither changes which pairs are found.
+HOT_TEXTS, MOST_HOT = 20, 200_000
+
+
+def _shared(size):
+    """Shingles that must be shared in the prefixes of texts, the smaller with so many: a number or a column."""
+    return F.floor(size / 20) + 1 if isinstance(size, Column) else size // 20 + 1
+
+
+def _prefixes(similar: float, n: int, hot: Broadcast | None):
+    """Rows (id, class, fresh, text) -> (x, id, class, fresh, size): the first shingles of each text, in the order
+    of their hashes with the hot ones last, of which two texts that resemble each other have at least so many
+    in common as _shared says of the smaller."""
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        late = np.empty(0, np.int64) if hot is None else hot.value
+        for batch in batches:
+            for begin in range(0, batch.num_rows, 500):
+                part = batch.slice(begin, 500)
+                firsts, sizes = [], []
+                for text in part["text"].to_pylist():
+                    own = np.unique(shingle_hashes(text, n)).view(np.int64)
+                    size = len(own)
+                    if len(late) and size:
+                        last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
+                        own = np.concatenate([own[~last], own[last]])
+                    firsts.append(own[: size - math.ceil(similar * size - 1e-9) + _shared(size)] if size else own)
+                    sizes.append(size)
+                if not firsts:
+                    continue
+                count = [len(f) for f in firsts]
+                named = [pa.array(np.repeat(part[c].to_numpy(zero_copy_only=False), count)) for c in ("id", "class", "fresh")]
+                size_of = pa.array(np.repeat(np.array(sizes, np.int32), count))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *named, size_of], names=["x", "id", "class", "fresh", "size"])
+
+    return of
+
+
+def resemblance(a: Column, b: Column, n: int) -> Column:
+    """Shared distinct n-word shingles of two texts over all of theirs; 1 if neither has any."""
+
+    @F.pandas_udf("double")
+    def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        out = []
+        for s, t in zip(left, right):
+            own, other = (np.unique(shingle_hashes(x or "", n)) for x in (s, t))
+            same = len(np.intersect1d(own, other, assume_unique=True))
+            every = len(own) + len(other) - same
+            out.append(same / every if every else 1.0)
+        return pd.Series(out, dtype=float)
+
+    return of(a, b)
+
+
+def similar_classes(rows: DataFrame, staying: DataFrame, similar: float, n: int) -> DataFrame:
+    """Links (u, v) of classes that have a pair of staying texts, one of them fresh, with a resemblance of
+    `similar` or more; none is missed.
+
+    staying (rep, digest, class, fresh) is kept in a checkpoint; rows (doc_id, digest, text) has each text once. Two
+    such texts share shingles in the prefixes of both (see _prefixes); pairs that share enough, and whose
+    sizes allow it, are compared by their texts. Where many texts share a shingle AQE splits the join.
+    """
+    spark = rows.sparkSession
+    context = spark.sparkContext
+    staying = cut(staying.withColumn("id", F.monotonically_increasing_id()))
+    few = if_small(staying)
+    texts = rows.withColumnRenamed("doc_id", "rep").join(few, ["rep", "digest"]).select("id", "class", "fresh", "text")
+    schema = "x long, id long, class long, fresh boolean, size int"
+    firsts = texts.mapInArrow(_prefixes(similar, n, None), schema)
+    counts = firsts.groupBy("x").count().where(F.col("count") > HOT_TEXTS).orderBy(F.desc("count"), "x").limit(MOST_HOT)
+    hot = np.sort(np.array([r.x for r in counts.collect()], np.int64))
+    firsts = texts.mapInArrow(_prefixes(similar, n, context.broadcast(hot)), schema)
+    firsts = cut(firsts.withColumn("n", F.count("*").over(Window.partitionBy("x"))).where("n > 1").drop("n"))
+    a, b = (firsts.select("x", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "class", "fresh", "size"))) for k in "ab")
+    met = a.join(b, "x").where(
+        (F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b")) & (F.col("fresh_a") | F.col("fresh_b"))
+        & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similar - 1e-9)
+    )
+    pairs = met.groupBy("id_a", "id_b", "class_a", "class_b").agg(F.count("*").alias("k"), F.min(_shared(F.least("size_a", "size_b"))).alias("least"))
+    pairs = cut(pairs.where("k >= least").drop("k", "least"))
+    ids = cut(pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct().join(staying, "id").select("id", "rep", "digest"))
+    held = rows.withColumnRenamed("doc_id", "rep").join(if_small(ids), ["rep", "digest"]).select("id", "text")
+    both = pairs.join(held.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(
+        held.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b"
+    )
+    alike = both.where(resemblance(F.col("text_a"), F.col("text_b"), n) >= similar - 1e-9)
+    return cut(alike.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).distinct())
+
+
 def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: float = 0.8) -> DataFrame:
     """documents, with all their columns, less copies: of each group of near copies one row stays.
 
-    Candidates are the classes that SimHash fingerprints of distinct words form within h bits. In a class, a
-    text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller doc_id
-    that stays, so every row dropped is a near copy of one kept, and what the fingerprints alone brought
-    together stays. Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
-    Null texts count as empty; texts without words are copies of each other where their class meets. A null
-    doc_id stays only if no other row has its text. An empty table gives no rows. Classes beyond a chunk are
-    compared in chunks first; what stays of those is dealt anew, until a chunk holds it or, where it hardly
-    shrinks, chunk by chunk against all later ones.
+    First candidates are the classes that SimHash fingerprints of distinct words form within h bits. In a
+    class, a text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller
+    doc_id that stays, so every row dropped is a near copy of one kept, and what the fingerprints alone brought
+    together stays. Then classes are united that still have a pair of staying texts with such a resemblance,
+    found by shared shingles whatever the fingerprints, and compared again, until there is none: no two texts
+    stay that resemble each other so.
+    Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
+    Null texts count as empty; texts without words are copies of each other. A null doc_id stays only if no
+    other row has its text, and isn't compared otherwise. An empty table gives no rows.
     """
     digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
     rows = needs(documents, "doc_id", "text").select("doc_id", digest.alias("digest"), text_of().alias("text"))
@@ -389,22 +502,26 @@ def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: f
     texts = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max("bytes").alias("bytes"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")))
     named = near_classes(texts.select(F.col("rep").alias("doc_id"), "fp"), h).select(F.col("doc_id").alias("rep"), "fp", F.col("component_id").alias("class"))
     named = cut(texts.where("rep is not null").join(named.distinct(), ["rep", "fp"]).select("rep", "digest", "bytes", "class"))
+    once = rows.dropDuplicates(["doc_id", "digest"]) if texts.where("n > ids").limit(1).count() else rows
     several = named.groupBy("class").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    live = cut(named.join(several, "class", "left_semi").select("class", "rep", "digest", "bytes"))
-    gone, turn = None, 0
+    gone = cut(_gone(rows, cut(named.join(several, "class", "left_semi").select("class", "rep", "digest", "bytes")), similar, n).distinct())
+    before = None
     while True:
-        dealt = _dealt(live, turn)
-        now = _compared(rows, dealt, similar, n)
-        gone = now if gone is None else gone.unionByName(now)
-        large = dealt.where("parts > 1").select("class", "rep", "digest", "bytes")
-        live = cut(large.join(now, "digest", "left_anti"))
-        left = live.count()
-        if not left:
+        stay = named.join(if_small(gone), "digest", "left_anti").select("rep", "digest", "class")
+        if before is None:
+            stay = cut(stay.withColumn("fresh", F.lit(True)))
+        else:
+            stay = cut(stay.join(before.select("digest", F.lit(False).alias("_old")), "digest", "left").select("rep", "digest", "class", F.col("_old").isNull().alias("fresh")))
+        if not stay.where("fresh").limit(1).count():
             break
-        if left > 0.9 * large.count():
-            gone = gone.unionByName(_swept(rows, live, similar, n))
+        links = similar_classes(once, stay, similar, n)
+        if not links.limit(1).count():
             break
-        turn += 1
+        united = cut(connected_components(links))
+        moved = cut(named.join(united, F.col("class") == F.col("node")).select("rep", "digest", "bytes", F.col("component").alias("class")))
+        named = cut(named.join(moved.select("digest"), "digest", "left_anti").unionByName(moved))
+        gone = cut(gone.join(moved.select("digest"), "digest", "left_anti").unionByName(_gone(rows, moved.select("class", "rep", "digest", "bytes"), similar, n)).distinct())
+        before = stay  # any two that stayed in the last round, too, have been compared
     staying = cut(texts.join(gone, "digest", "left_anti").select("rep", F.col("digest").alias("_digest"), (F.col("n") > F.col("ids")).alias("_again")))
     mark = fresh(documents, "_digest_of")
     out = documents.withColumn(mark, digest).join(

@@ -119,3 +119,33 @@ def test_without_near_copies_odd_rows(odd, none):
     assert kept.count(4) == 2 and len({2, 3, 5} & set(kept)) == 1
     assert simhash.without_near_copies(odd).columns == odd.columns
     assert simhash.without_near_copies(none).collect() == []
+
+
+def test_without_near_copies_of_an_inserted_block(spark, monkeypatch):
+    """Copies with another passage inserted, many beyond 8 bits, and a passage that many texts share: exactly
+    those go that resemble an earlier text that stays."""
+    monkeypatch.setattr(simhash, "HOT_TEXTS", 5)
+    rng = np.random.default_rng(5)
+    prose = lambda k: [f"w{x}" for x in rng.integers(0, 4000, k)]
+    common, texts = prose(60), []
+    for i in range(80):
+        words = prose(int(rng.integers(40, 400)))
+        texts += [words, words[: (at := len(words) // 3)] + prose(len(words) * (6 + i % 12) // 100) + words[at:], words[: -(len(words) // 8)]]
+        texts.append(prose(12) + common + prose(4))
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string").repartition(5)
+    rows = sorted(docs.collect(), key=lambda r: r.doc_id)
+    near = defaultdict(set)
+    for a, b in resemblances(rows):
+        near[max(a, b)].add(min(a, b))
+    stay = set()
+    for r in rows:
+        if not near[r.doc_id] & stay:
+            stay.add(r.doc_id)
+    fps = [plain_word_fingerprint(r.text) for r in rows]
+    assert sum((fps[a] ^ fps[b]).bit_count() > 8 for b in near for a in near[b]) > 10
+    assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == stay
+
+
+def plain_word_fingerprint(text):
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(text.split())]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
