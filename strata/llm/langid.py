@@ -22,10 +22,9 @@ from strata.llm.common import fresh, needs
 
 #: Bounds of the sample that is learnt: letters of a language and of all, rows of a language, letters of a row.
 LANGUAGE_CHARS, ALL_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 1_200_000, 64, 3000
-#: The commonest languages that are learnt.
-MOST_LANGUAGES = 200
-#: Symbols of an automaton (0: not a letter, the last: a letter not in any sample), and letters in a segment.
-SYMBOLS, SEGMENT = 64, 256
+#: Letters in a segment. Symbols are 0 for what isn't a letter, 1 and on for the alphabet of all samples, and
+#: the one after for a letter not in any sample.
+SEGMENT = 256
 UNKNOWN = "und"
 
 
@@ -37,24 +36,26 @@ def remainder(doc_id: Column, parts: int) -> Column:
 @lru_cache(maxsize=2)
 def _letters(alphabet: str) -> np.ndarray:
     """Code point -> symbol, capitals as small letters."""
-    table = np.zeros(0x110000, np.uint8)
+    table = np.zeros(0x110000, np.int32)
     known = {c: i for i, c in enumerate(alphabet, 1)}
     for c in range(0x110000):
         if unicodedata.category(x := chr(c))[0] in "LM":
-            table[c] = known.get(x.lower(), SYMBOLS - 1)
+            table[c] = known.get(x.lower(), len(alphabet) + 1)
     return table
 
 
 def symbols(text: str, alphabet: str) -> np.ndarray:
     """The text's letters as symbols, other characters as one 0 between them."""
     got = _letters(alphabet)[np.frombuffer(text.encode("utf-32-le"), np.uint32)]
-    return got[(got != 0) | (np.r_[np.uint8(0), got[:-1]] != 0)] if len(got) else got
+    return got[(got != 0) | (np.r_[np.int32(0), got[:-1]] != 0)] if len(got) else got
 
 
-def suffix_automaton(sample: np.ndarray) -> np.ndarray:
-    """(states, SYMBOLS) int32: the next state, or the complement of where a new phrase begins.
+def suffix_automaton(sample: np.ndarray) -> tuple[np.ndarray, ...]:
+    """(base, owner, target, first) int32: from a state s a symbol c leads to target[base[s] + c] if the owner
+    there is s; else a new phrase begins, at first[c] (0 for symbols beyond it).
 
-    The states are those of the smallest automaton of all the sample's substrings; 0 is the empty one.
+    The states are those of the smallest automaton of all the sample's substrings; 0 is the empty one. Their
+    edges share one array, each state's moved to where it fits, so its size doesn't depend on the alphabet.
     """
     step: list[dict[int, int]] = [{}]
     link, size, last = [-1], [0], 0
@@ -81,13 +82,39 @@ def suffix_automaton(sample: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = twin
         last = new
-    first = np.zeros(SYMBOLS, np.int32)
-    for c, s in step[0].items():
-        first[c] = s
-    table = np.repeat(~first[None, :], len(step), axis=0)
+    width = int(sample.max()) + 1 if len(sample) else 1
+    first = np.zeros(width, np.int32)
+    for c, i in step[0].items():
+        first[c] = i
+    base = np.zeros(len(step), np.int64)
+    edges = sum(map(len, step))
+    free = np.ones(2 * edges + len(step) + 4 * width + 64, bool)
+    free[:width] = False  # so that no base is below 0
+    low = width
+    for i in sorted((i for i, nexts in enumerate(step) if len(nexts) > 1), key=lambda i: -len(step[i])):
+        own = np.array([*step[i]])
+        own.sort()
+        tried, at = 0, low
+        while True:
+            if at + width + 1 > len(free):
+                free = np.r_[free, np.ones(len(free), bool)]
+            if free[at] and free[at - own[0] + own].all():
+                break
+            at, tried = at + 1, tried + 1
+        base[i] = at - own[0]
+        free[base[i] + own] = False
+        if tried > 32:  # the space below is nearly full
+            low = at - 16
+    single = [i for i, nexts in enumerate(step) if len(nexts) == 1]
+    if single:
+        own = np.array([next(iter(step[i])) for i in single])
+        base[single] = np.flatnonzero(np.r_[free, np.ones(len(single), bool)])[: len(single)] - own
+    end = int(base.max()) + width + 1
+    owner, target = np.full(end, -1, np.int32), np.zeros(end, np.int32)
     for i, nexts in enumerate(step):
-        table[i, [*nexts]] = [*nexts.values()]
-    return table
+        for c, to in nexts.items():
+            owner[base[i] + c], target[base[i] + c] = i, to
+    return base.astype(np.int32), owner, target, first
 
 
 def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
@@ -96,34 +123,36 @@ def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
     The sample is bounded: see LANGUAGE_CHARS and the constants by it; rows are chosen by a hash.
     """
     rows = needs(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), parts) != out))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()
+    counts = rows.groupBy("lang").count().collect()
     if not counts:
         return {"languages": [], "alphabet": "", "automata": [], "bits": []}
-    share = F.create_map(*(x for r in counts for x in (F.lit(r["lang"]), F.lit(min(1.0, 2.0 * SAMPLE_ROWS / r["count"])))))
+    most = max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
+    many = max(8, min(SAMPLE_ROWS, SAMPLE_ROWS * most * 4 // LANGUAGE_CHARS))  # rows and letters of them by what is shared out
+    row_chars = min(ROW_CHARS, 8 * most)
+    share = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * many / r["count"])) for r in counts], "_lang string, _share double")
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    sample = (
-        rows.withColumn("_h", drawn)
-        .where(F.col("_h") < F.coalesce(F.try_element_at(share, F.col("lang")), F.lit(0.0)))
-        .select("lang", F.substring("text", 1, ROW_CHARS).alias("text"), "_h")
-        .toPandas()
-        .sort_values(["_h", "text"])
-    )
+    some = rows.select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, row_chars).alias("text"), drawn.alias("_h"))
+    sample = some.join(F.broadcast(share), (F.col("lang") == F.col("_lang")) & (F.col("_h") < F.col("_share"))).select("lang", "text", "_h").toPandas()
+    if missed := sorted({r["lang"] for r in counts} - {*sample["lang"]}):  # none of its rows was drawn
+        of = F.broadcast(documents.sparkSession.createDataFrame([(x,) for x in missed], "lang string"))
+        least = some.join(of, "lang").groupBy("lang").agg(F.min(F.struct("_h", "text")).alias("r")).select("lang", "r.text", "r._h").toPandas()
+        sample = pd.concat([sample, least], ignore_index=True)
+    sample = sample.sort_values(["_h", "text"])
     languages = sorted(sample["lang"].unique())
-    most = min(LANGUAGE_CHARS, ALL_CHARS // max(1, len(languages)))
     texts = {lang: "\n".join(sample["text"][sample["lang"] == lang].tolist())[: 2 * most] for lang in languages}
     seen = Counter(c for t in texts.values() for c in t.lower() if unicodedata.category(c)[0] in "LM")
-    alphabet = "".join(sorted(c for c, _ in seen.most_common(SYMBOLS - 2)))
+    alphabet = "".join(sorted(seen))
     samples = [symbols(texts[lang], alphabet)[:most] for lang in languages]
     return {"languages": languages, "alphabet": alphabet, "automata": [suffix_automaton(s) for s in samples], "bits": [float(np.log2(max(2, len(s)))) for s in samples]}
 
 
-def phrase_counts(texts: list[np.ndarray], automata: list[np.ndarray]) -> np.ndarray:
+def phrase_counts(texts: list[np.ndarray], automata: list[tuple[np.ndarray, ...]]) -> np.ndarray:
     """(texts, automata): phrases of each text's parse, a new one at least every SEGMENT symbols.
 
     A letter that an automaton's sample lacks ends a phrase and goes with the next one.
     """
     of = np.repeat(np.arange(len(texts)), [-(-len(t) // SEGMENT) for t in texts])
-    whole = np.zeros((len(of), SEGMENT), np.uint8)
+    whole = np.zeros((len(of), SEGMENT), np.int32)
     size = np.zeros(len(of), np.int64)
     at = 0
     for t in texts:
@@ -137,16 +166,20 @@ def phrase_counts(texts: list[np.ndarray], automata: list[np.ndarray]) -> np.nda
     steps = np.ascontiguousarray(whole[order].T)
     active = np.searchsorted(-size[order], -np.arange(SEGMENT), side="left")
     out = np.zeros((len(texts), len(automata)))
-    for k, table in enumerate(automata):
-        flat = table.ravel()
+    codes = int(whole.max()) + 1 if whole.size else 1
+    for k, (base, owner, target, first) in enumerate(automata):
+        width = len(first)
+        known = steps if codes <= width else np.where(steps < width, steps, width)
+        begin = np.r_[first, np.int32(0)]
         state, broken = np.zeros(len(of), np.int32), np.ones(len(of), np.int32)
         for i, n in enumerate(active.tolist()):
             if not n:
                 break
-            got = flat.take(state[:n] * SYMBOLS + steps[i, :n])
-            sign = got >> 31
-            broken[:n] -= sign
-            state[:n] = got ^ sign
+            c, s = known[i, :n], state[:n]
+            at = base.take(s) + c
+            on = owner.take(at) == s
+            broken[:n] += ~on
+            state[:n] = np.where(on, target.take(at), begin.take(c))
         out[:, k] = np.bincount(of[order], weights=broken, minlength=len(texts)) if len(of) else 0
     return out
 
@@ -155,7 +188,7 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
     """The language with the fewest bits a letter, and how much fewer than the next one's, as a share of those."""
     names, n = model["languages"], len(texts)
     lang, score = [UNKNOWN] * n, [0.0] * n
-    coded = [symbols(t, model["alphabet"]) if t else np.empty(0, np.uint8) for t in texts]
+    coded = [symbols(t, model["alphabet"]) if t else np.empty(0, np.int32) for t in texts]
     known = [i for i in range(n) if names and coded[i].any() and any(map(str.isalpha, texts[i]))]
     at = 0
     while at < len(known):

@@ -58,6 +58,26 @@ def test_languages_of_odd_rows(odd, odd_rows, none):
     assert langid.known_languages(none).collect() == []
 
 
+def test_languages_of_many_letters(spark):
+    """Languages that share a script apart from the commonest one, over 62 letters together, and rare ones."""
+    rng = np.random.default_rng(4)
+    scripts = {"la": "abcdefghijklmnopqrstuvwxyz", "lb": "abcdefghijklmnopqrstuvwxyzäöü"} | {
+        f"{x}{k}": "".join(map(chr, range(at, at + n))) for x, at, n in (("ru", 0x430, 32), ("el", 0x3B1, 17), ("ar", 0x628, 19), ("zh", 0x4E00, 300)) for k in "12"
+    }
+    rows = []
+    for lang, letters in scripts.items():
+        words = ["".join(rng.choice([*letters], rng.integers(2, 8))) for _ in range(150)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 80)), lang) for i in range(90 if lang[0] == "l" else 30)]
+    got = {r.doc_id: r for r in langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    held = [(got[i].lang_pred, lang) for i, _, lang in rows if got[i].held_out]
+    assert np.mean([a == b for a, b in held]) > 0.95
+
+
+def test_every_language_is_learnt(spark):
+    rows = [(i, f"text of {i % 230} and more", f"l{i % 230:03}") for i in range(230 * 6)]
+    assert len(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["languages"]) == 230
+
+
 def auc(scores, labels):
     one, zero = scores[labels == 1], scores[labels == 0]
     return np.mean([(one > z).mean() + 0.5 * (one == z).mean() for z in zero])
