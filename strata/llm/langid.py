@@ -26,6 +26,9 @@ LANGUAGE_CHARS, ALL_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 1_200_000, 64, 3000
 #: the one after for a letter not in any sample.
 SEGMENT = 256
 UNKNOWN = "und"
+#: A text is in none of the languages if it needs so many times the bits a letter that SHARE of the held-back
+#: texts of its language need, beyond FREE phrases. Held-back texts have so many letters, and are so many, at least.
+TIMES, SHARE, FREE, LEAST_LETTERS, LEAST_TEXTS = 1.5, 0.98, 2, 32, 5
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
@@ -125,7 +128,7 @@ def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
     rows = needs(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), parts) != out))
     counts = rows.groupBy("lang").count().collect()
     if not counts:
-        return {"languages": [], "alphabet": "", "automata": [], "bits": []}
+        return {"languages": [], "alphabet": "", "automata": [], "bits": [], "limits": []}
     most = max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
     many = max(8, min(SAMPLE_ROWS, SAMPLE_ROWS * most * 4 // LANGUAGE_CHARS))  # rows and letters of them by what is shared out
     row_chars = min(ROW_CHARS, 8 * most)
@@ -139,11 +142,36 @@ def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
         sample = pd.concat([sample, least], ignore_index=True)
     sample = sample.sort_values(["_h", "text"])
     languages = sorted(sample["lang"].unique())
-    texts = {lang: "\n".join(sample["text"][sample["lang"] == lang].tolist())[: 2 * most] for lang in languages}
+    texts, back = {}, {}
+    for lang in languages:
+        own = list(dict.fromkeys(sample["text"][sample["lang"] == lang]))
+        back[lang] = own[3::4]
+        texts[lang] = "\n".join(x for i, x in enumerate(own) if i % 4 != 3)[: 2 * most]
     seen = Counter(c for t in texts.values() for c in t.lower() if unicodedata.category(c)[0] in "LM")
     alphabet = "".join(sorted(seen))
     samples = [symbols(texts[lang], alphabet)[:most] for lang in languages]
-    return {"languages": languages, "alphabet": alphabet, "automata": [suffix_automaton(s) for s in samples], "bits": [float(np.log2(max(2, len(s)))) for s in samples]}
+    automata = [suffix_automaton(s) for s in samples]
+    bits = [float(np.log2(max(2, len(s)))) for s in samples]
+    limits = _limits([back[lang] for lang in languages], alphabet, automata, bits)
+    return {"languages": languages, "alphabet": alphabet, "automata": automata, "bits": bits, "limits": limits}
+
+
+def _limits(back: list[list[str]], alphabet: str, automata: list, bits: list[float]) -> list[float]:
+    """The most bits a letter of a text in each language, from texts of it that its automaton hasn't seen.
+
+    A language with too few of these has the largest limit of the others, or none where no language has enough.
+    """
+    out: list[float | None] = []
+    for texts, automaton, b in zip(back, automata, bits):
+        coded = [c for c in (symbols(t, alphabet) for t in texts) if len(c) >= LEAST_LETTERS]
+        if len(coded) < LEAST_TEXTS:
+            out.append(None)
+            continue
+        phrases = phrase_counts(coded, [automaton])[:, 0]
+        rate = b * np.maximum(phrases - FREE, 1) / [len(c) for c in coded]
+        out.append(TIMES * float(np.quantile(rate, SHARE)))
+    most = max((x for x in out if x is not None), default=float("inf"))
+    return [most if x is None else x for x in out]
 
 
 def phrase_counts(texts: list[np.ndarray], automata: list[tuple[np.ndarray, ...]]) -> np.ndarray:
@@ -184,10 +212,11 @@ def phrase_counts(texts: list[np.ndarray], automata: list[tuple[np.ndarray, ...]
     return out
 
 
-def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float]]:
-    """The language with the fewest bits a letter, and how much fewer than the next one's, as a share of those."""
+def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+    """The language with the fewest bits a letter, how much fewer than the next one's, as a share of those, and
+    whether the text is within that language's limit."""
     names, n = model["languages"], len(texts)
-    lang, score = [UNKNOWN] * n, [0.0] * n
+    lang, score, fits = [UNKNOWN] * n, [0.0] * n, [False] * n
     coded = [symbols(t, model["alphabet"]) if t else np.empty(0, np.int32) for t in texts]
     known = [i for i in range(n) if names and coded[i].any() and any(map(str.isalpha, texts[i]))]
     at = 0
@@ -203,17 +232,18 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
         for i, b, row in zip(part, best.tolist(), least):
             lang[i] = names[b]
             score[i] = float(1 - row[0] / row[1]) if len(row) > 1 else 1.0
+            fits[i] = bool(row[0] - FREE * model["bits"][b] <= model["limits"][b] * len(coded[i]))
         at = end
-    return lang, score
+    return lang, score, fits
 
 
 def identified(text: Column, model: Broadcast) -> Column:
-    """struct<lang_pred, score> for each text, by a broadcast model."""
+    """struct<lang_pred, score, fits> for each text, by a broadcast model."""
 
-    @F.pandas_udf("lang_pred string, score double")
+    @F.pandas_udf("lang_pred string, score double, fits boolean")
     def guess(texts: pd.Series) -> pd.DataFrame:
-        lang, score = predict(model.value, [*texts])
-        return pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float)})
+        lang, score, fits = predict(model.value, [*texts])
+        return pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float), "fits": pd.Series(fits, dtype=bool)})
 
     return guess(text)
 
@@ -232,8 +262,13 @@ def languages(documents: DataFrame) -> DataFrame:
 
 
 def known_languages(documents: DataFrame, least: float = 0.0) -> DataFrame:
-    """documents without those in no language that could be learnt: `und`, or a score below least."""
+    """documents without those in no language that could be learnt.
+
+    These are `und`; those that fit two languages alike (score 0) or have a score below least; and those beyond
+    what texts of their language need: gibberish, or a language that isn't learnt (see TIMES).
+    """
     model = documents.sparkSession.sparkContext.broadcast(learn(documents))
     p = fresh(documents, "_language")
     found = documents.withColumn(p, identified(F.col("text"), model))
-    return found.where((F.col(f"{p}.lang_pred") != UNKNOWN) & (F.col(f"{p}.score") >= least)).drop(p)
+    told = (F.col(f"{p}.lang_pred") != UNKNOWN) & (F.col(f"{p}.score") > 0) & (F.col(f"{p}.score") >= least) & F.col(f"{p}.fits")
+    return found.where(told).drop(p)

@@ -78,6 +78,20 @@ def test_every_language_is_learnt(spark):
     assert len(langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))["languages"]) == 230
 
 
+def test_texts_in_no_learnt_language_go(spark, documents):
+    """Gibberish and a language without labelled texts go; nearly all documents in the learnt ones stay."""
+    rng = np.random.default_rng(6)
+    known = documents.where("lang != 'fr'").select("doc_id", "text", "lang")
+    other = documents.where("lang = 'fr' and length(text) > 200").select("doc_id", "text", F.lit(None).cast("string").alias("lang"))
+    noise = [(-1 - i, "".join(rng.choice([*"abcdefghijklmnopqrstuvwxyz   "], 300)), None) for i in range(40)]
+    kept = langid.known_languages(known.unionByName(other).unionByName(spark.createDataFrame(noise, known.schema)))
+    ids = {r.doc_id for r in kept.select("doc_id").collect()}
+    assert not any(r[0] in ids for r in noise)
+    strange, all_known = [r.doc_id for r in other.collect()], [r.doc_id for r in known.collect()]
+    assert np.mean([i in ids for i in strange]) < 0.1
+    assert 0.98 <= np.mean([i in ids for i in all_known])
+
+
 def auc(scores, labels):
     one, zero = scores[labels == 1], scores[labels == 0]
     return np.mean([(one > z).mean() + 0.5 * (one == z).mean() for z in zero])
