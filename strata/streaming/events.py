@@ -57,14 +57,26 @@ def incremental(stream: DataFrame, analyse: Callable[[DataFrame], DataFrame], ke
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def batch_counts(stream: DataFrame, keys: list[str], target: str, checkpoint: str):
+    """A query that appends each batch's counts by keys to the table at target; they are summed on reading.
+
+    A batch that is run again writes to its own folder again, so nothing is counted twice.
+    """
+
+    def add(batch: DataFrame, number: int) -> None:
+        batch.groupBy(*keys).agg(F.count("*").alias("n")).write.mode("overwrite").parquet(f"{target}/batch={number}")
+
+    return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def incremental_counts(spark: SparkSession, path: str) -> DataFrame:
-    """(user_id, event_type, n): pairs as the stream first met them, with their number in that batch."""
+    """(user_id, event_type, n): pairs with their number in all batches of the stream."""
     import uuid
 
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         keep(spark.range(1))
     home = f"{context.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
-    count = lambda rows: rows.groupBy("user_id", "event_type").agg(F.count("*").alias("n"))
-    incremental(stream_of(spark, path), count, ["user_id", "event_type"], f"{home}/found", f"{home}/state").awaitTermination()
-    return spark.read.parquet(f"{home}/found").select("user_id", "event_type", "n")
+    keys = ["user_id", "event_type"]
+    batch_counts(stream_of(spark, path), keys, f"{home}/found", f"{home}/state").awaitTermination()
+    return spark.read.parquet(f"{home}/found").groupBy(*keys).agg(F.sum("n").alias("n"))

@@ -44,6 +44,21 @@ def test_without_sql(spark, small, name):
     assert QUERIES[name](spark, small).count() > 0
 
 
+def test_incremental_counts_of_several_files(spark, tmp_path):
+    """Pairs that come in many files of the table are counted in all of them."""
+    from strata.streaming import events
+
+    rows = [(u, kind) for u in range(7) for kind in "ab" for _ in range(3 + u)]
+    table = spark.createDataFrame(rows, "user_id long, event_type string")
+    path = f"{tmp_path}/events.parquet"
+    table.repartition(4).write.parquet(path)
+    assert {(r.user_id, r.event_type, r.n) for r in events.incremental_counts(spark, path).collect()} == set((*k, n) for k, n in Counter(rows).items())
+    found = f"{tmp_path}/found"
+    pairs = lambda rows: rows.select("user_id", "event_type").distinct()
+    events.incremental(events.stream_of(spark, path), pairs, ["user_id", "event_type"], found, f"{tmp_path}/state").awaitTermination()
+    assert spark.read.parquet(found).count() == len(set(rows))
+
+
 def test_entry_file_without_the_training_data_operators(monkeypatch):
     import importlib
     import sys
