@@ -29,6 +29,9 @@ UNKNOWN = "und"
 #: A text is in none of the languages if it needs so many times the bits a letter that SHARE of the held-back
 #: texts of its language need, beyond FREE phrases. Held-back texts have so many letters, and are so many, at least.
 TIMES, SHARE, FREE, LEAST_LETTERS, LEAST_TEXTS = 1.5, 0.98, 2, 32, 5
+#: A text can't be told if its score is under so much of the score that SHARE of the held-back texts reach, of
+#: which so many are looked at.
+PART, MARGIN_TEXTS = 0.5, 200
 
 
 def remainder(doc_id: Column, parts: int) -> Column:
@@ -128,7 +131,7 @@ def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
     rows = needs(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), parts) != out))
     counts = rows.groupBy("lang").count().collect()
     if not counts:
-        return {"languages": [], "alphabet": "", "automata": [], "bits": [], "limits": []}
+        return {"languages": [], "alphabet": "", "automata": [], "bits": [], "limits": [], "margin": 0.0}
     most = max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
     many = max(8, min(SAMPLE_ROWS, SAMPLE_ROWS * most * 4 // LANGUAGE_CHARS))  # rows and letters of them by what is shared out
     row_chars = min(ROW_CHARS, 8 * most)
@@ -153,7 +156,17 @@ def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
     automata = [suffix_automaton(s) for s in samples]
     bits = [float(np.log2(max(2, len(s)))) for s in samples]
     limits = _limits([back[lang] for lang in languages], alphabet, automata, bits)
-    return {"languages": languages, "alphabet": alphabet, "automata": automata, "bits": bits, "limits": limits}
+    model = {"languages": languages, "alphabet": alphabet, "automata": automata, "bits": bits, "limits": limits, "margin": 0.0}
+    return model | {"margin": _margin(model, [back[lang] for lang in languages])}
+
+
+def _margin(model: dict, back: list[list[str]]) -> float:
+    """The least score of a text whose language is told, from texts that the automata haven't seen."""
+    dealt = [(lang, texts[i]) for i in range(max(map(len, back))) for lang, texts in zip(model["languages"], back) if i < len(texts)]
+    dealt = [(lang, t) for lang, t in dealt if len(symbols(t, model["alphabet"])) >= LEAST_LETTERS][:MARGIN_TEXTS]
+    lang, score, _ = predict(model, [t for _, t in dealt])
+    right = [x for x, got, (want, _) in zip(score, lang, dealt) if got == want]
+    return PART * float(np.quantile(right, 1 - SHARE)) if len(right) >= LEAST_TEXTS else 0.0
 
 
 def _limits(back: list[list[str]], alphabet: str, automata: list, bits: list[float]) -> list[float]:
@@ -214,7 +227,7 @@ def phrase_counts(texts: list[np.ndarray], automata: list[tuple[np.ndarray, ...]
 
 def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
     """The language with the fewest bits a letter, how much fewer than the next one's, as a share of those, and
-    whether the text is within that language's limit."""
+    whether the text is within that language's limit and far enough from the next one."""
     names, n = model["languages"], len(texts)
     lang, score, fits = [UNKNOWN] * n, [0.0] * n, [False] * n
     coded = [symbols(t, model["alphabet"]) if t else np.empty(0, np.int32) for t in texts]
@@ -232,7 +245,7 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
         for i, b, row in zip(part, best.tolist(), least):
             lang[i] = names[b]
             score[i] = float(1 - row[0] / row[1]) if len(row) > 1 else 1.0
-            fits[i] = bool(row[0] - FREE * model["bits"][b] <= model["limits"][b] * len(coded[i]))
+            fits[i] = score[i] >= model["margin"] and bool(row[0] - FREE * model["bits"][b] <= model["limits"][b] * len(coded[i]))
         at = end
     return lang, score, fits
 
@@ -264,8 +277,8 @@ def languages(documents: DataFrame) -> DataFrame:
 def known_languages(documents: DataFrame, least: float = 0.0) -> DataFrame:
     """documents without those in no language that could be learnt.
 
-    These are `und`; those that fit two languages alike (score 0) or have a score below least; and those beyond
-    what texts of their language need: gibberish, or a language that isn't learnt (see TIMES).
+    These are `und`; those that fit two languages nearly alike (see PART) or have a score below least; and those
+    beyond what texts of their language need: gibberish, or a language that isn't learnt (see TIMES).
     """
     model = documents.sparkSession.sparkContext.broadcast(learn(documents))
     p = fresh(documents, "_language")
