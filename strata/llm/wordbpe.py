@@ -9,10 +9,12 @@ counts of a text's prefixes follow by adding up words, so cutting a text to a bu
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import accumulate
+from itertools import accumulate, islice
 
 import pandas as pd
 import regex
@@ -27,8 +29,71 @@ KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
 
 #: Fixed values of the tokenizer's file format: the pattern of its words, and Unicode white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
-WORDS = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{SPACE}\p{{L}}\p{{N}}]+")
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
 WORD_END = "</w>"
+#: Letters and numbers of Unicode 16, as the library has them, beyond those of Unicode 15.1.
+LETTERS_16 = (
+    r"\u1c89\u1c8a\ua7cb-\ua7cd\ua7da-\ua7dc\U000105c0-\U000105f3\U00010d4a-\U00010d65\U00010d6f-\U00010d85\U00010ec2-\U00010ec4"
+    r"\U00011380-\U00011389\U0001138b\U0001138e\U00011390-\U000113b5\U000113b7\U000113d1\U000113d3\U00011bc0-\U00011be0"
+    r"\U00013460-\U000143fa\U00016100-\U0001611d\U00016d40-\U00016d6c\U00018cff\U0001e5d0-\U0001e5ed\U0001e5f0"
+)
+NUMBERS_16 = r"\U00010d40-\U00010d49\U000116d0-\U000116e3\U00011bf0-\U00011bf9\U00016130-\U00016139\U00016d70-\U00016d79\U0001ccf0-\U0001ccf9\U0001e5f1-\U0001e5fa"
+#: Small letters of the capitals that Unicode 16 and 17 added.
+SMALL_17 = {0x1C89: 0x1C8A, 0xA7CB: 0x264, 0xA7CC: 0xA7CD, 0xA7CE: 0xA7CF, 0xA7D2: 0xA7D3, 0xA7D4: 0xA7D5, 0xA7DA: 0xA7DB, 0xA7DC: 0x19B}
+SMALL_17 |= {c: c + 0x20 for c in range(0x10D50, 0x10D66)} | {c: c + 0x1B for c in range(0x16EA0, 0x16EB9)}
+
+#: Marks that Unicode added after version 9. The library's NFC, which is of that version, neither
+#: moves nor composes them.
+MARKS_10 = (
+    r"\u07fd\u0898-\u089f\u08ca-\u08d3\u09fe\u0c3c\u0d3b\u0d3c\u0eba\u1715\u1abf-\u1ace\u1df6-\u1dfa\ua82c\U00010d24-\U00010d27"
+    r"\U00010eab\U00010eac\U00010efd-\U00010eff\U00010f46-\U00010f50\U00010f82-\U00010f85\U00011070\U0001133b\U0001145e"
+    r"\U00011839\U0001183a\U00011930\U0001193d\U0001193e\U00011943\U000119e0\U00011a34\U00011a47\U00011a99\U00011d42\U00011d44"
+    r"\U00011d45\U00011d97\U00011f41\U00011f42\U00016ff0\U00016ff1\U0001e08f\U0001e130-\U0001e136\U0001e2ae\U0001e2ec-\U0001e2ef"
+    r"\U0001e4ec-\U0001e4ef"
+)
+_MARKS = re.compile(f"([{MARKS_10}])")
+
+
+@lru_cache(maxsize=1)
+def _patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern, re.Pattern]:
+    """The words of a text by the classes of the regex module, and by the library's; characters that these put
+    otherwise, or whose small letters Python's tables don't know yet, and all from the first of those on."""
+
+    def runs(points: list[int]) -> str:
+        ends = [i for i, c in enumerate(points) if points[i + 1 : i + 2] != [c + 1]]
+        return "".join(f"\\U{points[a]:08x}-\\U{points[b]:08x}" for a, b in zip([0, *(i + 1 for i in ends)], ends))
+
+    classes = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
+    own = {k: runs([c for c, x in enumerate(classes) if x == k]) + more for k, more in (("L", LETTERS_16), ("N", NUMBERS_16))}
+    every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
+    apart = set(SMALL_17)
+    for k, chars in own.items():
+        apart |= {ord(x) for x in set(regex.findall(rf"\p{{{k}}}", every)) ^ set(regex.findall(f"[{chars}]", every))}
+    plain, exact = WORDS.format(L=r"\p{L}", N=r"\p{N}", S=SPACE), WORDS.format(**own, S=SPACE)
+    return regex.compile(plain), regex.compile(exact), re.compile(f"[{runs(sorted(apart))}]"), re.compile(f"[{chr(min(apart))}-{chr(0x10FFFF)}]")
+
+
+def _apart(text: str) -> bool:
+    _, _, apart, beyond = _patterns()
+    return not text.isascii() and beyond.search(text) is not None and apart.search(text) is not None
+
+
+def words_of(text: str) -> regex.Pattern:
+    """The pattern that finds the words of a normalised text as the library does."""
+    return _patterns()[_apart(text)]
+
+
+def normalised(text: str) -> str:
+    """NFC and small letters, letter by letter, so that a capital sigma is never a final one."""
+    if text.isascii():
+        return text.lower()
+    if _patterns()[3].search(text):
+        text = "".join(unicodedata.normalize("NFC", x) for x in _MARKS.split(text))
+    else:
+        text = unicodedata.normalize("NFC", text)
+    if _apart(text):
+        text = text.translate(SMALL_17)
+    return text.replace("Σ", "σ").lower()
 
 
 def byte_letters() -> dict[str, int]:
@@ -58,10 +123,15 @@ class PrefixCounter:
         for i, (t, end) in enumerate(tokens):
             own = self.number.get(t, (-1, -1))
             self.number[t] = (own[0], i) if end else (i, own[1])
-        self.longest = max(len(t) for t, _ in tokens)
+        lengths: dict[bytes, set[int]] = {}
+        for t, _ in tokens:
+            if len(t) > 2:
+                lengths.setdefault(t[-3:], {1, 2}).add(len(t))
+        self.lengths = {x: tuple(sorted(n, reverse=True)) for x, n in lengths.items()}  # of tokens, by their last bytes
         special = [t["content"] for t in data["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.words: dict[str, bytes | tuple[int, ...]] = {}
+        self.words: dict[str, bytes | tuple[int, ...]] = {}  # tokens of each of its prefixes
+        self.whole: dict[str, int] = {}  # tokens of all of it
         self.pairs: dict[int, bool] = {}
 
     def merged(self, data: bytes, end: bool) -> list[tuple[bytes, bool]]:
@@ -87,8 +157,8 @@ class PrefixCounter:
 
         The words are taken in order, so that one begins where it parts from the word before.
         """
-        number, pairs, follows, longest = self.number.get, self.pairs, self.follows, self.longest
-        last, count, out, before, data = [-1], [0], [], "", b""
+        number, pairs, follows, lengths = self.number.get, self.pairs, self.follows, self.lengths.get
+        last, count, out, before, data, short = [-1], [0], [], "", b"", (2, 1)
         for word in sorted(words):
             same = 0
             for x, y in zip(before, word):
@@ -105,8 +175,9 @@ class PrefixCounter:
                 inner = ended = None  # the token before the last one of this prefix, within a word and as a word
                 if ends is not None and i not in ends:
                     ended = -1
-                for j in range(max(0, i - longest), i):
-                    if (found := number(data[j:i])) is None:
+                for n in lengths(data[i - 3 : i], short) if i > 2 else short:
+                    j = i - n
+                    if j < 0 or (found := number(data[j:i])) is None:
                         continue
                     a = last[j]
                     if inner is None and (b := found[0]) >= 0:
@@ -125,6 +196,7 @@ class PrefixCounter:
                 count.append(count[inner] + 1)
             before = word
             self.words[word] = bytes(out) if len(out) < 256 else tuple(out)
+            self.whole[word] = out[-1]
 
     def parts(self, text: str) -> Iterator[str | None]:
         """The normalised text between special strings, and None for each of those."""
@@ -132,8 +204,7 @@ class PrefixCounter:
         for i, piece in enumerate(pieces):
             if i:
                 yield None
-            # lower-casing is letter by letter, so a capital sigma is never a final one
-            yield unicodedata.normalize("NFC", piece).replace("Σ", "σ").lower()
+            yield normalised(piece)
 
     def counts(self, words: list[str]) -> list[bytes | tuple[int, ...]]:
         try:
@@ -147,22 +218,45 @@ class PrefixCounter:
         new = set().union(*lists)
         if len(self.words) > KEPT_WORDS:
             self.words.clear()
-        self.learn({w for w in new if w not in self.words})
+            self.whole.clear()
+        self.learn(new.difference(self.words))
 
-    def totals(self, texts: list[str]) -> list[int]:
-        """Tokens of each text; new words of several texts are learnt together."""
-        out, group, size = [], [], 0
+    def totals(self, texts: list[str], budget: int) -> tuple[list[int], list[int]]:
+        """Tokens of each text, and characters of its longest prefix that has at most budget tokens.
+
+        Prefixes are of the normalised text, a special string as one character. Each text is normalised and
+        cut into words once; new words of several texts are learnt together.
+        """
+        totals, fits, group, size = [], [], [], 0
         for k, text in enumerate(texts):
             parts = [*self.parts(text)]
-            words = [w for p in parts if p is not None for w in WORDS.findall(p)]
-            group.append((words, parts.count(None)))
+            group.append((parts, [[] if p is None else words_of(p).findall(p) for p in parts]))
             size += len(text)
             if size > 4_000_000 or k == len(texts) - 1:
-                self.meet([w for w, _ in group])
-                kept = self.words
-                out += [sum([kept[w][-1] for w in words]) + special for words, special in group]
+                self.meet([w for _, lists in group for w in lists])
+                for parts, lists in group:
+                    n, fit = self._counted(parts, lists, budget)
+                    totals.append(n)
+                    fits.append(fit)
                 group, size = [], 0
-        return out
+        return totals, fits
+
+    def _counted(self, parts: list[str | None], lists: list[list[str]], budget: int) -> tuple[int, int]:
+        """Tokens of parts of a text with their known words, and characters that fit in the budget."""
+        done = length = fit = 0
+        for part, words in zip(parts, lists):
+            own = [1] if part is None else [*map(self.whole.__getitem__, words)]
+            n = sum(own)
+            if done + n <= budget:
+                length += 1 if part is None else len(part)
+                fit = length
+            elif done <= budget and part is not None:  # the word in which the budget ends
+                at = bisect_right([*accumulate(own)], budget - done)
+                before = done + sum(own[:at])
+                begin = next(islice(words_of(part).finditer(part), at, None)).start()
+                fit = length + begin + max((i for i, x in enumerate(self.words[words[at]], 1) if before + x <= budget), default=0)
+            done += n
+        return done, fit
 
     def prefixes(self, text: str) -> list[int]:
         """The exact token count at every prefix, of 1, 2, ... characters, of the normalised text."""
@@ -172,8 +266,8 @@ class PrefixCounter:
                 done += 1
                 out.append(done)
                 continue
-            at = 0
-            for m, c in zip(WORDS.finditer(part), self.counts(WORDS.findall(part))):
+            at, words = 0, words_of(part)
+            for m, c in zip(words.finditer(part), self.counts(words.findall(part))):
                 out += [done] * (m.start() - at) + [done + x for x in c]
                 at, done = m.end(), done + c[-1]
             out += [done] * (len(part) - at)
@@ -184,28 +278,7 @@ class PrefixCounter:
 
         A special string counts as one character.
         """
-        best = length = done = 0
-        for part in self.parts(text):
-            if part is None:
-                done, length = done + 1, length + 1
-                if done > budget:
-                    return best
-                best = length
-                continue
-            at = 0
-            for m, c in zip(WORDS.finditer(part), self.counts(WORDS.findall(part))):
-                if done <= budget:
-                    best = length + m.start()
-                fits = [i for i, x in enumerate(c, 1) if done + x <= budget]
-                if fits:
-                    best = length + m.start() + fits[-1]
-                at, done = m.end(), done + c[-1]
-                if done > budget + 1:
-                    return best
-            length += len(part)
-            if done <= budget:
-                best = length
-        return best
+        return self.totals([text], budget)[1][0]
 
 
 @lru_cache(maxsize=4)
@@ -235,9 +308,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
 
     @F.pandas_udf("n long, fit long")
     def counted(texts: pd.Series) -> pd.DataFrame:
-        found = counter(path)
-        n = found.totals([*texts])
-        fit = [found.within(t, limit) if k > limit else sum(1 if p is None else len(p) for p in found.parts(t)) for t, k in zip(texts, n)]
+        n, fit = counter(path).totals([*texts], limit)
         return pd.DataFrame({"n": pd.Series(n, dtype="int64"), "fit": pd.Series(fit, dtype="int64")})
 
     rows = needs(documents, "doc_id", "text").select("doc_id", text_of().alias("text"))

@@ -71,7 +71,7 @@ def test_odd_rows(odd, none, word, byte):
 def test_any_text_counts_as_the_library_has_it(text):
     t = Tokenizer.from_file(WORD) if not hasattr(test_any_text_counts_as_the_library_has_it, "t") else test_any_text_counts_as_the_library_has_it.t
     test_any_text_counts_as_the_library_has_it.t = t
-    assert wordbpe.counter(WORD).totals([text]) == [words_of(t, text)]
+    assert wordbpe.counter(WORD).totals([text], 4)[0] == [words_of(t, text)]
 
 
 @settings(max_examples=400, deadline=None)
@@ -96,6 +96,17 @@ def test_prefix_counts_and_budgets(word):
         assert n == max((i for i, c in enumerate(whole, 1) if c <= budget), default=0)
 
 
+def test_every_code_point_is_of_the_class_that_the_library_has(word):
+    """Each between letters, twice before an accent, and twice after one."""
+    found = wordbpe.counter(WORD)
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    for form in ("a{0}b", "{0}{0}\u0307", "x\u0327{0}{0}"):
+        texts = [form.format(c) for c in points]
+        want = [len(e.ids) for e in word.encode_batch(texts, add_special_tokens=False)]
+        got = found.totals(texts, 2048)[0]
+        assert [t for t, a, b in zip(texts, got, want) if a != b] == []
+
+
 def test_long_words_by_scan_and_heap():
     codec = bytebpe.codec(BYTE)
     for data in (b"abcabcabd" * 40, b"a" * 500, "żółć".encode() * 60, bytes(range(256))):
