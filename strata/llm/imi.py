@@ -1,44 +1,43 @@
 """Approximate nearest neighbours by largest inner product: an inverted multi-index.
 
-Both halves of the vectors are quantised separately, so two short codebooks make a fine grid of cells. A
-query walks the pairs of centroids by their summed inner product, best first, with a heap, until the cells
-passed hold its share of all vectors; these are reranked exactly in double precision. The share is what a
-bounded sample needs for the recall aimed at, so it follows the data and not their number. Cells are dealt
-to blocks of bounded size, and queries to chunks; a block meets each chunk that probes it once.
+Both halves of the vectors are quantised separately, so two short codebooks make a fine grid of cells, which
+grows with the number of vectors. A query walks the pairs of centroids by their summed inner product, best
+first, with a heap, until the cells passed hold its share of all vectors; the sum of the last pair is its
+limit, and the vectors of all cells above it are reranked exactly in double precision. The share is what a
+bounded sample needs for the recall aimed at. Rows of the grid are put together to blocks of bounded size,
+and queries to chunks; a block goes to those chunks alone that ask for one of its rows, and in it a query
+meets only the rows that it asks for.
 """
 
 from __future__ import annotations
 
-import hashlib
 import heapq
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, needs
+from strata.llm.common import cut, if_small, needs
 
-#: Centroids of each half (at most 64, as a query's cells in a row are kept as the bits of a long).
-CENTROIDS = 32
+#: Centroids of each half: a quarter of the square root of the number of vectors, within these bounds, so that
+#: a cell holds some 16 vectors and a walk costs little beside the reranking.
+LEAST_CENTROIDS, MOST_CENTROIDS = 16, 512
 #: Vectors that the codebooks and the share are fit on, and those of them that serve as queries.
 SAMPLE, TRIALS = 12_000, 300
 #: Recall aimed at on the sample, and what is added to the share for safety.
-AIM, MARGIN = 0.95, 1.05
-#: Vectors in a block and queries in a chunk.
-BLOCK_ROWS, CHUNK_ROWS = 16_384, 4096
+AIM, MARGIN = 0.93, 1.05
+#: Vectors in a block, and numbers in it; queries in a chunk, and those that are reranked at a time.
+BLOCK_ROWS, BLOCK_NUMBERS, CHUNK_ROWS, AT_ONCE = 16_384, 8 << 20, 4096, 256
 NEAREST = 20
 
 
 def usable(rows: DataFrame, vector: str = "embedding") -> DataFrame:
-    """Rows whose vector is neither null nor zero, has only finite components, and the commonest length."""
+    """Rows whose vector is neither null nor zero and has only finite components."""
     v = F.col(vector)
     fine = v.isNotNull() & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(v, lambda x: x != 0)
-    good = rows.where(F.coalesce(fine, F.lit(False)))
-    size = good.groupBy(F.size(vector).alias("n")).count().orderBy(F.desc("count"), "n").first()
-    return good.where(F.size(vector) == (size["n"] if size else 0))
+    return rows.where(F.coalesce(fine, F.lit(False)))
 
 
 def codebook(x: np.ndarray, k: int, rng: np.random.Generator, rounds: int = 10) -> np.ndarray:
@@ -73,7 +72,12 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: floa
             heapq.heappush(heap, (-(a[i + 1] + b[0]), i + 1, 0))
 
 
-def fit(sample: np.ndarray, k: int = CENTROIDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
+def centroids(total: int) -> int:
+    """Centroids of each half for so many vectors."""
+    return int(min(MOST_CENTROIDS, max(LEAST_CENTROIDS, 2 ** round(np.log2(max(1, total) ** 0.5 / 4)))))
+
+
+def fit(sample: np.ndarray, k: int, seed: int = 11) -> tuple[np.ndarray, np.ndarray, float]:
     """Both codebooks, and the share of the vectors that a query has to see for AIM recall on the sample."""
     rng = np.random.default_rng(seed)
     half = sample.shape[1] // 2
@@ -87,13 +91,32 @@ def fit(sample: np.ndarray, k: int = CENTROIDS, seed: int = 11) -> tuple[np.ndar
     if not top.size:
         return one, two, 1.0
     cell = a * len(two) + b
-    grid = ((left[trials] @ one.T)[:, :, None] + (right[trials] @ two.T)[:, None, :]).reshape(len(trials), -1)
-    order = np.argsort(-grid, axis=1, kind="stable")
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(order.shape[1]), order.shape), axis=1)
-    held = np.cumsum(np.bincount(cell, minlength=grid.shape[1])[order], axis=1)
-    seen = np.take_along_axis(held, np.take_along_axis(place, cell[top], axis=1), axis=1) / len(sample)
-    return one, two, min(1.0, float(np.quantile(seen, AIM)) * MARGIN)
+    seen = []
+    for q in range(len(trials)):
+        sums = (left[trials[q]] @ one.T)[:, None] + (right[trials[q]] @ two.T)[None, :]
+        order = np.argsort(-sums.ravel(), kind="stable")
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        held = np.cumsum(np.bincount(cell, minlength=len(order))[order])
+        seen.append(held[place[cell[top[q]]]] / len(sample))
+    return one, two, min(1.0, float(np.quantile(np.concatenate(seen), AIM)) * MARGIN)
+
+
+def laid_out(one: np.ndarray, sizes: np.ndarray, most: int) -> list[list[int]]:
+    """The blocks of each row of the grid: small rows with near first centroids share one, large ones have
+    several, so that a block holds about `most` vectors at the most."""
+    middle = one - one.mean(axis=0)
+    order = np.argsort(middle @ np.linalg.svd(middle, full_matrices=False)[2][0], kind="stable") if len(one) > 1 else [0]
+    blocks: list[list[int]] = [[] for _ in one]
+    block, held = 0, 0
+    for i in order:
+        n = int(sizes[i])
+        if held and held + n > most:
+            block, held = block + 1, 0
+        parts = max(1, -(-n // most))
+        blocks[i] = [*range(block, block + parts)]
+        block, held = block + parts - 1, n if parts == 1 else most
+    return blocks
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -101,46 +124,73 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return flat.reshape(len(column), -1)
 
 
-def rerank(queries: np.ndarray, ids: np.ndarray, probes: np.ndarray, vectors: np.ndarray, vec_ids: np.ndarray, cells: np.ndarray, k: int) -> Iterator[tuple]:
-    """(query, vec_id, score) of the k best of a block for each query, of the cells that it probes.
+def rerank(q: np.ndarray, ids: np.ndarray, limit: np.ndarray, a: np.ndarray, b: np.ndarray, v: np.ndarray, vec_ids: np.ndarray, i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, vector, score) of the k best of a block for each query, of the cells that it asks for.
 
-    A matrix product finds all that come within rounding of the k best; their scores are then each summed
-    alone, so equal vectors have equal scores and the smaller vec_id goes first.
+    a and b are the queries' products with both codebooks; the vectors come in order of i, the first cell number.
+    Matrix products find all that come within rounding of the k best; their scores are then each summed alone,
+    so equal vectors have equal scores and the smaller vec_id goes first.
     """
-    mine = (probes[:, None] >> cells[None, :] & 1).astype(bool) & (vec_ids[None, :] != ids[:, None])
-    scores = np.where(mine, queries @ vectors.T, -np.inf)
-    edge = np.partition(scores, -k, axis=1)[:, -k] if scores.shape[1] > k else np.full(len(queries), -np.inf)
-    size = np.abs(queries).sum(axis=1)
-    for q in range(len(queries)):
-        near = np.flatnonzero(mine[q] & (scores[q] >= edge[q] - 1e-9 * size[q]))
-        if len(near):
-            exact = (vectors[near] * queries[q]).sum(axis=1)
-            best = np.lexsort((vec_ids[near], -exact))[:k]
-            yield q, vec_ids[near][best], exact[best]
+    best = np.full((len(q), k), -np.inf)
+    slack = 1e-9 * np.abs(q).sum(axis=1) * max(1.0, float(np.abs(v).max(initial=0)))
+    most, met = b.max(axis=1), []
+    starts = np.flatnonzero(np.r_[True, i[1:] != i[:-1]]) if len(i) else np.empty(0, int)
+    for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(i)]):
+        own = a[:, i[s]]
+        ask = np.flatnonzero(own + most >= limit)
+        if not len(ask):
+            continue
+        scores = q[ask] @ v[s:e].T
+        scores[(own[ask, None] + b[ask][:, j[s:e]] < limit[ask, None]) | (vec_ids[None, s:e] == ids[ask, None])] = -np.inf
+        top = np.partition(scores, e - s - k, axis=1)[:, -k:] if e - s > k else scores
+        best[ask] = np.partition(np.concatenate([best[ask], top], axis=1), top.shape[1], axis=1)[:, -k:]
+        r, c = np.nonzero((scores >= (best[ask, :].min(axis=1) - slack[ask])[:, None]) & (scores > -np.inf))
+        met.append((ask[r], c + s, scores[r, c]))
+    if not met:
+        return np.empty(0, int), np.empty(0, int), np.empty(0)
+    r, c, near = (np.concatenate(x) for x in zip(*met))
+    last = near >= best.min(axis=1)[r] - slack[r]
+    r, c = r[last], c[last]
+    exact = np.concatenate([(v[c[x : x + 65536]] * q[r[x : x + 65536]]).sum(axis=1) for x in range(0, max(1, len(r)), 65536)])
+    order = np.lexsort((vec_ids[c], -exact, r))
+    r, c, exact = r[order], c[order], exact[order]
+    place = np.arange(len(r)) - np.searchsorted(r, r)
+    return r[place < k], c[place < k], exact[place < k]
 
 
 def search(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFrame:
     """(query_id, rank, vec_id, score): the k nearest found of every row whose vec_id is divisible by `every`.
 
-    embeddings has (vec_id, embedding); rows with a null id, and vectors that are null, zero, not wholly
-    finite or not of the commonest length take no part. A query's own id is no candidate. Rows that
-    repeat a vec_id are candidates each; queries that repeat id and vector are one, those with the same id and
-    other vectors are ranked apart. Fewer candidates than k give as many ranks; an empty table no rows.
+    embeddings has (vec_id, embedding); rows with a null id, and vectors that are null, zero or not wholly
+    finite take no part. Only vectors of one length have an inner product, so each length has an index of its
+    own. A query's own id is no candidate. Rows that repeat a vec_id are candidates each; queries that repeat
+    id and vector are one, those with the same id and other vectors are ranked apart. Fewer candidates than k
+    give as many ranks; an empty table no rows.
     """
     spark = embeddings.sparkSession
-    out = "query_id long, rank int, vec_id long, score double"
     rows = usable(needs(embeddings, "vec_id", "embedding").where("vec_id is not null")).select(F.col("vec_id").cast("long"), "embedding")
-    total = rows.count()
-    if total == 0:
-        return spark.createDataFrame([], out)
-    drawn = F.pmod(F.xxhash64("vec_id"), F.lit(1 << 30)) / float(1 << 30)
-    table = rows.where(drawn < min(1.0, SAMPLE / total)).limit(2 * SAMPLE).toArrow()
+    size = F.size("embedding")
+    asked = F.sum((F.pmod("vec_id", F.lit(every)) == 0).cast("long"))
+    found = [
+        _nearest_of_length(rows.where(size == r["n"]), r["n"], r["total"], r["asked"], every, k)
+        for r in rows.groupBy(size.alias("n")).agg(F.count("*").alias("total"), asked.alias("asked")).orderBy("n").collect()
+        if r["asked"]
+    ]
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    for part in found:
+        out = out.unionByName(part)
+    return found[0] if len(found) == 1 else out
+
+
+def _nearest_of_length(rows: DataFrame, length: int, total: int, asked: int, every: int, k: int) -> DataFrame:
+    """The search among rows (vec_id, embedding), so many in total and so many queries, all of one length."""
+    drawn = F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(1 << 30)) / float(1 << 30)
+    table = rows.where(drawn < min(1.0, 1.5 * SAMPLE / total)).orderBy(drawn, "vec_id").limit(SAMPLE).toArrow()
     if table.num_rows < 2:
         table = rows.limit(SAMPLE).toArrow()
-    order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
-    sample = _matrix(table["embedding"].combine_chunks())[order]
-    one, two, share = fit(sample)
-    half = sample.shape[1] // 2
+    sample = _matrix(table["embedding"].combine_chunks())
+    one, two, share = fit(sample, centroids(total))
+    half = length // 2
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -151,53 +201,51 @@ def search(embeddings: DataFrame, every: int = 20, k: int = NEAREST) -> DataFram
     kind = dict(rows.dtypes)["embedding"]
     indexed = rows.mapInArrow(cells, f"vec_id long, embedding {kind}, i int, j int")
     counts = np.zeros((len(one), len(two)), np.int64)
-    for r in indexed.groupBy("i", "j").count().collect():  # CENTROIDS squared rows at most
+    for r in indexed.groupBy("i", "j").count().collect():  # MOST_CENTROIDS squared rows at most
         counts[r["i"], r["j"]] = r["count"]
-    salts = [max(1, -(-int(n) // BLOCK_ROWS)) for n in counts.sum(axis=1)]
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"])
-    chunks = max(1, -(-rows.where(F.pmod("vec_id", F.lit(every)) == 0).count() // CHUNK_ROWS))
+    blocks = laid_out(one, counts.sum(axis=1), max(256, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, length))))
+    filled = np.flatnonzero(counts.sum(axis=1))
 
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch["embedding"])
             a, b = v[:, :half] @ one.T, v[:, half:] @ two.T
-            at, i, bits = [], [], []
+            at, into, limits = [], [], []
             for q in range(len(v)):
-                row = [0] * len(one)
-                for x, y in walk(a[q], b[q], counts, share * total):
-                    row[x] |= 1 << y
-                for x, mask in enumerate(row):
-                    if mask:
-                        at.append(q)
-                        i.append(x)
-                        bits.append(mask)
+                *_, (i, j) = walk(a[q], b[q], counts, share * total)
+                limit = a[q, i] + b[q, j]
+                limit -= 1e-12 * (1 + abs(limit))
+                own = {x for i in filled[a[q, filled] + b[q].max() >= limit] for x in blocks[i]}
+                at += [q] * len(own)
+                into += own
+                limits += [limit] * len(own)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(take), batch["embedding"].take(take), pa.array(i, pa.int32()), pa.array(bits, pa.int64())], names=["vec_id", "embedding", "i", "bits"])
-
-    of = F.element_at(F.lit(salts), F.col("i") + 1)
-    asks = (
-        queries.mapInArrow(probed, f"vec_id long, embedding {kind}, i int, bits long")
-        .withColumn("chunk", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(chunks)).cast("int"))
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), of - 1)))
-    )
-    blocks = indexed.withColumn("salt", F.pmod(F.xxhash64("vec_id"), of).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-
-    def found(vectors: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        got = []
-        if len(vectors) and len(asked):
-            v, ids, j = np.array(vectors["embedding"].tolist(), float), vectors["vec_id"].to_numpy(), vectors["j"].to_numpy().astype(np.int64)
-            q, own, bits = np.array(asked["embedding"].tolist(), float), asked["vec_id"].to_numpy(), asked["bits"].to_numpy()
-            for s in range(0, len(q), 256):
-                for n, near, score in rerank(q[s : s + 256], own[s : s + 256], bits[s : s + 256], v, ids, j, k):
-                    got.append(pd.DataFrame({"query_id": own[s + n], "_q": _mark(q[s + n]), "vec_id": near, "score": score}))
-        return pd.concat(got) if got else pd.DataFrame({"query_id": [], "_q": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "_q": "int64", "vec_id": "int64", "score": float})
-
-    keys = ["i", "salt", "chunk"]
-    near = blocks.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInPandas(found, "query_id long, _q long, vec_id long, score double")
+            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(take), batch["embedding"].take(take), pa.array(into, pa.int32()), pa.array(limits, pa.float64())], names=["vec_id", "embedding", "block", "limit"])
+
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"]).repartition(max(1, min(20_000, asked // 64)), "vec_id")
+    chunks = max(1, -(-asked // CHUNK_ROWS))
+    asks = cut(queries.mapInArrow(probed, f"vec_id long, embedding {kind}, block int, limit double").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(chunks)).cast("int")))
+    wanted = cut(asks.select(F.col("block").alias("block"), F.col("chunk").alias("chunk")).distinct())
+    of = F.element_at(F.lit(blocks), F.col("i") + 1)
+    placed = indexed.withColumn("block", F.element_at(of, (F.pmod(F.xxhash64("vec_id", "embedding"), F.size(of)) + 1).cast("int")))
+
+    def found(vectors: pa.Table, asking: pa.Table) -> pa.Table:
+        out = []
+        if vectors.num_rows and asking.num_rows:
+            vectors = vectors.sort_by([("i", "ascending"), ("j", "ascending")])
+            v, ids = _matrix(vectors["embedding"].combine_chunks()), vectors["vec_id"].to_numpy()
+            i, j = vectors["i"].to_numpy(), vectors["j"].to_numpy()
+            q, own, limit, mark = _matrix(asking["embedding"].combine_chunks()), asking["vec_id"].to_numpy(), asking["limit"].to_numpy(), asking["_q"].to_numpy()
+            for s in range(0, len(q), AT_ONCE):
+                x = q[s : s + AT_ONCE]
+                r, c, score = rerank(x, own[s : s + AT_ONCE], limit[s : s + AT_ONCE], x[:, :half] @ one.T, x[:, half:] @ two.T, v, ids, i, j, k)
+                out.append((own[s + r], mark[s + r], ids[c], score))
+        columns = [np.concatenate(x) for x in zip(*out)] or [np.empty(0, np.int64)] * 3 + [np.empty(0)]
+        return pa.table(dict(zip(("query_id", "_q", "vec_id", "score"), columns)))
+
+    keys = ["block", "chunk"]
+    sent = placed.join(if_small(wanted), "block")
+    asks = asks.withColumn("_q", F.xxhash64("embedding"))
+    near = sent.groupBy(*keys).cogroup(asks.groupBy(*keys)).applyInArrow(found, "query_id long, _q long, vec_id long, score double")
     best = Window.partitionBy("query_id", "_q").orderBy(F.desc("score"), "vec_id")
     return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
-
-
-def _mark(vector: np.ndarray) -> int:
-    """A long that tells apart different vectors of one id."""
-    return int.from_bytes(hashlib.blake2b(vector.tobytes(), digest_size=8).digest(), "little", signed=True)

@@ -89,14 +89,45 @@ def test_recall_and_scores(spark, medium):
 
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
-    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [-1.0, 2.0]), (20, [0.5, 0.5]), (40, [3.0]), (60, []), (None, [1.0, 1.0]), (-20, [2.0, 1.0])]
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, None), (3, [0.0, 0.0]), (4, [nan, 1.0]), (5, [1.0, None]), (6, [inf, 1.0]), (7, [-1.0, 2.0]), (20, [0.5, 0.5]), (40, [3.0]), (80, [1.0]), (81, [-2.0]), (60, []), (None, [1.0, 1.0]), (-20, [2.0, 1.0])]
     table = spark.createDataFrame([(*r, 1, 2) for r in rows], "vec_id long, embedding array<double>, rank int, i int")
     got = {}
     for r in sorted(imi.search(table).collect(), key=lambda r: (r.query_id, r.rank)):
         got.setdefault(r.query_id, []).append(r.vec_id)
-    assert got == {0: [-20, 1, 20, 7], 20: [-20, 0, 1, 7], -20: [0, 1, 20, 7]} and imi.search(table.limit(0)).collect() == []
+    assert got == {0: [-20, 1, 20, 7], 20: [-20, 0, 1, 7], -20: [0, 1, 20, 7], 40: [80, 81], 80: [40, 81]} and imi.search(table.limit(0)).collect() == []
     one = table.where("vec_id = 0")
     assert imi.search(one).collect() == []
     many = spark.range(300).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).alias("embedding"))
     ties = imi.search(many).where("query_id = 100").orderBy("rank").collect()
     assert [r.vec_id for r in ties] == list(range(20))
+
+
+def test_share_seen_of_clustered_vectors(spark):
+    """Where vectors lie in groups, a query sees under a tenth of them and finds nine in ten of the nearest."""
+    rng = np.random.default_rng(8)
+    middles = rng.normal(size=(400, 32))
+    x = middles[rng.integers(0, 400, 20_000)] + 0.15 * rng.normal(size=(20_000, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    sample = x[rng.choice(len(x), 6000, replace=False)]
+    assert imi.fit(sample, imi.centroids(len(x)))[2] < 0.1
+    rows = list(zip(range(len(x)), x.tolist()))
+    got = {}
+    for r in imi.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(8), every=400).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = []
+    for q in range(0, len(x), 400):
+        scores = x @ x[q]
+        scores[q] = -9
+        hits.append(len(got[q] & {*np.argsort(-scores)[:20].tolist()}) / 20)
+    assert np.mean(hits) >= 0.9
+
+
+def test_blocks_are_bounded_and_hold_every_row():
+    sizes = np.array([5, 0, 9000, 40_000, 7, 16_000])
+    blocks = imi.laid_out(np.random.default_rng(1).normal(size=(6, 4)), sizes, 16_384)
+    held = {}
+    for i, own in enumerate(blocks):
+        assert own
+        for b in own:
+            held[b] = held.get(b, 0) + sizes[i] / len(own)
+    assert sorted(held) == [*range(len(held))] and max(held.values()) <= 16_384 + 16_384
