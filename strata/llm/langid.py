@@ -20,7 +20,8 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import fresh, needs
 
-#: Bounds of the sample that is learnt: letters of a language and of all, rows of a language, letters of a row.
+#: Bounds of the sample that is learnt: letters of a language and of all, rows of a language, letters of a row. A
+#: longer row gives those from a place on that its hash decides, so all of it may be learnt from.
 LANGUAGE_CHARS, ALL_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 1_200_000, 64, 3000
 #: Letters in a segment. Symbols are 0 for what isn't a letter, 1 and on for the alphabet of all samples, and
 #: the one after for a letter not in any sample.
@@ -126,7 +127,7 @@ def suffix_automaton(sample: np.ndarray) -> tuple[np.ndarray, ...]:
 def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
     """Languages, alphabet and automata from documents (doc_id, text, lang) not in the part held out.
 
-    The sample is bounded: see LANGUAGE_CHARS and the constants by it; rows are chosen by a hash.
+    The sample is bounded: see LANGUAGE_CHARS and the constants by it; distinct texts are chosen by a hash.
     """
     rows = needs(documents, "doc_id", "text", "lang").where(F.col("lang").isNotNull() & (F.length("text") > 0) & (remainder(F.col("doc_id"), parts) != out))
     counts = rows.groupBy("lang").count().collect()
@@ -135,14 +136,22 @@ def learn(documents: DataFrame, parts: int = 3, out: int = 1) -> dict:
     most = max(1, min(LANGUAGE_CHARS, ALL_CHARS // len(counts)))
     many = max(8, min(SAMPLE_ROWS, SAMPLE_ROWS * most * 4 // LANGUAGE_CHARS))  # rows and letters of them by what is shared out
     row_chars = min(ROW_CHARS, 8 * most)
-    share = documents.sparkSession.createDataFrame([(r["lang"], min(1.0, 2.0 * many / r["count"])) for r in counts], "_lang string, _share double")
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
-    some = rows.select(F.col("lang").cast("string").alias("lang"), F.substring("text", 1, row_chars).alias("text"), drawn.alias("_h"))
-    sample = some.join(F.broadcast(share), (F.col("lang") == F.col("_lang")) & (F.col("_h") < F.col("_share"))).select("lang", "text", "_h").toPandas()
-    if missed := sorted({r["lang"] for r in counts} - {*sample["lang"]}):  # none of its rows was drawn
-        of = F.broadcast(documents.sparkSession.createDataFrame([(x,) for x in missed], "lang string"))
-        least = some.join(of, "lang").groupBy("lang").agg(F.min(F.struct("_h", "text")).alias("r")).select("lang", "r.text", "r._h").toPandas()
-        sample = pd.concat([sample, least], ignore_index=True)
+    hashed, unit = F.xxhash64("text"), float(1 << 30)
+    begin = F.pmod(F.xxhash64(F.lit(1), hashed), F.greatest(F.length("text") - row_chars, F.lit(0)) + 1).cast("int") + 1
+    some = rows.select(
+        F.col("lang").cast("string").alias("lang"), F.substring("text", begin, F.lit(row_chars)).alias("text"),
+        hashed.alias("_hash"), (F.pmod(hashed, F.lit(1 << 30)) / unit).alias("_h"),
+    )
+    share, parts_of = {str(r["lang"]): min(1.0, 2.0 * many / r["count"]) for r in counts}, {}
+    wanted = list(share)
+    while wanted:  # again for those of which most rows are alike, so that few texts were drawn
+        shares = documents.sparkSession.createDataFrame([(x, share[x]) for x in wanted], "_lang string, _share double")
+        drawn = some.join(F.broadcast(shares), (F.col("lang") == F.col("_lang")) & (F.col("_h") < F.col("_share")))
+        got = drawn.groupBy("lang", "_hash", "_h").agg(F.min("text").alias("text")).toPandas()
+        parts_of |= {x: got[got["lang"] == x] for x in wanted}
+        wanted = [x for x in wanted if len(parts_of[x]) < many // 2 and share[x] < 1]
+        share |= {x: min(1.0, 16 * share[x]) for x in wanted}
+    sample = pd.concat([*parts_of.values()], ignore_index=True)
     sample = sample.sort_values(["_h", "text"])
     languages = sorted(sample["lang"].unique())
     texts, back = {}, {}
