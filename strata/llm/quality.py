@@ -14,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,39 +25,47 @@ from strata.llm.langid import remainder
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (2, 3, 4)
 #: Bits of a bucket, the factors of the hashes, and the unit of the folded numbers.
 SHIFT, FACTOR, STEP, UNIT = np.uint64(64 - 16), np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), 2.0**-32
-#: Bounds of the sample that is learnt: rows of each label, characters of a row.
-LABEL_ROWS, ROW_CHARS = 1200, 6000
+#: Bound of the sample that is learnt: about so many rows of each label, each with its whole text.
+LABEL_ROWS = 1200
 EPOCHS, RATE = 8, 0.5
 THRESHOLD = 0.7
-#: Characters that are hashed at a time, and words of a longer text: pairs are taken within runs of so many.
+#: Characters that are hashed at a time, and words of a longer text, whose runs each begin with the last word of
+#: the one before, so that no pair is lost.
 AT_ONCE, RUN_WORDS = 400_000, 50_000
 
 
-def runs(texts: list[str]) -> Iterator[tuple[list[int], list[str]]]:
-    """The words of texts, by groups of bounded size: which text each run is of, and its words between spaces."""
-    of, held, size = [], [], 0
+def runs(texts: list[str]) -> Iterator[tuple[list[int], list[str], list[int]]]:
+    """The words of texts, by groups of bounded size: which text each run is of, its words between spaces, and
+    how many characters at its front were in the run before."""
+    of, held, again, size = [], [], [], 0
     for k, text in enumerate(texts):
         words = text.split()
         for i in range(0, len(words), RUN_WORDS):
+            own = words[max(0, i - 1) : i + RUN_WORDS]
             of.append(k)
-            held.append(f" {' '.join(words[i : i + RUN_WORDS])} ")
+            held.append(f" {' '.join(own)} ")
+            again.append(len(own[0]) + 1 if i else 0)
             size += len(held[-1])
             if size > AT_ONCE:
-                yield of, held
-                of, held, size = [], [], 0
+                yield of, held, again
+                of, held, again, size = [], [], [], 0
     if of:
-        yield of, held
+        yield of, held, again
 
 
-def buckets(held: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def buckets(held: list[str], again: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(buckets, run of each) of the words, pairs of neighbouring words and character n-grams of runs of words.
 
     A gram may begin and end with the space beside its word. Pairs are hashed by the difference of their words,
-    so that all repeats share one bucket.
+    so that all repeats share one bucket. What begins in the first characters of a run, so many as again says,
+    was given with the run before; only the pair of its words wasn't.
     """
     code = np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
     run = np.repeat(np.arange(len(held), dtype=np.int32), [len(t) for t in held])
     space = code == 32
+    new = np.ones(len(code), bool)
+    for begin, n in zip(np.cumsum([0, *map(len, held)]).tolist(), again):
+        new[begin : begin + n] = False
     mixed = (code.astype(np.uint64) + np.uint64(1)) * FACTOR
     mixed ^= mixed >> np.uint64(29)
     gram = mixed
@@ -67,7 +76,7 @@ def buckets(held: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         else:
             crossed = space[1:-1] if n == 3 else crossed[:-1] | space[n - 2 : -1]
         if n in GRAMS:
-            fits = ~crossed
+            fits = ~crossed & new[: 1 - n]
             yield ((gram * FACTOR) >> SHIFT)[fits].astype(np.int64), run[: 1 - n][fits]
     first = np.flatnonzero(~space[1:] & space[:-1]) + 1
     size = np.flatnonzero(space[1:] & ~space[:-1]) + 1 - first
@@ -76,8 +85,8 @@ def buckets(held: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     power = np.cumprod(np.full(int(size.max()), STEP))
     word = np.add.reduceat(mixed[letters] * power[place], np.cumsum(size) - size)
     word ^= word >> np.uint64(31)
-    yield ((word * FACTOR) >> SHIFT).astype(np.int64), run[first]
-    own = run[first]
+    own, fits = run[first], new[first]
+    yield ((word * FACTOR) >> SHIFT)[fits].astype(np.int64), own[fits]
     near = own[1:] == own[:-1]
     yield (((word[1:] ^ word[:-1]) * STEP) >> SHIFT)[near].astype(np.int64), own[1:][near]
 
@@ -85,20 +94,19 @@ def buckets(held: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     """The distinct buckets of a text and each one's share of its features; empty for a text without words."""
     n = np.zeros(BUCKETS, np.int64)
-    for _, held in runs([text]):
-        for at, _ in buckets(held):
+    for _, held, again in runs([text]):
+        for at, _ in buckets(held, again):
             n += np.bincount(at, minlength=BUCKETS)
     bucket = np.flatnonzero(n)
     return bucket.astype(np.int32), (n[bucket] / max(1, n.sum())).astype(np.float32)
 
 
-def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> dict:
-    """The folded model: for each bucket, and alone, what it adds to the log-odds of label 1.
+def train(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], prior: float, seed: int = 5) -> dict:
+    """The folded model of features: for each bucket, and alone, what it adds to the log-odds of label 1.
 
     prior is label 1's share of all labelled rows, which the sample may not have.
     """
     rng = np.random.default_rng(seed)
-    rows = [features(t) for t in texts]
     vectors = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM))
     layer = np.zeros((2, DIM))
     steps, done = EPOCHS * max(1, len(rows)), 0
@@ -123,8 +131,9 @@ def train(texts: list[str], labels: list[int], prior: float, seed: int = 5) -> d
 def learn(documents: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2) -> dict:
     """A model from labels (doc_id, quality) outside the held-out part, and the texts of documents.
 
-    Null labels and ids aren't learnt from, nor are ids labelled both ways. With one label alone its
-    share decides; with none the model is even.
+    Null labels and ids aren't learnt from, nor are ids labelled both ways; of an id's several texts the one
+    with the least hash is learnt. The features of whole texts are taken in Spark tasks, and the sampled rows'
+    alone come to the driver. With one label alone its share decides; with none the model is even.
     """
     marked = (
         needs(labels, "doc_id", "quality").where("doc_id is not null and quality in (0, 1)").where(remainder(F.col("doc_id"), parts) != out)
@@ -139,18 +148,28 @@ def learn(documents: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2)
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
     some = marked.where(drawn < share).select("doc_id", "quality")  # about LABEL_ROWS of each label
     texts = needs(documents, "doc_id", "text").join(F.broadcast(some), "doc_id").where("text is not null")
-    sample = texts.select("doc_id", "quality", F.substring("text", 1, ROW_CHARS).alias("text")).limit(4 * LABEL_ROWS).toPandas().sort_values(["doc_id", "text"])
-    prior = counts.get(1, 0) / sum(counts.values())
-    return train(sample["text"].tolist(), sample["quality"].astype(int).tolist(), prior)
+    texts = texts.groupBy("doc_id", "quality").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+
+    def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [features(t) for t in batch["text"].to_pylist()]
+            taken = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*found), (np.uint16, np.float32))]
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], *(taken or [pa.array([], pa.binary())] * 2)], names=["doc_id", "quality", "bucket", "share"])
+
+    kinds = dict(texts.dtypes)
+    sample = texts.mapInArrow(featured, f"doc_id {kinds['doc_id']}, quality {kinds['quality']}, bucket binary, share binary").collect()
+    sample.sort(key=lambda r: r["doc_id"])
+    rows = [(np.frombuffer(r["bucket"], np.uint16).astype(np.int32), np.frombuffer(r["share"], np.float32)) for r in sample]
+    return train(rows, [int(r["quality"]) for r in sample], counts.get(1, 0) / sum(counts.values()))
 
 
 def scores(model: dict, texts: list[str | None]) -> np.ndarray:
     """The probability of label 1 for each text; without words that of the labels' shares."""
     weights = np.round(model["weights"] / UNIT).astype(np.int64)
     total, count = np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
-    for of, held in runs([t or "" for t in texts]):
+    for of, held, again in runs([t or "" for t in texts]):
         sums, sizes = np.zeros(len(held), np.int64), np.zeros(len(held), np.int64)
-        for at, run in buckets(held):  # runs come in order, so each has one stretch
+        for at, run in buckets(held, again):  # runs come in order, so each has one stretch
             n = np.bincount(run, minlength=len(held))
             sizes += n
             some = np.flatnonzero(n)

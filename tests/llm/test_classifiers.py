@@ -127,3 +127,35 @@ def test_quality_of_odd_rows(odd, odd_rows, none, labels, spark):
     assert quality.qualities(none, marks).collect() == []
     assert {r.score for r in quality.qualities(odd, labels.limit(0)).collect()} == {0.5}
     assert quality.good_documents(odd, marks).columns == odd.columns
+
+
+def test_no_pair_is_lost_between_runs(monkeypatch):
+    text = " ".join(f"w{i * 7 % 11}" for i in range(400))
+    whole, score = quality.features(text), quality.scores({"weights": np.arange(quality.BUCKETS) / 1e6, "offset": 0.0}, [text, "", text])
+    monkeypatch.setattr(quality, "RUN_WORDS", 7)
+    monkeypatch.setattr(quality, "AT_ONCE", 60)
+    parts = quality.features(text)
+    assert all((a == b).all() for a, b in zip(whole, parts))
+    assert (quality.scores({"weights": np.arange(quality.BUCKETS) / 1e6, "offset": 0.0}, [text, "", text]) == score).all()
+
+
+def test_one_repeated_row(spark):
+    """A text that all rows share is learnt once, and each row is predicted."""
+    same = spark.range(5000).selectExpr("cast(7 as long) as doc_id", "'the same text in every row' as text", "'en' as lang")
+    other = spark.createDataFrame([(i, f"ein anderer text nummer {i} steht hier", "de") for i in range(40)], same.schema)
+    docs = same.unionByName(other).repartition(6)
+    model = langid.learn(docs)
+    assert model["languages"] == ["de", "en"]
+    got = langid.languages(docs).groupBy("doc_id", "lang_pred").count().collect()
+    assert {(r.lang_pred, r["count"]) for r in got if r.doc_id == 7 and r.lang_pred == "en"} == {("en", 5000)}
+    labels = spark.createDataFrame([(7, 1), *((i, 0) for i in range(40) if i != 7)], "doc_id long, quality int")
+    scores = quality.qualities(docs, labels).collect()
+    assert len(scores) == 5040 and len({r.score for r in scores if r.doc_id == 7}) <= 2
+
+
+def test_letters_from_all_of_a_long_text(spark):
+    """What only the far end of long rows has is learnt as well."""
+    rows = [(i, "abc abd " * 2000 + "xyz xyw " * 2000, "a") for i in range(30)] + [(i, "klm kln " * 4000, "b") for i in range(30, 60)]
+    rows = [(i, f"{t}{i}", lang) for i, t, lang in rows]
+    model = langid.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert {*"xyz"} <= {*model["alphabet"]}
