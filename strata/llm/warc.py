@@ -1,8 +1,9 @@
 """Legacy web archives: ARC files, their conversion to WARC, and reading both back.
 
-Archives are written by Spark's own text writer, one record a row, and read by its binary file reader, so any
-store that Spark reaches will do. Records are found by the lengths that their headers declare, never by what
-a payload looks like. A file holds what one task wrote.
+Archives are written by Spark's own text writer, one file a row, and read by its binary file reader, so any
+store that Spark reaches will do. Each record is a gzip member of its own, and a file takes records until it
+has a bounded size. Records are found by the lengths that their headers declare, never by what a payload looks
+like, while the file is unpacked piece by piece.
 """
 
 from __future__ import annotations
@@ -14,15 +15,15 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strata.llm.common import cut, if_small, needs, remove_folder, shared_folder
 
-#: Bytes that one archive file is to hold before it is compressed, about.
-FILE_BYTES = 32 << 20
+#: Bytes of records after which an archive file ends, before they are compressed; bytes that are packed as one
+#: gzip member at most, which keeps the last byte of each member 0; bytes that are unpacked at a time.
+FILE_BYTES, MEMBER_BYTES, PIECE_BYTES = 16 << 20, 8 << 20, 1 << 20
 #: Fixed values of the formats: the fields of a URL record's header line in ARC versions 1 and 2.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "content_type", "length"),
@@ -41,16 +42,99 @@ def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
-def _inflated(data: bytes) -> bytes:
-    """The data, with gzip members one after another unpacked; as it is if it isn't gzip."""
-    if data[:2] != b"\x1f\x8b":
-        return data
-    out = []
-    while data:
-        one = zlib.decompressobj(31)
-        out.append(one.decompress(data))
-        data = one.unused_data
-    return b"".join(out)
+def _packed(record: bytes) -> bytes:
+    """The record as a gzip member, or several if it is very long."""
+    return b"".join(zlib_member(record[i : i + MEMBER_BYTES]) for i in range(0, max(1, len(record)), MEMBER_BYTES))
+
+
+def zlib_member(data: bytes) -> bytes:
+    pack = zlib.compressobj(6, wbits=31)
+    return pack.compress(data) + pack.flush()
+
+
+def _files(records: Iterator[bytes], head) -> Iterator[bytes]:
+    """Archive files of records, each begun by head(number of the file)."""
+    held, size, n = [], 0, 0
+    for record in records:
+        if not held:
+            held.append(_packed(head(n)))
+        held.append(_packed(record))
+        size += len(record)
+        if size >= FILE_BYTES:
+            yield b"".join(held)
+            held, size, n = [], 0, n + 1
+    if held:
+        yield b"".join(held)
+
+
+def _write(rows: DataFrame, files, path: str) -> None:
+    """Write what `files` makes of the batches of rows, one file for each bytes object that it gives.
+
+    The text writer ends each row with a separator. As a gzip member ends with the number of its bytes, whose
+    highest byte is 0 here, that byte is left to it.
+    """
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for data in files(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([data[:-1]], pa.binary())], names=["value"])
+
+    written = rows.mapInArrow(made, "value binary").select(F.col("value").cast("string").alias("value"))
+    written.write.option("lineSep", "\0").option("maxRecordsPerFile", 1).text(path)
+
+
+class _Unpacked:
+    """The bytes of a file, gzip members one after another unpacked piece by piece; as they are if not gzip."""
+
+    def __init__(self, data: bytes):
+        self.pieces = self._pieces(data)
+        self.held = bytearray()
+
+    @staticmethod
+    def _pieces(data: bytes) -> Iterator[bytes]:
+        if data[:2] != b"\x1f\x8b":
+            yield data
+            return
+        at, end = 0, len(data)
+        while at < end:
+            one = zlib.decompressobj(31)
+            while not one.eof and at < end:
+                part = data[at : at + PIECE_BYTES]
+                at += len(part)
+                while part and not one.eof:
+                    if piece := one.decompress(part, PIECE_BYTES):
+                        yield piece
+                    part = one.unconsumed_tail
+                at -= len(one.unused_data)
+            if not one.eof:
+                raise ValueError("the file ends within a gzip member")
+
+    def more(self) -> bool:
+        piece = next(self.pieces, None)
+        if piece is not None:
+            self.held += piece
+        return piece is not None
+
+    def empty(self) -> bool:
+        return not self.held and not self.more()
+
+    def until(self, mark: bytes) -> bytes:
+        """What comes before the next mark, which is passed."""
+        begin = 0
+        while (end := self.held.find(mark, begin)) < 0:
+            begin = max(0, len(self.held) - len(mark) + 1)
+            if not self.more():
+                raise ValueError(f"the file ends within a header: {bytes(self.held[:200])!r}")
+        out = bytes(self.held[:end])
+        del self.held[: end + len(mark)]
+        return out
+
+    def take(self, n: int) -> bytes:
+        while len(self.held) < n:
+            if not self.more():
+                raise ValueError("the file ends within a record")
+        out = bytes(self.held[:n])
+        del self.held[:n]
+        return out
 
 
 # ---------------------------------------------------------------- ARC
@@ -71,53 +155,47 @@ def _arc_line(version: int, url: str, block: bytes, date: str = NO_DATE) -> byte
 def write_arc(pages: DataFrame, path: str) -> None:
     """Write pages (page_id, url, html) as gzipped ARC files: a version block, then a URL record a page.
 
-    A null html is an empty payload, a null url `-`. Files by even partitions have version 1, others 2.
+    A null html is an empty payload, a null url `-`. Files of even partitions have version 1, others 2.
     """
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
         from pyspark import TaskContext
 
         version = 1 + TaskContext.get().partitionId() % 2
         about = f"{version} 0 Archive\n{ARC_MEANING[version]}\n".encode()
         head = f"filedesc://pages.arc 0.0.0.0 {NO_DATE} text/plain " + ("" if version == 1 else "200 - - 0 pages.arc ") + str(len(about))
-        first = [head.encode() + b"\n" + about]
-        for batch in batches:
-            rows = first
-            for page, url, html in zip(*(batch[c].to_pylist() for c in ("page_id", "url", "html"))):
-                block = _http((html or "").encode(), page)
-                rows.append(_arc_line(version, url or "-", block) + b"\n" + block)
-            first = []
-            yield pa.RecordBatch.from_arrays([pa.array([r.decode() for r in rows], pa.string())], names=["value"])
+        first = head.encode() + b"\n" + about + b"\n"
+
+        def records() -> Iterator[bytes]:
+            for batch in batches:
+                for page, url, html in zip(*(batch[c] for c in ("page_id", "url", "html"))):
+                    block = _http((html.as_py() or "").encode(), page.as_py())
+                    yield _arc_line(version, url.as_py() or "-", block) + b"\n" + block + b"\n"
 
-    needs(pages, "page_id", "url", "html").mapInArrow(records, "value string").write.option("lineSep", "\n").option("compression", "gzip").text(path)
+        return _files(records(), lambda n: first)
+
+    _write(needs(pages, "page_id", "url", "html"), files, path)
 
 
 def arc_records(data: bytes) -> Iterator[dict]:
     """The URL records of an ARC file: header fields of the version that the file's first block states, and
     the block of the declared length. The version block itself isn't one. A line that can't be a header is an
     error, as nothing after it could be trusted."""
-    data, at, version = _inflated(data), 0, 1
-    while at < len(data):
-        if data[at : at + 1] == b"\n":
-            at += 1
+    file, version = _Unpacked(data), 1
+    while not file.empty():
+        if file.held[:1] == b"\n":
+            file.take(1)
             continue
-        end = data.index(b"\n", at)
-        fields = data[at:end].decode("utf-8", "replace").rstrip("\r").split(" ")
-        start = end + 1
+        line = file.until(b"\n")
+        fields = line.decode("utf-8", "replace").rstrip("\r").split(" ")
         if fields[0].startswith("filedesc:"):
-            size = int(fields[-1])
-            version = int(data[start : start + size].split(b" ", 1)[0])
-            at = start + size
+            version = int(file.take(int(fields[-1])).split(b" ", 1)[0])
             continue
         names = ARC_FIELDS[version]
         if len(fields) != len(names) or not fields[-1].isdigit():
-            raise ValueError(f"no header line of ARC version {version}: {data[at:end][:200]!r}")
+            raise ValueError(f"no header line of ARC version {version}: {line[:200]!r}")
         got = dict(zip(names, fields))
-        size = int(got["length"])
-        if start + size > len(data):
-            raise ValueError(f"the file ends within the record of {got['url'][:200]}")
-        yield got | {"version": version, "block": data[start : start + size]}
-        at = start + size
+        yield got | {"version": version, "block": file.take(int(got["length"]))}
 
 
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
@@ -126,14 +204,15 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["content"]:
-                rows: list[tuple] = []
+                rows, held = [], 0
                 for r in arc_records(data.as_py()):
                     head, _, payload = r["block"].partition(b"\r\n\r\n")
                     page = re.search(rb"(?im)^" + PAGE_HEADER.encode() + rb": (-?\d+)", head)
                     rows.append((page and int(page[1]), r["url"], r["date"], r["version"], head + b"\r\n\r\n", payload, digest_of(payload)))
-                    if sum(len(x[5]) for x in rows[-64:]) > FILE_BYTES or len(rows) == 2000:
+                    held += len(payload)
+                    if held > FILE_BYTES or len(rows) == 2000:
                         yield _batch(rows, _ARC_ROW)
-                        rows = []
+                        rows, held = [], 0
                 yield _batch(rows, _ARC_ROW)
 
     files = spark.read.format("binaryFile").load(path).select("content")
@@ -162,8 +241,7 @@ def _instant(date: str) -> str:
 
 
 def _warc(page: int | None, url: str, date: str, http: bytes, payload: bytes, digest: str, first: int | None, first_url: str | None, first_date: str | None, revisit: bool) -> bytes:
-    """A record without the two line ends after it. A revisit keeps the HTTP header alone, which still states
-    the payload's length."""
+    """A record. A revisit keeps the HTTP header alone, which still states the payload's length."""
     block = http if revisit else http + payload
     lines = [
         "WARC/1.1",
@@ -176,12 +254,23 @@ def _warc(page: int | None, url: str, date: str, http: bytes, payload: bytes, di
         "Content-Type: application/http;msgtype=response",
     ]
     if revisit:
-        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(first, first_url or '-', first_date or NO_DATE, digest)}", f"WARC-Refers-To-Target-URI: {first_url or '-'}", f"WARC-Refers-To-Date: {_instant(first_date or NO_DATE)}", f"WARC-Refers-To-Page: {first}"]
-    return (CRLF.join([*lines, f"Content-Length: {len(block)}"]) + CRLF + CRLF).encode() + block
+        lines += [f"WARC-Profile: {REVISIT}", f"WARC-Refers-To: {record_id(first, first_url or '-', first_date or NO_DATE, digest)}", f"WARC-Refers-To-Target-URI: {first_url or '-'}", f"WARC-Refers-To-Date: {_instant(first_date or NO_DATE)}"]
+    return _closed(lines, block)
+
+
+def _closed(lines: list[str], block: bytes) -> bytes:
+    return (CRLF.join([*lines, f"Content-Length: {len(block)}"]) + CRLF + CRLF).encode() + block + (CRLF + CRLF).encode()
+
+
+def _warcinfo(name: str) -> bytes:
+    """The record that a file begins with; it takes the place of an ARC file's version block."""
+    block = f"software: strata{CRLF}format: WARC File Format 1.1{CRLF}description: converted from ARC{CRLF}".encode()
+    about = ["WARC/1.1", "WARC-Type: warcinfo", f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>", f"WARC-Date: {_instant(NO_DATE)}"]
+    return _closed([*about, f"WARC-Block-Digest: sha1:{digest_of(block)}", "Content-Type: application/warc-fields"], block)
 
 
 def convert(arc: DataFrame, path: str, least: int = 0) -> None:
-    """Write the captures of read_arc as gzipped WARC files.
+    """Write the captures of read_arc as gzipped WARC files, each with a warcinfo record first.
 
     Of captures with equal payloads of at least `least` bytes, those with the smallest page_id are responses
     and the others revisits of it; a capture without a page_id is a response.
@@ -194,60 +283,74 @@ def convert(arc: DataFrame, path: str, least: int = 0) -> None:
     )
     rows = arc.join(if_small(firsts), F.col("digest") == F.col("_same"), "left").withColumn("revisit", F.coalesce(F.col("page_id") > F.col("first"), F.lit(False)))
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def files(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        from pyspark import TaskContext
+
         names = ("page_id", "url", "date", "http", "payload", "digest", "first", "first_url", "first_date", "revisit")
-        for batch in batches:
-            made = [_warc(*row) for row in zip(*(batch[c].to_pylist() for c in names))]
-            yield pa.RecordBatch.from_arrays([pa.array([m.decode() for m in made], pa.string())], names=["value"])
+        part = TaskContext.get().partitionId()
+        made = (_warc(*(x.as_py() for x in row)) for batch in batches for row in zip(*(batch[c] for c in names)))
+        return _files(made, lambda n: _warcinfo(f"{part}-{n}.warc"))
 
-    rows.drop("_same", "version").mapInArrow(records, "value string").write.option("lineSep", CRLF + CRLF).option("compression", "gzip").text(path)
+    _write(rows.drop("_same", "version"), files, path)
 
 
 def warc_records(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
     """Headers (names in lower case) and block of each record, by the declared lengths."""
-    data, at = _inflated(data), 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        first, *lines = data[at:end].decode("utf-8", "replace").split(CRLF)
+    file = _Unpacked(data)
+    while not file.empty():
+        first, *lines = file.until(b"\r\n\r\n").decode("utf-8", "replace").split(CRLF)
         if not first.startswith("WARC/"):
             raise ValueError(f"no WARC record: {first[:200]}")
         head = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        size = int(head["content-length"])
-        yield head, data[start : start + size]
-        at = start + size + 4
+        yield head, file.take(int(head["content-length"]))
+        file.take(4)
 
 
-_WARC_ROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("record_id", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
+_WARC_ROW = pa.schema([("page_id", pa.int64()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to_id", pa.string()), ("record_id", pa.string()), ("url", pa.string()), ("payload", pa.binary())])
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """(page_id, payload_bytes, payload_digest, record_type, refers_to, record_id, url, payload) of each record.
 
-    payload is null for revisits, and for all with payloads=False. A response whose payload doesn't have the
-    stated digest is an error.
+    refers_to is the page of the response whose record ID a revisit refers to. payload is null for revisits, and
+    for all with payloads=False. A response whose payload doesn't have the stated digest is an error.
     """
+    return _resolved(_records(spark, path, payloads))
+
 
+def _records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch["content"]:
-                rows: list[tuple] = []
+                rows, held = [], 0
                 for head, block in warc_records(data.as_py()):
+                    kind = head["warc-type"]
+                    if kind not in ("response", "revisit"):
+                        continue
                     http, _, payload = block.partition(b"\r\n\r\n")
                     page = re.search(rb"(?im)^" + PAGE_HEADER.encode() + rb": (-?\d+)", http)
                     size = re.search(rb"(?im)^Content-Length: (\d+)", http)
-                    kind, digest = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:")
+                    digest = head["warc-payload-digest"].removeprefix("sha1:")
                     if kind == "response" and digest_of(payload) != digest:
                         raise ValueError(f"the payload of {head['warc-record-id']} has another digest")
-                    to = head.get("warc-refers-to-page")
-                    rows.append((page and int(page[1]), int(size[1]), digest, kind, to and int(to), head["warc-record-id"], head["warc-target-uri"], payload if payloads and kind == "response" else None))
-                    if len(rows) == 2000:
+                    own = payload if payloads and kind == "response" else None
+                    rows.append((page and int(page[1]), int(size[1]), digest, kind, head.get("warc-refers-to"), head["warc-record-id"], head["warc-target-uri"], own))
+                    held += len(own or b"")
+                    if held > FILE_BYTES or len(rows) == 2000:
                         yield _batch(rows, _WARC_ROW)
-                        rows = []
+                        rows, held = [], 0
                 yield _batch(rows, _WARC_ROW)
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    return files.mapInArrow(parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, url string, payload binary")
+    return files.mapInArrow(parsed, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to_id string, record_id string, url string, payload binary")
+
+
+def _resolved(rows: DataFrame) -> DataFrame:
+    named = rows.select("record_id", "page_id", "record_type", "refers_to_id")
+    asked = named.where("refers_to_id is not null").select(F.col("refers_to_id").alias("_id")).distinct()
+    there = named.where("record_type = 'response'").join(asked, F.col("record_id") == F.col("_id")).groupBy("_id").agg(F.min("page_id").alias("refers_to"))
+    out = rows.join(if_small(cut(there)), F.col("refers_to_id") == F.col("_id"), "left")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id", "url", "payload")
 
 
 def archived(pages: DataFrame) -> DataFrame:
@@ -261,12 +364,9 @@ def archived(pages: DataFrame) -> DataFrame:
     spark = pages.sparkSession
     old, new = shared_folder(spark, "arc"), shared_folder(spark, "warc")
     rows = needs(pages, "page_id", "url", "html")
-    size = rows.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, -(-size // FILE_BYTES))
-    parts = rows.rdd.getNumPartitions()
-    write_arc(rows if parts >= files else rows.repartition(files), old)
+    write_arc(rows, old)
     convert(read_arc(spark, old), new)
-    out = cut(read_warc(spark, new, payloads=False).drop("payload", "url"))
+    records = cut(_records(spark, new, payloads=False))
     remove_folder(spark, old)
     remove_folder(spark, new)
-    return out
+    return _resolved(records).drop("payload", "url")

@@ -61,6 +61,35 @@ def test_both_versions_of_the_header_line():
             list(warc.arc_records(data[:-3]))
 
 
+def test_files_are_bounded_and_a_member_a_record(spark, tmp_path, monkeypatch):
+    """Small files of many records, each its own gzip member after a warcinfo record; long records in pieces."""
+    import zlib as z
+
+    monkeypatch.setattr(warc, "FILE_BYTES", 3000)
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 2000)
+    monkeypatch.setattr(warc, "PIECE_BYTES", 100)
+    records = [bytes([65 + i]) * n for i, n in enumerate((10, 0, 1500, 2000, 2001, 9000, 5))]
+    files = [*warc._files(iter(records), lambda n: b"head%d" % n)]
+    assert b"".join(b"".join(warc._Unpacked._pieces(f)) for f in files).replace(b"head0", b"").replace(b"head1", b"").replace(b"head2", b"").replace(b"head3", b"") == b"".join(records)
+    assert len(files) > 2 and all(f[-1] == 0 for f in files)
+    monkeypatch.undo()
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "é" * (i % 7) * 40) for i in range(50)], "page_id long, url string, html string")
+    old, new = str(tmp_path / "arc"), str(tmp_path / "warc")
+    warc.write_arc(pages.coalesce(1), old)
+    warc.convert(warc.read_arc(spark, old), new)
+    contents = [r.content for r in spark.read.format("binaryFile").load(new).collect() if r.content]
+    kinds = []
+    for data in contents:
+        data = bytes(data)
+        while data:
+            one = z.decompressobj(31)
+            member = one.decompress(data)
+            data = one.unused_data
+            ((head, _),) = warc.warc_records(member)  # a member is one whole record
+            kinds.append(head["warc-type"])
+    assert kinds.count("warcinfo") == len(contents) and kinds.count("response") == 7 and kinds.count("revisit") == 43
+
+
 def brute(rows):
     ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], float)
     out = {}
