@@ -15,10 +15,13 @@ from pyspark.sql import functions as F
 
 from strata.llm.common import cut, fresh, needs, text_of, word_count
 
-#: Blocks over all sources (in parts of their sizes), and the fewest in a source.
-BLOCKS, LEAST_BLOCKS = 8192, 256
+#: Blocks over all sources (in parts of their sizes), and the fewest in a source and in all together; with many
+#: sources each has fewer.
+BLOCKS, LEAST_BLOCKS, ALL_LEAST = 8192, 256, 400_000
 #: Sources are named in the mixture's recipe, which is held by the driver; so many at most.
 MOST_SOURCES = 100_000
+#: Rows of a shard that are shuffled together, about.
+RUN_ROWS = 100_000
 WEIGHTS = (3, 1, 2)
 
 
@@ -83,6 +86,10 @@ def _block(seed: int, doc_id: Column, crc: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), doc_id, crc), blocks).cast("int")
 
 
+def _place(seed: int, doc_id: Column, crc: Column, turn: Column) -> Column:
+    return F.xxhash64(F.lit(seed), doc_id, crc, turn)
+
+
 def _recipe(rows: DataFrame, shards: int, seed: int, weights: tuple, share: float) -> tuple[DataFrame, DataFrame]:
     """The sources (_source, _at, source_size, target, _blocks) and the drawn blocks (_at, _block, draws).
 
@@ -96,9 +103,10 @@ def _recipe(rows: DataFrame, shards: int, seed: int, weights: tuple, share: floa
     sizes = [int(r.size) for r in found]
     goal = targets(sizes, [weights[i % len(weights)] for i in range(len(found))], share)
     total = max(1, sum(sizes))
-    recipe = [(r.source, i, sizes[i], float(goal[i]), LEAST_BLOCKS + BLOCKS * sizes[i] // total) for i, r in enumerate(found)]
+    least = max(4, min(LEAST_BLOCKS, ALL_LEAST // max(1, len(found))))
+    recipe = [(r.source, i, sizes[i], float(goal[i]), least + BLOCKS * sizes[i] // total) for i, r in enumerate(found)]
     known = F.broadcast(spark.createDataFrame(recipe, "_source string, _at int, source_size long, target double, _blocks int"))
-    held: list[dict[int, int]] = [{} for _ in found]  # BLOCKS + LEAST_BLOCKS * sources entries at most
+    held: list[dict[int, int]] = [{} for _ in found]  # BLOCKS + ALL_LEAST entries at most
     dealt_rows = rows.join(known, F.col("source").eqNullSafe(F.col("_source")))
     block = _block(seed, F.col("doc_id"), F.col("text_crc32"), F.col("_blocks")).alias("_block")
     for r in dealt_rows.groupBy("_at", block).agg(F.sum("size").alias("size")).collect():
@@ -121,18 +129,19 @@ def plan(documents: DataFrame, shards: int = 16, seed: int = 7, weights: tuple =
     """(doc_id, text_crc32, source, size, source_size, target, draws) for every row of documents.
 
     size is the number of words. draws lists what the mix takes of the document: an array of
-    (turn, shard), empty if it is left out. Sources stand in the order of their code points, null last, and
+    (turn, shard, place), empty if it is left out; a shard's rows are shuffled by their place. Sources stand in the order of their code points, null last, and
     have the weights in turn. A source without words, and a document without any, has no draws.
     Rows with equal doc_id and text fall in one block, so they are drawn alike. The same rows and seed give
     the same draws, however they are partitioned. An empty table gives no rows.
     """
     rows = cut(_sized(documents))
     known, table = _recipe(rows, shards, seed, weights, share)
-    none = F.array().cast("array<struct<turn:int,shard:int>>")
+    none = F.array().cast("array<struct<turn:int,shard:int,place:bigint>>")
     placed = rows.join(known, F.col("source").eqNullSafe(F.col("_source"))).withColumn("_block", _block(seed, F.col("doc_id"), F.col("text_crc32"), F.col("_blocks")))
+    placed_draw = lambda d: F.struct(d.turn.alias("turn"), d.shard.alias("shard"), _place(seed, F.col("doc_id"), F.col("text_crc32"), d.turn).alias("place"))
     return placed.join(table, ["_at", "_block"], "left").select(
         "doc_id", "text_crc32", "source", "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.coalesce("draws", none)).otherwise(none).alias("draws"),
+        F.when(F.col("size") > 0, F.coalesce(F.transform("draws", placed_draw), none)).otherwise(none).alias("draws"),
     )
 
 
@@ -151,10 +160,21 @@ def mix(documents: DataFrame, shards: int = 16, seed: int = 7, weights: tuple =
     draws = placed.join(table, ["_at", "_block"]).withColumn("_draw", F.explode("draws"))
     return draws.select(
         f"{row}.*", F.col("_draw.shard").alias("mix_shard"), F.col("_draw.turn").alias("mix_turn"),
-        F.xxhash64(F.lit(seed), id_, crc, F.col("_draw.turn")).alias("mix_place"),
+        _place(seed, id_, crc, F.col("_draw.turn")).alias("mix_place"),
     )
 
 
+def shuffled(mixed: DataFrame, rows: int, shards: int = 16) -> DataFrame:
+    """mixed (of mix, about so many rows) with each output shard's rows shuffled locally, by mix_place.
+
+    A shard is dealt at random to runs of bounded size, so that a partition holds a run of one shard in random
+    order; rows that repeat are dealt apart by a salt.
+    """
+    runs = max(1, -(-rows // (shards * RUN_ROWS)))
+    run = F.pmod(F.xxhash64("mix_place", F.monotonically_increasing_id() % 64), F.lit(runs))
+    return mixed.withColumn("_run", run).repartition(shards * runs, "mix_shard", "_run").sortWithinPartitions("mix_shard", "_run", "mix_place").drop("_run")
+
+
 def taken(documents: DataFrame) -> DataFrame:
     """(doc_id, size, source_size, target, taken, draws) for every row of documents: taken counts repeats."""
     return plan(documents).select(
