@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,26 +11,26 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir, which all executors share.
-
-    The setting is read from the session; a temporary folder serves only where none is set.
-    """
-    spark = df.sparkSession
+def checkpoints(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share; an error where the session has none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+        path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None:
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(path)
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, computed once and kept in the folder of spark.checkpoint.dir."""
+    checkpoints(df.sparkSession)
     return df.checkpoint()
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under the shared folder, for tables and files that executors write."""
-    import uuid
-
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
-    return f"{context.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoints(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def remove_folder(spark: SparkSession, path: str) -> None:

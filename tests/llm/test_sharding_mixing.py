@@ -101,3 +101,38 @@ def test_mixture_of_odd_rows(odd, none):
     check_mix(odd)
     assert mixing.mix(odd).where("text is null or trim(text) = ''").count() == 0
     assert mixing.taken(none).collect() == [] and mixing.mix(none).collect() == []
+
+
+def test_one_row_repeated_is_spread_over_the_shards(spark):
+    same = spark.range(6000).selectExpr("cast(5 as long) as doc_id", "'one and the same row' as text")
+    other = spark.createDataFrame([(i, f"another row {i}") for i in range(100, 160)], same.schema)
+    rows = sharding.shard(same.unionByName(other).repartition(4), 16).collect()
+    assert len(rows) == 6060
+    loads, slots = {}, {}
+    for r in rows:
+        loads[r.shard] = loads.get(r.shard, 0) + r.size
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert len(loads) == 16 and max(loads.values()) < 1.1 * sum(loads.values()) / 16
+    assert all(sorted(s) == [*range(len(s))] for s in slots.values())
+
+
+def test_shards_of_the_mixture_are_shuffled_locally(spark, documents):
+    """Each partition holds runs of shards in the order of their places, and no row is lost."""
+    mixed = mixing.mix(documents).cache()
+    got = mixing.shuffled(mixed, mixed.count()).select(F.spark_partition_id().alias("p"), "mix_shard", "mix_place", "doc_id").collect()
+    assert len(got) == mixed.count()
+    last = {}
+    for r in got:
+        assert last.get((r.p, r.mix_shard), r.mix_place) <= r.mix_place
+        last[r.p, r.mix_shard] = r.mix_place
+    places = {(r.doc_id, d.turn): (d.shard, d.place) for r in mixing.plan(documents).collect() for d in r.draws}
+    assert {(r.doc_id, r.mix_turn): (r.mix_shard, r.mix_place) for r in mixed.collect()} == places
+    mixed.unpersist()
+
+
+def test_many_sources_have_fewer_blocks(spark):
+    """The driver's recipe stays bounded, and every source comes near its target or is all that it can give."""
+    rows = [(i, "w " * (1 + i % 5), f"s{i % 3000}") for i in range(30_000)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = got.groupBy("source").agg(F.sum(F.col("size") * F.size("draws")).alias("taken"), F.first("target").alias("target")).collect()
+    assert len(got) == 3000 and all(abs(r.taken - r.target) <= 5 for r in got)
