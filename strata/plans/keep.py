@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,11 +14,13 @@ BROADCAST_ROWS = 500_000
 def keep(df: DataFrame) -> DataFrame:
     """df, computed once into spark.checkpoint.dir, which survives the loss of executors.
 
-    The folder is one that the driver and all executors share, so a session without the setting is an error.
+    The folder is one that the driver and all executors share, so a cluster's session without the setting is an error.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         path = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if path is None and context.master.startswith("local"):  # one machine, as in tests
+            path = tempfile.mkdtemp(prefix="checkpoints-")
         if path is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path)
