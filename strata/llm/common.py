@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,10 +13,12 @@ BROADCAST_ROWS = 500_000
 
 
 def checkpoints(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which all executors share; an error where the session has none."""
+    """The folder of spark.checkpoint.dir, which all executors share; an error where a cluster's session has none."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         path = spark.conf.get("spark.checkpoint.dir", None)
+        if path is None and context.master.startswith("local"):  # one machine, as in tests
+            path = tempfile.mkdtemp(prefix="checkpoints-")
         if path is None:
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(path)
