@@ -122,19 +122,19 @@ def index_nodes(fps: DataFrame, h: int) -> DataFrame:
     masks, done, level = [0], None, fps
     while True:
         pairs = [(_signed(m), _signed(c)) for m in masks for c in _children(m, h)]
-        if masks == [0]:
+        if done is None and level is fps:
             level = level.withColumn("child", F.explode(F.lit([c for _, c in pairs])))
         else:
-            level = level.join(F.broadcast(spark.createDataFrame(pairs, "mask long, child long")), "mask")  # fixed by h alone
+            level = level.join(if_small(spark.createDataFrame(pairs, "mask long, child long"), len(pairs)), "mask")  # of the masks with large nodes
         level = level.select(F.col("child").alias("mask"), F.col("fp").bitwiseAND(F.col("child")).alias("pattern"), "fp", "rep")
-        masks = sorted({c % (1 << 64) for _, c in pairs})
-        free = 64 - min(m.bit_count() for m in masks)
+        free = 64 - min((c % (1 << 64)).bit_count() for _, c in pairs)
         if free <= LEAST_FREE_BITS:
             return level if done is None else done.unionByName(level)
         large = cut(level.groupBy("mask", "pattern").count().where(F.col("count") > NODE_LIMIT).select("mask", "pattern"))
         if (n := large.count()) == 0:
             return level if done is None else done.unionByName(level)
         few = if_small(large, n)
+        masks = sorted(r.mask % (1 << 64) for r in large.select("mask").distinct().collect())
         kept = level.join(few, ["mask", "pattern"], "left_anti")
         done = kept if done is None else done.unionByName(kept)
         level = level.join(few, ["mask", "pattern"], "left_semi")
@@ -488,8 +488,8 @@ def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: f
 
     First candidates are the classes that SimHash fingerprints of distinct words form within h bits. In a
     class, a text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller
-    doc_id that stays, so every row dropped is a near copy of one kept, and what the fingerprints alone brought
-    together stays. Then classes are united that still have a pair of staying texts with such a resemblance,
+    doc_id that stays, so every row dropped is a near copy of one kept, or in a class beyond a chunk linked to one
+    by a chain of near copies, and what the fingerprints alone brought together stays. Then classes are united that still have a pair of staying texts with such a resemblance,
     found by shared shingles whatever the fingerprints, and compared again, until there is none: no two texts
     stay that resemble each other so.
     Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
@@ -503,8 +503,8 @@ def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: f
     named = near_classes(texts.select(F.col("rep").alias("doc_id"), "fp"), h).select(F.col("doc_id").alias("rep"), "fp", F.col("component_id").alias("class"))
     named = cut(texts.where("rep is not null").join(named.distinct(), ["rep", "fp"]).select("rep", "digest", "bytes", "class"))
     once = rows.dropDuplicates(["doc_id", "digest"]) if texts.where("n > ids").limit(1).count() else rows
-    several = named.groupBy("class").agg(F.count("*").alias("size")).where("size > 1").drop("size")
-    gone = cut(_gone(rows, cut(named.join(several, "class", "left_semi").select("class", "rep", "digest", "bytes")), similar, n).distinct())
+    several = cut(named.groupBy("class").agg(F.count("*").alias("size")).where("size > 1").drop("size"))
+    gone = cut(_gone(rows, cut(named.join(if_small(several), "class", "left_semi").select("class", "rep", "digest", "bytes")), similar, n).distinct())
     before = None
     while True:
         stay = named.join(if_small(gone), "digest", "left_anti").select("rep", "digest", "class")
@@ -518,7 +518,7 @@ def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: f
         if not links.limit(1).count():
             break
         united = cut(connected_components(links))
-        moved = cut(named.join(united, F.col("class") == F.col("node")).select("rep", "digest", "bytes", F.col("component").alias("class")))
+        moved = cut(named.join(if_small(united), F.col("class") == F.col("node")).select("rep", "digest", "bytes", F.col("component").alias("class")))
         named = cut(named.join(moved.select("digest"), "digest", "left_anti").unionByName(moved))
         gone = cut(gone.join(moved.select("digest"), "digest", "left_anti").unionByName(_gone(rows, moved.select("class", "rep", "digest", "bytes"), similar, n)).distinct())
         before = stay  # any two that stayed in the last round, too, have been compared

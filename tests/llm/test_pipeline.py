@@ -4,6 +4,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
+from strata.llm import simhash
 
 
 def staged(spark, docs, sf_dir, home):
@@ -49,3 +50,47 @@ def test_odd_rows(spark, small, kind, request, tmp_path):
     got = corpus_pipeline.encoded(spark, docs, small).collect()
     assert len(got) == docs.count() and all(r.decoded_equals for r in got)
     assert np.all([r.n_tokens == 0 for r in got if r.doc_id in (2, 3)])
+
+
+@pytest.mark.parametrize("kind", ["odd", "none"])
+def test_chained_stages_over_odd_rows(spark, small, kind, request, tmp_path):
+    """Each stage works on what the one before wrote, extra columns included."""
+    docs = request.getfixturevalue(kind)
+    out = staged(spark, docs, small, tmp_path)
+    sizes = [d.count() for d in out]
+    assert all(d.columns == docs.columns for d in out[:-1]) and sizes[:4] == sorted(sizes[:4], reverse=True)
+    assert sizes[4] <= 2 * sizes[3] and sizes[5] == sizes[4]
+    assert kind == "odd" or sizes == [0] * 6
+
+
+def edited(rng, words, how):
+    """A near copy: scattered words changed, a passage put in, or the tail cut; it resembles the text by 0.8 or more."""
+    out, n = list(words), len(words)
+    if how == "words":
+        for i in rng.choice(n, n // 60, replace=False):
+            out[i] = f"new{i}"
+    elif how == "passage":
+        at = int(rng.integers(0, n))
+        out[at:at] = [f"put{i}" for i in range(n // 8)]
+    else:
+        out = out[: n - n // 7]
+    return out
+
+
+def test_near_copies_are_caught_and_others_stay(spark):
+    """Of each planted group one document stays, whatever the kind of edit; texts of their own all stay."""
+    rng = np.random.default_rng(3)
+    common = [f"w{i}" for i in range(3000)]
+    rows, groups = [], []
+    for g in range(60):
+        text = [*rng.choice(common, int(rng.integers(120, 900)))]
+        group = [text] + [edited(rng, text, how) for how in ("words", "passage", "tail")]
+        groups.append(range(len(rows), len(rows) + len(group)))
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(group)]
+    alone = range(len(rows), len(rows) + 200)
+    rows += [(i, " ".join(rng.choice(common, 300))) for i in alone]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    kept = {r.doc_id for r in simhash.without_near_copies(docs).collect()}
+    assert kept >= {*alone}
+    caught = sum(1 for g in groups for i in g[1:] if i not in kept)
+    assert caught >= 0.9 * 3 * len(groups) and all(kept & {*g} for g in groups)
