@@ -26,6 +26,8 @@ LANGUAGE_CHARS, ALL_CHARS, SAMPLE_ROWS, ROW_CHARS = 24_000, 1_200_000, 64, 3000
 #: Letters in a segment. Symbols are 0 for what isn't a letter, 1 and on for the alphabet of all samples, and
 #: the one after for a letter not in any sample.
 SEGMENT = 256
+#: Letters after which a group of texts is parsed.
+AT_ONCE = 1_000_000
 UNKNOWN = "und"
 #: A text is in none of the languages if it needs so many times the bits a letter that SHARE of the held-back
 #: texts of its language need, beyond FREE phrases. Held-back texts have so many letters, and are so many, at least.
@@ -239,23 +241,29 @@ def predict(model: dict, texts: list[str | None]) -> tuple[list[str], list[float
     whether the text is within that language's limit and far enough from the next one."""
     names, n = model["languages"], len(texts)
     lang, score, fits = [UNKNOWN] * n, [0.0] * n, [False] * n
-    coded = [symbols(t, model["alphabet"]) if t else np.empty(0, np.int32) for t in texts]
-    known = [i for i in range(n) if names and coded[i].any() and any(map(str.isalpha, texts[i]))]
-    at = 0
-    while at < len(known):
-        end, size = at, 0
-        while end < len(known) and (end == at or size < 4_000_000):  # bounded memory, however long the texts
-            size += len(coded[known[end]])
-            end += 1
-        part = known[at:end]
-        bits = phrase_counts([coded[i] for i in part], model["automata"]) * np.array(model["bits"])
+    group: list[tuple[int, np.ndarray]] = []
+
+    def judged() -> None:
+        bits = phrase_counts([c for _, c in group], model["automata"]) * np.array(model["bits"])
         best = bits.argmin(axis=1)
         least = np.sort(bits, axis=1)
-        for i, b, row in zip(part, best.tolist(), least):
+        for (i, c), b, row in zip(group, best.tolist(), least):
             lang[i] = names[b]
             score[i] = float(1 - row[0] / row[1]) if len(row) > 1 else 1.0
-            fits[i] = score[i] >= model["margin"] and bool(row[0] - FREE * model["bits"][b] <= model["limits"][b] * len(coded[i]))
-        at = end
+            fits[i] = score[i] >= model["margin"] and bool(row[0] - FREE * model["bits"][b] <= model["limits"][b] * len(c))
+        group.clear()
+
+    size = 0
+    for i, text in enumerate(texts):
+        if not (names and text) or not (own := symbols(text, model["alphabet"])).any() or not any(map(str.isalpha, text)):
+            continue
+        group.append((i, own))
+        size += len(own)
+        if size >= AT_ONCE:  # bounded memory, however many texts
+            judged()
+            size = 0
+    if group:
+        judged()
     return lang, score, fits
 
 

@@ -192,7 +192,7 @@ def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         parent = _find(parent)
 
 
-def within(fps: np.ndarray, group: np.ndarray, h: int, at_once: int = 1 << 20) -> np.ndarray:
+def within(fps: np.ndarray, group: np.ndarray, h: int, at_once: int = 1 << 18) -> np.ndarray:
     """For each fingerprint the least position that links of at most h bits within its group reach."""
     levels = _tree(fps, group)
     parent = np.arange(len(fps))
@@ -295,7 +295,7 @@ def near_duplicates(documents: DataFrame, n: int = 3, h: int = 2) -> DataFrame:
 # ---------------------------------------------------------------- keeping one document of each group
 
 #: Texts of a class, and bytes of these, that one task compares at a time.
-CHUNK, CHUNK_BYTES = 4000, 64 << 20
+CHUNK, CHUNK_BYTES = 4000, 16 << 20
 
 
 def _copies(similar: float, n: int):
