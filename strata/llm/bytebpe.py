@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import needs, text_of
+from strata.llm.common import ease, needs, text_of
 from strata.llm.wordbpe import SPACE, byte_letters
 
 #: Bytes of a word up to which its ranks are scanned; words that a worker keeps before it starts afresh.
@@ -164,6 +164,7 @@ def encoded(documents: DataFrame, path: str) -> DataFrame:
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = codec(path)
         for batch in batches:
+            ease()
             at = 0
             while at < batch.num_rows:
                 ids, same, size, begin = [], [], 0, at
@@ -193,6 +194,7 @@ def round_trip(documents: DataFrame, path: str) -> DataFrame:
 
     @F.pandas_udf("n long, ids string, decoded string")
     def digests(texts: pd.Series) -> pd.DataFrame:
+        ease()
         found, rows = codec(path), []
         for t in texts:
             ids = found.encode(t)

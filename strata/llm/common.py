@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +44,11 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def ease() -> None:
+    """Give the memory of past batches, which Arrow keeps for later ones, back to the executor's machine."""
+    pa.default_memory_pool().release_unused()
+
+
 def if_small(small: DataFrame, rows: int | None = None) -> DataFrame:
     """small, with a broadcast hint if it has at most BROADCAST_ROWS rows.
 

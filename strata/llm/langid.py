@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import fresh, needs
+from strata.llm.common import ease, fresh, needs
 
 #: Bounds of the sample that is learnt: letters of a language and of all, rows of a language, letters of a row. A
 #: longer row gives those from a place on that its hash decides, so all of it may be learnt from.
@@ -272,6 +272,7 @@ def identified(text: Column, model: Broadcast) -> Column:
 
     @F.pandas_udf("lang_pred string, score double, fits boolean")
     def guess(texts: pd.Series) -> pd.DataFrame:
+        ease()
         lang, score, fits = predict(model.value, [*texts])
         return pd.DataFrame({"lang_pred": pd.Series(lang, dtype=object), "score": pd.Series(score, dtype=float), "fits": pd.Series(fits, dtype=bool)})
 

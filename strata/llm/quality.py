@@ -19,7 +19,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import fresh, needs
+from strata.llm.common import ease, fresh, needs
 from strata.llm.langid import remainder
 
 BUCKETS, DIM, GRAMS = 1 << 16, 8, (2, 3, 4)
@@ -152,6 +152,7 @@ def learn(documents: DataFrame, labels: DataFrame, parts: int = 4, out: int = 2)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ease()
             found = [features(t) for t in batch["text"].to_pylist()]
             taken = [pa.array([x.astype(kind).tobytes() for x in column], pa.binary()) for column, kind in zip(zip(*found), (np.uint16, np.float32))]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["quality"], *(taken or [pa.array([], pa.binary())] * 2)], names=["doc_id", "quality", "bucket", "share"])
@@ -186,6 +187,7 @@ def scored(text: Column, model: Broadcast) -> Column:
 
     @F.pandas_udf("double")
     def probability(texts: pd.Series) -> pd.Series:
+        ease()
         return pd.Series(scores(model.value, [*texts]), dtype=float)
 
     return probability(text)

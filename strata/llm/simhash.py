@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, fresh, if_small, needs, text_of
+from strata.llm.common import cut, ease, fresh, if_small, needs, text_of
 from strata.llm.graph import connected_components
 
 #: Fingerprints in an index node before it is split on further bits.
@@ -72,6 +72,7 @@ def fingerprint(text: Column, n: int = 3) -> Column:
 
     @F.pandas_udf("long")
     def of_shingles(texts: pd.Series) -> pd.Series:
+        ease()
         return pd.Series([simhash(shingle_hashes(t or "", n)) for t in texts], dtype="int64")
 
     return of_shingles(text)
@@ -86,6 +87,7 @@ def word_fingerprint(text: Column) -> Column:
 
     @F.pandas_udf("long")
     def of_words(texts: pd.Series) -> pd.Series:
+        ease()
         return pd.Series([simhash(np.unique(shingle_hashes(t or "", 1))) for t in texts], dtype="int64")
 
     return of_words(text)
@@ -308,6 +310,7 @@ def _copies(similar: float, n: int):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, last, kept, index = None, None, [], {}
         for batch in batches:
+            ease()
             gone = []
             for c, part, digest, text in zip(*(batch[x].to_pylist() for x in ("class", "chunk", "digest", "text"))):
                 if at != (c, part):
@@ -411,6 +414,7 @@ def _prefixes(similar: float, n: int, hot: Broadcast | None):
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.empty(0, np.int64) if hot is None else hot.value
         for batch in batches:
+            ease()
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
                 firsts, sizes = [], []
@@ -437,6 +441,7 @@ def resemblance(a: Column, b: Column, n: int) -> Column:
 
     @F.pandas_udf("double")
     def of(left: pd.Series, right: pd.Series) -> pd.Series:
+        ease()
         out = []
         for s, t in zip(left, right):
             own, other = (np.unique(shingle_hashes(x or "", n)) for x in (s, t))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, if_small, needs, remove_folder, shared_folder
+from strata.llm.common import cut, ease, if_small, needs, remove_folder, shared_folder
 
 #: Bytes of records after which an archive file ends, before they are compressed; bytes that are packed as one
 #: gzip member at most, which keeps the last byte of each member 0; bytes that are unpacked at a time.
@@ -203,6 +203,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
 
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ease()
             for data in batch["content"]:
                 rows, held = [], 0
                 for r in arc_records(data.as_py()):
@@ -321,6 +322,7 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
 def _records(spark: SparkSession, path: str, payloads: bool) -> DataFrame:
     def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            ease()
             for data in batch["content"]:
                 rows, held = [], 0
                 for head, block in warc_records(data.as_py()):

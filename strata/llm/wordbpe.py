@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import needs, text_of
+from strata.llm.common import ease, needs, text_of
 
 LIMIT = 2048
 #: Words whose counts a worker keeps before it starts afresh, and pairs of tokens.
@@ -308,6 +308,7 @@ def token_counts(documents: DataFrame, path: str, limit: int = LIMIT) -> DataFra
 
     @F.pandas_udf("n long, fit long")
     def counted(texts: pd.Series) -> pd.DataFrame:
+        ease()
         n, fit = counter(path).totals([*texts], limit)
         return pd.DataFrame({"n": pd.Series(n, dtype="int64"), "fit": pd.Series(fit, dtype="int64")})
 
