@@ -297,7 +297,7 @@ def near_duplicates(documents: DataFrame, n: int = 3, h: int = 2) -> DataFrame:
 # ---------------------------------------------------------------- keeping one document of each group
 
 #: Texts of a class, and bytes of these, that one task compares at a time.
-CHUNK, CHUNK_BYTES = 4000, 16 << 20
+CHUNK, CHUNK_BYTES = 4000, 8 << 20
 
 
 def _copies(similar: float, n: int):
@@ -312,7 +312,7 @@ def _copies(similar: float, n: int):
         for batch in batches:
             ease()
             gone = []
-            for c, part, digest, text in zip(*(batch[x].to_pylist() for x in ("class", "chunk", "digest", "text"))):
+            for c, part, digest, text in (r for i in range(0, batch.num_rows, 500) for r in zip(*(batch.slice(i, 500)[x].to_pylist() for x in ("class", "chunk", "digest", "text")))):
                 if at != (c, part):
                     at, last, kept, index = (c, part), None, [], {}
                 if digest == last:  # a row equal to the one before
@@ -396,9 +396,9 @@ def _gone(rows: DataFrame, live: DataFrame, similar: float, n: int) -> DataFrame
         turn += 1
 
 
-#: Shingles in the prefixes of more texts than this come last in the order of shingles, so that few texts
-#: have them in their prefix; so many are held by the driver at most. Neither changes which pairs are found.
-HOT_TEXTS, MOST_HOT = 20, 200_000
+#: A shingle in more texts than this is hot: it comes last in the order of shingles. So many are held by the
+#: driver at most, the most frequent ones.
+HOT_TEXTS, MOST_HOT = 20, 1_000_000
 
 
 def _shared(size):
@@ -406,10 +406,14 @@ def _shared(size):
     return F.floor(size / 20) + 1 if isinstance(size, Column) else size // 20 + 1
 
 
-def _prefixes(similar: float, n: int, hot: Broadcast | None):
-    """Rows (id, class, fresh, text) -> (x, id, class, fresh, size): the first shingles of each text, in the order
-    of their hashes with the hot ones last, of which two texts that resemble each other have at least so many
-    in common as _shared says of the smaller."""
+def _prefixes(similar: float, n: int, hot: Broadcast | None, whole: bool = False):
+    """Rows (id, class, fresh, text) -> (x, id, class, fresh, size, own): the first shingles of each text, in the
+    order of their hashes with the hot ones last, of which two texts that resemble each other have at least so
+    many in common as _shared says of the smaller. own is how many shingles of a text aren't hot.
+
+    Hot shingles aren't given. A text whose first shingles reach into them has a row instead, with size
+    negative and x a hash of all its hot shingles. If whole, all shingles of such texts are given, and nothing else.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         late = np.empty(0, np.int64) if hot is None else hot.value
@@ -417,25 +421,40 @@ def _prefixes(similar: float, n: int, hot: Broadcast | None):
             ease()
             for begin in range(0, batch.num_rows, 500):
                 part = batch.slice(begin, 500)
-                firsts, sizes = [], []
+                firsts, sizes, owns = [], [], []
                 for text in part["text"].to_pylist():
-                    own = np.unique(shingle_hashes(text, n)).view(np.int64)
-                    size = len(own)
+                    mine = np.unique(shingle_hashes(text, n)).view(np.int64)
+                    size = own = len(mine)
+                    first = size - math.ceil(similar * size - 1e-9) + _shared(size) if size else 0
+                    is_hot = np.zeros(size, bool)
                     if len(late) and size:
-                        last = late[np.minimum(np.searchsorted(late, own), len(late) - 1)] == own
-                        own = np.concatenate([own[~last], own[last]])
-                    firsts.append(own[: size - math.ceil(similar * size - 1e-9) + _shared(size)] if size else own)
-                    sizes.append(size)
+                        is_hot = late[np.minimum(np.searchsorted(late, mine), len(late) - 1)] == mine
+                        own = size - int(is_hot.sum())
+                    if whole:
+                        firsts.append(mine if is_hot[:first].any() else mine[:0])
+                        sizes.append(np.full(len(firsts[-1]), size))
+                    else:
+                        cool = mine[~is_hot][:first]
+                        mark = [xxhash.xxh64_intdigest(mine[is_hot].tobytes()) - (1 << 63)] if own < first else []
+                        firsts.append(np.r_[cool, np.array(mark, np.int64)])
+                        sizes.append(np.r_[np.full(len(cool), size), np.full(len(mark), -size)])
+                    owns.append(own)
                 if not firsts:
                     continue
                 count = [len(f) for f in firsts]
                 named = [pa.array(np.repeat(part[c].to_numpy(zero_copy_only=False), count)) for c in ("id", "class", "fresh")]
-                size_of = pa.array(np.repeat(np.array(sizes, np.int32), count))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *named, size_of], names=["x", "id", "class", "fresh", "size"])
+                of_text = [pa.array(x.astype(np.int32)) for x in (np.concatenate(sizes), np.repeat(owns, count))]
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *named, *of_text], names=["x", "id", "class", "fresh", "size", "own"])
 
     return of
 
 
+def _hottest(firsts: DataFrame) -> np.ndarray:
+    """The hot shingles among rows (x, ..), sorted."""
+    counts = firsts.groupBy("x").count().where(F.col("count") > HOT_TEXTS).orderBy(F.desc("count"), "x").limit(MOST_HOT)
+    return np.sort(counts.select("x").toArrow()["x"].to_numpy().astype(np.int64))
+
+
 def resemblance(a: Column, b: Column, n: int) -> Column:
     """Shared distinct n-word shingles of two texts over all of theirs; 1 if neither has any."""
 
@@ -455,37 +474,50 @@ def resemblance(a: Column, b: Column, n: int) -> Column:
 
 def similar_classes(rows: DataFrame, staying: DataFrame, similar: float, n: int) -> DataFrame:
     """Links (u, v) of classes that have a pair of staying texts, one of them fresh, with a resemblance of
-    `similar` or more; none is missed.
+    `similar` or more.
 
     staying (rep, digest, class, fresh) is kept in a checkpoint; rows (doc_id, digest, text) has each text once. Two
     such texts share shingles in the prefixes of both (see _prefixes); pairs that share enough, and whose
-    sizes allow it, are compared by their texts. Where many texts share a shingle AQE splits the join.
+    sizes allow it, are compared by their texts. Hot shingles pair no texts, so no group of texts that share
+    a passage is listed in pairs. Of texts that are mostly hot, those with the same hot shingles are a group: the
+    one with the fewest others is compared with each by their numbers, which finds all links of the group, as
+    no pair could be linked that isn't with it. What isn't found are texts that are mostly hot, with different
+    sets of hot shingles and no other shingle in common.
     """
     spark = rows.sparkSession
     context = spark.sparkContext
     staying = cut(staying.withColumn("id", F.monotonically_increasing_id()))
     few = if_small(staying)
     texts = rows.withColumnRenamed("doc_id", "rep").join(few, ["rep", "digest"]).select("id", "class", "fresh", "text")
-    schema = "x long, id long, class long, fresh boolean, size int"
-    firsts = texts.mapInArrow(_prefixes(similar, n, None), schema)
-    counts = firsts.groupBy("x").count().where(F.col("count") > HOT_TEXTS).orderBy(F.desc("count"), "x").limit(MOST_HOT)
-    hot = np.sort(np.array([r.x for r in counts.collect()], np.int64))
+    schema = "x long, id long, class long, fresh boolean, size int, own int"
+    hot = _hottest(texts.mapInArrow(_prefixes(similar, n, None), schema))
+    if len(hot):
+        hot = np.union1d(hot, _hottest(texts.mapInArrow(_prefixes(similar, n, context.broadcast(hot), whole=True), schema)))
     firsts = texts.mapInArrow(_prefixes(similar, n, context.broadcast(hot)), schema)
-    firsts = cut(firsts.withColumn("n", F.count("*").over(Window.partitionBy("x"))).where("n > 1").drop("n"))
-    a, b = (firsts.select("x", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "class", "fresh", "size"))) for k in "ab")
+    firsts = cut(firsts.withColumn("n", F.count("*").over(Window.partitionBy("x", F.col("size") < 0))).where("n > 1").drop("n"))
+
+    marked = firsts.where("size < 0")
+    least = cut(marked.groupBy("x").agg(F.min(F.struct("own", "id", "class", "fresh")).alias("m")).select("x", F.col("m.own").alias("own_m"), F.col("m.class").alias("class_m"), F.col("m.fresh").alias("fresh_m")))
+    close = marked.join(if_small(least), "x").where(
+        (F.col("own") + F.col("own_m") <= (-F.col("size") - F.col("own")) * (1 / similar - 1) + 1e-9) & (F.col("class") != F.col("class_m")) & (F.col("fresh") | F.col("fresh_m"))
+    )
+
+    cool = firsts.where("size > 0").withColumn("hot", F.col("own") < F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9) + _shared(F.col("size")))
+    a, b = (cool.select("x", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "class", "fresh", "size", "hot"))) for k in "ab")
     met = a.join(b, "x").where(
         (F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b")) & (F.col("fresh_a") | F.col("fresh_b"))
         & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similar - 1e-9)
     )
-    pairs = met.groupBy("id_a", "id_b", "class_a", "class_b").agg(F.count("*").alias("k"), F.min(_shared(F.least("size_a", "size_b"))).alias("least"))
+    enough = F.when(F.col("hot_a") & F.col("hot_b"), F.lit(1)).otherwise(_shared(F.least("size_a", "size_b")))
+    pairs = met.groupBy("id_a", "id_b", "class_a", "class_b").agg(F.count("*").alias("k"), F.min(enough).alias("least"))
     pairs = cut(pairs.where("k >= least").drop("k", "least"))
     ids = cut(pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct().join(staying, "id").select("id", "rep", "digest"))
     held = rows.withColumnRenamed("doc_id", "rep").join(if_small(ids), ["rep", "digest"]).select("id", "text")
     both = pairs.join(held.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(
         held.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b"
     )
-    alike = both.where(resemblance(F.col("text_a"), F.col("text_b"), n) >= similar - 1e-9)
-    return cut(alike.select(F.col("class_a").alias("u"), F.col("class_b").alias("v")).distinct())
+    alike = both.where(resemblance(F.col("text_a"), F.col("text_b"), n) >= similar - 1e-9).select(F.col("class_a").alias("u"), F.col("class_b").alias("v"))
+    return cut(alike.unionByName(close.select(F.col("class").alias("u"), F.col("class_m").alias("v"))).distinct())
 
 
 def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: float = 0.8) -> DataFrame:
@@ -495,8 +527,8 @@ def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: f
     class, a text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller
     doc_id that stays, so every row dropped is a near copy of one kept, or in a class beyond a chunk linked to one
     by a chain of near copies, and what the fingerprints alone brought together stays. Then classes are united that still have a pair of staying texts with such a resemblance,
-    found by shared shingles whatever the fingerprints, and compared again, until there is none: no two texts
-    stay that resemble each other so.
+    found by shared shingles whatever the fingerprints, and compared again, until there is none: apart from texts
+    that are mostly shingles of very many texts (see similar_classes), no two stay that resemble each other so.
     Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
     Null texts count as empty; texts without words are copies of each other. A null doc_id stays only if no
     other row has its text, and isn't compared otherwise. An empty table gives no rows.

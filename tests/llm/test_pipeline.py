@@ -94,3 +94,11 @@ def test_near_copies_are_caught_and_others_stay(spark):
     assert kept >= {*alone}
     caught = sum(1 for g in groups for i in g[1:] if i not in kept)
     assert caught >= 0.9 * 3 * len(groups) and all(kept & {*g} for g in groups)
+
+
+def test_near_copies_among_texts_that_share_a_passage(spark):
+    """Hundreds of texts that are mostly one passage: those with little else go, those with more all stay."""
+    passage = [f"p{i}" for i in range(200)]
+    rows = [(i, " ".join(passage + [f"x{i}y{k}" for k in range(8 if i % 2 else 60)])) for i in range(300)]
+    kept = {r.doc_id for r in simhash.without_near_copies(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()}
+    assert kept >= {i for i in range(300) if i % 2 == 0} and len([i for i in kept if i % 2]) == 1
