@@ -13,6 +13,7 @@ from strata.catalogues import scoring as scores
 from strata.functions import text as txt
 from strata.operators import code, diff, graph, inventory, plugins, rules, scoring, secrets, taint
 from strata.operators.manifest import dangerous, link_rules
+from strata.plans import detect
 from strata.plans.views import table, values, view, with_views
 from strata.sources.archives import merged
 from strata.streaming import events
@@ -628,3 +629,9 @@ def plugin_udtf(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def approx_rule_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "findings").groupBy("rule_id").agg(F.approx_count_distinct("app_id").alias("apps"), F.percentile_approx("line_number", 0.5, 1000).alias("middle_line"))
+
+
+# ---------------------------------------------------------------- detectors
+
+QUERIES |= detect.QUERIES
+SQL |= detect.SQL
