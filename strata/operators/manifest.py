@@ -41,7 +41,7 @@ def manifest_rules(manifests: DataFrame) -> DataFrame:
         ("MANIFEST_CLEARTEXT", F.col("uses_cleartext_traffic")),
         ("STORAGE_BACKUP_ENABLED", F.col("allow_backup")),
         ("MANIFEST_NSC_MISSING", F.coalesce("network_security_config", F.lit("")) == ""),
-        ("MANIFEST_TARGET_SDK_LOW", F.col("target_sdk") < 29),
+        ("MANIFEST_TARGET_SDK_LOW", F.col("target_sdk").between(1, 29)),
         ("PRIVACY_LOCATION_BACKGROUND", has("ACCESS_BACKGROUND_LOCATION")),
         ("PRIVACY_NETWORK_STATE_COMBINED", has("ACCESS_NETWORK_STATE") & has("ACCESS_FINE_LOCATION")),
     ]).select("app_id", "rule_id")

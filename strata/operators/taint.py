@@ -9,11 +9,12 @@ Values are never overwritten by clean ones: facts only grow, in the order of the
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from strata.catalogues import flows as labels
 from strata.catalogues import taint as values
-from strata.plans.keep import fixed, keep
+from strata.plans.keep import fixed, keep, small
 
 KEYS = ["app_id", "method"]
 
@@ -39,27 +40,27 @@ def intra_method(code: DataFrame) -> DataFrame:
 
 def sanitised_state(flows: DataFrame, covers: DataFrame) -> DataFrame:
     """flows (.., sanitizers array, sink_label) with `neutralisation`: full if one of the sanitizers applied
-    covers the sink's label, partial if some were applied and none does, none without any."""
+    covers the sink's label, partial if some were applied and none does, none without any. flow_id tells the
+    rows of flows apart."""
     own = covers.groupBy("sanitizer").agg(F.collect_set("sink_label").alias("labels"))
-    each = flows.withColumn("_n", F.monotonically_increasing_id()) if "flow_id" not in flows.columns else flows.withColumn("_n", F.col("flow_id"))
-    hit = each.select("_n", "sink_label", F.explode("sanitizers").alias("sanitizer")).join(F.broadcast(own), "sanitizer", "left")
+    each = flows.withColumn("_n", F.col("flow_id"))
+    hit = each.select("_n", "sink_label", F.explode("sanitizers").alias("sanitizer")).join(small(keep(own)), "sanitizer", "left")
     state = hit.groupBy("_n").agg(F.max(F.coalesce(F.array_contains("labels", F.col("sink_label")), F.lit(False))).alias("_full"))
     word = F.when(F.col("_full"), "full").when(F.col("_full").isNotNull(), "partial").otherwise("none")
     return each.join(state, "_n", "left").withColumn("neutralisation", word).drop("_n", "_full")
 
 
-def closed(steps: DataFrame, starts: DataFrame, rounds: int = 200) -> DataFrame:
+def closed(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """(app_id, method, start, slot, since): slots that each start's value is in, from which position on.
 
     steps (app_id, method, pos, read, write): the value of slot `read` goes to `write` at pos, if it was there
-    before. starts (app_id, method, start, slot, since). With loops, `loop` steps (pos null) hold anywhere.
+    before. starts (app_id, method, start, slot, since). With loops, `loop` steps (pos null) hold anywhere. It runs
+    until nothing changes, which comes as `since` only falls.
     """
     steps = keep(steps)
     state = keep(starts.groupBy("app_id", "method", "start", "slot").agg(F.min("since").alias("since")))
     moving = state
-    for _ in range(rounds):
-        if moving.isEmpty():
-            break
+    while not moving.isEmpty():
         next_ = moving.join(steps.withColumnRenamed("read", "slot"), [*KEYS, "slot"]).where("pos is null or pos > since")
         copied = next_.groupBy("app_id", "method", "start", F.col("write").alias("slot")).agg(F.min(F.coalesce("pos", "since")).alias("since"))
         known = state.withColumnRenamed("since", "_since")
@@ -123,7 +124,72 @@ def first_flows(flows: DataFrame) -> DataFrame:
     return flows.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n")
 
 
-def relabelled(sink_label, source_label):
+def relabelled(sink_label: Column, source_label: Column) -> Column:
     """PII_LOG and PII_NETWORK for personal data that is logged or sent."""
-    personal = source_label.isin("DEVICE_ID", "LOCATION", "CONTACT", "ACCOUNT", "CLIPBOARD")
+    personal = source_label.isin(*labels.PERSONAL)
     return F.when(personal & (sink_label == "LOG"), "PII_LOG").when(personal & (sink_label == "NETWORK_OUT"), "PII_NETWORK").otherwise(sink_label)
+
+
+def classified(flows: DataFrame) -> DataFrame:
+    """flows (source_label, sink_label, chain, ..) as findings: the sink label made personal where it is, then
+    rule_id, severity, confidence and cwe_id by the labels and the length of the chain."""
+    source, sink, chain = F.col("source_label"), F.col("sink_label"), F.col("chain")
+    pair = lambda rows: F.struct(source, sink).isin([F.struct(F.lit(a), F.lit(b)) for a, b in rows])
+    severity = F.lit("MEDIUM")
+    for label, of, word in reversed(labels.SEVERITIES):
+        severity = F.when((sink == label) & (source.isin(*of) if of else F.lit(True)), word).otherwise(severity)
+    near = F.when(chain <= 3, "HIGH").when(chain <= 8, "MEDIUM").otherwise("LOW")
+    confidence = F.when(source.isin(*labels.NOISY_SOURCES), "LOW").when(pair(labels.CERTAIN_PAIRS) & (chain <= 5), "HIGH").otherwise(near)
+    cwe = F.when(sink.isin("PII_LOG", "PII_NETWORK"), "CWE-359").otherwise(
+        F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for a, b, c in labels.WEAKNESSES for x in (f"{a}>{b}", c))), F.concat(source, F.lit(">"), sink)), F.lit("CWE-200"))
+    )
+    named = flows.withColumn("sink_label", relabelled(sink, source))
+    return named.withColumns({
+        "rule_id": F.concat(F.lit("TAINT_"), source, F.lit("_TO_"), sink), "severity": severity, "confidence": confidence, "cwe_id": cwe,
+    })
+
+
+def matched(calls: DataFrame) -> DataFrame:
+    """calls (class_name, method_name, ..) with (role, label, param) of each source, sink and sanitizer that they
+    are; a method of * fits all of a class. A sanitizer has no param."""
+    spark = calls.sparkSession
+    rows = [("source", c, m, label, p) for c, m, label, p in values.SOURCES] + [("sink", c, m, label, p) for c, m, label, p in values.SINKS]
+    rows += [("sanitizer", c, m, label, None) for c, m, label, _ in values.SANITIZERS]
+    table = fixed(spark, rows, "role string, _class string, _name string, label string, param int")
+    fits = (F.col("class_name") == F.col("_class")) & F.col("_name").isin("*", F.col("method_name"))
+    return calls.join(table, fits).drop("_class", "_name")
+
+
+def access_steps(code: DataFrame) -> DataFrame:
+    """Steps (app_id, method, pos, read, write), see closed, of instructions (app_id, method, pos, op, dst, src, obj, field).
+
+    move copies src to dst; iput and iget go through a field of the object in obj; add and get go through a
+    container, all of whose elements are one slot.
+    """
+    slot = lambda c: F.concat(F.lit("v"), F.col(c))
+    field, element = F.concat(slot("obj"), F.lit("."), "field"), F.concat(slot("obj"), F.lit("[]"))
+    op = F.col("op")
+    read = F.when(op.isin("move", "iput", "add"), slot("src")).when(op == "iget", field).when(op == "get", element)
+    write = F.when(op.isin("move", "iget", "get"), slot("dst")).when(op == "iput", field).when(op == "add", element)
+    return code.select("app_id", "method", F.col("pos").cast("long").alias("pos"), read.alias("read"), write.alias("write")).where("read is not null and read <> write")
+
+
+def static_fields(code: DataFrame) -> DataFrame:
+    """(app_id, field): static fields that a source's value gets into, through any methods of the app.
+
+    code (app_id, method, pos, op, dst, src, field): source, move, sput and sget. Reads of a static field come in no
+    order with its writes, so a field, once tainted, is at all of its reads.
+    """
+    steps = keep(access_steps(code.withColumn("obj", F.lit(0))).unionByName(
+        code.where("op = 'sput'").select("app_id", "method", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("v"), "src").alias("read"), F.concat(F.lit("s:"), "field").alias("write"))
+    ))
+    reads = keep(code.where("op = 'sget'").select("app_id", "method", "field", F.concat(F.lit("v"), "dst").alias("slot"), F.col("pos").cast("long").alias("since")))
+    starts = code.where("op = 'source'").select("app_id", "method", F.concat(F.lit("v"), "dst").alias("slot"), F.col("pos").cast("long").alias("since"))
+    found = None
+    while True:
+        got = closed(steps, starts.withColumn("start", F.lit("t"))).where("slot like 's:%'").select("app_id", F.expr("substring(slot, 3)").alias("field")).distinct()
+        new = keep(got if found is None else got.join(found, ["app_id", "field"], "left_anti"))
+        if new.isEmpty():
+            return found if found is not None else new
+        found = new if found is None else keep(found.unionByName(new))
+        starts = starts.unionByName(reads.join(new, ["app_id", "field"]).select("app_id", "method", "slot", "since"))

@@ -13,7 +13,8 @@ from strata.catalogues import scoring as scores
 from strata.functions import text as txt
 from strata.operators import code, diff, graph, inventory, plugins, rules, scoring, secrets, taint
 from strata.operators.manifest import dangerous, link_rules
-from strata.plans import detect
+from strata.plans import detect, flow
+from strata.plans.keep import keep, small
 from strata.plans.views import table, values, view, with_views
 from strata.sources.archives import merged
 from strata.streaming import events
@@ -459,8 +460,8 @@ _CLASS_EDGES = "links as (select r_name as src, n_name as dst from nation join r
 
 def _class_links(spark: SparkSession, d: str) -> DataFrame:
     nation, region, customer = (table(spark, d, t) for t in ("nation", "region", "customer"))
-    up = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
-    return up.union(customer.join(F.broadcast(nation), F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_name"))
+    up = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(F.col("r_name").alias("src"), F.col("n_name").alias("dst"))
+    return up.union(customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).select("n_name", "c_name"))
 
 
 @query(f"with recursive {_CLASS_EDGES}, below(root, node, level) as (select r_name, r_name, 0 from region union select root, dst, level + 1 from below join links on node = src) select root, node, cast(level as int) as level from below")
@@ -474,7 +475,8 @@ def class_closure(spark: SparkSession, d: str) -> DataFrame:
 )
 def cha_dispatch(spark: SparkSession, d: str) -> DataFrame:
     customer = table(spark, d, "customer")
-    asks = table(spark, d, "region").select(F.col("r_name").alias("receiver")).join(F.broadcast(customer.select(F.col("c_mktsegment").alias("method_name")).distinct()))
+    segments = keep(customer.select(F.col("c_mktsegment").alias("method_name")).distinct())
+    asks = table(spark, d, "region").select(F.col("r_name").alias("receiver")).join(small(segments))  # five regions by five segments
     return graph.dispatch(asks, _class_links(spark, d), customer.select(F.col("c_name").alias("class_name"), F.col("c_mktsegment").alias("method_name")))
 
 
@@ -631,7 +633,7 @@ def approx_rule_cardinality(spark: SparkSession, d: str) -> DataFrame:
     return view(spark, d, "findings").groupBy("rule_id").agg(F.approx_count_distinct("app_id").alias("apps"), F.percentile_approx("line_number", 0.5, 1000).alias("middle_line"))
 
 
-# ---------------------------------------------------------------- detectors
+# ---------------------------------------------------------------- detectors, flows and edges
 
-QUERIES |= detect.QUERIES
-SQL |= detect.SQL
+QUERIES |= detect.QUERIES | flow.QUERIES
+SQL |= detect.SQL | flow.SQL
