@@ -245,7 +245,7 @@ def test_classes(spark: SparkSession, d: str) -> DataFrame:
 _ROT = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz', 'NOPQRSTUVWXYZABCDEFGHIJKLMnopqrstuvwxyzabcdefghijklm')"
 
 
-@_query(f"""select p_partkey, case p_partkey % 4 when 0 then case when length(p_type) >= 6 then p_type end when 1 then case when length(p_name) >= 3 then p_name end when 2 then reverse(p_name) else {_ROT.format('p_name')} end as text from part""")
+@_query(f"""select p_partkey, case p_partkey % 4 when 0 then case when length(p_type) >= 4 then p_type end when 1 then case when length(p_name) >= 3 then p_name end when 2 then reverse(p_name) else {_ROT.format('p_name')} end as text from part""")
 def decoded_strings(spark: SparkSession, d: str) -> DataFrame:
     rows, k = spark.read.parquet(f"{d}/part.parquet"), F.col("p_partkey") % 4
     coded = F.when(k == 0, F.base64(F.col("p_type").cast("binary"))).when(k == 1, F.hex("p_name")).otherwise(F.col("p_name"))

@@ -13,7 +13,7 @@ from strata.catalogues import scoring as scores
 from strata.functions import text as txt
 from strata.operators import code, diff, graph, inventory, plugins, rules, scoring, secrets, taint
 from strata.operators.manifest import dangerous, link_rules
-from strata.plans import detect, flow
+from strata.plans import detect, flow, report
 from strata.plans.keep import keep, small
 from strata.plans.views import table, values, view, with_views
 from strata.sources.archives import merged
@@ -62,16 +62,16 @@ def confidence_adjust(spark: SparkSession, d: str) -> DataFrame:
     return scoring.adjusted_confidence(view(spark, d, "findings")).select("event_id", "rule_id", "confidence_raw", "confidence")
 
 
-@query(
-    f""", names as (select * from {values(scores.OWASP_NAMES, 'code, name')}), exact as (select * from {values(scores.OWASP_RULES, 'rule_id, code')}),
-    prefixes as (select * from {values([(i, *r) for i, r in enumerate(scores.OWASP_PREFIXES)], 'ord, prefix, code')}), cats as (select * from {values(scores.OWASP_BY_CATEGORY, 'category, code')})
-    select event_id, f.rule_id, coalesce((select name from names n where n.code = coalesce(e.code,
+_OWASP = f""", names as (select * from {values(scores.OWASP_NAMES, 'code, name')}), exact as (select * from {values(scores.OWASP_RULES, 'rule_id, code')}),
+    prefixes as (select * from {values([(i, *r) for i, r in enumerate(scores.OWASP_PREFIXES)], 'ord, prefix, code')}), cats as (select * from {values(scores.OWASP_BY_CATEGORY, 'category, code')}),
+    owasp as (select event_id, f.rule_id, coalesce((select name from names n where n.code = coalesce(e.code,
         (select arg_min(p.code, p.ord) from prefixes p where starts_with(f.rule_id, p.prefix)),
         case when f.rule_id not like 'TAINT_%' then null when regexp_matches(f.rule_id, 'EXEC|COMMAND|WEBVIEW|JS_INJECT|SQL') then 'M4' when regexp_matches(f.rule_id, 'OPEN_REDIRECT|DEEPLINK_REDIRECT|NETWORK') then 'M5'
              when regexp_matches(f.rule_id, 'STORAGE|FILE_WRITE|PREFS') then 'M9' when f.rule_id like '%PENDING_INTENT%' then 'M8' when f.rule_id like '%LOG%' then 'M6' end, c.code)), '') as owasp_category
-    from findings f left join exact e on f.rule_id = e.rule_id left join cats c on f.category = c.category""",
-    "findings",
-)
+    from findings f left join exact e on f.rule_id = e.rule_id left join cats c on f.category = c.category)"""
+
+
+@query(_OWASP + " select * from owasp", "findings")
 def owasp_assign(spark: SparkSession, d: str) -> DataFrame:
     return scoring.owasp_category(view(spark, d, "findings")).select("event_id", "rule_id", "owasp_category")
 
@@ -180,9 +180,10 @@ def scan_listing(spark: SparkSession, d: str) -> DataFrame:
     return rows.orderBy(F.desc("ts"), "event_id").limit(8)
 
 
-@query("select app_id, owasp, count(*) as n from (select app_id, substr(rule_id, 1, 4) as owasp from findings) t group by app_id, owasp having count(*) > 3", "findings")
+@query(_OWASP + " select app_id, owasp_category, count(*) as n from findings join owasp using (event_id) where owasp_category <> '' group by app_id, owasp_category", "findings")
 def owasp_coverage(spark: SparkSession, d: str) -> DataFrame:
-    return view(spark, d, "findings").groupBy("app_id", F.substring("rule_id", 1, 4).alias("owasp")).agg(F.count("*").alias("n")).where("n > 3")
+    rows = scoring.owasp_category(view(spark, d, "findings")).where("owasp_category <> ''")
+    return rows.groupBy("app_id", "owasp_category").agg(F.count("*").alias("n"))
 
 
 # ---------------------------------------------------------------- comparing reports
@@ -324,9 +325,9 @@ _PRIVATE = "(?i)http://(?:127\\.|10\\.|192\\.168\\.|172\\.(?:1[6-9]|2[0-9]|3[01]
 _URL = r"http://[a-zA-Z0-9._~:/?#\[\]@!$&'()*+,;=%-]+"
 
 
-@query(f"select page_id, url from (select page_id, unnest(regexp_extract_all(html, $re${_URL}$re$)) as url from pages) t where not regexp_matches(url, '{_PRIVATE}')")
+@query(f"select page_id, url from (select page_id, unnest(regexp_extract_all(html, $re${_URL}$re$)) as url from resources) t where not regexp_matches(url, '{_PRIVATE}')", "resources")
 def resource_html_http(spark: SparkSession, d: str) -> DataFrame:
-    urls = table(spark, d, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_URL), 0)).alias("url"))
+    urls = view(spark, d, "resources").select("page_id", F.explode(F.regexp_extract_all("html", F.lit(_URL), 0)).alias("url"))
     return urls.where(~F.col("url").rlike(_PRIVATE))
 
 
@@ -335,9 +336,9 @@ def cleartext_urls(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").where(F.col("url").rlike(r"(?i)\bhttp://") & ~F.col("url").rlike(_PRIVATE)).select("page_id", "url")
 
 
-@query("select doc_id from documents where regexp_matches(text, '-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY-----')")
+@query("select doc_id from key_files where regexp_matches(text, '-----BEGIN (?:RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY-----')", "key_files")
 def private_key_scan(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where(F.col("text").rlike("-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY-----")).select("doc_id")
+    return view(spark, d, "key_files").where(F.col("text").rlike("-----BEGIN (RSA |EC |DSA |OPENSSH |ENCRYPTED |)PRIVATE KEY-----")).select("doc_id")
 
 
 # ---------------------------------------------------------------- manifests and inventory
@@ -618,7 +619,7 @@ def event_sessions(spark: SparkSession, d: str) -> DataFrame:
     return events.sessions(table(spark, d, "events"), "1 day").select("user_id", F.unix_seconds("start").alias("start"), "n")
 
 
-@query()
+@query("select user_id, event_type, count(*) as n from events group by user_id, event_type")
 def stream_incremental(spark: SparkSession, d: str) -> DataFrame:
     return events.incremental_counts(spark, f"{d}/events.parquet")
 
@@ -635,5 +636,5 @@ def approx_rule_cardinality(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- detectors, flows and edges
 
-QUERIES |= detect.QUERIES | flow.QUERIES
-SQL |= detect.SQL | flow.SQL
+QUERIES |= detect.QUERIES | flow.QUERIES | report.QUERIES
+SQL |= detect.SQL | flow.SQL | report.SQL

@@ -67,6 +67,11 @@ VIEWS: dict[str, tuple[str, str]] = {
         """select page_id, lower(split_part(url, '://', 1)) as scheme, split_part(split_part(url, '://', 2), '/', 1) as host,
             page_id % 3 = 0 as auto_verify, page_id % 5 = 0 as has_path, cast(page_id % 7 as bigint) as component from pages""",
     ),
+    "resources": (
+        "pages",
+        """select page_id, html || case page_id % 4 when 0 then ' src="http://cdn.example.com/lib.js"' when 1 then ' src="http://10.0.0.1/x.js" href="http://localhost/y"' else '' end as html from pages""",
+    ),
+    "key_files": ("documents", "select doc_id, case doc_id % 50 when 0 then '-----BEGIN RSA PRIVATE KEY-----' when 1 then '-----BEGIN PRIVATE KEY-----' when 2 then '-----BEGIN PUBLIC KEY-----' else '' end || coalesce(text, '') as text from documents"),
     "app_classes": ("part", f"select cast(p_size % 23 as bigint) as app_id, {_case(f'p_partkey % {len(SDK_CLASSES)}', SDK_CLASSES)} as class_name from part"),
     "mined_versions": (
         "part",
