@@ -49,7 +49,8 @@ VIEWS: dict[str, tuple[str, str]] = {
     "calls": (
         "lineitem",
         """select distinct src, dst from (select l_partkey as src, lead(l_partkey) over (partition by l_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice, l_shipdate) as dst,
-            l_returnflag, l_quantity from lineitem) t where l_returnflag = 'R' and l_quantity >= 45 and dst is not null and src <> dst""",
+            l_returnflag, l_quantity from lineitem) t where l_returnflag = 'R' and l_quantity >= 45 and dst is not null and src <> dst
+            union select -100 + l_partkey % 12, -99 + l_partkey % 12 from lineitem union select 10000000 + l_suppkey % 10, 10000000 + (l_suppkey + 1) % 10 from lineitem""",
     ),
     "instructions": (
         "lineitem",
