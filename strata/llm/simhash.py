@@ -23,7 +23,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, ease, fresh, if_small, needs, text_of
+from strata.llm.common import cut, ease, fresh, if_small, needs, small_batches, text_of
 from strata.llm.graph import connected_components
 
 #: Fingerprints in an index node before it is split on further bits.
@@ -520,20 +520,8 @@ def similar_classes(rows: DataFrame, staying: DataFrame, similar: float, n: int)
     return cut(alike.unionByName(close.select(F.col("class").alias("u"), F.col("class_m").alias("v"))).distinct())
 
 
-def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: float = 0.8) -> DataFrame:
-    """documents, with all their columns, less copies: of each group of near copies one row stays.
-
-    First candidates are the classes that SimHash fingerprints of distinct words form within h bits. In a
-    class, a text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller
-    doc_id that stays, so every row dropped is a near copy of one kept, or in a class beyond a chunk linked to one
-    by a chain of near copies, and what the fingerprints alone brought together stays. Then classes are united that still have a pair of staying texts with such a resemblance,
-    found by shared shingles whatever the fingerprints, and compared again, until there is none: apart from texts
-    that are mostly shingles of very many texts (see similar_classes), no two stay that resemble each other so.
-    Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
-    Null texts count as empty; texts without words are copies of each other. A null doc_id stays only if no
-    other row has its text, and isn't compared otherwise. An empty table gives no rows.
-    """
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+def _staying(documents: DataFrame, digest: Column, h: int, n: int, similar: float) -> DataFrame:
+    """(rep, _digest, _again): the doc_id and digest of each text that stays, and whether rows repeat both."""
     rows = needs(documents, "doc_id", "text").select("doc_id", digest.alias("digest"), text_of().alias("text"))
     base = cut(rows.select("doc_id", "digest", F.octet_length("text").alias("bytes"), word_fingerprint(F.col("text")).alias("fp")))
     texts = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max("bytes").alias("bytes"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")))
@@ -559,7 +547,25 @@ def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: f
         named = cut(named.join(moved.select("digest"), "digest", "left_anti").unionByName(moved))
         gone = cut(gone.join(moved.select("digest"), "digest", "left_anti").unionByName(_gone(rows, moved.select("class", "rep", "digest", "bytes"), similar, n)).distinct())
         before = stay  # any two that stayed in the last round, too, have been compared
-    staying = cut(texts.join(gone, "digest", "left_anti").select("rep", F.col("digest").alias("_digest"), (F.col("n") > F.col("ids")).alias("_again")))
+    return cut(texts.join(gone, "digest", "left_anti").select("rep", F.col("digest").alias("_digest"), (F.col("n") > F.col("ids")).alias("_again")))
+
+
+def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: float = 0.8) -> DataFrame:
+    """documents, with all their columns, less copies: of each group of near copies one row stays.
+
+    First candidates are the classes that SimHash fingerprints of distinct words form within h bits. In a
+    class, a text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller
+    doc_id that stays, so every row dropped is a near copy of one kept, or in a class beyond a chunk linked to one
+    by a chain of near copies, and what the fingerprints alone brought together stays. Then classes are united that still have a pair of staying texts with such a resemblance,
+    found by shared shingles whatever the fingerprints, and compared again, until there is none: apart from texts
+    that are mostly shingles of very many texts (see similar_classes), no two stay that resemble each other so.
+    Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
+    Null texts count as empty; texts without words are copies of each other. A null doc_id stays only if no
+    other row has its text, and isn't compared otherwise. An empty table gives no rows.
+    """
+    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
+    with small_batches(documents.sparkSession):
+        staying = _staying(documents, digest, h, n, similar)
     mark = fresh(documents, "_digest_of")
     out = documents.withColumn(mark, digest).join(
         if_small(staying.select(F.col("rep").alias("_rep"), "_digest")), F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col(mark) == F.col("_digest")), "left_semi"
