@@ -25,7 +25,7 @@ from strata.llm.common import ease, needs, text_of
 
 LIMIT = 2048
 #: Words whose counts a worker keeps before it starts afresh, and pairs of tokens.
-KEPT_WORDS, KEPT_PAIRS = 300_000, 1_000_000
+KEPT_WORDS, KEPT_PAIRS = 1_000_000, 1_000_000
 
 #: Fixed values of the tokenizer's file format: the pattern of its words, and Unicode white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
