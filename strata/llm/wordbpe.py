@@ -30,6 +30,7 @@ KEPT_WORDS, KEPT_PAIRS = 1_000_000, 1_000_000
 #: Fixed values of the tokenizer's file format: the pattern of its words, and Unicode white space.
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[{L}]+|[{N}]|[^{S}{L}{N}]+"
+ASCII_WORDS = re.compile(WORDS.format(L="a-zA-Z", N="0-9", S=SPACE))
 WORD_END = "</w>"
 #: Letters and numbers of Unicode 16, as the library has them, beyond those of Unicode 15.1.
 LETTERS_16 = (
@@ -63,12 +64,16 @@ def _patterns() -> tuple[regex.Pattern, regex.Pattern, re.Pattern, re.Pattern]:
         ends = [i for i, c in enumerate(points) if points[i + 1 : i + 2] != [c + 1]]
         return "".join(f"\\U{points[a]:08x}-\\U{points[b]:08x}" for a, b in zip([0, *(i + 1 for i in ends)], ends))
 
+    def points(ranges: str) -> set[int]:
+        return {c for a, b in re.findall(r"([^-])(?:-([^-]))?", regex.sub(r"\\[uU]([0-9a-f]{8}|[0-9a-f]{4})", lambda m: chr(int(m[1], 16)), ranges)) for c in range(ord(a), ord(b or a) + 1)}
+
     classes = [unicodedata.category(chr(c))[0] for c in range(0x110000)]
-    own = {k: runs([c for c, x in enumerate(classes) if x == k]) + more for k, more in (("L", LETTERS_16), ("N", NUMBERS_16))}
     every = "".join(map(chr, (c for c in range(0x110000) if not 0xD800 <= c < 0xE000)))
-    apart = set(SMALL_17)
-    for k, chars in own.items():
-        apart |= {ord(x) for x in set(regex.findall(rf"\p{{{k}}}", every)) ^ set(regex.findall(f"[{chars}]", every))}
+    apart, own = set(SMALL_17), {}
+    for k, more in (("L", LETTERS_16), ("N", NUMBERS_16)):
+        mine = {c for c, x in enumerate(classes) if x == k} | points(more)
+        own[k] = runs(sorted(mine))
+        apart |= {*map(ord, regex.findall(rf"\p{{{k}}}", every))} ^ mine
     plain, exact = WORDS.format(L=r"\p{L}", N=r"\p{N}", S=SPACE), WORDS.format(**own, S=SPACE)
     return regex.compile(plain), regex.compile(exact), re.compile(f"[{runs(sorted(apart))}]"), re.compile(f"[{chr(min(apart))}-{chr(0x10FFFF)}]")
 
@@ -78,9 +83,9 @@ def _apart(text: str) -> bool:
     return not text.isascii() and beyond.search(text) is not None and apart.search(text) is not None
 
 
-def words_of(text: str) -> regex.Pattern:
+def words_of(text: str) -> re.Pattern | regex.Pattern:
     """The pattern that finds the words of a normalised text as the library does."""
-    return _patterns()[_apart(text)]
+    return ASCII_WORDS if text.isascii() else _patterns()[_apart(text)]
 
 
 def normalised(text: str) -> str:
@@ -116,9 +121,14 @@ class PrefixCounter:
             end = token.endswith(WORD_END) and len(token) > len(WORD_END)
             return bytes(letters[c] for c in (token[: -len(WORD_END)] if end else token)), end
 
-        self.rank = {(symbols(a), symbols(b)): i for i, (a, b) in enumerate(data["model"]["merges"])}
         tokens = [symbols(t) for t in data["model"]["vocab"]]
         self.tokens = tokens
+        known = {t: i for i, t in enumerate(tokens)}
+        self.rank: dict[int, tuple[int, int]] = {}  # of a pair of tokens: its place among the merges, and what it gives
+        for i, (a, b) in enumerate(data["model"]["merges"]):
+            (x, _), (y, end) = a, b = symbols(a), symbols(b)
+            self.rank[known[a] << 20 | known[b]] = i, known[x + y, end]
+        self.bytes = [[known.get((bytes([b]), end), -1) for b in range(256)] for end in (False, True)]
         self.number: dict[bytes, tuple[int, int]] = {}  # of a token within a word and at its end, or -1
         for i, (t, end) in enumerate(tokens):
             own = self.number.get(t, (-1, -1))
@@ -134,22 +144,34 @@ class PrefixCounter:
         self.whole: dict[str, int] = {}  # tokens of all of it
         self.pairs: dict[int, bool] = {}
 
-    def merged(self, data: bytes, end: bool) -> list[tuple[bytes, bool]]:
-        """The tokens of some bytes by their merges, least rank first."""
-        parts = [(data[i : i + 1], end and i == len(data) - 1) for i in range(len(data))]
-        while len(parts) > 1:
-            rank, at = min((self.rank.get(p, 1 << 30), i) for i, p in enumerate(zip(parts, parts[1:])))
-            if rank == 1 << 30:
+    def merged(self, data: bytes, end: bool) -> list[int]:
+        """The numbers of the tokens of some bytes by their merges, least rank first."""
+        inner, ended = self.bytes
+        parts = [inner[b] for b in data]
+        if end:
+            parts[-1] = ended[data[-1]]
+        rank, none = self.rank.get, (1 << 30, -1)
+        ranks = [rank(a << 20 | b, none) for a, b in zip(parts, parts[1:])]
+        while ranks:
+            least = min(ranks)
+            if least is none:
                 break
-            parts[at : at + 2] = [(parts[at][0] + parts[at + 1][0], parts[at + 1][1])]
+            at = ranks.index(least)
+            parts[at : at + 2] = [least[1]]
+            del ranks[at]
+            if at:
+                ranks[at - 1] = rank(parts[at - 1] << 20 | parts[at], none)
+            if at < len(ranks):
+                ranks[at] = rank(parts[at] << 20 | parts[at + 1], none)
         return parts
 
     def follows(self, a: int, b: int) -> bool:
         """Whether token b can stand after token a (-1: at the start); kept in pairs."""
-        want = [self.tokens[b]] if a < 0 else [self.tokens[a], self.tokens[b]]
+        data, end = self.tokens[b]
+        want = [b] if a < 0 else [a, b]
         if len(self.pairs) >= KEPT_PAIRS:
             self.pairs.clear()
-        known = self.pairs[a << 20 | b] = self.merged(b"".join(t for t, _ in want), want[-1][1]) == want
+        known = self.pairs[a << 20 | b] = self.merged(data if a < 0 else self.tokens[a][0] + data, end) == want
         return known
 
     def learn(self, words: set[str]) -> None:
