@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bytebpe, imi, langid, mixing, quality, sharding, simhash, sketch, warc, wordbpe
+from strata.llm import bytebpe, imi, langid, mixing, phrases, quality, sharding, simhash, sketch, warc, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,6 +52,10 @@ def op10_inverted_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imi.search(_table(spark, sf_dir, "embeddings"))
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -65,12 +69,14 @@ QUERIES = {
         op8_quality_classifier,
         op9_arc_to_warc,
         op10_inverted_multi_index,
+        op11_phrase_collocations,
     )
 }
 
 #: DuckDB's SQL has none of XXH64, BPE, the trained models, bin packing and hypergeometric draws, and the
 #: index's neighbours are approximate; those queries are tested against brute force.
 SQL: dict[str, str] = {
+    "op11_phrase_collocations": phrases.SQL,
     "op9_arc_to_warc": """
         with digested as (
             select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
