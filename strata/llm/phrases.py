@@ -57,32 +57,37 @@ def _plain(documents: DataFrame) -> DataFrame:
     return needs(documents, "lang", "text").select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[str, Counter] = {}
-    totals: Counter = Counter()
-
-    def rows() -> pa.RecordBatch:
-        langs, found, n = [], [], []
-        for lang, counts in held.items():
-            langs += [lang] * len(counts)
-            found += counts.keys()
-            n += counts.values()
-        for lang, total in totals.items():
-            langs.append(lang)
-            found.append(None)
-            n.append(total)
-        held.clear()
-        totals.clear()
-        return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
-
-    for lang, text in _texts(batches):
-        found = words(text)
-        counts = held.setdefault(lang, Counter())
-        counts.update(found)
-        totals[lang] += len(found) - counts.pop(b"\n", 0)
-        if sum(map(len, held.values())) > HELD:
-            yield rows()
-    yield rows()
+def _count_words(most: int):
+    """(lang, word, n) of a task's texts, with a null word for all of a language, passed on whenever it holds so many counts."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        totals: Counter = Counter()
+
+        def rows() -> pa.RecordBatch:
+            langs, found, n = [], [], []
+            for lang, counts in held.items():
+                langs += [lang] * len(counts)
+                found += counts.keys()
+                n += counts.values()
+            for lang, total in totals.items():
+                langs.append(lang)
+                found.append(None)
+                n.append(total)
+            held.clear()
+            totals.clear()
+            return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(found, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["lang", "word", "n"])
+
+        for lang, text in _texts(batches):
+            found = words(text)
+            counts = held.setdefault(lang, Counter())
+            counts.update(found)
+            totals[lang] += len(found) - counts.pop(b"\n", 0)
+            if sum(map(len, held.values())) > most:
+                yield rows()
+        yield rows()
+
+    return count
 
 
 def vocabulary(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
@@ -91,7 +96,7 @@ def vocabulary(documents: DataFrame, least: int = LEAST) -> tuple[DataFrame, Dat
     An id is unique over all languages and fits 32 bits; key has its four bytes, the highest first.
     """
     with small_batches(documents.sparkSession):
-        counted = _plain(documents).mapInArrow(_count_words, "lang string, word string, n long")
+        counted = _plain(documents).mapInArrow(_count_words(HELD), "lang string, word string, n long")
         kept = cut(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")).where(F.col("word").isNull() | (F.col("n") >= least)))
     totals = kept.where("word is null").select("lang", "n")
     found = kept.where("word is not null")
@@ -206,7 +211,7 @@ def _rows_of_keys(keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([column, pa.array(counts.astype(np.int64))], ["key", "n"])
 
 
-def _count_runs(size: int, given: Broadcast):
+def _count_runs(size: int, given: Broadcast, at_once: int):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         zero, held, n = np.zeros(1, np.uint32), [], 0
 
@@ -220,7 +225,7 @@ def _count_runs(size: int, given: Broadcast):
             for raw in batch.column("ids").to_pylist():
                 held += [np.frombuffer(raw, np.uint32), zero]
                 n += len(raw) // 4
-                if n > IDS:
+                if n > at_once:
                     yield from rows()
                     n = 0
         if held:
@@ -257,7 +262,7 @@ def _run_lengths(size: int, least: int):
 def frequent_runs(runs: DataFrame, size: int, known: list[np.ndarray | None], least: int = LEAST) -> DataFrame:
     """(key, n) of the runs of so many ids that occur least times in (ids); known has the frequent shorter runs."""
     spark = runs.sparkSession
-    counted = runs.mapInArrow(_count_runs(size, spark.sparkContext.broadcast(known)), "key binary, n long")
+    counted = runs.mapInArrow(_count_runs(size, spark.sparkContext.broadcast(known), IDS), "key binary, n long")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     return cut(counted.repartitionByRange(parts, "key").sortWithinPartitions("key").mapInArrow(_run_lengths(size, least), "key binary, n long"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from strata.llm import bytebpe, imi, langid, mixing, phrases, quality, sharding, simhash, sketch, warc, wordbpe
+from strata.llm import bytebpe, divergence, imi, jaccard, langid, mixing, phrases, quality, sharding, simhash, sketch, warc, wordbpe
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,14 @@ def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrases.collocations(_table(spark, sf_dir, "documents"))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(_table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -70,6 +78,8 @@ QUERIES = {
         op9_arc_to_warc,
         op10_inverted_multi_index,
         op11_phrase_collocations,
+        op12_source_divergence,
+        op13_ngram_jaccard_join,
     )
 }
 
@@ -77,6 +87,7 @@ QUERIES = {
 #: index's neighbours are approximate; those queries are tested against brute force.
 SQL: dict[str, str] = {
     "op11_phrase_collocations": phrases.SQL,
+    "op12_source_divergence": divergence.SQL,
     "op9_arc_to_warc": """
         with digested as (
             select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex from pages
