@@ -14,7 +14,7 @@ pairs of blocks. Pairs that the bound lets pass are compared by their tokens.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, ease, if_small, needs, remove_folder, shared_folder, small_batches
+from strata.llm.common import cut, ease, if_small, needs, remove_folder, shared_folder, small_batches, text_of
 from strata.llm.graph import connected_components
 
 #: Words of a shingle, and hundredths of resemblance from which documents are linked.
@@ -38,46 +38,103 @@ PART = 1000
 #: Most tokens in a table that all workers get; the limits above double until it fits.
 HANDED_OUT = 500_000
 #: Bits of the filters that workers get.
-BITS = 1 << 26
+BITS = 1 << 25
 #: Children of a node of boxes, and pairs of boxes that are opened at a time.
 FAN = 16
 OPENED = 2048
-#: Words whose hashes a worker remembers.
-REMEMBERED = 400_000
+#: Bytes of texts whose words a task takes at a time.
+AT_ONCE = 1 << 20
 
 _FACTORS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63], np.uint64)
+#: A random number for each byte of a word and its place, up to this place; A-Z count as a-z.
+_PLACES = 64
+_TABLE = np.random.Generator(np.random.PCG64(13)).integers(0, 1 << 64, (_PLACES, 256), dtype=np.uint64)
+_TABLE[:, 65:91] = _TABLE[:, 97:123]
+_TABLE = _TABLE.ravel()
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads every bit."""
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(33))
 
-_hashes = _Hashes()
 
+def _words(text: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of each word of texts that lie one after another, from offsets on, and the number of words of each.
 
-def shingles(raw: bytes, n: int = SHINGLE) -> np.ndarray:
-    """The distinct n-word shingles of a text as sorted 64-bit hashes: A-Z lower-cased, words between ASCII white
+    A word's hash is the sum of random numbers for its bytes at their places, mixed with its length.
+    """
+    begins = np.zeros(len(text) + 1, bool)
+    begins[offsets] = True
+    ink = ~_SPACE[text]
+    start = np.flatnonzero(ink & (begins[:-1] | np.concatenate([[True], ~ink[:-1]])))
+    end = np.flatnonzero(ink & (begins[1:] | np.concatenate([~ink[1:], [True]])))
+    size = end - start + 1
+    at = np.flatnonzero(ink)
+    place = at - np.repeat(start, size)
+    value = _TABLE[(np.minimum(place, _PLACES - 1) << 8) + text[at]]
+    far = place >= _PLACES
+    if far.any():
+        value[far] = _mixed(value[far] + place[far].astype(np.uint64) * _FACTORS[0])
+    total = np.add.reduceat(value, np.cumsum(size) - size) if len(size) else np.zeros(0, np.uint64)
+    return _mixed(total + size.astype(np.uint64) * _FACTORS[1]), np.diff(np.searchsorted(start, offsets))
+
+
+def shingles(texts: list[bytes], n: int = SHINGLE, at_once: int = AT_ONCE) -> Iterator[np.ndarray]:
+    """The distinct n-word shingles of each text as sorted 64-bit hashes: A-Z lower-cased, words between ASCII white
     space; the whole sequence where it has fewer words, none where it has no word."""
-    words = raw.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    if len(_hashes) > REMEMBERED:
-        _hashes.clear()
-    each = np.fromiter(map(_hashes.__getitem__, words), np.uint64, len(words))
-    size = min(n, len(words))
-    total = np.full(len(words) - size + 1, size, np.uint64)
-    for i in range(size):
-        total += _mixed(each[i : len(words) - size + 1 + i] * _FACTORS[i % 5] + np.uint64(i // 5))
-    return np.unique(_mixed(total))
+    group, held = [], 0
+    for text in texts:
+        if len(text) > at_once:
+            yield from _of_group(group, n)
+            pieces, begin = [], 0
+            while begin < len(text):  # a long text, in pieces that end with a word
+                ahead = np.frombuffer(text, np.uint8)[begin + at_once :]
+                space = int(np.argmax(_SPACE[ahead])) if len(ahead) and _SPACE[ahead].any() else len(ahead)
+                stop = min(len(text), begin + at_once + space)
+                pieces.append(_words(np.frombuffer(text[begin:stop], np.uint8), np.array([0, stop - begin]))[0])
+                begin = stop
+            each = np.concatenate(pieces)
+            yield from _of_words(each, np.array([len(each)]), n)
+            group, held = [], 0
+            continue
+        group.append(text)
+        held += len(text)
+        if held > at_once:
+            yield from _of_group(group, n)
+            group, held = [], 0
+    yield from _of_group(group, n)
+
+
+def _of_group(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
+    if texts:
+        offsets = np.cumsum([0, *map(len, texts)])
+        yield from _of_words(*_words(np.frombuffer(b"".join(texts), np.uint8), offsets), n)
+
+
+def _of_words(each: np.ndarray, counts: np.ndarray, n: int) -> Iterator[np.ndarray]:
+    """The shingles of texts of so many words each."""
+    runs = _runs(each, n) if len(each) >= n else each[:0]
+    end = 0
+    for count in counts.tolist():
+        begin, end = end, end + count
+        if count == 0:
+            yield np.zeros(0, np.uint64)
+            continue
+        own = np.sort(runs[begin : end - n + 1] if count >= n else _runs(each[begin:end], count))
+        new = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=new[1:])
+        yield own[new]
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads every bit."""
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
+def _runs(each: np.ndarray, size: int) -> np.ndarray:
+    """A hash of each run of so many words."""
+    total = np.full(len(each) - size + 1, size, np.uint64)
+    for i in range(size):
+        total += each[i : len(each) - size + 1 + i] * (_FACTORS[i % 5] + np.uint64(2 * (i // 5)))
+    return _mixed(total)
 
 
 def _digest(tokens: np.ndarray) -> bytes:
@@ -125,22 +182,20 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def _look(percent: int, n: int):
-    """(doc_id, n, digest, key, tokens): tokens has the first ones by hash, for the first of equal sets in a task."""
+    """(doc_id, text, key) -> (doc_id, n, digest, key, tokens): tokens has the first ones by hash, for the first of equal sets in a task."""
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
         for batch, texts in _texts(batches):
-            size, digests, keys, first = [], [], [], []
-            for raw in texts:
-                tokens = shingles(raw, n)
+            size, digests, first = [], [], []
+            for tokens in shingles(texts, n):
                 digest = _digest(tokens)
                 size.append(len(tokens))
                 digests.append(digest)
-                keys.append(xxhash.xxh3_64_intdigest(raw) - (1 << 63))
                 first.append(tokens[: _first(len(tokens), percent)].view(np.int64) if digest not in seen else tokens[:0].view(np.int64))
                 seen.add(digest)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(size, pa.int64()), _binary(digests), pa.array(keys, pa.int64()), _lists(first)],
+                [batch.column("doc_id"), pa.array(size, pa.int64()), _binary(digests), batch.column("key"), _lists(first)],
                 ["doc_id", "n", "digest", "key", "tokens"],
             )
 
@@ -159,8 +214,7 @@ def _look_again(percent: int, n: int, frequent):
         seen: set[bytes] = set()
         for _, texts in _texts(batches):
             digests, size, first, points = [], [], [], []
-            for raw in texts:
-                tokens = shingles(raw, n)
+            for tokens in shingles(texts, n):
                 digest = _digest(tokens)
                 if digest in seen or not len(tokens):
                     continue
@@ -186,13 +240,9 @@ def _bodies(n: int, wanted):
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for _, texts in _texts(batches):
+        for batch, texts in _texts(batches):
             digests, bodies = [], []
-            for raw in texts:
-                key = xxhash.xxh3_64_intdigest(raw) - (1 << 63)
-                if not _in_filter(np.array([key]), wanted.value)[0]:
-                    continue
-                tokens = shingles(raw, n)
+            for tokens in shingles([texts[i] for i in np.flatnonzero(_in_filter(batch.column("key").to_numpy(), wanted.value))], n):
                 digest = _digest(tokens)
                 if digest not in seen:
                     seen.add(digest)
@@ -210,9 +260,9 @@ def _filter(values: DataFrame) -> np.ndarray:
     """A filter of BITS bits with a bit for each value: all values pass it, and few others while they are few."""
     at = F.pmod(F.col("value"), F.lit(BITS))
     words = values.select((at / 64).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
-    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toPandas()
+    rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.int64)
-    out[rows.w.to_numpy()] = rows.bits.to_numpy()
+    out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
 
@@ -227,8 +277,8 @@ def _above(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
     while sum(sizes.values()) > HANDED_OUT:
         del sizes[min(sizes)]
         least *= 2
-    rows = counted.where(F.col("c") > least).orderBy("token").toPandas()
-    return rows.token.to_numpy(np.int64), rows.c.to_numpy(np.int64)
+    rows = counted.where(F.col("c") > least).orderBy("token").toArrow()
+    return rows["token"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64)
 
 
 def _counted(looked: DataFrame, least: int) -> DataFrame:
@@ -427,7 +477,7 @@ def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int, n:
     firsts = dealt.select("a", "part", F.col("a").alias("digest")).distinct()
     asked = cut(firsts.withColumn("own", F.lit(0)).union(dealt.select("a", "part", F.col("b"), F.lit(1))))
     with small_batches(spark):
-        bodies = docs.select("text").mapInArrow(_bodies(n, wanted), "digest binary, tokens binary")
+        bodies = docs.select("text", "key").mapInArrow(_bodies(n, wanted), "digest binary, tokens binary")
         laid = bodies.join(if_small(asked), "digest").repartition("a", "part").sortWithinPartitions("a", "part", "own", "digest")
         return cut(laid.mapInArrow(_compared(percent), "u binary, v binary"))
 
@@ -435,13 +485,14 @@ def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int, n:
 # ---------------------------------------------------------------- the join
 
 
-def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, n, digest) of every row, and (node, component) of the digests of sets that are linked with another.
+def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, n, digest, key) of every row, and (node, component) of the digests of sets that are linked with another.
 
-    Rows of equal sets have one digest. The links found span each class; a link within a class may be left out.
+    Rows of equal sets have one digest; key is a hash of the text. The links found span each class; a link within a
+    class may be left out. also gives further pairs (a, b) of digests to be compared, from the first of these tables.
     """
     spark = documents.sparkSession
-    docs = needs(documents, "doc_id", "text")
+    docs = needs(documents, "doc_id", "text").withColumn("key", F.xxhash64(text_of()))
     paths = [shared_folder(spark, f"tokens{i}") for i in range(2)]
     with small_batches(spark):
         docs.mapInArrow(_look(percent, n), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n long, digest binary, key long, tokens array<long>").write.parquet(paths[0])
@@ -461,7 +512,8 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> tu
     heads = members.join(F.broadcast(parts), "token").groupBy("token", "parts").agg(F.max(F.struct("share", "digest", "n", "point")).alias("m"))
     heads = heads.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2.0).alias("share"), "m.digest", "m.n", "m.point")
     dealt = members.union(heads).repartition("token", "part").sortWithinPartitions("token", "part", F.desc("share"), "digest")
-    links = _links(docs, known, dealt.mapInArrow(_stars(percent), "a binary, b binary"), percent, n)
+    stars = dealt.mapInArrow(_stars(percent), "a binary, b binary")
+    links = _links(docs, known, stars.union(also(known)) if also else stars, percent, n)
     labels = cut(connected_components(links))
     named = members.join(if_small(labels).withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("component", "digest"))
     columns = ("token", "band", "part", "other", "digest", "label", "n", "point", "side")
