@@ -11,7 +11,6 @@ they exceed h. What leaves a node is a spanning set of links, at most one for ea
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -19,11 +18,11 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark import Broadcast
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strata.llm.common import cut, ease, fresh, if_small, needs, small_batches, text_of
+from strata.llm import jaccard
+from strata.llm.common import cut, ease, fresh, if_small, needs, text_of
 from strata.llm.graph import connected_components
 
 #: Fingerprints in an index node before it is split on further bits.
@@ -296,280 +295,36 @@ def near_duplicates(documents: DataFrame, n: int = 3, h: int = 2) -> DataFrame:
 
 # ---------------------------------------------------------------- keeping one document of each group
 
-#: Texts of a class, and bytes of these, that one task compares at a time.
-CHUNK, CHUNK_BYTES = 4000, 8 << 20
 
-
-def _copies(similar: float, n: int):
-    """Rows (class, chunk, later, rep, digest, text) in this order -> digests of texts that are copies.
-
-    A text is one if its shingles resemble those of an earlier text that was kept. Kept texts are found by the
-    least shingles of each, of which two that are similar enough share one, so few pairs are compared.
-    """
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, last, kept, index = None, None, [], {}
-        for batch in batches:
-            ease()
-            gone = []
-            for c, part, digest, text in (r for i in range(0, batch.num_rows, 500) for r in zip(*(batch.slice(i, 500)[x].to_pylist() for x in ("class", "chunk", "digest", "text")))):
-                if at != (c, part):
-                    at, last, kept, index = (c, part), None, [], {}
-                if digest == last:  # a row equal to the one before
-                    continue
-                last = digest
-                own = np.unique(shingle_hashes(text, n))
-                size = len(own)
-                least = own[: size - math.ceil(similar * size - 1e-9) + 1].tolist() if size else [None]
-                alike = False
-                for i in {i for x in least for i in index.get(x, ())}:
-                    other = kept[i]
-                    if size == 0:
-                        alike = True
-                    elif similar * size <= len(other) <= size / similar:
-                        same = len(np.intersect1d(own, other, assume_unique=True))
-                        alike = same >= similar * (size + len(other) - same) - 1e-9
-                    if alike:
-                        gone.append(digest)
-                        break
-                if not alike:
-                    for x in least:
-                        index.setdefault(x, []).append(len(kept))
-                    kept.append(own)
-            yield pa.RecordBatch.from_arrays([pa.array(gone, pa.string())], names=["digest"])
-
-    return of
-
-
-def _dealt(live: DataFrame, turn: int) -> DataFrame:
-    """live (class, rep, digest, bytes) with the parts that its class needs, so that a task holds no more than
-    a chunk, the text's part, and `later`, which is false for what is to go before the others."""
-    sizes = live.groupBy("class").agg(F.count("*").alias("n"), F.sum("bytes").alias("b"))
-    sizes = cut(sizes.select("class", F.ceil(F.greatest(F.col("n") / CHUNK, F.col("b") / CHUNK_BYTES, F.lit(1))).cast("int").alias("parts")))
-    dealt = live.join(if_small(sizes), "class").withColumn("chunk", F.pmod(F.xxhash64(F.lit(turn), "digest"), "parts").cast("int"))
-    return cut(dealt.withColumn("later", F.lit(True)))
-
-
-def _compared(rows: DataFrame, dealt: DataFrame, similar: float, n: int) -> DataFrame:
-    """The digests of copies within each (class, chunk) of dealt; rows (doc_id, digest, text) has the texts,
-    which are shuffled as they are, since they are smaller than their shingles' hashes."""
-    order = ("class", "chunk", "later", "rep", "digest")
-    texts = rows.withColumnRenamed("doc_id", "rep").join(if_small(dealt.select(*order)), ["rep", "digest"]).select(*order, "text")
-    return cut(texts.repartition("class", "chunk").sortWithinPartitions(*order).mapInArrow(_copies(similar, n), "digest string"))
-
-
-def _swept(rows: DataFrame, live: DataFrame, similar: float, n: int) -> DataFrame:
-    """The digests of copies in classes of any size, whose texts hardly resemble each other.
-
-    Each chunk in turn is laid before the later chunks of its class, so no task holds more than two chunks.
-    """
-    dealt = _dealt(live, -1)
-    gone = None
-    for k in range(max(1, (dealt.agg(F.max("parts")).first()[0] or 0) - 1)):
-        rest = dealt if gone is None else dealt.join(gone, "digest", "left_anti")
-        lead = rest.where((F.col("chunk") == k) & (F.col("parts") > k + 1))
-        lead = lead.withColumns({"later": F.lit(False), "chunk": F.explode(F.sequence(F.lit(k + 1), F.col("parts") - 1))})
-        after = rest if k == 0 else rest.where(F.col("chunk") > k)
-        now = _compared(rows, cut(after.unionByName(lead)), similar, n)
-        gone = now if gone is None else gone.unionByName(now)
-    return gone
-
-
-def _gone(rows: DataFrame, live: DataFrame, similar: float, n: int) -> DataFrame:
-    """The digests of copies within the classes of live (class, rep, digest, bytes).
-
-    Classes beyond a chunk are compared in chunks first; what stays of those is dealt anew, until a chunk
-    holds it or, where it hardly shrinks, chunk by chunk against all later ones.
-    """
-    gone, turn = None, 0
-    while True:
-        dealt = _dealt(live, turn)
-        now = _compared(rows, dealt, similar, n)
-        gone = now if gone is None else gone.unionByName(now)
-        large = dealt.where("parts > 1").select("class", "rep", "digest", "bytes")
-        live = cut(large.join(now, "digest", "left_anti"))
-        left = live.count()
-        if not left:
-            return gone
-        if left > 0.9 * large.count():
-            return gone.unionByName(_swept(rows, live, similar, n))
-        turn += 1
-
-
-#: A shingle in more texts than this is hot: it comes last in the order of shingles. So many are held by the
-#: driver at most, the most frequent ones.
-HOT_TEXTS, MOST_HOT = 20, 1_000_000
-
-
-def _shared(size):
-    """Shingles that must be shared in the prefixes of texts, the smaller with so many: a number or a column."""
-    return F.floor(size / 20) + 1 if isinstance(size, Column) else size // 20 + 1
-
-
-def _prefixes(similar: float, n: int, hot: Broadcast | None, whole: bool = False):
-    """Rows (id, class, fresh, text) -> (x, id, class, fresh, size, own): the first shingles of each text, in the
-    order of their hashes with the hot ones last, of which two texts that resemble each other have at least so
-    many in common as _shared says of the smaller. own is how many shingles of a text aren't hot.
-
-    Hot shingles aren't given. A text whose first shingles reach into them has a row instead, with size
-    negative and x a hash of all its hot shingles. If whole, all shingles of such texts are given, and nothing else.
-    """
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        late = np.empty(0, np.int64) if hot is None else hot.value
-        for batch in batches:
-            ease()
-            for begin in range(0, batch.num_rows, 500):
-                part = batch.slice(begin, 500)
-                firsts, sizes, owns = [], [], []
-                for text in part["text"].to_pylist():
-                    mine = np.unique(shingle_hashes(text, n)).view(np.int64)
-                    size = own = len(mine)
-                    first = size - math.ceil(similar * size - 1e-9) + _shared(size) if size else 0
-                    is_hot = np.zeros(size, bool)
-                    if len(late) and size:
-                        is_hot = late[np.minimum(np.searchsorted(late, mine), len(late) - 1)] == mine
-                        own = size - int(is_hot.sum())
-                    if whole:
-                        firsts.append(mine if is_hot[:first].any() else mine[:0])
-                        sizes.append(np.full(len(firsts[-1]), size))
-                    else:
-                        cool = mine[~is_hot][:first]
-                        mark = [xxhash.xxh64_intdigest(mine[is_hot].tobytes()) - (1 << 63)] if own < first else []
-                        firsts.append(np.r_[cool, np.array(mark, np.int64)])
-                        sizes.append(np.r_[np.full(len(cool), size), np.full(len(mark), -size)])
-                    owns.append(own)
-                if not firsts:
-                    continue
-                count = [len(f) for f in firsts]
-                named = [pa.array(np.repeat(part[c].to_numpy(zero_copy_only=False), count)) for c in ("id", "class", "fresh")]
-                of_text = [pa.array(x.astype(np.int32)) for x in (np.concatenate(sizes), np.repeat(owns, count))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(firsts)), *named, *of_text], names=["x", "id", "class", "fresh", "size", "own"])
-
-    return of
-
-
-def _hottest(firsts: DataFrame) -> np.ndarray:
-    """The hot shingles among rows (x, ..), sorted."""
-    counts = firsts.groupBy("x").count().where(F.col("count") > HOT_TEXTS).orderBy(F.desc("count"), "x").limit(MOST_HOT)
-    return np.sort(counts.select("x").toArrow()["x"].to_numpy().astype(np.int64))
-
-
-def resemblance(a: Column, b: Column, n: int) -> Column:
-    """Shared distinct n-word shingles of two texts over all of theirs; 1 if neither has any."""
-
-    @F.pandas_udf("double")
-    def of(left: pd.Series, right: pd.Series) -> pd.Series:
-        ease()
-        out = []
-        for s, t in zip(left, right):
-            own, other = (np.unique(shingle_hashes(x or "", n)) for x in (s, t))
-            same = len(np.intersect1d(own, other, assume_unique=True))
-            every = len(own) + len(other) - same
-            out.append(same / every if every else 1.0)
-        return pd.Series(out, dtype=float)
-
-    return of(a, b)
-
-
-def similar_classes(rows: DataFrame, staying: DataFrame, similar: float, n: int) -> DataFrame:
-    """Links (u, v) of classes that have a pair of staying texts, one of them fresh, with a resemblance of
-    `similar` or more.
-
-    staying (rep, digest, class, fresh) is kept in a checkpoint; rows (doc_id, digest, text) has each text once. Two
-    such texts share shingles in the prefixes of both (see _prefixes); pairs that share enough, and whose
-    sizes allow it, are compared by their texts. Hot shingles pair no texts, so no group of texts that share
-    a passage is listed in pairs. Of texts that are mostly hot, those with the same hot shingles are a group: the
-    one with the fewest others is compared with each by their numbers, which finds all links of the group, as
-    no pair could be linked that isn't with it. What isn't found are texts that are mostly hot, with different
-    sets of hot shingles and no other shingle in common.
-    """
-    spark = rows.sparkSession
-    context = spark.sparkContext
-    staying = cut(staying.withColumn("id", F.monotonically_increasing_id()))
-    few = if_small(staying)
-    texts = rows.withColumnRenamed("doc_id", "rep").join(few, ["rep", "digest"]).select("id", "class", "fresh", "text")
-    schema = "x long, id long, class long, fresh boolean, size int, own int"
-    hot = _hottest(texts.mapInArrow(_prefixes(similar, n, None), schema))
-    if len(hot):
-        hot = np.union1d(hot, _hottest(texts.mapInArrow(_prefixes(similar, n, context.broadcast(hot), whole=True), schema)))
-    firsts = texts.mapInArrow(_prefixes(similar, n, context.broadcast(hot)), schema)
-    firsts = cut(firsts.withColumn("n", F.count("*").over(Window.partitionBy("x", F.col("size") < 0))).where("n > 1").drop("n"))
-
-    marked = firsts.where("size < 0")
-    least = cut(marked.groupBy("x").agg(F.min(F.struct("own", "id", "class", "fresh")).alias("m")).select("x", F.col("m.own").alias("own_m"), F.col("m.class").alias("class_m"), F.col("m.fresh").alias("fresh_m")))
-    close = marked.join(if_small(least), "x").where(
-        (F.col("own") + F.col("own_m") <= (-F.col("size") - F.col("own")) * (1 / similar - 1) + 1e-9) & (F.col("class") != F.col("class_m")) & (F.col("fresh") | F.col("fresh_m"))
-    )
-
-    cool = firsts.where("size > 0").withColumn("hot", F.col("own") < F.col("size") - F.ceil(F.lit(similar) * F.col("size") - 1e-9) + _shared(F.col("size")))
-    a, b = (cool.select("x", *(F.col(c).alias(f"{c}_{k}") for c in ("id", "class", "fresh", "size", "hot"))) for k in "ab")
-    met = a.join(b, "x").where(
-        (F.col("id_a") < F.col("id_b")) & (F.col("class_a") != F.col("class_b")) & (F.col("fresh_a") | F.col("fresh_b"))
-        & (F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * similar - 1e-9)
-    )
-    enough = F.when(F.col("hot_a") & F.col("hot_b"), F.lit(1)).otherwise(_shared(F.least("size_a", "size_b")))
-    pairs = met.groupBy("id_a", "id_b", "class_a", "class_b").agg(F.count("*").alias("k"), F.min(enough).alias("least"))
-    pairs = cut(pairs.where("k >= least").drop("k", "least"))
-    ids = cut(pairs.select(F.col("id_a").alias("id")).union(pairs.select("id_b")).distinct().join(staying, "id").select("id", "rep", "digest"))
-    held = rows.withColumnRenamed("doc_id", "rep").join(if_small(ids), ["rep", "digest"]).select("id", "text")
-    both = pairs.join(held.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(
-        held.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b"
-    )
-    alike = both.where(resemblance(F.col("text_a"), F.col("text_b"), n) >= similar - 1e-9).select(F.col("class_a").alias("u"), F.col("class_b").alias("v"))
-    return cut(alike.unionByName(close.select(F.col("class").alias("u"), F.col("class_m").alias("v"))).distinct())
-
-
-def _staying(documents: DataFrame, digest: Column, h: int, n: int, similar: float) -> DataFrame:
-    """(rep, _digest, _again): the doc_id and digest of each text that stays, and whether rows repeat both."""
-    rows = needs(documents, "doc_id", "text").select("doc_id", digest.alias("digest"), text_of().alias("text"))
-    base = cut(rows.select("doc_id", "digest", F.octet_length("text").alias("bytes"), word_fingerprint(F.col("text")).alias("fp")))
-    texts = cut(base.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min("fp").alias("fp"), F.max("bytes").alias("bytes"), F.count("*").alias("n"), F.count_distinct("doc_id").alias("ids")))
-    named = near_classes(texts.select(F.col("rep").alias("doc_id"), "fp"), h).select(F.col("doc_id").alias("rep"), "fp", F.col("component_id").alias("class"))
-    named = cut(texts.where("rep is not null").join(named.distinct(), ["rep", "fp"]).select("rep", "digest", "bytes", "class"))
-    once = rows.dropDuplicates(["doc_id", "digest"]) if texts.where("n > ids").limit(1).count() else rows
-    several = cut(named.groupBy("class").agg(F.count("*").alias("size")).where("size > 1").drop("size"))
-    gone = cut(_gone(rows, cut(named.join(if_small(several), "class", "left_semi").select("class", "rep", "digest", "bytes")), similar, n).distinct())
-    before = None
-    while True:
-        stay = named.join(if_small(gone), "digest", "left_anti").select("rep", "digest", "class")
-        if before is None:
-            stay = cut(stay.withColumn("fresh", F.lit(True)))
-        else:
-            stay = cut(stay.join(before.select("digest", F.lit(False).alias("_old")), "digest", "left").select("rep", "digest", "class", F.col("_old").isNull().alias("fresh")))
-        if not stay.where("fresh").limit(1).count():
-            break
-        links = similar_classes(once, stay, similar, n)
-        if not links.limit(1).count():
-            break
-        united = cut(connected_components(links))
-        moved = cut(named.join(if_small(united), F.col("class") == F.col("node")).select("rep", "digest", "bytes", F.col("component").alias("class")))
-        named = cut(named.join(moved.select("digest"), "digest", "left_anti").unionByName(moved))
-        gone = cut(gone.join(moved.select("digest"), "digest", "left_anti").unionByName(_gone(rows, moved.select("class", "rep", "digest", "bytes"), similar, n)).distinct())
-        before = stay  # any two that stayed in the last round, too, have been compared
-    return cut(texts.join(gone, "digest", "left_anti").select("rep", F.col("digest").alias("_digest"), (F.col("n") > F.col("ids")).alias("_again")))
-
-
-def without_near_copies(documents: DataFrame, h: int = 8, n: int = 5, similar: float = 0.8) -> DataFrame:
+def without_near_copies(documents: DataFrame, h: int = 3, n: int = 5, percent: int = 80) -> DataFrame:
     """documents, with all their columns, less copies: of each group of near copies one row stays.
 
-    First candidates are the classes that SimHash fingerprints of distinct words form within h bits. In a
-    class, a text goes if its n-word shingles have a resemblance of `similar` or more to a text with a smaller
-    doc_id that stays, so every row dropped is a near copy of one kept, or in a class beyond a chunk linked to one
-    by a chain of near copies, and what the fingerprints alone brought together stays. Then classes are united that still have a pair of staying texts with such a resemblance,
-    found by shared shingles whatever the fingerprints, and compared again, until there is none: apart from texts
-    that are mostly shingles of very many texts (see similar_classes), no two stay that resemble each other so.
-    Of equal texts the row with the smallest doc_id stays, and one of rows equal in both.
-    Null texts count as empty; texts without words are copies of each other. A null doc_id stays only if no
-    other row has its text, and isn't compared otherwise. An empty table gives no rows.
+    Two texts are linked if their n-word shingles resemble each other by percent hundredths or more, and a group is
+    all that links reach. SimHash fingerprints of distinct words within h bits give the first candidates, each class
+    being compared with one of its texts; the tree of count vectors (strata.llm.jaccard) then finds every group whole,
+    of whatever size. The row with the smallest doc_id of a group stays, of several with that id the one whose text
+    has the least hash, and one of rows equal in both. Null texts count as empty; texts without words are one group.
+    A null doc_id stays only if no other row of its group has an id. An empty table gives no rows.
     """
-    digest = F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))
-    with small_batches(documents.sparkSession):
-        staying = _staying(documents, digest, h, n, similar)
-    mark = fresh(documents, "_digest_of")
-    out = documents.withColumn(mark, digest).join(
-        if_small(staying.select(F.col("rep").alias("_rep"), "_digest")), F.col("doc_id").eqNullSafe(F.col("_rep")) & (F.col(mark) == F.col("_digest")), "left_semi"
+    key = F.xxhash64(text_of())
+    marks = cut(needs(documents, "text").select(key.alias("doc_id"), word_fingerprint(F.col("text")).alias("fp")).distinct())
+
+    def candidates(known: DataFrame) -> DataFrame:
+        """(a, b) of digests: each fingerprint's class against its least text."""
+        classes = near_classes(marks, h).where("doc_id != component_id").select("doc_id", "component_id").distinct()
+        of_key = known.groupBy("key").agg(F.min("digest").alias("digest"))
+        a, b = of_key.toDF("component_id", "a"), of_key.toDF("doc_id", "b")
+        return classes.join(a, "component_id").join(b, "doc_id").where("a != b").select("a", "b")
+
+    known, classes = jaccard.linked(documents, percent, n, candidates)
+    rows = known.join(if_small(classes).withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
+    same = rows.groupBy("component", "doc_id", "key").agg(F.count("*").alias("rows"))
+    least = same.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "rows")).alias("m"))
+    staying = cut(least.select(F.col("m.doc_id").alias("_stays"), F.col("m.key").alias("_key"), "m.rows"))
+    mark = fresh(documents, "_key_of")
+    out = documents.withColumn(mark, key).join(
+        if_small(staying.select("_stays", "_key")), F.col("doc_id").eqNullSafe(F.col("_stays")) & (F.col(mark) == F.col("_key")), "left_semi"
     )
-    if staying.where("_again").limit(1).count():  # rows equal in id and text: one of them stays
+    if staying.where("rows > 1").limit(1).count():  # rows equal in id and text: one of them stays
         out = out.dropDuplicates(["doc_id", mark])
     return out.drop(mark)

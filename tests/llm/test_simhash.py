@@ -2,9 +2,10 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pytest
 import xxhash
 
-from strata.llm import simhash
+from strata.llm import jaccard, simhash
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -107,8 +108,9 @@ def test_without_near_copies(documents):
 
 
 def test_without_near_copies_of_a_class_beyond_a_chunk(documents, monkeypatch):
-    """Classes many times as large as a chunk: with h so great that unlike texts share a class, too."""
-    monkeypatch.setattr(simhash, "CHUNK", 30)
+    """Classes many times as large as a part: with h so great that unlike texts share a class, too."""
+    monkeypatch.setattr(jaccard, "PART", 30)
+    monkeypatch.setattr(jaccard, "NODE", 20)
     some = documents.where("doc_id < 120")
     check_kept(some, simhash.without_near_copies(some, h=24))
 
@@ -124,7 +126,7 @@ def test_without_near_copies_odd_rows(odd, none):
 def test_without_near_copies_of_an_inserted_block(spark, monkeypatch):
     """Copies with another passage inserted, many beyond 8 bits, and a passage that many texts share: exactly
     those go that resemble an earlier text that stays."""
-    monkeypatch.setattr(simhash, "HOT_TEXTS", 5)
+    monkeypatch.setattr(jaccard, "FREQUENT", 5)
     rng = np.random.default_rng(5)
     prose = lambda k: [f"w{x}" for x in rng.integers(0, 4000, k)]
     common, texts = prose(60), []
@@ -146,6 +148,36 @@ def test_without_near_copies_of_an_inserted_block(spark, monkeypatch):
     assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == stay
 
 
+@pytest.mark.parametrize("size", [5, 25, 100, 1000])
+def test_without_near_copies_finds_groups_of_any_size(spark, size):
+    """Groups of copies of one text with scattered words changed, a passage inserted or the tail cut, each so far that
+    most copies don't resemble each other; passages that all groups share; texts of their own among them."""
+    rng = np.random.default_rng(size)
+    prose = lambda k: [f"w{x}" for x in rng.integers(0, 4000, k)]
+    common, rows = prose(60), []
+    for g in range(max(1, 100 // size)):
+        first = prose(int(rng.integers(250, 500)))
+        for i in range(size):
+            words, share = list(first), rng.uniform(0.1, 0.19)
+            if i % 3 == 0 and i:
+                for at in rng.choice(len(words), int(len(words) * share / 11), replace=False):
+                    words[at] = f"x{rng.integers(10**9)}"
+            elif i % 3 == 1:
+                at = int(rng.integers(len(words)))
+                words[at:at] = prose(int(len(words) * share))
+            elif i % 3 == 2:
+                words = words[: int(len(words) * (1 - share))]
+            rows.append((g, words))
+    rows += [(-1 - i, prose(int(rng.integers(100, 400))) + common) for i in range(200)]
+    rng.shuffle(order := np.arange(len(rows)))
+    docs = spark.createDataFrame([(int(i), " ".join(rows[k][1]), int(rows[k][0])) for i, k in enumerate(order)], "doc_id long, text string, g long").repartition(5)
+    kept = [r.g for r in simhash.without_near_copies(docs).collect()]
+    assert sum(g < 0 for g in kept) == 200
+    copies = sum(g >= 0 for g, _ in rows) - max(1, 100 // size)
+    stay = sum(g >= 0 for g in kept) - max(1, 100 // size)
+    assert stay <= 0.01 * copies, f"{stay} of {copies} copies stay"
+
+
 def plain_word_fingerprint(text):
     hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in set(text.split())]
     return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
