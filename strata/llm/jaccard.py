@@ -30,13 +30,17 @@ SHINGLE = 5
 PERCENT = 80
 #: Groups that tokens are hashed into.
 GROUPS = 64
-#: A token of more documents than this comes last in the order of tokens.
-FREQUENT = 32
+#: A token of more documents than this comes last in the order of tokens, which is by hash otherwise. Tokens are
+#: counted whose hash is in this lowest share of all, so that most documents have enough of them that aren't frequent.
+FREQUENT = 1
+COUNTED = 0.3
 #: Documents of a node above which it is dealt to parts, and of a part.
 NODE = 256
 PART = 1000
+#: Tokens of the documents that one task compares with each other.
+CLUSTER = 4_000_000
 #: Most tokens in a table that all workers get; the limits above double until it fits.
-HANDED_OUT = 500_000
+HANDED_OUT = 2_000_000
 #: Bits of the filters that workers get.
 BITS = 1 << 25
 #: Children of a node of boxes, and pairs of boxes that are opened at a time.
@@ -181,8 +185,10 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         ease()
 
 
-def _look(percent: int, n: int):
-    """(doc_id, text, key) -> (doc_id, n, digest, key, tokens): tokens has the first ones by hash, for the first of equal sets in a task."""
+def _look(n: int, share: float):
+    """(doc_id, text, key) -> (doc_id, n, digest, key, tokens): tokens has those of the lowest share of hashes, for the
+    first of equal sets in a task."""
+    limit = np.uint64(share * 2.0**64)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -192,7 +198,7 @@ def _look(percent: int, n: int):
                 digest = _digest(tokens)
                 size.append(len(tokens))
                 digests.append(digest)
-                first.append(tokens[: _first(len(tokens), percent)].view(np.int64) if digest not in seen else tokens[:0].view(np.int64))
+                first.append(tokens[: 0 if digest in seen else np.searchsorted(tokens, limit)].view(np.int64))
                 seen.add(digest)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(size, pa.int64()), _binary(digests), batch.column("key"), _lists(first)],
@@ -288,6 +294,27 @@ def _counted(looked: DataFrame, least: int) -> DataFrame:
 # ---------------------------------------------------------------- nodes
 
 
+def _signed(kept):
+    """(token, w0, w1, w2, w3) for each token in the filter: the words of its document's digest."""
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            column = batch.column("tokens")
+            flat, row = column.flatten().to_numpy(), np.repeat(np.arange(batch.num_rows), np.diff(column.offsets.to_numpy()))
+            stay = _in_filter(flat, kept.value)
+            words = _matrix(batch.column("digest"), 16, "<u4").astype(np.int64)[row[stay]]
+            yield pa.RecordBatch.from_arrays([pa.array(flat[stay]), *(pa.array(words[:, i]) for i in range(4))], ["token", "w0", "w1", "w2", "w3"])
+
+    return signed
+
+
+def _nodes(again: DataFrame, kept) -> DataFrame:
+    """(value): a token of each set of two or more documents that some tokens have; the others of the set add nothing."""
+    words = [f"w{i}" for i in range(4)]
+    sets = again.mapInArrow(_signed(kept), "token long, w0 long, w1 long, w2 long, w3 long").groupBy("token").agg(F.count("*").alias("c"), *(F.sum(w).alias(w) for w in words))
+    return sets.where("c > 1").groupBy("c", *words).agg(F.min("token").alias("value")).select("value")
+
+
 _NODE = "token long, part int, share double, digest binary, n long, point binary"
 
 
@@ -439,6 +466,10 @@ def _between_classes(percent: int, fan: int, opened: int):
 # ---------------------------------------------------------------- comparing tokens
 
 
+def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    return bool(_passes(_among(b, a).sum(), len(a), len(b), percent))
+
+
 def _compared(percent: int):
     """(u, v) of the linked ones of a and its partners, whose rows come after it."""
 
@@ -452,9 +483,7 @@ def _compared(percent: int):
                 if digest == a:
                     head = np.frombuffer(raw, np.uint64)
                 elif digest != last and head is not None:
-                    tokens = np.frombuffer(raw, np.uint64)
-                    shared = _among(tokens, head).sum()
-                    if _passes(shared, len(head), len(tokens), percent):
+                    if _alike(head, np.frombuffer(raw, np.uint64), percent):
                         u.append(a)
                         v.append(digest)
                     last = digest
@@ -464,22 +493,72 @@ def _compared(percent: int):
     return compare
 
 
+def _compared_in_clusters(percent: int):
+    """(u, v) of the linked pairs of each cluster's documents and their partners; what is joined already isn't compared."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[bytes, tuple[np.ndarray, list[bytes]]] = {}
+        now = None
+
+        def links() -> pa.RecordBatch:
+            top = {d: d for d in held}
+
+            def root(x: bytes) -> bytes:
+                while top[x] != x:
+                    top[x] = top[top[x]]
+                    x = top[x]
+                return x
+
+            u, v = [], []
+            for b, (tokens, partners) in held.items():
+                for a in partners:
+                    if a in held and root(a) != root(b) and _alike(held[a][0], tokens, percent):
+                        top[root(b)] = root(a)
+                        u.append(a)
+                        v.append(b)
+            held.clear()
+            return pa.RecordBatch.from_arrays([_binary(u), _binary(v)], ["u", "v"])
+
+        for batch in batches:
+            for cluster, digest, partners, raw in zip(*(batch.column(c).to_pylist() for c in ("cluster", "digest", "partners", "tokens"))):
+                if cluster != now:
+                    yield links()
+                    now = cluster
+                held.setdefault(digest, (np.frombuffer(raw, np.uint64), partners or []))
+            ease()
+        yield links()
+
+    return compare
+
+
 def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int, n: int) -> DataFrame:
-    """(u, v): those of the pairs (a, b) of digests whose sets resemble each other enough."""
+    """(u, v): those of the pairs (a, b) of digests whose sets resemble each other enough.
+
+    Pairs that hang together are a cluster, whose documents one task gets, each once; a cluster beyond CLUSTER tokens is
+    dealt by the first of each pair, and that in parts. Links within a cluster that others imply may be left out.
+    """
     spark = docs.sparkSession
     pairs = cut(pairs.distinct())
-    size = pairs.count()
-    ends = pairs.select(F.col("a").alias("digest")).union(pairs.select("b")).distinct()
-    texts = known.join(if_small(ends, 2 * size), "digest", "left_semi").groupBy("digest").agg(F.min("key").alias("value"))
-    wanted = spark.sparkContext.broadcast(_filter(texts))
-    many = pairs.groupBy("a").agg(F.count("*").alias("c"))
-    dealt = pairs.join(if_small(many), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / PART)).cast("int").alias("part"))
+    clusters = cut(connected_components(pairs.toDF("u", "v")))
+    ends = cut(clusters.withColumnRenamed("node", "digest").join(known.select("digest", "n", "key"), "digest").groupBy("component", "digest").agg(F.min("key").alias("value"), F.max("n").alias("n")))
+    wanted = spark.sparkContext.broadcast(_filter(ends.select("value")))
+    small = cut(ends.groupBy("component").agg(F.sum("n").alias("tokens")).withColumn("small", F.col("tokens") <= CLUSTER).drop("tokens"))
+    placed = pairs.join(if_small(clusters.toDF("b", "component")), "b").join(if_small(small), "component")
+    partners = placed.where("small").groupBy("b").agg(F.collect_list("a").alias("partners")).withColumnRenamed("b", "digest")
+    together = cut(ends.join(if_small(small.where("small")), "component").join(partners, "digest", "left").select(F.col("component").alias("cluster"), "digest", "partners"))
+    large = placed.where("not small").select("a", "b")
+    many = large.groupBy("a").agg(F.count("*").alias("c"))
+    dealt = large.join(if_small(cut(many)), "a").select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("c") / PART)).cast("int").alias("part"))
     firsts = dealt.select("a", "part", F.col("a").alias("digest")).distinct()
     asked = cut(firsts.withColumn("own", F.lit(0)).union(dealt.select("a", "part", F.col("b"), F.lit(1))))
     with small_batches(spark):
         bodies = docs.select("text", "key").mapInArrow(_bodies(n, wanted), "digest binary, tokens binary")
+        laid = bodies.join(if_small(together), "digest").repartition("cluster").sortWithinPartitions("cluster")
+        found = cut(laid.mapInArrow(_compared_in_clusters(percent), "u binary, v binary"))
+        if asked.isEmpty():
+            return found
         laid = bodies.join(if_small(asked), "digest").repartition("a", "part").sortWithinPartitions("a", "part", "own", "digest")
-        return cut(laid.mapInArrow(_compared(percent), "u binary, v binary"))
+        return cut(laid.mapInArrow(_compared(percent), "u binary, v binary")).union(found)
 
 
 # ---------------------------------------------------------------- the join
@@ -495,7 +574,7 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also:
     docs = needs(documents, "doc_id", "text").withColumn("key", F.xxhash64(text_of()))
     paths = [shared_folder(spark, f"tokens{i}") for i in range(2)]
     with small_batches(spark):
-        docs.mapInArrow(_look(percent, n), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n long, digest binary, key long, tokens array<long>").write.parquet(paths[0])
+        docs.mapInArrow(_look(n, COUNTED), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n long, digest binary, key long, tokens array<long>").write.parquet(paths[0])
     first = spark.read.parquet(paths[0])
     known = cut(first.select("doc_id", "n", "digest", "key"))
     frequent = spark.sparkContext.broadcast(_above(cut(_counted(first, FREQUENT + 1)), FREQUENT)[0])
@@ -507,6 +586,7 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also:
     kept = spark.sparkContext.broadcast(_filter(counted.select(F.col("token").alias("value"))))
     hot = _above(counted, NODE)
     large = spark.sparkContext.broadcast(hot)
+    kept = spark.sparkContext.broadcast(_filter(cut(_nodes(again, kept))))
     members = again.mapInArrow(_members(kept, large, PART), _NODE)
     parts = spark.createDataFrame([(int(t), int(-(-c // PART))) for t, c in zip(*hot)], "token long, parts int")
     heads = members.join(F.broadcast(parts), "token").groupBy("token", "parts").agg(F.max(F.struct("share", "digest", "n", "point")).alias("m"))

@@ -85,7 +85,7 @@ def test_against_brute_force(spark, corpus):
 @pytest.mark.parametrize("percent,n", [(80, 5), (50, 2), (100, 5)])
 def test_large_nodes_and_other_limits(spark, corpus, monkeypatch, percent, n):
     """Nodes dealt to blocks of few members, trees of several levels, filters that let much pass."""
-    for name, value in (("FREQUENT", 4), ("NODE", 6), ("PART", 9), ("FAN", 3), ("OPENED", 50), ("BITS", 1 << 12), ("HANDED_OUT", 400)):
+    for name, value in (("FREQUENT", 4), ("COUNTED", 0.5), ("NODE", 6), ("PART", 9), ("CLUSTER", 3000), ("FAN", 3), ("OPENED", 50), ("BITS", 1 << 12), ("HANDED_OUT", 400)):
         monkeypatch.setattr(jaccard, name, value)
     some = [r for r in corpus if r[0] % 2 or r[0] < 0]
     docs = spark.createDataFrame(some, "doc_id long, text string").repartition(6)
