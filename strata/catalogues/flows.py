@@ -37,3 +37,15 @@ TEST_CLASSES = (
     r"(?:/|\$)(?:Test|Mock|Fake|Stub|Debug)(?:[A-Z0-9]\w*)?(?:\$|;|$)",
     r"(?:/|\$)\w*?[a-z0-9](?:Test|Mock|Fake|Stub|Debug)(?:s)?(?:\$|;|$)",
 )
+
+#: Parts of a call's text that write to a container, and that read from one.
+CONTAINER_WRITES = (
+    "Map;->put", "Map;->putAll", "HashMap;->put", "ConcurrentHashMap;->put", "LinkedHashMap;->put", "ArrayMap;->put", "TreeMap;->put",
+    "Collection;->add", "Collection;->addAll", "List;->add", "ArrayList;->add", "LinkedList;->add", "Set;->add", "HashSet;->add",
+    "LinkedHashSet;->add", "TreeSet;->add", "Bundle;->put",
+)
+CONTAINER_READS = (
+    "Map;->get", "Map;->getOrDefault", "Map;->values", "Map;->keySet", "Map;->entrySet", "HashMap;->get", "ConcurrentHashMap;->get",
+    "LinkedHashMap;->get", "ArrayMap;->get", "TreeMap;->get", "List;->get", "ArrayList;->get", "LinkedList;->get", "Collection;->iterator",
+    "List;->iterator", "Set;->iterator", "Iterable;->iterator", "Iterator;->next", "Bundle;->get",
+)

@@ -61,7 +61,7 @@ def crypto(code: DataFrame) -> DataFrame:
     rows = facts(code).withColumns({
         "_keystore": F.bool_or(has(F.col("raw"), *fixed.KEYSTORE_PROVIDERS)).over(_method()),
         "_arrays": F.collect_set(F.when(F.col("kind").isin("new-array", "fill-array-data"), F.col("dst"))).over(_before()),
-        "_spec": F.transform(F.split(F.upper("s1"), "/"), F.trim),
+        "_spec": F.transform(F.split(F.upper("s1"), "/"), lambda part: F.trim(part)),
     })
     part = lambda i: F.try_element_at("_spec", F.lit(i))
     cipher = calls("Ljavax/crypto/Cipher;->getInstance") & F.col("s1").isNotNull()

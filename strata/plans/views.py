@@ -89,7 +89,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view as a frame."""
     source, sql = VIEWS[name]
-    return spark.sql(sql.replace(f"from {source}", f"from {{{source}}}"), **{source: table(spark, sf_dir, source)})
+    sql = sql.replace("{", "{{").replace("}", "}}").replace(f"from {source}", f"from {{{source}}}")
+    return spark.sql(sql, **{source: table(spark, sf_dir, source)})
 
 
 def with_views(sql: str, *names: str) -> str:
