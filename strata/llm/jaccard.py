@@ -39,6 +39,8 @@ NODE = 256
 PART = 1000
 #: Tokens of the documents that one task compares with each other.
 CLUSTER = 4_000_000
+#: Members of a node that the others are compared with in a turn, and turns before all that is left is searched.
+HEADS, TURNS = 4, 3
 #: Most tokens in a table that all workers get; the limits above double until it fits.
 HANDED_OUT = 2_000_000
 #: Bits of the filters that workers get.
@@ -349,25 +351,36 @@ def _members(kept, large, size: int):
     return members
 
 
-def _stars(percent: int):
-    """(a, b) for each member b of a node that may be linked with its first one, a; rows come sorted by node."""
+def _stars(percent: int, heads: int):
+    """(a, b) for each member b of a node that may be linked with one of its first members, a, of another class; rows
+    come sorted by node."""
 
     def stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        head = None
+        held = None  # the first rows of the node that the last batch ended with
         for batch in batches:
             if not batch.num_rows:
                 continue
             node = np.stack([batch.column("token").to_numpy(), batch.column("part").to_numpy().astype(np.int64)], axis=1)
-            digest, n, point = _matrix(batch.column("digest"), 16, "<u8"), batch.column("n").to_numpy(), _matrix(batch.column("point"), 4 * GROUPS, "<u4")
-            if head:
-                node, digest, n, point = (np.concatenate(x) for x in zip(head, (node, digest, n, point)))
-            start = np.concatenate([[True], (node[1:] != node[:-1]).any(axis=1)])
-            first = np.maximum.accumulate(np.where(start, np.arange(len(node)), 0))
-            shared = np.minimum(point, point[first]).sum(axis=1)
-            may = _passes(shared, n, n[first], percent) & (digest != digest[first]).any(axis=1)
-            yield pa.RecordBatch.from_arrays([_bytes_of(digest[first[may]]), _bytes_of(digest[may])], ["a", "b"])
-            last = first[-1]
-            head = tuple(x[last : last + 1].copy() for x in (node, digest, n, point))
+            rows = [node, *(_matrix(batch.column(c), 16, "<u8") for c in ("digest", "label")), batch.column("n").to_numpy(), _matrix(batch.column("point"), 4 * GROUPS, "<u4")]
+            if held:
+                rows = [np.concatenate(x) for x in zip(held, rows)]
+            node, digest, label, n, point = rows
+            start = np.flatnonzero(np.concatenate([[True], (node[1:] != node[:-1]).any(axis=1)]))
+            size = np.diff(np.append(start, len(node)))
+            a, b = [], []
+            for h in range(heads):
+                full = size > max(h, 1)
+                member = np.repeat(full, size).nonzero()[0]
+                head = np.repeat(start[full] + h, size[full])
+                may = (label[member] != label[head]).any(axis=1)
+                member, head = member[may], head[may]
+                may = _passes(np.minimum(point[member], point[head]).sum(axis=1), n[member], n[head], percent)
+                a.append(digest[head[may]])
+                b.append(digest[member[may]])
+            pair = np.unique(np.concatenate([np.concatenate(a), np.concatenate(b)], axis=1), axis=0)
+            yield pa.RecordBatch.from_arrays([_bytes_of(pair[:, :2]), _bytes_of(pair[:, 2:])], ["a", "b"])
+            last = start[-1]
+            held = [x[last : last + heads].copy() for x in rows]
         ease()
 
     return stars
@@ -587,33 +600,78 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also:
     hot = _above(counted, NODE)
     large = spark.sparkContext.broadcast(hot)
     kept = spark.sparkContext.broadcast(_filter(cut(_nodes(again, kept))))
-    members = again.mapInArrow(_members(kept, large, PART), _NODE)
-    parts = spark.createDataFrame([(int(t), int(-(-c // PART))) for t, c in zip(*hot)], "token long, parts int")
-    heads = members.join(F.broadcast(parts), "token").groupBy("token", "parts").agg(F.max(F.struct("share", "digest", "n", "point")).alias("m"))
-    heads = heads.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2.0).alias("share"), "m.digest", "m.n", "m.point")
-    dealt = members.union(heads).repartition("token", "part").sortWithinPartitions("token", "part", F.desc("share"), "digest")
-    stars = dealt.mapInArrow(_stars(percent), "a binary, b binary")
-    links = _links(docs, known, stars.union(also(known)) if also else stars, percent, n)
-    labels = cut(connected_components(links))
-    named = members.join(if_small(labels).withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("component", "digest"))
-    columns = ("token", "band", "part", "other", "digest", "label", "n", "point", "side")
-    zero, is_hot = F.lit(0), F.broadcast(parts)
-    light = named.join(is_hot, "token", "left_anti").withColumns({"band": zero, "part": zero, "other": zero, "side": F.lit(2)}).select(*columns)
-    mixed = named.join(is_hot, "token").groupBy("token", "parts").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("token", "parts")
-    crowd = named.join(F.broadcast(mixed), "token")
-    pairs = light.union(_blocks(crowd, percent).select(*columns)).repartition("token", "band", "part", "other")
+    parts = F.broadcast(spark.createDataFrame([(int(t), int(-(-c // PART))) for t, c in zip(*hot)], "token long, parts int"))
+    links, labels = None, None
+    for turn in range(TURNS):
+        members = _labelled(again.mapInArrow(_members(kept, large, PART), _NODE), labels)
+        if turn:
+            members = members.withColumn("share", F.pmod(F.xxhash64("digest", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30))
+        pairs = _leading(members, parts).mapInArrow(_stars(percent, HEADS), "a binary, b binary")
+        found = _links(docs, known, pairs.union(also(known)) if also and not turn else pairs, percent, n)
+        if found.isEmpty():
+            break
+        links = found if links is None else links.union(found)
+        labels = cut(connected_components(links))
+        mixed = _labelled(again.mapInArrow(_members(kept, large, PART), _NODE), labels).groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
+        kept = spark.sparkContext.broadcast(kept.value & _filter(cut(mixed.select(F.col("token").alias("value")))))
+    named = _labelled(again.mapInArrow(_members(kept, large, PART), _NODE), labels)
+    zero = F.lit(0)
+    light = named.join(parts, "token", "left_anti").withColumns({"band": zero, "part": zero, "other": zero, "side": F.lit(2)})
+    pairs = light.select(*_BLOCK).union(_crowded(named.join(parts, "token"), percent)).repartition("token", "band", "part", "other")
     pairs = pairs.sortWithinPartitions("token", "band", "part", "other").mapInArrow(_between_classes(percent, FAN, OPENED), "a binary, b binary")
     more = _links(docs, known, pairs, percent, n)
-    classes = connected_components(links.union(more)) if not more.isEmpty() else labels
+    links = more if links is None else links.union(more)
+    classes = connected_components(links)
     remove_folder(spark, paths[1])
     return known, cut(classes)
 
 
+_BLOCK = ("token", "band", "part", "other", "digest", "label", "n", "point", "side")
+
+
+def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """members with the class of each digest, which is itself without a link."""
+    if labels is None:
+        return members.withColumn("label", F.col("digest"))
+    return members.join(if_small(labels).withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("component", "digest")).drop("component")
+
+
+def _leading(members: DataFrame, parts: DataFrame) -> DataFrame:
+    """members by node, those with the largest share first; the first ones of a large node lead each of its parts."""
+    crowd = members.join(parts, "token")
+    row = lambda *first: F.struct(*first, "digest", "label", "n", "point")
+    lead = [F.max(row("share"))] + [F.min(row(F.xxhash64("share", "digest", F.lit(i)).alias("share"))) for i in range(1, HEADS)]
+    heads = crowd.groupBy("token", "parts").agg(F.array(*lead[:1]).alias("first"), F.array(*lead[1:]).alias("others"))
+    each = heads.select("token", "parts", F.explode(F.transform(F.concat(F.transform("first", _bare), F.transform("others", _bare)), lambda m: m)).alias("m"))
+    each = each.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2.0).alias("share"), "m.digest", "m.label", "m.n", "m.point")
+    every = members.select("token", "part", "share", "digest", "label", "n", "point").union(each)
+    return every.repartition("token", "part").sortWithinPartitions("token", "part", F.desc("share"), "digest")
+
+
+def _bare(member):
+    return F.struct(member["digest"].alias("digest"), member["label"].alias("label"), member["n"].alias("n"), member["point"].alias("point"))
+
+
+def _crowded(crowd: DataFrame, percent: int) -> DataFrame:
+    """The members of large nodes dealt so that any two of different classes meet: those outside of the node's largest
+    class go to every part of it, and to pairs of blocks among themselves."""
+    sizes = crowd.groupBy("token", "label").agg(F.count("*").alias("c"))
+    base = sizes.groupBy("token").agg(F.max(F.struct("c", "label")).alias("m"), F.sum("c").alias("all"))
+    base = cut(base.where("all > m.c").select("token", F.col("m.label").alias("_base")))  # others have one class
+    split = crowd.join(if_small(base), "token")
+    inner = split.where("label = _base").withColumns({"band": F.lit(-9), "other": F.lit(0), "side": F.lit(1)})
+    outside = split.where("label != _base")
+    across = outside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumns({"band": F.lit(-9), "other": F.lit(0), "side": F.lit(0)})
+    return inner.select(*_BLOCK).union(across.select(*_BLOCK)).union(_blocks(outside, percent).select(*_BLOCK))
+
+
 def _blocks(crowd: DataFrame, percent: int) -> DataFrame:
-    """The members of large nodes dealt to pairs of blocks: by bands of sizes, as linked ones are in one band or in
-    neighbouring ones, and by parts; any two members that may be linked meet in one pair of blocks."""
+    """Members of large nodes dealt to pairs of blocks: by bands of sizes, as linked ones are in one band or in
+    neighbouring ones, and by as many parts as they need; any two that may be linked meet in one pair of blocks."""
+    counts = cut(crowd.groupBy("token").agg(F.ceil(F.count("*") / PART).cast("int").alias("_parts")))
     band = F.floor(F.log("n") / F.lit(max(math.log(100 / percent) * (1 + 1e-9), 1e-7))).cast("int") * 2
-    each = crowd.withColumn("_band", band).withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = crowd.join(if_small(counts), "token").withColumns({"_band": band, "part": F.pmod(F.xxhash64("digest"), F.col("_parts")).cast("int")})
+    each = dealt.withColumn("_t", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
     same = each.withColumns({
         "band": F.col("_band"), "other": F.greatest("part", "_t"), "side": F.when(F.col("part") == F.col("_t"), 2).when(F.col("part") < F.col("_t"), 0).otherwise(1),
         "part": F.least("part", "_t"),
