@@ -90,7 +90,7 @@ def small_keys(code: DataFrame) -> DataFrame:
     made = rows.where(calls("KeyPairGenerator;->getInstance", "KeyGenerator;->getInstance") & F.col("s1").isNotNull())
     index = made.groupBy("class_name").agg(F.min_by(first(F.col("s1")), "s1").alias("_class"))
     asked = rows.where(calls("KeyPairGenerator;->initialize", "KeyGenerator;->init") & F.col("num").between(64, 16384)).join(index, "class_name", "left")
-    return found(asked.where(F.col("num") < F.coalesce("_own", "_class", F.lit(2048))), ("CRYPTO_SMALL_KEY", "HIGH", "HIGH", F.lit(True)))
+    return found(asked.where(F.col("num") < F.coalesce("_own", "_class", F.lit(2048))), ("CRYPTO_SMALL_KEY", "HIGH", "MEDIUM", F.lit(True)))
 
 
 def network(code: DataFrame) -> DataFrame:

@@ -124,7 +124,7 @@ def steps(code: DataFrame) -> dict[str, DataFrame]:
         natives.withColumn("s", F.explode("sinks")).select("app_id", "method", "pos", argument(F.col("s.arg") + F.col("this")).alias("reg"), F.col("s.label").alias("label"))
     )
     within = taken.select("app_id", F.col("method").alias("callee")).distinct()
-    passed = calls.withColumn("callee", F.concat("ref_class", F.lit("->"), "ref_name", "ref_desc")).join(within, ["app_id", "callee"]).select("app_id", "method", "pos", "callee", "_result", "_at", F.posexplode("registers").alias("i", "reg"))
+    passed = calls.withColumn("callee", F.concat("ref_class", F.lit("->"), "ref_name", "ref_desc")).join(within, ["app_id", "callee"]).select("app_id", "method", "pos", "callee", "_result", "_at", F.posexplode_outer("registers").alias("i", "reg"))
     passed = versioned(passed, "reg", "pos", "slot").withColumn("param", F.concat(F.lit("p"), F.col("i").cast("string")))
     passed = versioned(passed.withColumn("dst", F.col("_result")), "dst", "_at", "result")
     return {

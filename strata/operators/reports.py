@@ -35,19 +35,38 @@ def load_baseline(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema("fingerprint string").json(path).where("fingerprint is not null").distinct()
 
 
+#: What is read of a network-security configuration; domain-configs may lie within others.
+_PINS = "`pin-set`: array<struct<_expiration: string>>"
+_DOMAIN = "_cleartextTrafficPermitted: string, domain: array<struct<_VALUE: string, _includeSubdomains: string>>, " + _PINS
+_CONFIG = (
+    f"`base-config` array<struct<_cleartextTrafficPermitted: string>>, `domain-config` array<struct<{_DOMAIN}, `domain-config`: array<struct<{_DOMAIN}>>>>,"
+    " `debug-overrides` array<struct<`trust-anchors`: array<struct<certificates: array<struct<_src: string>>>>>>, _corrupt_record string"
+)
+
+
 def network_config(configs: DataFrame) -> DataFrame:
-    """(app_id, rule_id, detail) that network-security configurations (app_id, xml) break: clear text for all or for
-    domains, user certificates, pins with an end, and no pins at all."""
-    x = F.col("xml")
-    true_ = lambda p: F.xpath(x, F.lit(p))
+    """(app_id, rule_id, severity, detail) that network-security configurations (app_id, xml) break: clear text for all
+    or for domains, user certificates in debug overrides, pins with an end, and no pins at all.
+
+    A domain-config is one row with its domains, `(unspecified)` without any. Text that is no XML gives no row.
+    """
+    parsed = configs.select("app_id", F.from_xml("xml", _CONFIG, {"mode": "PERMISSIVE", "valueTag": "_VALUE"}).alias("c")).where("c._corrupt_record is null and c is not null")
+    empty = F.array().cast("array<struct<rule_id:string,severity:string,detail:string>>")
+    row = lambda rule, severity, detail: F.struct(F.lit(rule).alias("rule_id"), F.lit(severity).alias("severity"), detail.alias("detail"))
+    true_ = lambda x: F.lower(F.coalesce(x["_cleartextTrafficPermitted"], F.lit(""))) == "true"
+    each_of = lambda c: F.coalesce(c, F.array())
+    domains = each_of(F.col("c.`domain-config`"))
+    pins = F.concat(F.flatten(F.transform(domains, lambda d: each_of(d["pin-set"]))), F.flatten(F.transform(F.flatten(F.transform(domains, lambda d: each_of(d["domain-config"]))), lambda d: each_of(d["pin-set"]))))
+    named = lambda d: F.array_join(F.transform(each_of(d["domain"]), lambda x: F.trim(F.coalesce(x["_VALUE"], F.lit("")))), ", ")
+    anchors = F.get(F.get(F.col("c.`debug-overrides`"), F.lit(0))["trust-anchors"], F.lit(0))["certificates"]
     each = F.concat(
-        F.transform(F.filter(true_("/network-security-config/base-config/@cleartextTrafficPermitted"), lambda v: F.lower(v) == "true"), lambda v: F.struct(F.lit("NETWORK_NSC_CLEARTEXT").alias("rule_id"), F.lit("base").alias("detail"))),
-        F.transform(true_("/network-security-config/domain-config[@cleartextTrafficPermitted='true']/domain/text()"), lambda v: F.struct(F.lit("NETWORK_NSC_DOMAIN_CLEARTEXT").alias("rule_id"), v.alias("detail"))),
-        F.transform(F.array_distinct(true_("//trust-anchors/certificates[@src='user']/@src")), lambda v: F.struct(F.lit("NETWORK_NSC_USER_CA").alias("rule_id"), v.alias("detail"))),
-        F.transform(true_("//pin-set/@expiration"), lambda v: F.struct(F.lit("NETWORK_NSC_PIN_EXPIRY").alias("rule_id"), v.alias("detail"))),
-        F.when(~F.xpath_boolean(x, F.lit("//pin-set")), F.array(F.struct(F.lit("NETWORK_PINNING_MISSING").alias("rule_id"), F.lit("").alias("detail")))).otherwise(F.array().cast("array<struct<rule_id:string,detail:string>>")),
+        F.when(true_(F.get(F.col("c.`base-config`"), F.lit(0))), F.array(row("NETWORK_NSC_CLEARTEXT", "HIGH", F.lit("base")))).otherwise(empty),
+        F.transform(F.filter(domains, true_), lambda d: row("NETWORK_NSC_DOMAIN_CLEARTEXT", "MEDIUM", F.coalesce(F.nullif(named(d), F.lit("")), F.lit("(unspecified)")))),
+        F.coalesce(F.transform(F.filter(anchors, lambda a: a["_src"] == "user"), lambda a: row("NETWORK_NSC_USER_CA", "MEDIUM", a["_src"])), empty),
+        F.transform(F.filter(pins, lambda p: p["_expiration"] != ""), lambda p: row("NETWORK_PIN_EXPIRY", "INFO", p["_expiration"])),
+        F.when(F.size(pins) == 0, F.array(row("NETWORK_PINNING_MISSING", "LOW", F.lit("")))).otherwise(empty),
     )
-    return configs.select("app_id", F.explode(each).alias("f")).select("app_id", "f.*")
+    return parsed.select("app_id", F.explode(each).alias("f")).select("app_id", "f.*")
 
 
 def code_strings(lines: DataFrame) -> DataFrame:

@@ -132,7 +132,8 @@ def relabelled(sink_label: Column, source_label: Column) -> Column:
 
 def classified(flows: DataFrame) -> DataFrame:
     """flows (source_label, sink_label, chain, ..) as findings: the sink label made personal where it is, then
-    rule_id, severity, confidence and cwe_id by the labels and the length of the chain."""
+    rule_id, severity, confidence, category and cwe_id by the labels and the length of the chain. Where there is a column
+    neutralisation, a flow that is harmless has low confidence, and one that other sanitisers touched medium."""
     source, sink, chain = F.col("source_label"), F.col("sink_label"), F.col("chain")
     pair = lambda rows: F.struct(source, sink).isin([F.struct(F.lit(a), F.lit(b)) for a, b in rows])
     severity = F.lit("MEDIUM")
@@ -140,12 +141,15 @@ def classified(flows: DataFrame) -> DataFrame:
         severity = F.when((sink == label) & (source.isin(*of) if of else F.lit(True)), word).otherwise(severity)
     near = F.when(chain <= 3, "HIGH").when(chain <= 8, "MEDIUM").otherwise("LOW")
     confidence = F.when(source.isin(*labels.NOISY_SOURCES), "LOW").when(pair(labels.CERTAIN_PAIRS) & (chain <= 5), "HIGH").otherwise(near)
+    if "neutralisation" in flows.columns:
+        confidence = F.when(F.col("neutralisation") == "full", "LOW").when(F.col("neutralisation") == "partial", "MEDIUM").otherwise(confidence)
     cwe = F.when(sink.isin("PII_LOG", "PII_NETWORK"), "CWE-359").otherwise(
         F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for a, b, c in labels.WEAKNESSES for x in (f"{a}>{b}", c))), F.concat(source, F.lit(">"), sink)), F.lit("CWE-200"))
     )
     named = flows.withColumn("sink_label", relabelled(sink, source))
     return named.withColumns({
         "rule_id": F.concat(F.lit("TAINT_"), source, F.lit("_TO_"), sink), "severity": severity, "confidence": confidence, "cwe_id": cwe,
+        "category": F.when(sink.isin("PII_LOG", "PII_NETWORK"), "PRIVACY").otherwise("TAINT"),
     })
 
 

@@ -148,7 +148,7 @@ _SIZES = "(values " + ", ".join(f"('{a}', {n}, {i})" for i, (a, n) in enumerate(
         own as (select method, arg_min(least, dst * 100 + i) as least from pool join mins on contains(upper(text), name) group by method),
         made as (select class_name, s1, arg_min(least, i) as least from facts join mins on contains(upper(s1), name) where {_calls("KeyPairGenerator;->getInstance", "KeyGenerator;->getInstance")} group by class_name, s1),
         index as (select class_name, arg_min(least, s1) as least from made group by class_name)
-        select f.method, pos, 'CRYPTO_SMALL_KEY' as rule_id, 'HIGH' as severity, 'HIGH' as confidence from facts f left join own using (method) left join index on index.class_name = f.class_name
+        select f.method, pos, 'CRYPTO_SMALL_KEY' as rule_id, 'HIGH' as severity, 'MEDIUM' as confidence from facts f left join own using (method) left join index on index.class_name = f.class_name
         where {_calls("KeyPairGenerator;->initialize", "KeyGenerator;->init")} and num between 64 and 16384 and num < coalesce(own.least, index.least, 2048)"""
 )
 def crypto_small_keys(spark: SparkSession, d: str) -> DataFrame:

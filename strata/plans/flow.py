@@ -43,7 +43,7 @@ _CLASSES = ("Lcom/app/Main;", "Landroidx/core/A;", "Lkotlin/B;", "Lcom/google/an
 
 VIEWS["label_flows"] = (
     "events",
-    f"select event_id, {_of(f'(event_id * 3 + user_id) % {len(_SOURCES)}', _SOURCES)} as source_label, {_of(f'(event_id + user_id * 5) % {len(_SINKS)}', _SINKS)} as sink_label, cast(event_id % 12 as int) as chain from events",
+    f"select event_id, {_of(f'(event_id * 3 + user_id) % {len(_SOURCES)}', _SOURCES)} as source_label, {_of(f'(event_id + user_id * 5) % {len(_SINKS)}', _SINKS)} as sink_label, cast(event_id % 12 as int) as chain, case event_id % 5 when 0 then 'full' when 1 then 'partial' else 'none' end as neutralisation from events",
 )
 VIEWS["spec_calls"] = (
     "lineitem",
@@ -86,19 +86,19 @@ VIEWS["flagged"] = (
 # ---------------------------------------------------------------- flows
 
 _PII = f"source_label in ({_list(labels.PERSONAL)})"
-_EFFECTIVE = f"select event_id, source_label, chain, case when {_PII} and sink_label = 'LOG' then 'PII_LOG' when {_PII} and sink_label = 'NETWORK_OUT' then 'PII_NETWORK' else sink_label end as sink_label from label_flows"
+_EFFECTIVE = f"select event_id, source_label, chain, neutralisation, case when {_PII} and sink_label = 'LOG' then 'PII_LOG' when {_PII} and sink_label = 'NETWORK_OUT' then 'PII_NETWORK' else sink_label end as sink_label from label_flows"
 _SEVERITY = "case " + " ".join(f"when sink_label = '{k}'" + (f" and source_label in ({_list(of)})" if of else "") + f" then '{w}'" for k, of, w in labels.SEVERITIES) + " else 'MEDIUM' end"
 _CERTAIN = "(" + " or ".join(f"source_label = '{a}' and sink_label = '{b}'" for a, b in labels.CERTAIN_PAIRS) + ")"
 _CWE = "case when sink_label in ('PII_LOG', 'PII_NETWORK') then 'CWE-359' " + " ".join(f"when source_label = '{a}' and sink_label = '{b}' then '{c}'" for a, b, c in labels.WEAKNESSES) + " else 'CWE-200' end"
 
 
 @_query(
-    f""", e as ({_EFFECTIVE}) select event_id, 'TAINT_' || source_label || '_TO_' || sink_label as rule_id, {_SEVERITY} as severity, case when source_label in ({_list(labels.NOISY_SOURCES)}) then 'LOW' when {_CERTAIN} and chain <= 5 then 'HIGH'
-        when chain <= 3 then 'HIGH' when chain <= 8 then 'MEDIUM' else 'LOW' end as confidence, {_CWE} as cwe_id from e""",
+    f""", e as ({_EFFECTIVE}) select event_id, 'TAINT_' || source_label || '_TO_' || sink_label as rule_id, {_SEVERITY} as severity, case when neutralisation = 'full' then 'LOW' when neutralisation = 'partial' then 'MEDIUM' when source_label in ({_list(labels.NOISY_SOURCES)}) then 'LOW' when {_CERTAIN} and chain <= 5 then 'HIGH'
+        when chain <= 3 then 'HIGH' when chain <= 8 then 'MEDIUM' else 'LOW' end as confidence, {_CWE} as cwe_id, case when starts_with(sink_label, 'PII_') then 'PRIVACY' else 'TAINT' end as category from e""",
     "label_flows",
 )
 def taint_flow_findings(spark: SparkSession, d: str) -> DataFrame:
-    return taint.classified(view(spark, d, "label_flows")).select("event_id", "rule_id", "severity", "confidence", "cwe_id")
+    return taint.classified(view(spark, d, "label_flows")).select("event_id", "rule_id", "severity", "confidence", "cwe_id", "category")
 
 
 _TABLE = ", ".join(

@@ -13,7 +13,7 @@ from strata.catalogues import scoring as scores
 from strata.functions import text as txt
 from strata.operators import code, diff, graph, inventory, plugins, rules, scoring, secrets, taint
 from strata.operators.manifest import dangerous, link_rules
-from strata.plans import detect, flow, report
+from strata.plans import detect, files, flow, report, smali
 from strata.plans.keep import keep, small
 from strata.plans.views import table, values, view, with_views
 from strata.sources.archives import merged
@@ -636,5 +636,5 @@ def approx_rule_cardinality(spark: SparkSession, d: str) -> DataFrame:
 
 # ---------------------------------------------------------------- detectors, flows and edges
 
-QUERIES |= detect.QUERIES | flow.QUERIES | report.QUERIES
-SQL |= detect.SQL | flow.SQL | report.SQL
+QUERIES |= detect.QUERIES | flow.QUERIES | report.QUERIES | smali.QUERIES | files.QUERIES
+SQL |= detect.SQL | flow.SQL | report.SQL | smali.SQL | files.SQL

@@ -27,18 +27,18 @@ def _of(expression: str, names) -> str:
 
 _REFS = sorted({s[1] for s in SNIPPETS if s[1]})
 _TEXTS = sorted({s[2] for s in SNIPPETS if s[2]})
-_CONFIGS = (
-    '<network-security-config><base-config cleartextTrafficPermitted="true"/></network-security-config>',
-    '<network-security-config><domain-config cleartextTrafficPermitted="true"><domain>a.example</domain><domain>b.example</domain></domain-config></network-security-config>',
-    '<network-security-config><base-config><trust-anchors><certificates src="user"/></trust-anchors></base-config></network-security-config>',
-    '<network-security-config><domain-config><domain>c.example</domain><pin-set expiration="2030-01-01"><pin>x</pin></pin-set></domain-config></network-security-config>',
-)
 VIEWS["code_text"] = (
     "lineitem",
     f"""select l_orderkey as file, cast(l_linenumber as int) as line_no, case when l_linenumber % 3 = 0 then 'const-string v' || cast(l_suppkey % 4 as varchar(9)) || ', "' || {_of(f"(l_partkey * 3 + l_suppkey) % {len(_TEXTS)}", _TEXTS)} || '"'
         else 'invoke-virtual v0, ' || {_of(f"(l_partkey * 5 + l_suppkey) % {len(_REFS)}", _REFS)} || ' # "' || {_of(f"(l_partkey + l_suppkey * 7) % {len(_TEXTS)}", _TEXTS)} || '"' end as line from lineitem""",
 )
-VIEWS["configs"] = ("customer", f"select c_custkey as app_id, {_of('c_custkey % 4', _CONFIGS)} as xml from customer")
+_CONFIG_PARTS = (
+    ("c_custkey % 4", ("", '<base-config cleartextTrafficPermitted="true"/>', '<base-config cleartextTrafficPermitted="TRUE"><trust-anchors><certificates src="user"/></trust-anchors></base-config>', '<base-config cleartextTrafficPermitted="false"/>')),
+    ("c_nationkey % 5", ("", '<domain-config cleartextTrafficPermitted="True"><domain includeSubdomains="true">a.example</domain><domain>b.example</domain></domain-config>', '<domain-config cleartextTrafficPermitted="true"/>', '<domain-config><domain>c.example</domain></domain-config>', '<domain-config cleartextTrafficPermitted="true"><domain>d.example</domain><pin-set expiration="2030-01-01"><pin digest="SHA-256">x</pin></pin-set></domain-config><domain-config><domain>e.example</domain><pin-set expiration="2031-02-03"/></domain-config>')),
+    ("c_custkey % 3", ("", '<debug-overrides><trust-anchors><certificates src="user"/><certificates src="system"/></trust-anchors></debug-overrides>', '<debug-overrides/>')),
+    ("c_custkey % 11", ("</network-security-config>",) * 10 + ("<broken",)),
+)
+VIEWS["configs"] = ("customer", "select c_custkey as app_id, '<network-security-config>' || " + " || ".join(_of(e, options) for e, options in _CONFIG_PARTS) + " as xml from customer")
 
 
 @_query(
@@ -69,9 +69,15 @@ def code_text_strings(spark: SparkSession, d: str) -> DataFrame:
     return reports.code_strings(view(spark, d, "code_text"))
 
 
-_BY_CONFIG = ((0, "NETWORK_NSC_CLEARTEXT", "base"), (0, "NETWORK_PINNING_MISSING", ""), (1, "NETWORK_NSC_DOMAIN_CLEARTEXT", "a.example"), (1, "NETWORK_NSC_DOMAIN_CLEARTEXT", "b.example"), (1, "NETWORK_PINNING_MISSING", ""), (2, "NETWORK_NSC_USER_CA", "user"), (2, "NETWORK_PINNING_MISSING", ""), (3, "NETWORK_NSC_PIN_EXPIRY", "2030-01-01"))
-
-
-@_query(f"select c_custkey as app_id, rule_id, detail from customer join (values {', '.join(map(str, _BY_CONFIG))}) as v(k, rule_id, detail) on c_custkey % 4 = k")
+@_query(
+    r""", whole as (select * from configs where ends_with(xml, '</network-security-config>')), domains as (select app_id, unnest(regexp_extract_all(xml, '<domain-config[^>]*/>|<domain-config.*?</domain-config>')) as d from whole),
+    debug as (select app_id, regexp_extract(xml, '<debug-overrides>.*</debug-overrides>') as d from whole)
+    select app_id, 'NETWORK_NSC_CLEARTEXT' as rule_id, 'HIGH' as severity, 'base' as detail from whole where lower(regexp_extract(xml, '<base-config[^>]*cleartextTrafficPermitted="([^"]*)"', 1)) = 'true'
+    union all select app_id, 'NETWORK_NSC_DOMAIN_CLEARTEXT', 'MEDIUM', coalesce(nullif(array_to_string(regexp_extract_all(d, '<domain( [^>]*)?>([^<]*)</domain>', 2), ', '), ''), '(unspecified)') from domains where lower(regexp_extract(d, '^<domain-config[^>]*cleartextTrafficPermitted="([^"]*)"', 1)) = 'true'
+    union all select app_id, 'NETWORK_NSC_USER_CA', 'MEDIUM', 'user' from (select app_id, unnest(regexp_extract_all(d, '<certificates src="user"/>')) from debug) t
+    union all select app_id, 'NETWORK_PIN_EXPIRY', 'INFO', unnest(regexp_extract_all(xml, '<pin-set expiration="([^"]+)"', 1)) from whole
+    union all select app_id, 'NETWORK_PINNING_MISSING', 'LOW', '' from whole where not contains(xml, '<pin-set')""",
+    "configs",
+)
 def network_config_xml(spark: SparkSession, d: str) -> DataFrame:
     return reports.network_config(view(spark, d, "configs"))

@@ -7,9 +7,8 @@ from pyspark.sql import functions as F
 
 from strata.catalogues import flows as labels
 from strata.catalogues import taint as values
-from strata.operators import detectors, flows
+from strata.operators import detectors, flows, taint
 from strata.plans import detect
-from strata.plans.keep import keep
 from strata.plans.views import VIEWS, view, with_views
 from strata.plans.views import values as rows_sql
 from strata.sources import smali
@@ -178,6 +177,12 @@ _PATH = (
 _BUILDER = _any("ref", ("StringBuilder;->append", "StringBuffer;->append"))
 _TEXT_OF = _any("ref", ("StringBuilder;->toString", "StringBuffer;->toString"))
 _HARMLESS = "case sink_label " + " ".join(f"when '{k}' then {v}" for k, v in sorted(flows.covers().items())) + " else 0 end"
+def _listed(names) -> str:
+    return ", ".join(f"'{n}'" for n in names)
+
+
+_SEVERITY = "case " + " ".join(f"when sink = '{k}'" + (f" and label in ({_listed(of)})" if of else "") + f" then '{w}'" for k, of, w in labels.SEVERITIES) + " else 'MEDIUM' end"
+_CERTAIN = "(" + " or ".join(f"label = '{a}' and sink = '{b}'" for a, b in labels.CERTAIN_PAIRS) + ")"
 FLOWS = (
     PARSED
     + ", "
@@ -217,7 +222,7 @@ FLOWS = (
             case when got > c.pos then coalesce(k.bit, 0) else 0 end as bit, '' as site from moves c left join cleaned k on k.method = c.method and k.pos = c.pos where src is not null and dst is not null
         union all select 'step', method, {_VERSION.format('c.reg', 'c.pos')}, pos, method, {_VERSION.format('c.reg', 'c.pos + 1')}, pos, 'copy', null, bit, '' from stamps c
         union all select 'call', c.method, {_VERSION.format('c.reg', 'c.pos')}, pos, callee, 'p' || i || '#0', -1, 'copy', null, 0, c.method || ' ' || pos from (select method, pos, rc || '->' || rn || ref_desc as callee, unnest(regs) as reg, unnest(range(len(regs))) as i from code where kind = 'invoke') c where callee in (select method from code)
-        union all select 'back', rc || '->' || rn || ref_desc, 'return', 1000000, c.method, {_VERSION.format('c.res', 'c.got')}, got, 'copy', null, 0, c.method || ' ' || pos from code c where kind = 'invoke' and res is not null and regs <> [] and rc is not null
+        union all select 'back', rc || '->' || rn || ref_desc, 'return', 1000000, c.method, {_VERSION.format('c.res', 'c.got')}, got, 'copy', null, 0, c.method || ' ' || pos from code c where kind = 'invoke' and res is not null and rc is not null
     ), seeds as (
         select distinct app_id, method, got as pos, {_VERSION.format('c.res', 'c.got')} as slot, label from (
             select app_id, method, got, res, label from code join sources on rc = c and m in (rn, '*') union all select app_id, method, got, res, label from code join makes on c in (rc, '*') and m in (rn, '*') where kind = 'invoke' and rc is not null) c where res is not null
@@ -233,17 +238,34 @@ FLOWS = (
 )
 
 
-@_query(
+HITS = (
     FLOWS
-    + f""", hits as (
-        select app_id, source, source_pos, f.label, e.method as sink_method, e.pos as sink_pos, e.label as sink_label, min(len(stack)) as chain, bit_and(bits) as mask from flow f join ends e on e.method = f.method and e.slot = f.slot and e.pos > f.since group by all)
-    select app_id, source as source_method, source_pos, label as source_label, sink_method, sink_pos, sink_label, cast(chain as int) as chain, cast(mask as bigint) as mask,
+    + """, hits as (
+        select app_id, source, source_pos, f.label, e.method as sink_method, e.pos as sink_pos, e.label as sink_label, min(len(stack)) as chain, bit_and(bits) as mask from flow f join ends e on e.method = f.method and e.slot = f.slot and e.pos > f.since group by all)"""
+)
+
+
+@_query(
+    HITS
+    + f""" select app_id, source as source_method, source_pos, label as source_label, sink_method, sink_pos, sink_label, cast(chain as int) as chain, cast(mask as bigint) as mask,
         case when mask & ({_HARMLESS}) <> 0 then 'full' when mask <> 0 then 'partial' else 'none' end as neutralisation from hits"""
 )
 def smali_flows(spark: SparkSession, d: str) -> DataFrame:
     return flows.findings(flows.steps(code(spark, d)), NESTED)
 
 
+@_query(
+    HITS
+    + f""", named as (select *, case when mask & ({_HARMLESS}) <> 0 then 'full' when mask <> 0 then 'partial' else 'none' end as neutralisation, chain + 1 as methods, label as source_label,
+        case when label in ({_listed(labels.PERSONAL)}) and sink_label = 'LOG' then 'PII_LOG' when label in ({_listed(labels.PERSONAL)}) and sink_label = 'NETWORK_OUT' then 'PII_NETWORK' else sink_label end as sink from hits)
+    select app_id, source as source_method, source_pos, sink_method, sink_pos, 'TAINT_' || label || '_TO_' || sink as rule_id, {_SEVERITY} as severity, case neutralisation when 'full' then 'LOW' when 'partial' then 'MEDIUM' else
+        case when label in ({_listed(labels.NOISY_SOURCES)}) then 'LOW' when {_CERTAIN} and methods <= 5 then 'HIGH' when methods <= 3 then 'HIGH' when methods <= 8 then 'MEDIUM' else 'LOW' end end as confidence, case when starts_with(sink, 'PII_') then 'PRIVACY' else 'TAINT' end as category from named"""
+)
+def smali_findings(spark: SparkSession, d: str) -> DataFrame:
+    found = flows.findings(flows.steps(code(spark, d)), NESTED).withColumn("chain", F.col("chain") + 1)
+    return taint.classified(found).select("app_id", "source_method", "source_pos", "sink_method", "sink_pos", "rule_id", "severity", "confidence", "category")
+
+
 @_query(
     FLOWS
     + f""", levels(method, source_pos, label, slot, path, since, n) as (

@@ -86,7 +86,7 @@ def instructions(lines: DataFrame) -> DataFrame:
     no_write = r"^(invoke|[is]put|aput|return|throw|if-|goto|packed|sparse|monitor|nop|fill|filled)"
     parsed = cut.withColumns({
         "ref": ref,
-        "registers": F.when(F.col("_rest").contains("{"), _listed(F.regexp_extract("_rest", r"\{([^}]*)\}", 1))).otherwise(_listed(before_string)),
+        "registers": F.when(F.col("_rest").rlike(r'^[^"]*\{'), _listed(F.regexp_extract("_rest", r"\{([^}]*)\}", 1))).otherwise(_listed(before_string)),
         "text": F.when(F.col("opcode").startswith("const-string"), _at("_rest", r'"((?:[^"\\]|\\.)*)"')),
         "num": F.when(F.col("opcode").rlike(r"^const(/|-wide|$)|^add-int/lit|^rsub-int"), _number(F.col("_rest"))),
         "label": F.when(F.col("opcode").rlike("^(if-|goto)"), _at("_rest", r"(:\S+)$")),
