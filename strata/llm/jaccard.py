@@ -29,7 +29,7 @@ from strata.llm.graph import connected_components
 SHINGLE = 5
 PERCENT = 80
 #: Groups that tokens are hashed into.
-GROUPS = 64
+GROUPS = 256
 #: A token of more documents than this comes last in the order of tokens, which is by hash otherwise. Tokens are
 #: counted whose hash is in this lowest share of all, so that most documents have enough of them that aren't frequent.
 FREQUENT = 1
@@ -40,7 +40,7 @@ PART = 1000
 #: Tokens of the documents that one task compares with each other.
 CLUSTER = 4_000_000
 #: Members of a node that the others are compared with in a turn, and turns before all that is left is searched.
-HEADS, TURNS = 4, 3
+HEADS, TURNS = 4, 2
 #: Most tokens in a table that all workers get; the limits above double until it fits.
 HANDED_OUT = 2_000_000
 #: Bits of the filters that workers get.
@@ -152,8 +152,17 @@ def _first(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1 if n else 0
 
 
-def _points(tokens: np.ndarray) -> np.ndarray:
-    return np.bincount((tokens >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS).astype("<u4")
+def _points(tokens: np.ndarray) -> bytes:
+    """A document's point: a byte for each group, and in four bytes what the counts have beyond 255 in all."""
+    counts = np.bincount((tokens >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=GROUPS)
+    return np.minimum(counts, 255).astype(np.uint8).tobytes() + np.uint32((counts - 255).clip(min=0).sum()).tobytes()
+
+
+def _counts(column: pa.Array) -> np.ndarray:
+    """Points as rows of numbers, one for each group and one for what is beyond; the sum of the lesser ones of two rows
+    is at least what their documents share."""
+    raw = _matrix(column, GROUPS + 4, "u1")
+    return np.concatenate([raw[:, :GROUPS].astype(np.uint32), np.ascontiguousarray(raw[:, GROUPS:]).view("<u4")], axis=1)
 
 
 def _binary(parts: list[bytes]) -> pa.Array:
@@ -231,7 +240,7 @@ def _look_again(percent: int, n: int, frequent):
                 digests.append(digest)
                 size.append(len(tokens))
                 first.append(np.concatenate([tokens[~late], tokens[late]])[: _first(len(tokens), percent)].view(np.int64))
-                points.append(_points(tokens).tobytes())
+                points.append(_points(tokens))
             yield pa.RecordBatch.from_arrays([_binary(digests), pa.array(size, pa.int64()), _lists(first), _binary(points)], ["digest", "n", "tokens", "point"])
 
     return look
@@ -361,7 +370,7 @@ def _stars(percent: int, heads: int):
             if not batch.num_rows:
                 continue
             node = np.stack([batch.column("token").to_numpy(), batch.column("part").to_numpy().astype(np.int64)], axis=1)
-            rows = [node, *(_matrix(batch.column(c), 16, "<u8") for c in ("digest", "label")), batch.column("n").to_numpy(), _matrix(batch.column("point"), 4 * GROUPS, "<u4")]
+            rows = [node, *(_matrix(batch.column(c), 16, "<u8") for c in ("digest", "label")), batch.column("n").to_numpy(), _counts(batch.column("point"))]
             if held:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             node, digest, label, n, point = rows
@@ -462,7 +471,7 @@ def _between_classes(percent: int, fan: int, opened: int):
                 continue
             key = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("token", "band", "part", "other")], axis=1)
             rows = [key, *(_matrix(batch.column(c), 16, "<u8") for c in ("digest", "label")), batch.column("n").to_numpy(),
-                    _matrix(batch.column("point"), 4 * GROUPS, "<u4"), batch.column("side").to_numpy()]
+                    _counts(batch.column("point")), batch.column("side").to_numpy()]
             if held:
                 rows = [np.concatenate(x) for x in zip(held, rows)]
             changed = np.flatnonzero((rows[0][1:] != rows[0][:-1]).any(axis=1))

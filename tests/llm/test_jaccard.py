@@ -106,6 +106,21 @@ def test_shingles_of_long_texts_and_words():
         assert len(np.intersect1d(got[0 + i], got[-1])) == len(plainly[i] & plainly[-1])
 
 
+def test_points_bound_what_is_shared():
+    """Also where hundreds of tokens fall into one group, more than a byte counts."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(4)
+    crowded = np.unique((rng.integers(0, 1 << 15, 900, dtype=np.uint64) << np.uint64(48)) | rng.integers(0, 1 << 40, 900, dtype=np.uint64))
+    spread = np.unique(rng.integers(0, 1 << 63, 500, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([rng.choice(crowded, k), rng.choice(spread, 300)])) for k in (0, 100, 600, 800, 900)]
+    points = jaccard._counts(pa.array([jaccard._points(s) for s in sets], pa.binary()))
+    assert points.sum(axis=1).tolist() == [len(s) for s in sets] and points[-1, -1] > 0
+    for a in range(5):
+        for b in range(5):
+            assert np.minimum(points[a], points[b]).sum() >= len(np.intersect1d(sets[a], sets[b]))
+
+
 def test_tree_join_is_complete_and_prunes():
     rng = np.random.default_rng(1)
     centres = rng.integers(0, 40, (60, 16))
