@@ -206,10 +206,18 @@ def _nearest_of_length(rows: DataFrame, length: int, total: int, asked: int, eve
     blocks = laid_out(one, counts.sum(axis=1), max(256, min(BLOCK_ROWS, BLOCK_NUMBERS // max(1, length))))
     filled = np.flatnonzero(counts.sum(axis=1))
 
+    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"])
+    asking = np.zeros(len(one) * len(two), np.int64)
+    for r in queries.mapInArrow(cells, f"vec_id long, embedding {kind}, i int, j int").groupBy("i", "j").count().collect():
+        asking[r["i"] * len(two) + r["j"]] = r["count"]
+    before = np.cumsum(asking) - asking  # queries in the cells before each: neighbours in this order share a chunk
+
     def probed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             v = _matrix(batch["embedding"])
             a, b = v[:, :half] @ one.T, v[:, half:] @ two.T
+            cell = nearest(v[:, :half], one) * len(two) + nearest(v[:, half:], two)
+            place = before[cell] + batch["vec_id"].to_numpy() // every % np.maximum(asking[cell], 1)
             at, into, limits = [], [], []
             for q in range(len(v)):
                 *_, (i, j) = walk(a[q], b[q], counts, share * total)
@@ -220,11 +228,11 @@ def _nearest_of_length(rows: DataFrame, length: int, total: int, asked: int, eve
                 into += own
                 limits += [limit] * len(own)
             take = pa.array(at, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(take), batch["embedding"].take(take), pa.array(into, pa.int32()), pa.array(limits, pa.float64())], names=["vec_id", "embedding", "block", "limit"])
+            yield pa.RecordBatch.from_arrays([batch["vec_id"].take(take), batch["embedding"].take(take), pa.array(into, pa.int32()), pa.array(limits, pa.float64()), pa.array((place // at_once).astype(np.int32)).take(take)], names=["vec_id", "embedding", "block", "limit", "chunk"])
 
-    queries = rows.where(F.pmod("vec_id", F.lit(every)) == 0).dropDuplicates(["vec_id", "embedding"]).repartition(max(1, min(20_000, asked // 64)), "vec_id")
-    chunks = max(1, -(-asked // CHUNK_ROWS))
-    asks = cut(queries.mapInArrow(probed, f"vec_id long, embedding {kind}, block int, limit double").withColumn("chunk", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(chunks)).cast("int")))
+    at_once = CHUNK_ROWS
+    dealt = queries.repartition(max(1, min(20_000, asked // 64)), "vec_id")
+    asks = cut(dealt.mapInArrow(probed, f"vec_id long, embedding {kind}, block int, limit double, chunk int"))
     wanted = cut(asks.select(F.col("block").alias("block"), F.col("chunk").alias("chunk")).distinct())
     of = F.element_at(F.lit(blocks), F.col("i") + 1)
     placed = indexed.withColumn("block", F.element_at(of, (F.pmod(F.xxhash64("vec_id", "embedding"), F.size(of)) + 1).cast("int")))

@@ -160,3 +160,27 @@ def test_blocks_are_bounded_and_hold_every_row():
         for b in own:
             held[b] = held.get(b, 0) + sizes[i] / len(own)
     assert sorted(held) == [*range(len(held))] and max(held.values()) <= 16_384 + 16_384
+
+
+def test_chunks_of_neighbouring_queries_ask_for_few_blocks(spark, monkeypatch):
+    """Many chunks and blocks: each chunk's queries lie in neighbouring cells, so it is sent a small part of the blocks,
+    and what is found doesn't depend on the chunks."""
+    rng = np.random.default_rng(9)
+    middles = rng.normal(size=(300, 16))
+    x = middles[rng.integers(0, 300, 12_000)] + 0.1 * rng.normal(size=(12_000, 16))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    table = spark.createDataFrame(list(zip(range(len(x)), x.tolist())), "vec_id long, embedding array<double>").repartition(6)
+    whole = {(r.query_id, r.rank): r.vec_id for r in imi.search(table, every=10).collect()}
+    monkeypatch.setattr(imi, "BLOCK_ROWS", 256)
+    monkeypatch.setattr(imi, "CHUNK_ROWS", 50)
+    kept = []
+    real = imi.cut
+    monkeypatch.setattr(imi, "cut", lambda df: (kept.append(real(df)), kept[-1])[1])
+    got = {(r.query_id, r.rank): r.vec_id for r in imi.search(table, every=10).collect()}
+    assert got == whole and len({q for q, _ in got}) == 1200
+    wanted = next(df for df in kept if set(df.columns) == {"block", "chunk"})
+    blocks, chunks = (len({r[0] for r in wanted.select(c).distinct().collect()}) for c in ("block", "chunk"))
+    asks = next(df for df in kept if "limit" in df.columns)
+    at_random = asks.select((F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(chunks))).alias("c"), "block").distinct().count()
+    each = asks.count() / 1200
+    assert chunks >= 20 and blocks >= 20 and wanted.count() < 0.8 * at_random, (wanted.count(), at_random, each, blocks, chunks)
