@@ -228,3 +228,6 @@ SECURITY_SINK_PREFIXES = (
     'Ljava/lang/Runtime',
     'Ljava/lang/ProcessBuilder',
 )
+
+#: Words in a link's scheme or host that tell of a log-in.
+LOGIN_WORDS = ("oauth", "auth", "callback", "redirect", "login", "sso", "token", "authorize")

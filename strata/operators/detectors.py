@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strata.catalogues import detectors as fixed
+from strata.operators.code import last_definition
 
 
 def _method():
@@ -133,10 +134,7 @@ def storage(code: DataFrame) -> DataFrame:
 
 def webview(code: DataFrame) -> DataFrame:
     """Settings of web views; a setter counts unless the constant last written to its argument is false."""
-    setter = lambda r: F.last(F.when((F.col("kind") == "const") & (F.col("dst") == r), F.col("num")), ignorenulls=True).over(_before())
-    names = [r[0] for r in code.where("kind = 'invoke'").select("arg1").distinct().collect() if r[0] is not None]  # registers: a fixed few
-    value = F.coalesce(*(F.when(F.col("arg1") == r, setter(r)) for r in sorted(names)), F.lit(None)) if names else F.lit(None).cast("int")
-    rows = facts(code).withColumn("_value", value)
+    rows = last_definition(facts(code), F.col("num"), (F.col("kind") == "const") & F.col("num").isNotNull(), "dst", "arg1").withColumnRenamed("defined", "_value")
     on = F.coalesce(F.col("_value") != 0, F.lit(True))
     js, bridge, content = (F.bool_or(calls(m) & (on if m != "addJavascriptInterface" else F.lit(True))).over(_method()) for m in ("setJavaScriptEnabled", "addJavascriptInterface", "setAllowContentAccess"))
     rows = rows.withColumns({"_js": js, "_bridge": bridge, "_content": content, "_last": F.max("pos").over(_method())})

@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strata.operators import detectors, reuse
+from strata.operators import detectors, manifest, reuse
 from strata.plans import smali as code_plans
 from strata.plans.views import VIEWS, view, with_views
 from strata.sources import binaries, smali
@@ -125,3 +125,34 @@ def smali_reuse(spark: SparkSession, d: str) -> DataFrame:
     logs = lambda code: detectors.logs(smali.for_detectors(code))
     kept = reuse.analysed(smali.instructions(earlier), logs)
     return reuse.current(smali.instructions(lines), kept, logs)
+
+
+_A = 'xmlns:android="http://schemas.android.com/apk/res/android"'
+_SDKS, _SCHEMES = (19, 22, 28, 30, 31, 34), ("https", "myapp", "com.app.oauth", "http", "file")
+VIEWS["manifest_files"] = (
+    "customer",
+    f"""select c_custkey as app_id, '<manifest {_A} package="com.app.c' || cast(c_custkey as varchar(20)) || '"><uses-sdk android:targetSdkVersion="' || {_CASE(f'c_custkey % {len(_SDKS)}', _SDKS)} || '"/><uses-permission android:name="android.permission.CAMERA"/>'
+        || case c_custkey % 3 when 0 then '<permission android:name="own.P"/>' when 1 then '<permission android:name="own.S" android:protectionLevel="signature"/>' else '' end
+        || '<application' || case c_nationkey % 3 when 0 then ' android:allowBackup="false" android:debuggable="TRUE"' when 1 then ' android:allowBackup="true" android:networkSecurityConfig="@xml/nsc"' else ' android:usesCleartextTraffic="true"' end || '><activity android:name=".Main"'
+        || case c_custkey % 4 when 0 then ' android:exported="false"' when 1 then ' android:exported="true"' else '' end || '>' || case when c_custkey % 5 < 4 then '<intent-filter android:autoVerify="true"><action android:name="android.intent.action.VIEW"/><data android:scheme="' || {_CASE('c_nationkey % 5', _SCHEMES)} || '" android:host="' || case c_custkey % 2 when 0 then 'login.example' else 'example.com' end || '"/><data android:mimeType="a/b"/></intent-filter>' else '' end
+        || '</activity><provider android:name=".P" android:grantUriPermissions="true"' || case c_nationkey % 2 when 0 then ' android:authorities="a.b"' else '' end || '/></application></manifest' || case when c_custkey % 13 = 0 then '' else '>' end as xml from customer""",
+)
+
+
+@_query(
+    f""", f as (select app_id, c_nationkey as n, app_id % 5 < 4 as filtered, {_CASE(f'app_id % {len(_SDKS)}', _SDKS)}::int as sdk, {_CASE('c_nationkey % 5', _SCHEMES)} as scheme, app_id % 4 as e from (select c_custkey as app_id, c_nationkey from customer where c_custkey % 13 <> 0) t),
+    x as (select *, e = 1 or (e <> 0 and filtered) as open, n % 2 = 0 as given from f)
+    select app_id, 'MANIFEST_DEBUGGABLE' as rule_id from x where n % 3 = 0 union all select app_id, 'MANIFEST_CLEARTEXT' from x where n % 3 = 2 union all select app_id, 'STORAGE_BACKUP_ENABLED' from x where n % 3 = 1 or (n % 3 = 2 and sdk < 31)
+    union all select app_id, 'MANIFEST_NSC_MISSING' from x where n % 3 <> 1 union all select app_id, 'MANIFEST_TARGET_SDK_LOW' from x where sdk < 30 union all select app_id, 'PRIVACY_PERM_CAMERA' from x
+    union all select app_id, 'MANIFEST_EXPORTED_ACTIVITY' from x where open union all select app_id, unnest(['MANIFEST_EXPORTED_CONTENTPROVIDER', 'MANIFEST_PROVIDER_GRANT_URI']) from x where given
+    union all select app_id, 'DEEPLINK_UNPROTECTED' from x where open and filtered and scheme not in ('http', 'https')
+    union all select app_id, 'MANIFEST_CUSTOM_PERMISSION_NORMAL' from x where app_id % 3 = 0 union all select app_id, 'MANIFEST_TAPJACKING_RISK' from x where open and sdk < 23
+    union all select app_id, 'DEEPLINK_OAUTH_HIJACK' from x where open and filtered and (scheme like '%oauth%' or app_id % 2 = 0)
+    union all select c_custkey, 'malformed' from customer where c_custkey % 13 = 0"""
+    .replace(", f as", "with f as", 1)
+)
+def manifest_xml_rules(spark: SparkSession, d: str) -> DataFrame:
+    manifests = manifest.parsed(view(spark, d, "manifest_files"))
+    fine = manifests.where("error is null")
+    found = manifest.manifest_rules(fine).unionByName(manifest.declared_rules(fine).select("app_id", "rule_id"))
+    return found.unionByName(manifests.where("error is not null").select("app_id", F.col("error").alias("rule_id")))
