@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from strata.operators import detectors, manifest, reuse
 from strata.plans import smali as code_plans
 from strata.plans.views import VIEWS, view, with_views
-from strata.sources import binaries, smali
+from strata.sources import archives, binaries, smali
 
 QUERIES, SQL = {}, {}
 
@@ -156,3 +156,21 @@ def manifest_xml_rules(spark: SparkSession, d: str) -> DataFrame:
     fine = manifests.where("error is null")
     found = manifest.manifest_rules(fine).unionByName(manifest.declared_rules(fine).select("app_id", "rule_id"))
     return found.unionByName(manifests.where("error is not null").select("app_id", F.col("error").alias("rule_id")))
+
+
+_PATHS = ("base/dex/classes.dex", "feat/lib/arm/x.so", "base/res/a.xml", "base/manifest/AndroidManifest.xml", "base/root/r.txt", "BundleConfig.pb", "feat/assets/d/e.bin", "base/other/z")
+_TARGETS = ("classes.dex", "lib/arm/x.so", "res/a.xml", "AndroidManifest.xml", "r.txt", None, "assets/d/e.bin", None)
+_PACKAGES = (("a.aab", "aab"), ("b.XAPK", "xapk"), ("c.apks", "apks"), ("d.apkm", "apkm"), ("e.apk", "apk"), ("f", "apk"))
+VIEWS["bundle_files"] = ("part", f"select p_partkey, {_CASE(f'p_partkey % {len(_PACKAGES)}', [p for p, _ in _PACKAGES])} as package, {_CASE(f'p_size % {len(_PATHS)}', _PATHS)} as path from part")
+
+
+@_query(
+    f"""select p_partkey, {_CASE(f'p_partkey % {len(_PACKAGES)}', [k for _, k in _PACKAGES])} as kind, case p_size % {len(_PATHS)} {' '.join(f"when {i} then '{t}'" for i, t in enumerate(_TARGETS) if t)} end as target,
+    case when p_size % {len(_PATHS)} = 0 then case when row_number() over (partition by p_partkey % {len(_PACKAGES)}, p_size % {len(_PATHS)} = 0 order by p_partkey) = 1 then 'classes.dex'
+        else 'classes' || row_number() over (partition by p_partkey % {len(_PACKAGES)}, p_size % {len(_PATHS)} = 0 order by p_partkey) || '.dex' end end as code_name from part"""
+)
+def bundle_files(spark: SparkSession, d: str) -> DataFrame:
+    """Kinds of bundles by suffix, where a bundle's files go in a package, and the names that its code files get."""
+    files = view(spark, d, "bundle_files").withColumns({"kind": archives.bundle_kind(F.col("package")), "target": archives.flattened_path(F.col("path"))})
+    named = archives.dex_names(files.where("target = 'classes.dex'").select("package", F.col("p_partkey").alias("split"), F.col("path").alias("name")), ("package",))
+    return files.join(named.select(F.col("split").alias("p_partkey"), F.col("target").alias("code_name")), "p_partkey", "left").select("p_partkey", "kind", "target", "code_name")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from strata.catalogues import flows as labels
 from strata.catalogues import taint as values
 from strata.operators import detectors, flows, taint
+from strata.operators.code import exit_blocks
 from strata.plans import detect
 from strata.plans.views import VIEWS, view, with_views
 from strata.plans.views import values as rows_sql
@@ -138,6 +139,19 @@ def smali_flow_graph(spark: SparkSession, d: str) -> DataFrame:
     return smali.flow_graph(view(spark, d, "smali"))[1]
 
 
+@_query(
+    PARSED
+    + """, led as (select i.*, case when pos = 0 or entered or regexp_matches(lag(opcode) over m, '^(if-|goto|return|throw|packed-switch|sparse-switch)') then 1 else 0 end as leads from instr i window m as (partition by file, method_no order by pos)
+    ), blocks as (select *, cast(sum(leads) over (partition by file, method_no order by pos) - 1 as int) as block, max(pos) over (partition by file, method_no) as final from led
+    ), ends as (select *, row_number() over (partition by file, method_no, block order by pos desc) as o from blocks)
+    select e.app_id, e.file, e.method_no, e.block from ends e where o = 1 and not exists (select 1 from labels l where l.file = e.file and l.method_no = e.method_no and l.label = e.label) and (pos = final or regexp_matches(opcode, '^(goto|return|throw)'))"""
+)
+def smali_exit_blocks(spark: SparkSession, d: str) -> DataFrame:
+    blocks, edges = smali.flow_graph(view(spark, d, "smali"))
+    named = lambda rows, *rest: rows.select(F.struct("app_id", "file", "method_no").alias("method"), *rest)
+    return exit_blocks(named(blocks, "block"), named(edges, "src")).select("method.*", "block")
+
+
 _NUMBER = "case when {0}[1] = 'p' then 1000 else 0 end + cast(substr({0}, 2) as int)"
 _CODE = (
     f"""code as (select method, pos, class_name, method_name, kind, ref, text, cast(num as int) as num, {_NUMBER.format('dst')} as dst, {_NUMBER.format('arg1')} as arg1, {_NUMBER.format('arg2')} as arg2 from (
