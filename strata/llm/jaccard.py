@@ -224,8 +224,12 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*rows, np.zeros(0, np.int64)]), pa.int64()))
 
 
-def _look_again(percent: int, n: int, frequent):
-    """(digest, n, tokens, point) with frequent tokens last in the order, for the first of equal sets in a task."""
+def _look_again(percent: int, n: int, frequent, share: float):
+    """(digest, n, tokens, point) with frequent tokens last in the order, for the first of equal sets in a task.
+
+    Of the lowest share of hashes the frequent ones are all that a second document has, so others of it are left out.
+    """
+    limit = np.uint64(share * 2.0**64)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -239,7 +243,9 @@ def _look_again(percent: int, n: int, frequent):
                 late = _among(tokens.view(np.int64), frequent.value)
                 digests.append(digest)
                 size.append(len(tokens))
-                first.append(np.concatenate([tokens[~late], tokens[late]])[: _first(len(tokens), percent)].view(np.int64))
+                order = np.concatenate([tokens[~late], tokens[late]])[: _first(len(tokens), percent)]
+                alone = (~late).sum()
+                first.append(order[(order >= limit) | (np.arange(len(order)) >= alone)].view(np.int64))
                 points.append(_points(tokens))
             yield pa.RecordBatch.from_arrays([_binary(digests), pa.array(size, pa.int64()), _lists(first), _binary(points)], ["digest", "n", "tokens", "point"])
 
@@ -288,14 +294,14 @@ def _in_filter(values: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return (bits[at >> 6] >> (at & 63)) & 1 == 1
 
 
-def _above(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens counted more than least times, in order, and their counts; the limit doubles until they are few enough."""
+def _above(counted: DataFrame, least: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Tokens counted more than least times, in order, their counts, and least, which doubles until they are few enough."""
     sizes = {r.p: r.c for r in counted.where(F.col("c") > least).groupBy(F.floor(F.log2(F.col("c") / least)).alias("p")).agg(F.count("*").alias("c")).collect()}
     while sum(sizes.values()) > HANDED_OUT:
         del sizes[min(sizes)]
         least *= 2
     rows = counted.where(F.col("c") > least).orderBy("token").toArrow()
-    return rows["token"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64)
+    return rows["token"].to_numpy().astype(np.int64), rows["c"].to_numpy().astype(np.int64), least
 
 
 def _counted(looked: DataFrame, least: int) -> DataFrame:
@@ -599,14 +605,15 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also:
         docs.mapInArrow(_look(n, COUNTED), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n long, digest binary, key long, tokens array<long>").write.parquet(paths[0])
     first = spark.read.parquet(paths[0])
     known = cut(first.select("doc_id", "n", "digest", "key"))
-    frequent = spark.sparkContext.broadcast(_above(cut(_counted(first, FREQUENT + 1)), FREQUENT)[0])
+    late, _, least = _above(cut(_counted(first, FREQUENT + 1)), FREQUENT)
+    frequent, share = spark.sparkContext.broadcast(late), COUNTED if least == 1 else 0.0
     remove_folder(spark, paths[0])
     with small_batches(spark):
-        docs.select("text").mapInArrow(_look_again(percent, n, frequent), "digest binary, n long, tokens array<long>, point binary").write.parquet(paths[1])
+        docs.select("text").mapInArrow(_look_again(percent, n, frequent, share), "digest binary, n long, tokens array<long>, point binary").write.parquet(paths[1])
     again = spark.read.parquet(paths[1])
     counted = cut(_counted(again, 2))
     kept = spark.sparkContext.broadcast(_filter(counted.select(F.col("token").alias("value"))))
-    hot = _above(counted, NODE)
+    *hot, _ = _above(counted, NODE)
     large = spark.sparkContext.broadcast(hot)
     kept = spark.sparkContext.broadcast(_filter(cut(_nodes(again, kept))))
     parts = F.broadcast(spark.createDataFrame([(int(t), int(-(-c // PART))) for t, c in zip(*hot)], "token long, parts int"))
@@ -647,20 +654,15 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
 
 def _leading(members: DataFrame, parts: DataFrame) -> DataFrame:
     """members by node, those with the largest share first; the first ones of a large node lead each of its parts."""
-    crowd = members.join(parts, "token")
-    row = lambda *first: F.struct(*first, "digest", "label", "n", "point")
-    lead = [F.max(row("share"))] + [F.min(row(F.xxhash64("share", "digest", F.lit(i)).alias("share"))) for i in range(1, HEADS)]
-    heads = crowd.groupBy("token", "parts").agg(F.array(*lead[:1]).alias("first"), F.array(*lead[1:]).alias("others"))
-    each = heads.select("token", "parts", F.explode(F.transform(F.concat(F.transform("first", _bare), F.transform("others", _bare)), lambda m: m)).alias("m"))
-    each = each.select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2.0).alias("share"), "m.digest", "m.label", "m.n", "m.point")
+    crowd = members.select("token", "share", "digest").join(parts, "token")
+    row = lambda *first: F.struct(*first, "digest")
+    lead = [F.max(row("share"))["digest"]] + [F.min(row(F.xxhash64("share", "digest", F.lit(i)).alias("share")))["digest"] for i in range(1, HEADS)]
+    heads = cut(crowd.groupBy("token", "parts").agg(F.array_distinct(F.array(*lead)).alias("heads")).select("token", "parts", F.explode("heads").alias("digest")))
+    each = members.join(if_small(heads), ["token", "digest"]).select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2.0).alias("share"), "digest", "label", "n", "point")
     every = members.select("token", "part", "share", "digest", "label", "n", "point").union(each)
     return every.repartition("token", "part").sortWithinPartitions("token", "part", F.desc("share"), "digest")
 
 
-def _bare(member):
-    return F.struct(member["digest"].alias("digest"), member["label"].alias("label"), member["n"].alias("n"), member["point"].alias("point"))
-
-
 def _crowded(crowd: DataFrame, percent: int) -> DataFrame:
     """The members of large nodes dealt so that any two of different classes meet: those outside of the node's largest
     class go to every part of it, and to pairs of blocks among themselves."""
