@@ -160,6 +160,12 @@ def test_binaries_cut_after_the_size_of_the_header(spark, wide, told):
     assert {r.rule_id for r in binaries.native_rules(facts).where(f"path = '{told}'").collect()} == {"NATIVE_NO_PIE", "NATIVE_NO_NX", "NATIVE_NO_RELRO", "NATIVE_NO_STACK_CANARY"}
 
 
+def test_a_handle_leaves_the_string_of_its_register(lines):
+    digest = "invoke-static {v1}, Ljava/security/MessageDigest;->getInstance(Ljava/lang/String;)Ljava/security/MessageDigest;"
+    code = smali.instructions(lines(method("h", 'const-string v1, "MD5"', digest, "const-method-handle v1, invoke-static@LH;->h()V"), method("only", "const-method-handle v1, invoke-static@LH;->h()V", digest)))
+    assert [(r.method.split("->")[1][0], r.pos, r.rule_id) for r in detectors.crypto(smali.for_detectors(code)).collect()] == [("h", 1, "CRYPTO_WEAK_HASH")]
+
+
 def test_malformed_network_configuration(spark):
     rows = [(1, "<network-security-config><base"), (2, None), (3, ""), (4, "<network-security-config/>"), (5, '<network-security-config><domain-config cleartextTrafficPermitted="TRUE"><domain-config><pin-set expiration="2030"/></domain-config></domain-config></network-security-config>')]
     got = {tuple(r) for r in reports.network_config(spark.createDataFrame(rows, "app_id long, xml string")).collect()}
