@@ -318,7 +318,7 @@ def deobf_rot13_reverse(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def deobf_xor_search(spark: SparkSession, d: str) -> DataFrame:
     coded = table(spark, d, "part").select("p_partkey", F.hex(F.replace("p_name", F.lit(" "), F.lit(""))).alias("h"))
-    return coded.select("p_partkey", txt.xor_decoded(F.col("h")).alias("x")).select("p_partkey", "x.key", "x.text")
+    return coded.repartition("p_partkey").select("p_partkey", txt.xor_decoded(F.col("h")).alias("x")).select("p_partkey", "x.key", "x.text")
 
 
 _PRIVATE = "(?i)http://(?:127\\.|10\\.|192\\.168\\.|172\\.(?:1[6-9]|2[0-9]|3[01])\\.|localhost|0\\.0\\.0\\.0)"

@@ -1,6 +1,7 @@
 """The reader of assembler text, the data flow over it, and the readers of files, on small cases by hand."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from strata.operators import detectors, flows, reports, reuse, taint
 from strata.sources import binaries, smali
@@ -179,3 +180,17 @@ def test_tree_of_files(spark, tmp_path):
     files = binaries.tree(spark, str(tmp_path)).selectExpr("1L as app_id", "path", "length")
     got = {r.path.rsplit("/", 1)[1]: r.skipped for r in binaries.within_limits(files, (".xml", ".txt"), 6, 1).collect()}
     assert got == {"1.xml": "size", "2.XML": "size", "3.txt": None}
+
+
+def test_xor_search_of_odd_inputs(spark):
+    from strata.functions import text
+
+    data = [None, "", "4", "zz", "".join(f"{ord(c) ^ 77:02X}" for c in "SecretKey1"), "00FF8041"]
+    rows = spark.createDataFrame(list(enumerate(data)), "i int, h string").select("i", text.xor_decoded(F.col("h")).alias("x")).orderBy("i").collect()
+
+    def brute(h):
+        coded = [int(h[i : i + 2], 16) for i in range(0, len(h) - 1, 2)]
+        key = max(range(1, 256), key=lambda k: (sum(chr(b ^ k).isalnum() and b ^ k < 128 for b in coded), -k))
+        return key, "".join(chr(b ^ key) for b in coded)
+
+    assert [tuple(r.x) for r in rows if r.i in (1, 2, 4, 5)] == [brute(data[i]) for i in (1, 2, 4, 5)]
