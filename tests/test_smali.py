@@ -194,3 +194,26 @@ def test_xor_search_of_odd_inputs(spark):
         return key, "".join(chr(b ^ key) for b in coded)
 
     assert [tuple(r.x) for r in rows if r.i in (1, 2, 4, 5)] == [brute(data[i]) for i in (1, 2, 4, 5)]
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_method_detectors_get_whole_methods(spark, size):
+    import pandas as pd
+
+    from strata.operators import plugins
+
+    rows = pd.DataFrame([(m, p, (m or 0) * 7 % 3 * p % 2) for m in (*range(9), None) for p in range(1 + (m or 4) % 5)], columns=["method", "pos", "op"])
+    cut = [b["method"].astype(str).tolist() for b in plugins.whole_methods(rows[i : i + size] for i in range(0, len(rows), size))]
+    assert sum(cut, []) == rows["method"].astype(str).tolist() and all(set(a).isdisjoint(b) for i, a in enumerate(cut) for b in cut[i + 1 :])
+    registry, code = plugins.example_registry(), spark.createDataFrame([(m, p, op, 0) for m, ops in ((1, [0, 1, 0, 1]), (2, [1, 0]), (3, [0]), (4, [1])) for p, op in enumerate(ops)], "method long, pos int, op int, num int")
+
+    @registry.method
+    def alone(rows):
+        return pd.DataFrame({"method": rows["method"][:1], "rule_id": "N", "severity": "LOW", "evidence": str(len(rows))})
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    try:
+        got = sorted((r.method, r.rule_id, r.evidence) for r in plugins.run(registry, code).collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(1, "N", "4"), (1, "PLUGIN_ADJACENT", "at 0"), (1, "PLUGIN_ADJACENT", "at 2"), (2, "N", "2"), (3, "N", "1"), (4, "N", "1")]
