@@ -6,10 +6,12 @@ size is bounded by the platform's limit on code, so none grows with the number o
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from strata.plans.keep import keep
+from pyspark.sql.types import StructField, StructType
 
 
 def basic_blocks(code: DataFrame, leader: Column) -> DataFrame:
@@ -19,12 +21,16 @@ def basic_blocks(code: DataFrame, leader: Column) -> DataFrame:
     return code.withColumn("_s", starts).withColumn("block", F.sum("_s").over(order.rowsBetween(Window.unboundedPreceding, 0)).cast("int")).drop("_s")
 
 
-def block_edges(blocks: DataFrame, ends: Column, target: Column) -> DataFrame:
+def block_edges(blocks: DataFrame, ends: Column, target: Column | None = None) -> DataFrame:
     """(method, src, dst) between blocks: to the next one unless its last instruction ends the flow, and to
-    the block of its jump target (a pos) if it has one."""
+    the block of its jump target (a pos) if it has one; no target is given where nothing jumps."""
+    target, jumping = (F.lit(None).cast("int"), False) if target is None else (target, True)
     last = blocks.groupBy("method", "block").agg(F.max_by(F.struct(ends.alias("ends"), target.alias("target")), "pos").alias("z"), F.min("pos").alias("start"))
-    ahead = last.join(last.select("method", F.col("block").alias("dst")), "method").where(F.col("dst") == F.col("block") + 1)
-    falls = ahead.where(~F.coalesce("z.ends", F.lit(False))).select("method", F.col("block").alias("src"), "dst")
+    last = last.withColumn("_next", F.lead("block").over(Window.partitionBy("method").orderBy("block")))
+    falls = last.where((F.col("_next") == F.col("block") + 1) & ~F.coalesce("z.ends", F.lit(False)) & F.col("method").isNotNull())
+    falls = falls.select("method", F.col("block").alias("src"), F.col("_next").alias("dst"))
+    if not jumping:
+        return falls
     jumps = last.where("z.target is not null").select("method", F.col("block").alias("src"), F.col("z.target").alias("start"))
     heads = last.select("method", F.col("block").alias("dst"), "start")
     return falls.unionByName(jumps.join(heads, ["method", "start"]).select("method", "src", "dst")).distinct()
@@ -49,34 +55,82 @@ def last_definition(code: DataFrame, value: Column, defines: Column, register: s
     return seen.where(~F.col("_put")).select(*(F.col(f"_{c}").alias(c) for c in marks), F.col("_d").alias("defined"))
 
 
+def _agreed(rows: list[tuple]) -> list[tuple]:
+    """(block, register, value) that hold on every way into the blocks of one method: see constants. rows are (block,
+    dst) of an edge, or (block, null, register, value, known)."""
+    own: dict = {}
+    before: dict = {}
+    after: dict = {}
+    nodes = set()
+    for block, dst, register, value, known in rows:
+        nodes.add(block)
+        if dst is None:
+            own.setdefault(block, {})[register] = value if known else None
+        else:
+            nodes.add(dst)
+            before.setdefault(dst, set()).add(block)
+            after.setdefault(block, set()).add(dst)
+    leaving: dict = {}  # what holds at the end of each block that is reached
+    into: dict = {}
+    todo = [b for b in nodes if b not in before]
+    while todo:
+        block = todo.pop()
+        held = None
+        for b in before.get(block, ()):
+            if b in leaving:
+                out = leaving[b]
+                held = dict(out) if held is None else {r: v for r, v in held.items() if out.get(r) == v}
+        into[block] = held or {}
+        left = {r: v for r, v in (into[block] | own.get(block, {})).items() if v is not None}
+        if block not in leaving or left != leaving[block]:
+            leaving[block] = left
+            todo.extend(after.get(block, ()))
+    return [(b, r, v) for b, held in into.items() for r, v in held.items()]
+
+
+def _solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The methods of rows (method, block, dst, register, value, known) in the order of method, one at a time."""
+    schema = None
+    method, rows, found = None, [], []
+
+    def end() -> None:
+        found.extend((method, *f) for f in _agreed(rows))
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    for b in batches:
+        schema = pa.schema([b.schema.field(c) for c in ("method", "block", "register", "value")])
+        for m, *row in zip(*(b.column(c).to_pylist() for c in ("method", "block", "dst", "register", "value", "known"))):
+            if rows and m != method:
+                end()
+                rows = []
+            method = m
+            rows.append(row)
+        if len(found) > 50_000:
+            yield batch()
+            found.clear()
+    if rows:
+        end()
+    if found:
+        yield batch()
+
+
 def constants(blocks: DataFrame, edges: DataFrame) -> DataFrame:
     """(method, block, register, value): registers that hold one and the same constant on every way into a block.
 
     blocks has (method, block, register, value, known): what a block last does to a register, known being
     false if that is no constant. A must-analysis: a block's state is what all predecessors that are reached
-    agree on; states only lose entries after a block is first reached, so the loop ends.
+    agree on; states only lose entries after a block is first reached, so the loop ends. No way leaves a method, whose
+    size the platform bounds, so methods are dealt and sorted by Spark once, and each is closed where it lies. They are
+    dealt by a hash of their own: by `method` Spark would take the two tables as dealt already, though partitions of
+    each may have been joined in other ways.
     """
-    own = keep(blocks)
-    nodes = keep(blocks.select("method", "block").union(edges.select("method", "src")).union(edges.select("method", "dst")).distinct())
-    entry = nodes.join(edges.select("method", F.col("dst").alias("block")), ["method", "block"], "left_anti")
-    reached, state = keep(entry), None
-    seen = None
-    empty = own.select("method", "block", "register", "value").limit(0)
-    state = keep(empty)
-    while True:
-        kept = state.join(own.select("method", "block", "register"), ["method", "block", "register"], "left_anti")
-        out = kept.unionByName(own.where("known").select("method", "block", "register", "value"))
-        ways = edges.join(reached.select("method", F.col("block").alias("src")), ["method", "src"])
-        n = ways.groupBy("method", "dst").agg(F.count("*").alias("n"))
-        into = ways.join(out.withColumnRenamed("block", "src"), ["method", "src"]).groupBy("method", "dst", "register").agg(F.count("*").alias("k"), F.min("value").alias("value"), F.max("value").alias("other"))
-        meet = into.join(n, ["method", "dst"]).where("k = n and value = other").select("method", F.col("dst").alias("block"), "register", "value")
-        now = keep(meet)
-        after = keep(reached.unionByName(ways.select("method", F.col("dst").alias("block"))).distinct())
-        mark = (after.count(), *now.agg(F.count("*"), F.sum(F.xxhash64("method", "block", "register", "value").cast("decimal(38,0)"))).first())
-        state, reached = now, after
-        if mark == seen:
-            return state
-        seen = mark
+    types = {c: blocks.schema[c].dataType for c in ("register", "value", "known")}
+    ways = edges.select("method", F.col("src").alias("block"), "dst", *(F.lit(None).cast(t).alias(c) for c, t in types.items()))
+    own = blocks.select("method", "block", F.lit(None).cast(edges.schema["dst"].dataType).alias("dst"), *types)
+    every = own.unionByName(ways).where("method is not null").repartition(F.xxhash64("method")).sortWithinPartitions("method")
+    return every.mapInArrow(_solved, StructType([StructField(c, blocks.schema[c].dataType) for c in ("method", "block", "register", "value")]))
 
 
 def method_flag(code: DataFrame, condition: Column, name: str, keys: tuple = ("method",)) -> DataFrame:

@@ -522,7 +522,7 @@ def _blocks(spark: SparkSession, d: str) -> DataFrame:
 @query()
 def const_propagation(spark: SparkSession, d: str) -> DataFrame:
     rows = _blocks(spark, d)
-    edges = code.block_edges(rows, F.col("op") == 7, F.lit(None).cast("long"))
+    edges = code.block_edges(rows, F.col("op") == 7)
     own = rows.where("op in (0, 3)").groupBy("method", "block", F.col("dst").alias("register")).agg(F.max_by(F.struct(F.col("num").alias("value"), (F.col("op") == 3).alias("known")), "pos").alias("z"))
     return code.constants(own.select("method", "block", "register", "z.value", "z.known"), edges)
 

@@ -217,3 +217,18 @@ def test_method_detectors_get_whole_methods(spark, size):
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == [(1, "N", "4"), (1, "PLUGIN_ADJACENT", "at 0"), (1, "PLUGIN_ADJACENT", "at 2"), (2, "N", "2"), (3, "N", "1"), (4, "N", "1")]
+
+
+def test_constants_of_ways_that_meet(spark, monkeypatch):
+    """Ways that agree or not, a loop, a loop that nothing enters, methods in several partitions; no round is written out."""
+    from strata.operators import code
+    from strata.plans import keep
+
+    monkeypatch.setattr(keep, "keep", lambda df: pytest.fail("a round was kept"))
+    monkeypatch.setattr(code, "keep", lambda df: pytest.fail("a round was kept"), raising=False)
+    own = [(0, 1, 7, True), (0, 2, 5, True), (1, 1, 8, True), (2, 1, 8, True), (2, 2, None, False), (4, 3, 1, True), (6, 1, 3, True)]
+    ways = [(0, 1), (0, 2), (1, 3), (2, 3), (3, 4), (4, 3), (4, 5), (6, 7), (7, 6)]
+    blocks = spark.createDataFrame([(m, *o) for m in range(50) for o in own], "method long, block int, register int, value int, known boolean").repartition(7)
+    edges = spark.createDataFrame([(m, *w) for m in range(50) for w in ways], "method long, src int, dst int").repartition(5)
+    want = {(1, 1, 7), (1, 2, 5), (2, 1, 7), (2, 2, 5), (3, 1, 8), (4, 1, 8), (5, 1, 8), (5, 3, 1)}
+    assert sorted(map(tuple, code.constants(blocks, edges).collect())) == sorted((m, *w) for m in range(50) for w in want)
