@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from strata.plans.keep import keep
 
+#: The columns of instructions that hashes and method-level detectors read.
+READ = ("method", "pos", "class_name", "method_name", "opcode", "kind", "registers", "dst", "text", "num", "ref", "label")
+
 
 def body_hashes(code: DataFrame) -> DataFrame:
     """(method, body): a hash of each method's name and instructions, in order; lines and comments don't count."""

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from strata.operators import detectors, manifest, reuse
 from strata.plans import smali as code_plans
+from strata.plans.keep import written
 from strata.plans.views import VIEWS, view, with_views
 from strata.sources import archives, binaries, smali
 
@@ -123,8 +124,9 @@ def smali_reuse(spark: SparkSession, d: str) -> DataFrame:
     lines = view(spark, d, "smali")
     earlier = lines.where("file % 3 <> 0 and not (file % 5 = 0 and line like '%Log;%')")
     logs = lambda code: detectors.logs(smali.for_detectors(code))
-    kept = reuse.analysed(smali.instructions(earlier), logs)
-    return reuse.current(smali.instructions(lines), kept, logs)
+    read = lambda of: written(smali.instructions(of).select(*reuse.READ))
+    kept = reuse.analysed(read(earlier), logs)
+    return reuse.current(read(lines), kept, logs)
 
 
 _A = 'xmlns:android="http://schemas.android.com/apk/res/android"'

@@ -232,3 +232,11 @@ def test_constants_of_ways_that_meet(spark, monkeypatch):
     edges = spark.createDataFrame([(m, *w) for m in range(50) for w in ways], "method long, src int, dst int").repartition(5)
     want = {(1, 1, 7), (1, 2, 5), (2, 1, 7), (2, 2, 5), (3, 1, 8), (4, 1, 8), (5, 1, 8), (5, 3, 1)}
     assert sorted(map(tuple, code.constants(blocks, edges).collect())) == sorted((m, *w) for m in range(50) for w in want)
+
+
+def test_code_is_read_once_for_reuse(spark, small):
+    """What is given back reads the code that was written, not the lines again."""
+    from strata.plans.files import smali_reuse
+
+    result = smali_reuse(spark, small)
+    assert not [f for f in result.inputFiles() if "lineitem" in f] and result.count() > 0
