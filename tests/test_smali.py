@@ -50,6 +50,39 @@ def test_flow_graph(lines):
     assert {(r.src, r.dst) for r in edges.collect()} == {(0, 1), (0, 3), (1, 2), (2, 2)}
 
 
+def shuffles(df):
+    """How often the plan of df deals its rows anew."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_flow_graph_deals_lines_once(lines):
+    table = lines(method("a", "if-eqz v0, :end", "nop", ":end", "return-void"), method("b", "nop"))
+    assert shuffles(smali.flow_graph(table)[1]) == 1 and shuffles(smali.block_ways(table)) == 1
+    assert {(r.method_no, r.block, *r.ways) for r in smali.block_ways(table).collect()} == {(1, 0, 1, 2), (1, 1, 2), (1, 2), (2, 0)}
+
+
+def test_labels_of_payloads_are_no_places(lines):
+    """What a payload lists are references, not labels; a label without an instruction after it leads nowhere."""
+    table = lines(method("a", "if-eqz v0, :x", "nop", ".packed-switch 0x0", ":x", ".end packed-switch", "nop", ":x", "goto :gone", ":gone"))
+    edges = smali.flow_graph(table)[1]
+    assert {(r.src, r.dst) for r in edges.collect()} == {(0, 1), (0, 2), (1, 2)}
+
+
+def test_made_lines_are_those_of_the_view(spark, small):
+    from strata.plans import smali as plans
+    from strata.plans.views import view
+
+    made, want = plans.lines(spark, small), view(spark, small, "smali")
+    assert made.count() == want.count() > 0 and made.exceptAll(want).isEmpty() and shuffles(made) <= 1 and "Exchange" in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_facts_of_methods_deal_code_once(lines):
+    code = smali.for_detectors(smali.instructions(lines(method("a", 'const-string v1, "MD5"', 'const-string v1, "SHA"', 'const-string v0, "x"', "invoke-static {v1}, Lq;->q(I)V"))))
+    rows = detectors.facts(code)
+    assert shuffles(rows) == 2  # by file for the reader, by method for the rest
+    assert [(r.s1, r.s2, r.strings) for r in rows.orderBy("pos").collect()][3] == ("SHA", None, ["x", "SHA"])
+
+
 @pytest.mark.parametrize("text,rules", [("AES/ECB/PKCS5Padding", {"CRYPTO_ECB_MODE"}), ("AES/GCM/NoPadding", set()), ("DES/CBC/PKCS5Padding", {"CRYPTO_WEAK_ALGORITHM"}), (" des / ecb ", {"CRYPTO_WEAK_ALGORITHM", "CRYPTO_ECB_MODE"})])
 def test_cipher_through_the_reader(lines, text, rules):
     code = smali.instructions(lines(method("e", f'const-string v1, "{text}"', "invoke-static {v1}, Ljavax/crypto/Cipher;->getInstance(Ljava/lang/String;)Ljavax/crypto/Cipher;")))
