@@ -10,16 +10,19 @@ shortest way of a value is read off by doubling those pointers.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strata.catalogues import flows as labels
 from strata.catalogues import taint as values
 from strata.operators import taint
-from strata.plans.keep import keep
+from strata.plans.keep import keep, small
 
 #: Fields of a path that are told apart; what is below them counts as the last one's.
 LONGEST = 3
@@ -27,6 +30,9 @@ LONGEST = 3
 DEPTH = 8
 #: The labels of sanitisers, in the order of their bits.
 SANITISERS = tuple(sorted({s[2] for s in values.SANITIZERS} | {label for n in values.NATIVES for _, label in n[4]}))
+#: The fact before another.
+_FACT = "struct<slot:string,path:string,since:int>"
+_SHORT = re.compile(rf"((?:\.[^.]*){{1,{LONGEST}}})")
 _KEY = ["app_id", "method", "start", "slot", "path", "since"]
 
 
@@ -135,14 +141,6 @@ def steps(code: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _path(op: Column, field: Column, path: Column) -> Column:
-    """The path after an operation, `.f.g` for field f and then g, empty for the value itself; null if it ends there."""
-    put = F.concat(F.lit("."), field, path)
-    short = F.regexp_extract(put, rf"^((?:\.[^.]*){{1,{LONGEST}}})", 1)
-    got = F.when(path == "", "").when((path == F.concat(F.lit("."), field)) | F.startswith(path, F.concat(F.lit("."), field, F.lit("."))), F.substring(path, F.length(field) + 2, F.length(path)))
-    return F.when(op == "copy", path).when(op == "put", short).otherwise(got)
-
-
 @contextmanager
 def _without_constraints(spark: SparkSession) -> Iterator[None]:
     """Within it plans infer no constraints: Spark fails to rename those of a checkpoint that a union holds twice."""
@@ -161,58 +159,156 @@ def facts(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
     facts (app_id, method, start, slot, path, since, mask, round, from): start is `source|method|pos|label` or
     `param|path` of a context; round is the number of steps of the shortest way, from the fact before (a struct
     slot, path, since), null at a start. passages (app_id, method, start, pos, callee, callee_start, mask): a value of
-    a start that is an argument of a call. Each round joins what the last one found alone; it ends as positions rise
-    along a method, paths are bounded and masks only lose bits.
+    a start that is an argument of a call. Each round closes methods over what calls brought into them in the last one; it
+    ends as positions rise along a method, paths are bounded and masks only lose bits.
     """
     with _without_constraints(tables["steps"].sparkSession):
         return _closed(tables)
 
 
+def _after(op: str, field: str | None, path: str) -> str | None:
+    """The path after an operation, `.f.g` for field f and then g, empty for the value itself; None if it ends there."""
+    if op == "copy" or (op == "get" and path == ""):
+        return path
+    if field is None:
+        return None
+    if op == "put":
+        return _SHORT.match(f".{field}{path}")[1]
+    return path[len(field) + 1 :] if path == f".{field}" or path.startswith(f".{field}.") else None
+
+
+def _reached(facts_: dict, steps_: dict) -> None:
+    """Adds to facts_ of one method (start, slot, path, since) -> [mask, round, from] all that its steps lead to, a round of
+    steps at a time; steps_ has (seen, write, op, field, pos, mask) by the slot that is read."""
+    frontier = list(facts_)
+    while frontier:
+        found: dict = {}
+        for fact in frontier:
+            start, slot, path, since = fact
+            mask, n, _ = facts_[fact]
+            for seen, write, op, field, pos, adds in steps_.get(slot, ()):
+                if seen <= since or (to := _after(op, field, path)) is None:
+                    continue
+                key, now = (start, write, to, pos), (mask | adds, n + 1, fact[1:])
+                if key in found:
+                    old = found[key]
+                    now = (old[0] & now[0], min(old[1], now[1]), min(old[2], now[2]))
+                found[key] = now
+        frontier = []
+        for key, (mask, n, before) in found.items():
+            known = facts_.get(key)
+            if known is None:
+                facts_[key] = [mask, n, before]
+            elif known[0] & mask != known[0]:
+                known[0] &= mask
+            else:
+                continue
+            frontier.append(key)
+
+
+def _closing(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The methods of rows of _within() in their order, one at a time."""
+    schema, of, facts_, steps_ = None, None, {}, {}
+    found: list[tuple] = []
+
+    def end() -> None:
+        _reached(facts_, steps_)
+        for (start, slot, path, since), (mask, n, before) in facts_.items():
+            found.append((*of, start, slot, path, since, mask, n, before and dict(zip(("slot", "path", "since"), before))))
+        facts_.clear()
+        steps_.clear()
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    for b in batches:
+        schema = pa.schema([b.schema.field(c) for c in (*_KEY, "mask", "round", "from")])
+        for app, method, start, slot, path, since, mask, n, before, write, op in zip(*(b.column(c).to_pylist() for c in (*_KEY, "mask", "round", "from", "write", "op"))):
+            if (app, method) != of:
+                if facts_:
+                    end()
+                steps_.clear()
+                of = app, method
+            if op is None:
+                facts_[start, slot, path, since] = [mask, n, before and (before["slot"], before["path"], before["since"])]
+            else:
+                steps_.setdefault(slot, []).append((since, write, op, path, n, mask))
+        if len(found) > 50_000:
+            yield batch()
+            found.clear()
+    if facts_:
+        end()
+    if found:
+        yield batch()
+
+
+def _within(facts_: DataFrame, steps_: DataFrame) -> DataFrame:
+    """facts_ and all that steps_ lead to within their methods.
+
+    Methods, whose size the platform bounds, are dealt and sorted by Spark and each is closed where it lies, so a round is one
+    of calls, not of instructions. A row of a step has its slot, field, position read, mask and position in the columns of
+    a fact. They are dealt by a hash of their own, see operators.code.constants.
+    """
+    methods = small(keep(facts_.select("app_id", "method").distinct()))
+    own = facts_.select(*_KEY, "mask", "round", "from", F.lit(None).cast("string").alias("write"), F.lit(None).cast("string").alias("op"))
+    to = steps_.join(methods, ["app_id", "method"], "left_semi").select(
+        "app_id", "method", F.lit(None).cast("string").alias("start"), F.col("read").alias("slot"), F.col("field").alias("path"), F.col("seen").cast("int").alias("since"),
+        "mask", F.col("pos").cast("int").alias("round"), F.lit(None).cast(_FACT).alias("from"), "write", "op",
+    )
+    every = own.unionByName(to).repartition(F.xxhash64("app_id", "method")).sortWithinPartitions("app_id", "method")
+    return every.mapInArrow(_closing, StructType([StructField(c, facts_.schema[c].dataType) for c in (*_KEY, "mask", "round", "from")]))
+
+
 def _closed(tables: dict[str, DataFrame]) -> tuple[DataFrame, DataFrame]:
-    steps_, calls, seeds = tables["steps"].withColumnRenamed("mask", "_adds"), tables["calls"], tables["seeds"]
+    steps_, calls, seeds = tables["steps"], tables["calls"], tables["seeds"]
     source = F.concat_ws("|", F.lit("source"), "method", F.col("pos").cast("string"), "label")
-    before = F.lit(None).cast("struct<slot:string,path:string,since:int>")
-    delta = keep(seeds.select("app_id", "method", source.alias("start"), "slot", F.lit("").alias("path"), F.col("pos").cast("int").alias("since"), F.lit(0).cast("long").alias("mask"), F.lit(0).alias("round"), before.alias("from")).distinct())
-    known, passages, returned = delta, None, None
-    n = 0
+    before, zero = F.lit(None).cast(_FACT), F.lit(0).cast("long")
+    coming = seeds.select("app_id", "method", source.alias("start"), "slot", F.lit("").alias("path"), F.col("pos").cast("int").alias("since"), zero.alias("mask"), F.lit(0).alias("round"), before.alias("from")).distinct()
+    known = delta = keep(_within(keep(coming), steps_))
+    nothing = known.select("app_id", "method", "start", F.lit(0).alias("pos"), F.lit("").alias("callee"), F.lit("").alias("callee_start"), "mask").limit(0)
+    if calls.isEmpty():
+        return known, nothing
+    sites = keep(calls.where("result is not null").select("app_id", "callee", "method", "result", "at").distinct())
+    passages, returned = None, None
+    key = ["app_id", "method", "start", "pos", "callee", "callee_start", "param", "path", "result", "at", "round", "from"]
     while not delta.isEmpty():
-        n += 1
         here = F.struct("slot", "path", "since").alias("from")
-        moved = delta.withColumnRenamed("slot", "read").join(steps_, ["app_id", "method", "read"]).where("seen > since").select(
-            "app_id", "method", "start", F.col("write").alias("slot"), _path(F.col("op"), F.col("field"), F.col("path")).alias("path"), F.col("pos").cast("int").alias("since"),
-            F.col("mask").bitwiseOR(F.col("_adds")).alias("mask"), F.struct(F.col("read").alias("slot"), "path", "since").alias("from"),
-        ).where("path is not null")
-        passing = delta.join(calls, ["app_id", "method", "slot"]).where("pos > since")
-        passing = keep(passing.select("app_id", "method", "start", "pos", "callee", F.concat_ws("|", "param", "path").alias("callee_start"), "param", "path", "mask", "result", "at", here))
-        entered = passing.select("app_id", F.col("callee").alias("method"), F.col("callee_start").alias("start"), F.concat("param", F.lit("#0")).alias("slot"), "path", F.lit(-1).alias("since"), F.lit(0).cast("long").alias("mask"), before.alias("from"))
+        passing = delta.drop("from").join(calls, ["app_id", "method", "slot"]).where("pos > since")
+        passing = keep(passing.select("app_id", "method", "start", "pos", "callee", F.concat_ws("|", "param", "path").alias("callee_start"), "param", "path", "mask", "result", "at", "round", here))
         given = keep(delta.where("slot = 'return'").select("app_id", F.col("method").alias("callee"), F.col("start").alias("callee_start"), F.col("path").alias("_path"), F.col("mask").alias("_mask")))
+        entered = passing.select("app_id", F.col("callee").alias("method"), F.col("callee_start").alias("start"), F.concat("param", F.lit("#0")).alias("slot"), "path", F.lit(-1).alias("since"), zero.alias("mask"), F.lit(0).alias("round"), before.alias("from"))
         all_passed = passing if passages is None else passages.unionByName(passing)
         all_given = given if returned is None else returned.unionByName(given)
         back = passing.join(all_given, ["app_id", "callee", "callee_start"])
         if passages is not None:
             back = back.unionByName(passages.join(given, ["app_id", "callee", "callee_start"]))
-        back = back.where("result is not null").select("app_id", "method", "start", F.col("result").alias("slot"), F.col("_path").alias("path"), F.col("at").cast("int").alias("since"), F.col("mask").bitwiseOR(F.col("_mask")).alias("mask"), "from")
-        sites = calls.where("result is not null").select("app_id", "callee", "method", "result", "at").distinct()
+        back = back.where("result is not null").select("app_id", "method", "start", F.col("result").alias("slot"), F.col("_path").alias("path"), F.col("at").cast("int").alias("since"), F.col("mask").bitwiseOR(F.col("_mask")).alias("mask"), (F.col("round") + 1).alias("round"), "from")
         arisen = given.where("callee_start like 'source|%'").join(sites, ["app_id", "callee"]).select(
-            "app_id", "method", F.col("callee_start").alias("start"), F.col("result").alias("slot"), F.col("_path").alias("path"), F.col("at").cast("int").alias("since"), F.col("_mask").alias("mask"), before.alias("from")
+            "app_id", "method", F.col("callee_start").alias("start"), F.col("result").alias("slot"), F.col("_path").alias("path"), F.col("at").cast("int").alias("since"), F.col("_mask").alias("mask"), F.lit(0).alias("round"), before.alias("from")
         )
-        found = moved.unionByName(entered).unionByName(back).unionByName(arisen).groupBy(*_KEY).agg(F.bit_and("mask").alias("mask"), F.min("from").alias("from"))
-        old = known.select(*_KEY, F.col("mask").alias("_m"), F.col("round").alias("_r"), F.col("from").alias("_f"))
-        delta = keep(
-            found.join(old, _KEY, "left").where("_m is null or (_m & mask) <> _m").select(
-                *_KEY, F.when(F.col("_m").isNull(), F.col("mask")).otherwise(F.col("_m").bitwiseAND(F.col("mask"))).alias("mask"),
-                F.coalesce("_r", F.lit(n)).alias("round"), F.when(F.col("_m").isNull(), F.col("from")).otherwise(F.col("_f")).alias("from"),
-            )
-        )
-        known = keep(known.join(delta.select(*_KEY), _KEY, "left_anti").unionByName(delta))
-        key = ["app_id", "method", "start", "pos", "callee", "callee_start", "param", "path", "result", "at", "from"]
+        found = entered.unionByName(back).unionByName(arisen).groupBy(*_KEY).agg(F.bit_and("mask").alias("mask"), F.min(F.struct("round", "from")).alias("_w")).select(*_KEY, "mask", "_w.*")
+        coming = keep(_unknown(found, known))
+        if coming.isEmpty():
+            delta = coming
+        else:
+            delta = keep(_unknown(_within(coming, steps_), known))
+            known = keep(known.join(delta.select(*_KEY), _KEY, "left_anti").unionByName(delta))
         passages = keep(all_passed.groupBy(*key).agg(F.bit_and("mask").alias("mask")))
         returned = keep(all_given.groupBy("app_id", "callee", "callee_start", "_path").agg(F.bit_and("_mask").alias("_mask")))
     if passages is None:
-        return known, known.select("app_id", "method", "start", F.lit(0).alias("pos"), F.lit("").alias("callee"), F.lit("").alias("callee_start"), "mask").limit(0)
+        return known, nothing
     return known, keep(passages.groupBy("app_id", "method", "start", "pos", "callee", "callee_start").agg(F.bit_and("mask").alias("mask")))
 
 
+def _unknown(found: DataFrame, known: DataFrame) -> DataFrame:
+    """The facts of found that known lacks, or has with more bits, with the bits that both have."""
+    old = known.select(*_KEY, F.col("mask").alias("_m"), F.col("round").alias("_r"), F.col("from").alias("_f"))
+    return found.join(old, _KEY, "left").where("_m is null or (_m & mask) <> _m").select(
+        *_KEY, F.when(F.col("_m").isNull(), F.col("mask")).otherwise(F.col("_m").bitwiseAND(F.col("mask"))).alias("mask"),
+        F.coalesce("_r", "round").alias("round"), F.when(F.col("_m").isNull(), F.col("from")).otherwise(F.col("_f")).alias("from"),
+    )
+
+
 def findings(tables: dict[str, DataFrame], depth: int = DEPTH) -> DataFrame:
     """(app_id, source_method, source_pos, source_label, sink_method, sink_pos, sink_label, chain, mask, neutralisation):
     each source that reaches a sink, with the fewest calls between them and what every way has passed.

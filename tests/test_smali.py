@@ -153,6 +153,15 @@ def test_shortest_way(lines):
     assert ways == {8: [("v0#0", 1), ("v5#0", 7)], 9: [("v0#0", 1), ("v1#0", 2), ("v2#0", 3), ("v3#0", 4)]}
 
 
+def test_rounds_do_not_grow_with_a_method(lines, monkeypatch):
+    """Facts within a method are closed in one turn, however many instructions they pass."""
+    tables = flows.steps(smali.instructions(lines(method("w", *SOURCE, *(f"move-object v{i + 1}, v{i}" for i in range(12)), EXEC.format("v12")))))
+    kept = []
+    monkeypatch.setattr(flows, "keep", lambda df, keep=flows.keep: kept.append(1) or keep(df))
+    known, _ = flows.facts(tables)
+    assert known.where("slot = 'v12#0'").count() == 1 and known.count() == 13 and len(kept) <= 12
+
+
 def test_code_without_calls(spark, lines):
     assert found(lines, method("n", "nop")) == {} and flows.findings(flows.steps(smali.instructions(lines().limit(0)))).collect() == []
 
