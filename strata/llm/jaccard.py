@@ -14,7 +14,7 @@ pairs of blocks. Pairs that the bound lets pass are compared by their tokens.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -332,13 +332,14 @@ def _nodes(again: DataFrame, kept) -> DataFrame:
     return sets.where("c > 1").groupBy("c", *words).agg(F.min("token").alias("value")).select("value")
 
 
-_NODE = "token long, part int, share double, digest binary, n long, point binary"
+_NODE = "token long, part int, parts int, share double, digest binary, n long, point binary"
 
 
 def _members(kept, large, size: int):
-    """A row for each token of a document that another may have: (token, part, share, digest, n, point).
+    """A row for each token of a document that another may have: (token, part, parts, share, digest, n, point).
 
-    share is the part of the document's tokens looked at that such are; large tokens' members are dealt to parts of about size.
+    share is the part of the document's tokens looked at that such are; large tokens' members are dealt to parts of about
+    size, and parts is how many these are, 0 for others.
     """
 
     def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -351,16 +352,17 @@ def _members(kept, large, size: int):
             share = np.bincount(row[stay], minlength=len(sizes)) / np.maximum(sizes, 1)
             flat, row = flat[stay], row[stay]
             low = _matrix(batch.column("digest"), 16, "<u8")[:, 0]
-            part = np.zeros(len(flat), np.int32)
+            part, parts = np.zeros(len(flat), np.int32), np.zeros(len(flat), np.int32)
             at = np.searchsorted(tokens_of, flat).clip(max=max(0, len(tokens_of) - 1))
             if len(tokens_of):
                 hot = tokens_of[at] == flat
-                part[hot] = (low[row[hot]] % (-(-counts[at[hot]] // size)).astype(np.uint64)).astype(np.int32)
+                parts[hot] = -(-counts[at[hot]] // size)
+                part[hot] = (low[row[hot]] % parts[hot].astype(np.uint64)).astype(np.int32)
             for s in range(0, len(flat), 8192):
                 r = pa.array(row[s : s + 8192])
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(flat[s : s + 8192]), pa.array(part[s : s + 8192]), pa.array(share[row[s : s + 8192]]), *(batch.column(c).take(r) for c in ("digest", "n", "point"))],
-                    ["token", "part", "share", "digest", "n", "point"],
+                    [pa.array(flat[s : s + 8192]), pa.array(part[s : s + 8192]), pa.array(parts[s : s + 8192]), pa.array(share[row[s : s + 8192]]), *(batch.column(c).take(r) for c in ("digest", "n", "point"))],
+                    ["token", "part", "parts", "share", "digest", "n", "point"],
                 )
 
     return members
@@ -592,11 +594,11 @@ def _links(docs: DataFrame, known: DataFrame, pairs: DataFrame, percent: int, n:
 # ---------------------------------------------------------------- the join
 
 
-def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, digest, key) of every row, and (node, component) of the digests of sets that are linked with another.
 
     Rows of equal sets have one digest; key is a hash of the text. The links found span each class; a link within a
-    class may be left out. also gives further pairs (a, b) of digests to be compared, from the first of these tables.
+    class may be left out.
     """
     spark = documents.sparkSession
     docs = needs(documents, "doc_id", "text").withColumn("key", F.xxhash64(text_of()))
@@ -616,14 +618,13 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also:
     *hot, _ = _above(counted, NODE)
     large = spark.sparkContext.broadcast(hot)
     kept = spark.sparkContext.broadcast(_filter(cut(_nodes(again, kept))))
-    parts = F.broadcast(spark.createDataFrame([(int(t), int(-(-c // PART))) for t, c in zip(*hot)], "token long, parts int"))
     links, labels = None, None
     for turn in range(TURNS):
         members = _labelled(again.mapInArrow(_members(kept, large, PART), _NODE), labels)
         if turn:
             members = members.withColumn("share", F.pmod(F.xxhash64("digest", F.lit(turn)), F.lit(1 << 30)) / float(1 << 30))
-        pairs = _leading(members, parts).mapInArrow(_stars(percent, HEADS), "a binary, b binary")
-        found = _links(docs, known, pairs.union(also(known)) if also and not turn else pairs, percent, n)
+        pairs = _leading(members).mapInArrow(_stars(percent, HEADS), "a binary, b binary")
+        found = _links(docs, known, pairs, percent, n)
         if found.isEmpty():
             break
         links = found if links is None else links.union(found)
@@ -632,8 +633,8 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE, also:
         kept = spark.sparkContext.broadcast(kept.value & _filter(cut(mixed.select(F.col("token").alias("value")))))
     named = _labelled(again.mapInArrow(_members(kept, large, PART), _NODE), labels)
     zero = F.lit(0)
-    light = named.join(parts, "token", "left_anti").withColumns({"band": zero, "part": zero, "other": zero, "side": F.lit(2)})
-    pairs = light.select(*_BLOCK).union(_crowded(named.join(parts, "token"), percent)).repartition("token", "band", "part", "other")
+    light = named.where("parts = 0").withColumns({"band": zero, "part": zero, "other": zero, "side": F.lit(2)})
+    pairs = light.select(*_BLOCK).union(_crowded(named.where("parts > 0"), percent)).repartition("token", "band", "part", "other")
     pairs = pairs.sortWithinPartitions("token", "band", "part", "other").mapInArrow(_between_classes(percent, FAN, OPENED), "a binary, b binary")
     more = _links(docs, known, pairs, percent, n)
     links = more if links is None else links.union(more)
@@ -652,13 +653,13 @@ def _labelled(members: DataFrame, labels: DataFrame | None) -> DataFrame:
     return members.join(if_small(labels).withColumnRenamed("node", "digest"), "digest", "left").withColumn("label", F.coalesce("component", "digest")).drop("component")
 
 
-def _leading(members: DataFrame, parts: DataFrame) -> DataFrame:
+def _leading(members: DataFrame) -> DataFrame:
     """members by node, those with the largest share first; the first ones of a large node lead each of its parts."""
-    crowd = members.select("token", "share", "digest").join(parts, "token")
+    crowd = members.where("parts > 0").select("token", "parts", "share", "digest")
     row = lambda *first: F.struct(*first, "digest")
     lead = [F.max(row("share"))["digest"]] + [F.min(row(F.xxhash64("share", "digest", F.lit(i)).alias("share")))["digest"] for i in range(1, HEADS)]
     heads = cut(crowd.groupBy("token", "parts").agg(F.array_distinct(F.array(*lead)).alias("heads")).select("token", "parts", F.explode("heads").alias("digest")))
-    each = members.join(if_small(heads), ["token", "digest"]).select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2.0).alias("share"), "digest", "label", "n", "point")
+    each = members.drop("parts").join(if_small(heads), ["token", "digest"]).select("token", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(2.0).alias("share"), "digest", "label", "n", "point")
     every = members.select("token", "part", "share", "digest", "label", "n", "point").union(each)
     return every.repartition("token", "part").sortWithinPartitions("token", "part", F.desc("share"), "digest")
 

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from strata.llm import jaccard
 from strata.llm.common import cut, ease, fresh, if_small, needs, text_of
-from strata.llm.graph import connected_components
+from strata.llm.graph import connected_components, find, join
 
 #: Fingerprints in an index node before it is split on further bits.
 NODE_LIMIT = 4096
@@ -77,21 +77,6 @@ def fingerprint(text: Column, n: int = 3) -> Column:
     return of_shingles(text)
 
 
-def word_fingerprint(text: Column) -> Column:
-    """The SimHash (long) of a text's distinct words; a null text counts as empty.
-
-    An edited word moves it by fewer bits than a shingle SimHash, which loses n shingles for each edit; as
-    repeats don't count, the words that all texts of a language share don't draw them together.
-    """
-
-    @F.pandas_udf("long")
-    def of_words(texts: pd.Series) -> pd.Series:
-        ease()
-        return pd.Series([simhash(np.unique(shingle_hashes(t or "", 1))) for t in texts], dtype="int64")
-
-    return of_words(text)
-
-
 def gray_rank(fp: Column) -> Column:
     """The position of a bit pattern in the reflected Gray order, as a long of the same bits."""
     for step in (1, 2, 4, 8, 16, 32):
@@ -173,26 +158,6 @@ def _tree(fps: np.ndarray, group: np.ndarray) -> list[tuple[np.ndarray, np.ndarr
     return out
 
 
-def _find(parent: np.ndarray) -> np.ndarray:
-    while True:
-        up = parent[parent]
-        if (up == parent).all():
-            return parent
-        parent = up
-
-
-def _join(parent: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """parent, with the sets of each a and b united under their least member."""
-    while True:
-        x, y = parent[a], parent[b]
-        apart = x != y
-        if not apart.any():
-            return parent
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
-        parent = _find(parent)
-
-
 def within(fps: np.ndarray, group: np.ndarray, h: int, at_once: int = 1 << 18) -> np.ndarray:
     """For each fingerprint the least position that links of at most h bits within its group reach."""
     levels = _tree(fps, group)
@@ -210,7 +175,7 @@ def within(fps: np.ndarray, group: np.ndarray, h: int, at_once: int = 1 << 18) -
             asks, nodes, acc = asks[near], nodes[near], acc[near]
             if heads is None:
                 later = nodes > asks
-                parent = _join(parent, asks[later], nodes[later])
+                parent = join(parent, asks[later], nodes[later])
                 continue
             n = heads[nodes + 1] - heads[nodes]
             first = np.cumsum(n) - n
@@ -218,7 +183,7 @@ def within(fps: np.ndarray, group: np.ndarray, h: int, at_once: int = 1 << 18) -
             asks, acc = np.repeat(asks, n), np.repeat(acc, n)
             for i in range(0, len(asks), at_once):  # bounded memory where a node is dense
                 stack.append((k + 1, asks[i : i + at_once], below[i : i + at_once], acc[i : i + at_once]))
-    return _find(parent)
+    return find(parent)
 
 
 def _links(h: int):
@@ -300,23 +265,14 @@ def without_near_copies(documents: DataFrame, h: int = 3, n: int = 5, percent: i
     """documents, with all their columns, less copies: of each group of near copies one row stays.
 
     Two texts are linked if their n-word shingles resemble each other by percent hundredths or more, and a group is
-    all that links reach. SimHash fingerprints of distinct words within h bits give the first candidates, each class
-    being compared with one of its texts; the tree of count vectors (strata.llm.jaccard) then finds every group whole,
-    of whatever size. The row with the smallest doc_id of a group stays, of several with that id the one whose text
-    has the least hash, and one of rows equal in both. Null texts count as empty; texts without words are one group.
+    all that links reach. The tree of count vectors (strata.llm.jaccard) finds every group whole, of whatever size; no
+    fingerprints are taken, as they could add nothing, and h is only accepted for callers that still give it. The row
+    with the smallest doc_id of a group stays, of several with that id the one whose text has the least hash, and one of
+    rows equal in both. Null texts count as empty; texts without words are one group.
     A null doc_id stays only if no other row of its group has an id. An empty table gives no rows.
     """
     key = F.xxhash64(text_of())
-    marks = cut(needs(documents, "text").select(key.alias("doc_id"), word_fingerprint(F.col("text")).alias("fp")).distinct())
-
-    def candidates(known: DataFrame) -> DataFrame:
-        """(a, b) of digests: each fingerprint's class against its least text."""
-        classes = near_classes(marks, h).where("doc_id != component_id").select("doc_id", "component_id").distinct()
-        of_key = known.groupBy("key").agg(F.min("digest").alias("digest"))
-        a, b = of_key.toDF("component_id", "a"), of_key.toDF("doc_id", "b")
-        return classes.join(a, "component_id").join(b, "doc_id").where("a != b").select("a", "b")
-
-    known, classes = jaccard.linked(documents, percent, n, candidates)
+    known, classes = jaccard.linked(documents, percent, n)
     rows = known.join(if_small(classes).withColumnRenamed("node", "digest"), "digest", "left").withColumn("component", F.coalesce("component", "digest"))
     same = rows.groupBy("component", "doc_id", "key").agg(F.count("*").alias("rows"))
     least = same.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "key", "rows")).alias("m"))
