@@ -154,7 +154,7 @@ VIEWS["manifest_files"] = (
     .replace(", f as", "with f as", 1)
 )
 def manifest_xml_rules(spark: SparkSession, d: str) -> DataFrame:
-    manifests = manifest.parsed(view(spark, d, "manifest_files"))
+    manifests = written(manifest.parsed(view(spark, d, "manifest_files")))
     fine = manifests.where("error is null")
     found = manifest.manifest_rules(fine).unionByName(manifest.declared_rules(fine).select("app_id", "rule_id"))
     return found.unionByName(manifests.where("error is not null").select("app_id", F.col("error").alias("rule_id")))
