@@ -1,7 +1,7 @@
 """Pattern rules over code text, line by line and over whole files.
 
-A rule is matched by its own literal pattern, so no rules table is joined row by row with the text; lines
-that lack every rule's required words go first, by one alternation of those.
+A rule is matched by its own literal pattern, so no rules table is joined row by row with the text; a pattern is only
+tried on lines that hold a word which its matches need, and not at all where it is that word.
 """
 
 from __future__ import annotations
@@ -21,13 +21,48 @@ Rule = tuple
 
 def required_words(pattern: str) -> str | None:
     """A literal that every match holds: the longest run of plain letters outside groups and classes."""
-    plain = re.sub(r"\\.|\[[^\]]*\]|\([^()]*\)[?*+{]?|.[?*{]", " ", re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*+{]?", " ", pattern))
-    if "|" in plain or "(?" in pattern:
+    plain = re.sub(r"\[[^\]]*\]", " ", re.sub(r"\\.", " ", pattern))
+    plain = re.sub(r"\([^()]*\)[?*+{]?|.[?*{]", " ", re.sub(r"\((?:[^()]|\([^()]*\))*\)[?*+{]?", " ", plain))
+    if "|" in plain or re.search(r"\(\?[^:)]*\)", pattern):
         return None
     words = re.findall(r"[A-Za-z;>_/-]{4,}", plain)
     return max(words, key=len) if words else None
 
 
+def literal(pattern: str) -> str | None:
+    """The text that a pattern without operators stands for."""
+    plain = re.sub(r"\\([^\w\s])", "", pattern)
+    return None if re.search(r"[\\.^$|?*+()\[\]{}]", plain) else re.sub(r"\\([^\w\s])", r"\1", pattern)
+
+
+def alternatives(pattern: str) -> list[str]:
+    """The patterns between the bars outside groups and classes."""
+    out, depth, inside, i = [""], 0, False, 0
+    while i < len(pattern):
+        c = pattern[i : i + 2] if pattern[i] == "\\" else pattern[i]
+        if c == "|" and not depth and not inside:
+            out.append("")
+        else:
+            out[-1] += c
+        inside = c == "[" or (inside and c != "]")
+        depth += 0 if inside else (c == "(") - (c == ")")
+        i += len(c)
+    return out
+
+
+def matches(text: Column, pattern: str) -> Column:
+    """Whether a pattern is found in a text, by its words where these suffice or are missing."""
+    if (whole := literal(pattern)) is not None:
+        return F.contains(text, F.lit(whole))
+    words = [required_words(p) for p in alternatives(pattern)]
+    if not all(words):
+        return text.rlike(pattern)
+    some = F.lit(False)
+    for word in words:
+        some = some | F.contains(text, F.lit(word))
+    return some & text.rlike(pattern)
+
+
 def _facts(rule: Rule) -> Column:
     name, severity, confidence, category, cwe, cvss = rule[:6]
     return F.struct(
@@ -41,11 +76,11 @@ def line_matches(lines: DataFrame, rules: Sequence[Rule] = RULES, language: str
     rules = [r for r in rules if not r[7] and r[6] == language and r[8]]
     if not rules:
         rules = [("NONE", "INFO", "LOW", "", "", 0.0, language, False, "(?!)")]
-    words = [required_words(r[8]) for r in rules]
-    some = lines.where(F.col("line").rlike("|".join(sorted({re.escape(w) for w in words})))) if all(words) else lines
-    hits = F.filter(F.array(*(F.when(F.col("line").rlike(r[8]), _facts(r)) for r in rules)), lambda x: x.isNotNull())
+    hits = F.concat_ws(",", *(F.when(matches(F.col("line"), r[8]), F.lit(str(i))) for i, r in enumerate(rules)))  # compiled, unlike a filter of an array
+    each = lines.withColumn("_hit", F.explode(F.split(hits, ","))).where("_hit != ''")  # a test of hits itself would be pushed into the view
+    facts = F.get(F.array(*map(_facts, rules)), F.col("_hit").cast("int"))
     evidence = F.format_string("Line %d: %s", F.col("line_no").cast("long"), F.substring(F.trim("line"), 1, 120))
-    return some.withColumn("_hit", F.explode(hits)).select(*lines.columns, "_hit.*", evidence.alias("evidence"))
+    return each.withColumn("_hit", facts).select(*lines.columns, "_hit.*", evidence.alias("evidence"))
 
 
 def file_matches(files: DataFrame, rules: Sequence[Rule] = RULES, language: str = "smali") -> DataFrame:
