@@ -9,8 +9,12 @@ Values are never overwritten by clean ones: facts only grow, in the order of the
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from strata.catalogues import flows as labels
 from strata.catalogues import taint as values
@@ -50,23 +54,69 @@ def sanitised_state(flows: DataFrame, covers: DataFrame) -> DataFrame:
     return each.join(state, "_n", "left").withColumn("neutralisation", word).drop("_n", "_full")
 
 
+def _reached(steps: dict, starts: list) -> dict:
+    """(start, slot) -> since, of one method: steps has (pos, write) by the slot read, starts (start, slot, since)."""
+    held: dict = {}
+    todo = []
+    for start, slot, since in starts:
+        if (start, slot) not in held or since < held[start, slot]:
+            held[start, slot] = since
+            todo.append((start, slot))
+    while todo:
+        start, slot = todo.pop()
+        since = held[start, slot]
+        for pos, write in steps.get(slot, ()):
+            if pos is None or pos > since:
+                at = since if pos is None else pos
+                if (start, write) not in held or at < held[start, write]:
+                    held[start, write] = at
+                    todo.append((start, write))
+    return held
+
+
+def _closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The methods of rows (app_id, method, start, slot, since, write) in their order, one at a time; write is null in
+    those of starts."""
+    schema, now, steps, starts, found = None, None, {}, [], []
+
+    def end() -> None:
+        if starts:
+            found.extend((*now, start, slot, since) for (start, slot), since in _reached(steps, starts).items())
+
+    def batch() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), schema)], schema=schema)
+
+    for b in batches:
+        schema = pa.schema([b.schema.field(c) for c in ("app_id", "method", "start", "slot", "since")])
+        for app, method, start, slot, since, write in zip(*(b.column(c).to_pylist() for c in ("app_id", "method", "start", "slot", "since", "write"))):
+            if (app, method) != now:
+                end()
+                now, steps, starts = (app, method), {}, []
+            if write is None:
+                starts.append((start, slot, since))
+            else:
+                steps.setdefault(slot, []).append((since, write))
+        if len(found) > 50_000:
+            yield batch()
+            found.clear()
+    end()
+    if found:
+        yield batch()
+
+
 def closed(steps: DataFrame, starts: DataFrame) -> DataFrame:
     """(app_id, method, start, slot, since): slots that each start's value is in, from which position on.
 
     steps (app_id, method, pos, read, write): the value of slot `read` goes to `write` at pos, if it was there
-    before. starts (app_id, method, start, slot, since). With loops, `loop` steps (pos null) hold anywhere. It runs
-    until nothing changes, which comes as `since` only falls.
+    before. starts (app_id, method, start, slot, since). With loops, `loop` steps (pos null) hold anywhere. No step
+    leaves a method, whose size the platform bounds, so methods are dealt and sorted by Spark once, and each is closed
+    where it lies, until nothing changes. They are dealt by a hash of their own, see code.constants.
     """
-    steps = keep(steps)
-    state = keep(starts.groupBy("app_id", "method", "start", "slot").agg(F.min("since").alias("since")))
-    moving = state
-    while not moving.isEmpty():
-        next_ = moving.join(steps.withColumnRenamed("read", "slot"), [*KEYS, "slot"]).where("pos is null or pos > since")
-        copied = next_.groupBy("app_id", "method", "start", F.col("write").alias("slot")).agg(F.min(F.coalesce("pos", "since")).alias("since"))
-        known = state.withColumnRenamed("since", "_since")
-        moving = keep(copied.join(known, [*KEYS, "start", "slot"], "left").where("_since is null or since < _since").drop("_since"))
-        state = keep(state.unionByName(moving).groupBy("app_id", "method", "start", "slot").agg(F.min("since").alias("since")))
-    return state
+    none = F.lit(None).cast("string")
+    moves = steps.where("read is not null and write is not null").select(*KEYS, none.alias("start"), F.col("read").alias("slot"), F.col("pos").cast("long").alias("since"), "write")
+    begun = starts.select(*KEYS, "start", "slot", F.col("since").cast("long").alias("since"), none.alias("write"))
+    every = moves.unionByName(begun).where("app_id is not null and method is not null").repartition(F.xxhash64(*KEYS)).sortWithinPartitions(*KEYS)
+    return every.mapInArrow(_closed, StructType([StructField(f.name, f.dataType) for f in every.schema if f.name != "write"]))
 
 
 def inter_method(steps: DataFrame, calls: DataFrame, seeds: DataFrame, sinks: DataFrame, depth: int = 8) -> DataFrame:
@@ -84,7 +134,7 @@ def inter_method(steps: DataFrame, calls: DataFrame, seeds: DataFrame, sinks: Da
     extra, flows = None, None
     for _ in range(depth):  # results of calls whose result depends on an argument are steps of the caller
         all_steps = steps if extra is None else steps.unionByName(extra)
-        flows = closed(all_steps, own.unionByName(from_sources))
+        flows = keep(closed(all_steps, own.unionByName(from_sources)))
         returns = flows.where("slot = 'return' and start like 'in:%'").select("app_id", F.col("method").alias("callee"), F.expr("substring(start, 4)").alias("param")).distinct()
         made = keep(args.join(returns, ["app_id", "callee", "param"]).where("result is not null").select(*KEYS, F.col("pos").cast("long"), F.col("slot").alias("read"), F.col("result").alias("write")).distinct())
         tainted = flows.where("slot = 'return' and start like 'src:%'").select("app_id", F.col("method").alias("callee"), "start").distinct()
@@ -182,18 +232,20 @@ def static_fields(code: DataFrame) -> DataFrame:
     """(app_id, field): static fields that a source's value gets into, through any methods of the app.
 
     code (app_id, method, pos, op, dst, src, field): source, move, sput and sget. Reads of a static field come in no
-    order with its writes, so a field, once tainted, is at all of its reads.
+    order with its writes, so a field, once tainted, is at all of its reads. Each method is closed once, from its
+    sources and from every field that it reads; what that gives are ways between the fields of an app, which alone are
+    followed in rounds.
     """
-    steps = keep(access_steps(code.withColumn("obj", F.lit(0))).unionByName(
+    steps = access_steps(code.withColumn("obj", F.lit(0))).unionByName(
         code.where("op = 'sput'").select("app_id", "method", F.col("pos").cast("long").alias("pos"), F.concat(F.lit("v"), "src").alias("read"), F.concat(F.lit("s:"), "field").alias("write"))
-    ))
-    reads = keep(code.where("op = 'sget'").select("app_id", "method", "field", F.concat(F.lit("v"), "dst").alias("slot"), F.col("pos").cast("long").alias("since")))
-    starts = code.where("op = 'source'").select("app_id", "method", F.concat(F.lit("v"), "dst").alias("slot"), F.col("pos").cast("long").alias("since"))
-    found = None
-    while True:
-        got = closed(steps, starts.withColumn("start", F.lit("t"))).where("slot like 's:%'").select("app_id", F.expr("substring(slot, 3)").alias("field")).distinct()
-        new = keep(got if found is None else got.join(found, ["app_id", "field"], "left_anti"))
-        if new.isEmpty():
-            return found if found is not None else new
-        found = new if found is None else keep(found.unionByName(new))
-        starts = starts.unionByName(reads.join(new, ["app_id", "field"]).select("app_id", "method", "slot", "since"))
+    )
+    start = F.when(F.col("op") == "source", F.lit("t")).otherwise(F.concat(F.lit("s:"), "field"))
+    starts = code.where("op = 'source' or (op = 'sget' and field is not null)").select(*KEYS, start.alias("start"), F.concat(F.lit("v"), "dst").alias("slot"), F.col("pos").cast("long").alias("since"))
+    ways = keep(closed(steps, starts).where("slot like 's:%'").select("app_id", "start", F.expr("substring(slot, 3)").alias("field")).distinct())
+    between = ways.where("start like 's:%'").select("app_id", F.expr("substring(start, 3)").alias("_from"), F.col("field").alias("_to"))
+    found = new = keep(ways.where("start = 't'").select("app_id", "field"))
+    while not new.isEmpty():
+        next_ = new.join(between, (new["app_id"] == between["app_id"]) & (new["field"] == between["_from"])).select(new["app_id"], F.col("_to").alias("field")).distinct()
+        new = keep(next_.join(found, ["app_id", "field"], "left_anti"))
+        found = keep(found.unionByName(new))
+    return found
