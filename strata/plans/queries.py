@@ -561,8 +561,8 @@ def taint_tristate(spark: SparkSession, d: str) -> DataFrame:
     "calls",
 )
 def taint_interproc(spark: SparkSession, d: str) -> DataFrame:
-    edges = view(spark, d, "calls").select(F.lit(0).alias("app_id"), F.col("src").cast("string").alias("method"), F.col("dst").cast("string").alias("callee"))
-    nodes = edges.select("app_id", "method").union(edges.select("app_id", "callee")).distinct()
+    edges = keep(view(spark, d, "calls").select(F.lit(0).alias("app_id"), F.col("src").cast("string").alias("method"), F.col("dst").cast("string").alias("callee")))
+    nodes = keep(edges.select("app_id", "method").union(edges.select("app_id", "callee")).distinct())
     steps = nodes.select("app_id", "method", F.lit(1).cast("long").alias("pos"), F.lit("p0").alias("read"), F.lit("v0").alias("write"))
     calls = edges.select("app_id", "method", F.lit(3).cast("long").alias("pos"), "callee", F.array(F.lit("v0")).alias("args"), F.lit(None).cast("string").alias("result"))
     mine = edges.where("cast(method as long) % 7 = 0").select("app_id", "method").distinct()
