@@ -22,8 +22,11 @@ from pyspark.sql import functions as F
 from strata.llm.common import cut, ease, if_small, needs, remove_folder, shared_folder
 
 #: Bytes of records after which an archive file ends, before they are compressed; bytes that are packed as one
-#: gzip member at most, which keeps the last byte of each member 0; bytes that are unpacked at a time.
-FILE_BYTES, MEMBER_BYTES, PIECE_BYTES = 16 << 20, 8 << 20, 1 << 20
+#: gzip member at most, which keeps the last byte of each member 0; bytes that are unpacked at a time, and those of a
+#: member that are tried first.
+FILE_BYTES, MEMBER_BYTES, PIECE_BYTES, FIRST_BYTES = 16 << 20, 8 << 20, 1 << 20, 4 << 10
+#: How hard gzip tries: the archives are read once or twice and removed, so time counts more than their size.
+LEVEL = 1
 #: Fixed values of the formats: the fields of a URL record's header line in ARC versions 1 and 2.
 ARC_FIELDS = {
     1: ("url", "ip", "date", "content_type", "length"),
@@ -48,7 +51,7 @@ def _packed(record: bytes) -> bytes:
 
 
 def zlib_member(data: bytes) -> bytes:
-    pack = zlib.compressobj(6, wbits=31)
+    pack = zlib.compressobj(LEVEL, wbits=31)
     return pack.compress(data) + pack.flush()
 
 
@@ -96,10 +99,11 @@ class _Unpacked:
             return
         at, end = 0, len(data)
         while at < end:
-            one = zlib.decompressobj(31)
+            # most members are short, and what a piece has beyond its member is copied
+            one, size = zlib.decompressobj(31), FIRST_BYTES
             while not one.eof and at < end:
-                part = data[at : at + PIECE_BYTES]
-                at += len(part)
+                part = data[at : at + size]
+                at, size = at + len(part), min(2 * size, PIECE_BYTES)
                 while part and not one.eof:
                     if piece := one.decompress(part, PIECE_BYTES):
                         yield piece

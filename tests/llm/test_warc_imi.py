@@ -49,6 +49,29 @@ def test_payloads_come_back(spark, tmp_path):
     assert got[1].url == "http://a/" and len({r.record_id for r in got.values()}) == 3
 
 
+def test_short_members_are_unpacked_by_short_pieces(monkeypatch):
+    """What is handed over beyond a member is copied, so it must not be a large piece of the file for each."""
+    rng = np.random.default_rng(8)
+    parts = [rng.bytes(int(k)) for k in rng.integers(0, 3 * warc.FIRST_BYTES, 600)] + [rng.bytes(3 * warc.PIECE_BYTES), b"", b"x"]
+    data, handed, make = b"".join(map(warc.zlib_member, parts)), [], warc.zlib.decompressobj
+
+    class Counting:
+        def __init__(self, bits):
+            self.one = make(bits)
+
+        def __getattr__(self, name):
+            return getattr(self.one, name)
+
+        def decompress(self, part, most):
+            handed.append(len(part))
+            return self.one.decompress(part, most)
+
+    monkeypatch.setattr(warc.zlib, "decompressobj", Counting)
+    file = warc._Unpacked(data)
+    assert [file.take(len(p)) for p in parts] == parts and file.empty()
+    assert sum(handed) < 8 * len(data)
+
+
 def test_both_versions_of_the_header_line():
     block = b"HTTP/1.1 200 OK\r\n\r\nabc"
     for version in (1, 2):
