@@ -29,9 +29,14 @@ def checkpoints(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, computed once and kept in the folder of spark.checkpoint.dir."""
+    """df, computed once and kept in the folder of spark.checkpoint.dir.
+
+    The files of its shuffles go at once, as nothing reads them any more; else they'd stay on the executors' disks until
+    the driver collects its garbage, and a query of many steps would need room for all of them.
+    """
     checkpoints(df.sparkSession)
-    return df.checkpoint()
+    with _set(df.sparkSession, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):
+        return df.select("*").checkpoint()  # a frame of its own, as the setting counts when a frame is made
 
 
 def shared_folder(spark: SparkSession, name: str) -> str:
@@ -46,18 +51,24 @@ def remove_folder(spark: SparkSession, path: str) -> None:
     place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+@contextmanager
+def _set(spark: SparkSession, name: str, value: str) -> Iterator[None]:
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 @contextmanager
 def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
     """Within it, jobs hand Python workers so many rows at a time at most: whole texts make large batches, which
     stand in memory several times over, in the executor and in the worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     before = spark.conf.get(name)
-    if not 0 < int(before) <= rows:
-        spark.conf.set(name, str(rows))
-    try:
+    with _set(spark, name, before if 0 < int(before) <= rows else str(rows)):
         yield
-    finally:
-        spark.conf.set(name, before)
 
 
 def ease() -> None:

@@ -14,13 +14,16 @@ from strata.llm.common import cut
 
 #: Edges that a task adds to its forest at a time.
 AT_ONCE = 200_000
+#: Edges that one task takes whole.
+SMALL = 200_000
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of edges (u, v): component is the smallest node reachable.
 
     Each task first hangs the nodes of its own edges on the least of those that these reach; a table that Spark has
-    put into one partition, as it does with small ones, is solved by that. Others alternate large-star and small-star
+    put into one partition, as it does with small ones, is solved by that, and so are at most SMALL edges in several,
+    which one task then takes. Others alternate large-star and small-star
     steps: each hangs neighbours on the least node known, so the edges stay at most as many as given and the rounds
     grow with the logarithm of the longest chain. Every step is a partially aggregated minimum and an equi-join, which
     AQE splits where one node has very many neighbours. Nulls and self-loops are dropped; an empty table gives no rows.
@@ -30,6 +33,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
     seen = None
     while now.rdd.getNumPartitions() > 1 and (state := _state(now)) != seen and state[0]:
         seen = state
+        if state[0] <= SMALL:
+            now = cut(now.coalesce(1).mapInArrow(_hung, given.schema))
+            break
         now = cut(_small_star(_large_star(now)))
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).union(
         now.select(F.col("v"), F.col("v"))

@@ -41,10 +41,10 @@ PART = 1000
 CLUSTER = 4_000_000
 #: Members of a node that the others are compared with in a turn, and turns before all that is left is searched.
 HEADS, TURNS = 4, 2
-#: Most tokens in a table that all workers get; the limits above double until it fits.
+#: Most tokens of large nodes in a table that all workers get; the limit above doubles until it fits.
 HANDED_OUT = 2_000_000
-#: Bits of the filters that workers get.
-BITS = 1 << 25
+#: Bits of the filters that workers get: at least, for each value, and at most.
+BITS, BITS_EACH, MOST_BITS = 1 << 20, 16, 1 << 30
 #: Children of a node of boxes, and pairs of boxes that are opened at a time.
 FAN = 16
 OPENED = 2048
@@ -227,9 +227,11 @@ def _lists(rows: list[np.ndarray]) -> pa.Array:
 def _look_again(percent: int, n: int, frequent, share: float):
     """(digest, n, tokens, point) with frequent tokens last in the order, for the first of equal sets in a task.
 
-    Of the lowest share of hashes the frequent ones are all that a second document has, so others of it are left out.
+    Frequent ones are those of the lowest share of hashes, COUNTED, that are in the filter. What passes it by chance is
+    only later in the order, which stays common to all documents. Where share isn't 0, the ones in the filter are all of
+    the lowest share that a second document has, so others of it are left out.
     """
-    limit = np.uint64(share * 2.0**64)
+    limit, counted = np.uint64(share * 2.0**64), np.uint64(COUNTED * 2.0**64)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -240,7 +242,9 @@ def _look_again(percent: int, n: int, frequent, share: float):
                 if digest in seen or not len(tokens):
                     continue
                 seen.add(digest)
-                late = _among(tokens.view(np.int64), frequent.value)
+                late = np.zeros(len(tokens), bool)
+                low = np.searchsorted(tokens, counted)
+                late[:low] = _in_filter(tokens[:low].view(np.int64), frequent.value)
                 digests.append(digest)
                 size.append(len(tokens))
                 order = np.concatenate([tokens[~late], tokens[late]])[: _first(len(tokens), percent)]
@@ -279,12 +283,15 @@ def _bodies(n: int, wanted):
 # ---------------------------------------------------------------- small tables for all workers
 
 
-def _filter(values: DataFrame) -> np.ndarray:
-    """A filter of BITS bits with a bit for each value: all values pass it, and few others while they are few."""
-    at = F.pmod(F.col("value"), F.lit(BITS))
+def _filter(values: DataFrame, bits: int | None = None) -> np.ndarray:
+    """A filter with a bit for each value: all values pass it, and few others. Its bits grow with the values, as one
+    of fixed size would let all pass once they are many; at MOST_BITS (128 MB) more pass, which costs time alone."""
+    if bits is None:
+        bits = max(BITS, min(MOST_BITS, 1 << (BITS_EACH * values.count()).bit_length()))
+    at = F.pmod(F.col("value"), F.lit(bits))
     words = values.select((at / 64).cast("int").alias("w"), F.pmod(at, F.lit(64)).cast("int").alias("b"))
     rows = words.groupBy("w").agg(F.bit_or(F.expr("shiftleft(1L, b)")).alias("bits")).toArrow()
-    out = np.zeros(BITS // 64, np.int64)
+    out = np.zeros(bits // 64, np.int64)
     out[rows["w"].to_numpy()] = rows["bits"].to_numpy()
     return out
 
@@ -607,8 +614,8 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> tu
         docs.mapInArrow(_look(n, COUNTED), f"doc_id {documents.schema['doc_id'].dataType.simpleString()}, n long, digest binary, key long, tokens array<long>").write.parquet(paths[0])
     first = spark.read.parquet(paths[0])
     known = cut(first.select("doc_id", "n", "digest", "key"))
-    late, _, least = _above(cut(_counted(first, FREQUENT + 1)), FREQUENT)
-    frequent, share = spark.sparkContext.broadcast(late), COUNTED if least == 1 else 0.0
+    late = cut(_counted(first, FREQUENT + 1).select(F.col("token").alias("value")))
+    frequent, share = spark.sparkContext.broadcast(_filter(late)), COUNTED if FREQUENT == 1 else 0.0
     remove_folder(spark, paths[0])
     with small_batches(spark):
         docs.select("text").mapInArrow(_look_again(percent, n, frequent, share), "digest binary, n long, tokens array<long>, point binary").write.parquet(paths[1])
@@ -630,7 +637,7 @@ def linked(documents: DataFrame, percent: int = PERCENT, n: int = SHINGLE) -> tu
         links = found if links is None else links.union(found)
         labels = cut(connected_components(links))
         mixed = _labelled(again.mapInArrow(_members(kept, large, PART), _NODE), labels).groupBy("token").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y")
-        kept = spark.sparkContext.broadcast(kept.value & _filter(cut(mixed.select(F.col("token").alias("value")))))
+        kept = spark.sparkContext.broadcast(kept.value & _filter(cut(mixed.select(F.col("token").alias("value"))), 64 * len(kept.value)))
     named = _labelled(again.mapInArrow(_members(kept, large, PART), _NODE), labels)
     zero = F.lit(0)
     light = named.where("parts = 0").withColumns({"band": zero, "part": zero, "other": zero, "side": F.lit(2)})

@@ -1,7 +1,8 @@
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
-from strata.llm import graph, jaccard, simhash
+from strata.llm import common, graph, jaccard, simhash
 
 
 def plain(edges):
@@ -70,3 +71,32 @@ def test_members_of_large_nodes_tell_their_parts(spark):
     every = Of(np.full(4, -1, np.int64))
     (out,) = jaccard._members(every, Of((np.array([7]), np.array([25]))), 10)(iter([batch]))
     assert out.to_pydict()["parts"] == [0, 3, 3, 0] and max(out.to_pydict()["part"]) < 3
+
+
+def test_a_small_table_in_many_partitions_takes_no_rounds(spark, monkeypatch):
+    """As where Spark doesn't put small partitions together; a larger one takes rounds, with the same result."""
+    edges = edges_of(np.random.default_rng(3), 2000)
+    name, rounds = "spark.sql.adaptive.coalescePartitions.enabled", []
+    large_star = graph._large_star
+    monkeypatch.setattr(graph, "_large_star", lambda e: rounds.append(1) or large_star(e))
+    spark.conf.set(name, "false")
+    try:
+        for small in (200_000, 0):
+            monkeypatch.setattr(graph, "SMALL", small)
+            assert not rounds
+            got = graph.connected_components(spark.createDataFrame(edges, "u long, v long"))
+            assert {r.node: r.component for r in got.collect()} == plain(edges)
+        assert rounds
+    finally:
+        spark.conf.unset(name)
+
+
+def test_files_of_shuffles_go_with_the_step(spark):
+    """What a step has shuffled isn't kept on the executors' disks, and its rows can be read after that."""
+    def files():
+        return set(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n").split("\n"))
+
+    before = files()
+    rows = common.cut(spark.range(100_000).groupBy((F.col("id") % 1000).alias("k")).agg(F.count("*").alias("c")))
+    assert not {f for f in files() - before if "shuffle_" in f}
+    assert rows.count() == 1000 and rows.agg(F.sum("c")).first()[0] == 100_000

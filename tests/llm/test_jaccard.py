@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from strata.llm import jaccard
 from strata.llm.simhash import shingle_hashes
@@ -150,3 +151,25 @@ def test_odd_rows(spark, odd, odd_rows, none):
         want.append((i, len(key), least.get(key, i) if key else i))
     assert got == sorted(want, key=str)
     assert jaccard.near_duplicates(none).collect() == []
+
+
+def test_filters_grow_with_what_is_in_them(spark, monkeypatch):
+    """Else nearly all values pass once they are many."""
+    monkeypatch.setattr(jaccard, "BITS", 1 << 12)
+    values = spark.range(50_000).select(F.xxhash64("id").alias("value"))
+    bits = jaccard._filter(values)
+    others = np.random.default_rng(6).integers(-(1 << 63), 1 << 63, 50_000)
+    assert jaccard._in_filter(values.toPandas()["value"].to_numpy(), bits).all() and jaccard._in_filter(others, bits).mean() < 0.1
+    monkeypatch.setattr(jaccard, "MOST_BITS", 1 << 13)
+    assert len(jaccard._filter(values)) == (1 << 13) // 64
+
+
+def test_the_order_does_not_change_with_many_frequent_tokens(spark, corpus, monkeypatch):
+    """However many tokens several documents have, those of the lowest share that one has alone lead to no rows."""
+    shares, look_again = [], jaccard._look_again
+    monkeypatch.setattr(jaccard, "HANDED_OUT", 5)
+    monkeypatch.setattr(jaccard, "_look_again", lambda percent, n, frequent, share: shares.append(share) or look_again(percent, n, frequent, share))
+    some = [r for r in corpus if r[0] % 3]
+    docs = spark.createDataFrame(some, "doc_id long, text string").repartition(6)
+    assert result(jaccard.near_duplicates(docs)) == plain(some)
+    assert shares == [jaccard.COUNTED]
