@@ -90,6 +90,32 @@ def test_cipher_through_the_reader(lines, text, rules):
     assert {r.rule_id for r in detectors.crypto(smali.for_detectors(code)).collect()} == rules
 
 
+def test_sizes_of_keys_through_the_reader(lines):
+    """By the method's strings, by another method of the class, or at least 2048 bits; held against the SQL on these lines."""
+    import duckdb
+
+    from strata.plans import smali as plans
+
+    init, pair = "invoke-virtual {{v0, {}}}, Ljavax/crypto/KeyGenerator;->init(I)V", "invoke-virtual {v0, v1}, Ljava/security/KeyPairGenerator;->initialize(I)V"
+    get = "invoke-static {{{}}}, Ljavax/crypto/Cipher;->getInstance(Ljava/lang/String;Ljava/lang/String;)Ljavax/crypto/Cipher;"
+    table = lines(
+        method("make", 'const-string v1, "EC"', "invoke-static {v1}, Ljava/security/KeyPairGenerator;->getInstance(Ljava/lang/String;)Ljava/security/KeyPairGenerator;"),
+        method("rsa", 'const-string v2, "RSA"', "const/16 v1, 0x800", "const/16 v1, 0x400", pair, "const/16 v1, 0x800", pair),
+        method("aes", 'const-string v2, "AES"', "const/16 v1, 0x70", init.format("v1"), "const/16 v3, 0x80", init.format("v3")),
+        method("ec", "const/16 v1, 0xa0", pair, "const/16 v1, 0x100", pair, "const/4 v1, 0x1", pair, init.format("p0")),
+        method("second", 'const-string v1, "DES"', get.format("v4, v1"), get.format("v1, v4")),
+    )
+    got = sorted(tuple(r) for r in detectors.crypto(smali.for_detectors(smali.instructions(table)), whole=True).collect())
+    short = [(m.split("->")[1].split("(")[0], pos, rule) for m, pos, rule, *_ in got]
+    assert short == [("aes", 2, "CRYPTO_SMALL_KEY"), ("ec", 1, "CRYPTO_SMALL_KEY"), ("make", 1, "CRYPTO_KEYSTORE_BYPASS"), ("rsa", 3, "CRYPTO_SMALL_KEY"), ("second", 1, "CRYPTO_WEAK_ALGORITHM"), ("second", 2, "CRYPTO_WEAK_ALGORITHM")]
+    con, rows = duckdb.connect(), [tuple(r) for r in table.collect()]
+    con.execute("create table given (app_id bigint, file bigint, line_no int, line varchar)")
+    con.executemany("insert into given values (?, ?, ?, ?)", rows)
+    number = "case regexp_extract(rest, ',\\s*(-?0x[0-9a-f]+)$', 1) when '-0x1f' then -31 else cast(right(rest, 1) as bigint) end"
+    sql = plans.SQL["smali_crypto"].replace(plans.VIEWS["smali"][1], "select * from given").replace(number, "cast(regexp_extract(rest, '(0x[0-9a-f]+)$', 1) as bigint)")
+    assert number not in sql and sorted(con.execute(sql).fetchall()) == got
+
+
 def test_paths_containers_and_builders(lines):
     got = found(
         lines,
