@@ -189,6 +189,45 @@ def test_rounds_do_not_grow_with_a_method(lines, monkeypatch):
     assert known.where("slot = 'v12#0'").count() == 1 and known.count() == 13 and len(kept) <= 12
 
 
+def _calling(name, inner, result="v1"):
+    return [*SOURCE, f"invoke-static {{v0}}, L{name};->{inner}(Ljava/lang/String;)Ljava/lang/String;", f"move-result-object {result}"]
+
+
+def test_classes_are_closed_where_they_lie(spark, lines, monkeypatch):
+    """Calls within a class take no rounds of joins, ways within a method no kept table; the rounds give the same flows."""
+    clean = "invoke-virtual {v8, p0}, Landroid/text/Html;->escapeHtml(Ljava/lang/CharSequence;)Ljava/lang/String;"
+    code = smali.instructions(lines(
+        method("a", *_calling("com/app/C", "b"), EXEC.format("v1"), LOAD.format("v1")), method("b", *_calling("com/app/C", "c", "v2"), "return-object v2"),
+        method("c", clean, "iput-object p0, v3, LB;->f:LS;", "invoke-static {v3}, Lcom/app/C;->d(Ljava/lang/String;)Ljava/lang/String;", "move-result-object v4", "return-object v4"),
+        method("d", "iget-object v5, p0, LB;->f:LS;", EXEC.format("v5"), "invoke-static {p0}, Lcom/app/C;->c(Ljava/lang/String;)Ljava/lang/String;", "return-object v5"),
+    ))
+    kept = []
+    monkeypatch.setattr(flows, "keep", lambda df, keep=flows.keep: kept.append(1) or keep(df))
+    tables = flows.steps(code)
+    found_ = flows.findings(tables, 3).drop("neutralisation")
+    got = sorted(map(tuple, found_.collect()))
+    assert len(kept) == 1 and sorted((r[1][13], r[4][13], r[6], r[7]) for r in got) == [("b", "a", "EXEC", 0), ("b", "a", "WEBVIEW", 0), ("b", "d", "EXEC", 2)]
+    assert got == sorted(map(tuple, flows._in_rounds(flows._tables(tables["acts"]), 3).select(*found_.columns).collect()))
+    monkeypatch.setattr(flows, "keep", lambda df: pytest.fail("a table was kept"))
+    monkeypatch.setattr(flows, "written", lambda df: pytest.fail("a table was kept"))
+    ways = [(r.step, r.slot) for r in flows.ways_within(smali.instructions(lines(method("w", *SOURCE, "move-object v1, v0", EXEC.format("v1"))))).orderBy("step").collect()]
+    assert ways == [(0, "v0#0"), (1, "v1#0")]
+
+
+def test_calls_between_classes(spark):
+    """Values pass through other classes of the app, and through no class of another app; classes alone stay as they are."""
+    text = {
+        (1, 1, "LA;"): [method("a", *_calling("B", "b"), EXEC.format("v1"))],
+        (1, 2, "LB;"): [method("b", "move-object v5, p0", LOAD.format("v5"), "return-object v5")],
+        (1, 3, "LD;"): [method("d", *_calling("D", "e"), EXEC.format("v1")), method("e", "return-object p0")],
+        (2, 4, "LE;"): [method("f", *_calling("B", "b"), EXEC.format("v1"))],
+    }
+    rows = [(app, file, i, line) for (app, file, name), methods in text.items() for i, line in enumerate([f".class public {name}", *(line for m in methods for line in m)])]
+    code = smali.instructions(spark.createDataFrame(rows, "app_id long, file long, line_no int, line string").repartition(3))
+    got = {(r.app_id, r.source_method.split(";")[0], r.sink_method.split(";")[0], r.sink_label, r.chain) for r in flows.findings(flows.steps(code)).collect()}
+    assert got == {(1, "LA", "LA", "EXEC", 0), (1, "LA", "LB", "WEBVIEW", 1), (1, "LD", "LD", "EXEC", 0)}
+
+
 def test_code_without_calls(spark, lines):
     assert found(lines, method("n", "nop")) == {} and flows.findings(flows.steps(smali.instructions(lines().limit(0)))).collect() == []
 
