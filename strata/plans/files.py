@@ -121,7 +121,7 @@ def walk_limits(spark: SparkSession, d: str) -> DataFrame:
 @_query(code_plans.SQL["smali_logs"])
 def smali_reuse(spark: SparkSession, d: str) -> DataFrame:
     """The findings of all code, where those of methods whose code an earlier state had are taken over from it."""
-    lines = view(spark, d, "smali")
+    lines = code_plans.lines(spark, d)
     earlier = lines.where("file % 3 <> 0 and not (file % 5 = 0 and line like '%Log;%')")
     logs = lambda code: detectors.logs(smali.for_detectors(code))
     read = lambda of: written(smali.instructions(of).select(*reuse.READ))

@@ -248,6 +248,17 @@ def test_reuse_of_earlier_results(lines):
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, logs(after).collect())) and sorted(seen) == ["a", "new"]
 
 
+def test_bodies_tell_places_and_order(lines):
+    """A method's hash is that of its instructions in their order; it is summed up, not collected, and lines don't count."""
+    bodies = lambda *body: {r.method.split(";->")[1][0]: bytes(r.body) for r in reuse.body_hashes(smali.instructions(lines(method("a", *body), method("b", *body)))).collect()}
+    one = bodies("nop", 'const-string v0, "x"', "nop")
+    assert one == bodies(".line 4", "nop", "", 'const-string v0, "x"', "# c", "nop") and one["a"] != one["b"]
+    others = [bodies('const-string v0, "x"', "nop", "nop"), bodies("nop", 'const-string v0, "x"'), bodies("nop", 'const-string v1, "x"', "nop"), bodies("nop", 'const-string v0, "y"', "nop")]
+    assert len({o["a"] for o in (one, *others)}) == 5
+    plan = reuse.body_hashes(smali.instructions(lines(method("a", "nop"))))._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "ObjectHashAggregate" not in plan
+
+
 def test_binaries_cut_short(spark):
     from strata.plans.files import _elf
 
