@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -71,9 +72,16 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
         yield
 
 
+#: glibc's way to give freed memory back, which it keeps after arrays of some MB otherwise; other libraries have none.
+_TRIM = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def ease() -> None:
-    """Give the memory of past batches, which Arrow keeps for later ones, back to the executor's machine."""
+    """Give the memory of past batches, which Arrow and the C library keep for later ones, back to the executor's machine:
+    a worker that waits for its next stage stands in the executor's memory with all that it has kept."""
     pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
 
 
 def if_small(small: DataFrame, rows: int | None = None) -> DataFrame:

@@ -564,6 +564,7 @@ def _compared_in_clusters(percent: int):
                 held.setdefault(digest, (np.frombuffer(raw, np.uint64), partners or []))
             ease()
         yield links()
+        ease()
 
     return compare
 
